@@ -152,3 +152,206 @@ def hit_flush(spark: SparkSession, sf: str) -> DataFrame:
     stats = derived.fx_stats(spark, sf)
     deltas = rec_ops.flush_hits(derived.fx_hits(spark, sf), derived.fx_records(spark, sf), stats)
     return rec_ops.apply_hit_deltas(stats.select("id", "cache_hit_count"), deltas)
+
+
+# --- cache tables -----------------------------------------------------------------------
+from webweft.operators import cache as cache_ops  # noqa: E402
+from webweft.operators import clean as clean_ops  # noqa: E402
+from webweft.operators import fetch as fetch_ops  # noqa: E402
+from webweft.operators import guard as guard_ops  # noqa: E402
+from webweft.operators import search as search_ops  # noqa: E402
+from webweft.functions import search as search_fns  # noqa: E402
+
+
+def _cache_snapshot(spark, sf):
+    return cache_ops.put_many(None, derived.fx_cache(spark, sf))
+
+
+def _cache_requests(spark, sf):
+    ev = read_table(spark, sf, "events").filter(F.col("event_type") == "purchase")
+    return ev.select(F.col("event_id").alias("pos"), F.lit("Crawl").alias("prefix"),
+                     F.col("user_id").cast("string").alias("key"))
+
+
+def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """U4: last write wins, expiry = written_at + TTL."""
+    return _cache_snapshot(spark, sf)
+
+
+def cache_get_many(spark: SparkSession, sf: str) -> DataFrame:
+    """J12 at a fixed as_of: value per request, missing/expired → null."""
+    return cache_ops.get_many(_cache_snapshot(spark, sf), _cache_requests(spark, sf), AS_OF)
+
+
+def cache_get_or_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Compute only the misses (value derived from the key), store them."""
+    def compute(keys):
+        return keys.withColumn("value", F.concat(F.lit("computed:"), F.col("key")))
+    answers, _ = cache_ops.get_or_set(_cache_snapshot(spark, sf), _cache_requests(spark, sf), compute, AS_OF)
+    return answers
+
+
+def cache_purge(spark: SparkSession, sf: str) -> DataFrame:
+    """Prefix purge of ``Search:`` keys plus a multi-key delete; counts."""
+    snap = _cache_snapshot(spark, sf)
+    after, removed = cache_ops.delete_by_prefix(snap, "Search:", AS_OF)
+    keys = read_table(spark, sf, "events").filter(F.col("event_type") == "signup").select(
+        F.lit("Crawl").alias("prefix"), F.col("user_id").cast("string").alias("key")).distinct()
+    after2, report = cache_ops.delete_keys(after, keys, AS_OF)
+    a = snap.agg(removed.alias("n")).select(F.lit("purged_live").alias("action"), "n")
+    b = after.agg(F.count(F.lit(1)).alias("n")).select(F.lit("after_purge").alias("action"), "n")
+    c = report.agg(F.count_if("existed").alias("n")).select(F.lit("deleted_existing").alias("action"), "n")
+    d = after2.agg(F.count(F.lit(1)).alias("n")).select(F.lit("after_delete").alias("action"), "n")
+    return a.unionByName(b).unionByName(c).unionByName(d)
+
+
+def cache_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Set of event types per user, hash of last props per (user, type),
+    membership probes."""
+    ev = read_table(spark, sf, "events")
+    adds = ev.select(F.lit("Types").alias("prefix"), F.col("user_id").cast("string").alias("key"),
+                     F.col("event_type").alias("member"))
+    sets = cache_ops.set_add(None, adds, None, AS_OF)
+    hashes = cache_ops.hash_set(None, ev.select(
+        F.lit("Props").alias("prefix"), F.col("user_id").cast("string").alias("key"),
+        F.col("event_type").alias("field"), F.col("props").alias("value"),
+        F.struct("ts", "event_id").alias("written_at")))
+    probes = ev.filter(F.col("event_type") == "view").select(
+        F.lit("Types").alias("prefix"), F.col("user_id").cast("string").alias("key"),
+        F.lit("purchase").alias("member")).distinct()
+    probed = cache_ops.set_contains(sets, probes, AS_OF)
+    card = sets.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n_members"))
+    hv = hashes.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n_fields"),
+                                   F.max("value").alias("max_value"))
+    return card.join(hv, "key", "full").join(probed.select("key", "contains"), "key", "left")
+
+
+def hash_counter(spark: SparkSession, sf: str) -> DataFrame:
+    """Per (user, event type) counter, +1 per event, +value for errors."""
+    ev = read_table(spark, sf, "events")
+    inc = ev.select(F.lit("Stats").alias("prefix"), F.col("user_id").cast("string").alias("key"),
+                    F.col("event_type").alias("field"),
+                    F.when(F.col("event_type") == "error", F.floor("value")).cast("long").alias("delta"))
+    return cache_ops.hash_increment(None, inc)
+
+
+# --- guard, robots, fetch ----------------------------------------------------------------
+
+def _url_variants(spark, sf):
+    pg = read_table(spark, sf, "pages").select("page_id", "url")
+    host = urls.extract_domain(F.col("url"))
+    pid = F.col("page_id")
+    ip = F.concat_ws(".", ((pid * 37) % 224).cast("string"), ((pid * 11) % 256).cast("string"), F.lit("1"), F.lit("9"))
+    forms = F.array(
+        F.col("url"),
+        F.regexp_replace(F.col("url"), "^https?", "ftp"),
+        F.concat(F.lit("http://"), host, F.lit("/a/../b")),
+        F.concat(F.lit("http://"), ip, F.lit(":8080/x")),
+        F.concat(host, F.lit("/x")),
+        F.when(pid % 2 == 0, F.lit("  ")).otherwise(F.lit("http://[::1]/x")))
+    return pg.select("page_id", F.posexplode(forms).alias("variant", "url"))
+
+
+def url_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """P3 + P4 + J11 + F1 over URL variants of every page and the DNS table."""
+    g = guard_ops.guard(_url_variants(spark, sf), derived.fx_dns(spark, sf))
+    return g.select("page_id", "variant", "url_ok", "url_error")
+
+
+def robots_join(spark: SparkSession, sf: str) -> DataFrame:
+    """J10."""
+    pg = read_table(spark, sf, "pages").select("page_id", "url")
+    return guard_ops.join_robots(pg, derived.fx_robots(spark, sf)).select("page_id", "robots_txt")
+
+
+def fetch_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 (+F3 threshold, F8 gate) with and without a proxy."""
+    att = derived.fx_attempts(spark, sf)
+    a = fetch_ops.resolve(att, proxy=False).withColumn("proxy", F.lit(False))
+    b = fetch_ops.resolve(att, proxy=True).withColumn("proxy", F.lit(True))
+    return a.unionByName(b).select("url", "proxy", "success", "tier", "tier_name", "text_len", "error",
+                                   F.sha2("html", 256).alias("html_hash"))
+
+
+def fetch_error_class(spark: SparkSession, sf: str) -> DataFrame:
+    """P20 per attempt."""
+    att = derived.fx_attempts(spark, sf)
+    return att.select("event_id", search_fns.fetch_error_code(F.col("network_ok"), F.col("status"),
+                                                             F.col("timed_out")).alias("error_code"))
+
+
+# --- search --------------------------------------------------------------------------------
+
+def search_params(spark: SparkSession, sf: str) -> DataFrame:
+    """F2, P8, P10, P11, P12."""
+    r = search_ops.provider_requests(derived.fx_search_req(spark, sf))
+    return r.select("query_id", "valid", "cache_key", "freshness", "count", "include", "exclude")
+
+
+def fixture_provider(spark: SparkSession, sf: str):
+    """X3 provider over ``fx_results``: JSON bodies per query; every 7th query
+    id fails in one of three ways (code 500, no list, bad JSON)."""
+    res = derived.fx_results(spark, sf)
+
+    def provider(calls: DataFrame) -> DataFrame:
+        items = res.groupBy("query_id").agg(F.array_sort(F.collect_list(
+            F.struct("rank", F.col("title").alias("name"), "url", F.col("description").alias("snippet"))))
+            .alias("items"))
+        items = items.withColumn("items", F.transform("items", lambda x: x.dropFields("rank")))
+        q = F.col("query_id")
+        body = (F.when(q % 7 == 3, F.to_json(F.struct(F.lit(500).alias("code"), F.lit("busy").alias("msg"))))
+                .when(q % 7 == 4, F.to_json(F.struct(F.lit(200).alias("Code"), F.struct().alias("data"))))
+                .when(q % 7 == 5, F.lit("{not json"))
+                .otherwise(F.to_json(F.struct(F.lit(200).alias("Code"), F.struct(F.struct(F.col("items").alias("value"))
+                                                                                 .alias("WebPages")).alias("data")))))
+        bodies = items.select(F.concat(F.lit("query "), q.cast("string")).alias("query"), body.alias("body"))
+        return calls.join(bodies, "query").select("cache_key", "body")
+    return provider
+
+
+def search_results(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + F4 + P21 + W5: provider bodies parsed into ranked results."""
+    req = search_ops.provider_requests(derived.fx_search_req(spark, sf))
+    calls = req.select("cache_key", "query", "count")
+    res, failed = search_ops.parse_provider(fixture_provider(spark, sf)(calls))
+    keyed = req.select("query_id", "cache_key")
+    return res.join(keyed, "cache_key").select("query_id", "provider_pos", "rank", "title", "url", "description")
+
+
+def search_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Q2 with both URL filters (reputation at as_of, then the blocklist)."""
+    rules = rules_from_pages(spark, sf)
+    reps = reputation(spark, sf)
+    filters = [("reputation", rep_ops.as_url_filter(reps, F.lit(AS_OF).cast("timestamp_ntz"))),
+               ("blocklist", blocklist.as_url_filter(rules))]
+    out = search_ops.batch_search(derived.fx_search_req(spark, sf), fixture_provider(spark, sf), filters)
+    return out.select("query_id", "success", "error", "n_raw", "n_kept", "warning",
+                      F.array_join(F.transform("web", lambda x: x["url"]), "|").alias("urls"))
+
+
+def scrape_context(spark: SparkSession, sf: str, ai_configured: bool = True) -> DataFrame:
+    """P7, P17 (formats), P19 (effective AI flag)."""
+    r = derived.fx_scrape_req(spark, sf)
+    fm = F.coalesce(F.col("formats"), F.array(F.lit("markdown")))
+    use_ai = F.lit(ai_configured) & ~F.col("skip_ai")
+    return r.select("request_id", use_ai.alias("use_ai"),
+                    hashing.context_hash(use_ai, fm, F.col("url")).alias("context_hash"),
+                    F.exists(fm, lambda x: F.lower(x) == "markdown").alias("want_markdown"),
+                    F.exists(fm, lambda x: F.lower(x) == "html").alias("want_html"))
+
+
+# --- text steps ----------------------------------------------------------------------------
+
+def data_uri_strip(spark: SparkSession, sf: str) -> DataFrame:
+    """H3 over every page."""
+    pg = read_table(spark, sf, "pages")
+    s = clean_ops.strip_data_uris(F.col("html"))
+    return pg.select("page_id", F.sha2(s, 256).alias("stripped_hash"),
+                     (F.length("html") - F.length(s)).alias("removed_chars"))
+
+
+def whitespace_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    """H5 + P9 over every document text."""
+    d = read_table(spark, sf, "documents")
+    n = clean_ops.normalise_whitespace(F.col("text"))
+    return d.select("doc_id", clean_ops.content_hash(n).alias("content_hash"), F.length(n).alias("n_chars_out"))

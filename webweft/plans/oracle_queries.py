@@ -128,3 +128,201 @@ SQL["hit_flush"] = with_ctes(["fx_hits", "fx_records", "fx_stats"], """SELECT s.
       JOIN (SELECT url, max(id) AS rid FROM fx_records WHERE cleaned_markdown IS NOT NULL GROUP BY url) r ON r.url = h.url
       JOIN (SELECT crawl_record_id, max(id) AS stat_id FROM fx_stats GROUP BY crawl_record_id) st ON st.crawl_record_id = r.rid
       GROUP BY st.stat_id) d ON d.stat_id = s.id""")
+
+# --- cache ----------------------------------------------------------------------------------
+SNAP = f"""fx_snap AS (SELECT prefix, key, arg_max(value, (written_at, event_id)) AS value,
+    {add_minutes('arg_max(written_at, (written_at, event_id))', 'coalesce(arg_max(ttl_minutes, (written_at, event_id)), 30.0)')} AS expires_at
+    FROM fx_cache GROUP BY prefix, key)"""
+LIVE = "fx_live AS (SELECT * FROM fx_snap WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-30 23:00:00')"
+REQS = "fx_req AS (SELECT event_id AS pos, 'Crawl' AS prefix, CAST(user_id AS VARCHAR) AS key FROM events WHERE event_type = 'purchase')"
+
+SQL["cache_upsert"] = with_ctes(["fx_cache"], "SELECT * FROM fx_snap", [SNAP])
+SQL["cache_get_many"] = with_ctes(["fx_cache"], """SELECT r.pos, r.prefix, r.key, l.value FROM fx_req r
+    LEFT JOIN fx_live l ON l.prefix = r.prefix AND l.key = r.key""", [SNAP, LIVE, REQS])
+SQL["cache_get_or_set"] = with_ctes(["fx_cache"], """SELECT r.pos, r.prefix, r.key,
+    coalesce(l.value, 'computed:' || r.key) AS value, l.value IS NOT NULL AS hit
+    FROM fx_req r LEFT JOIN fx_live l ON l.prefix = r.prefix AND l.key = r.key""", [SNAP, LIVE, REQS])
+SQL["cache_purge"] = with_ctes(["fx_cache"], """SELECT 'purged_live' AS action, count(*) FILTER (WHERE starts_with(prefix || ':' || key, 'Search:')
+        AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-30 23:00:00')) AS n FROM fx_snap
+    UNION ALL SELECT 'after_purge', count(*) FROM fx_snap WHERE NOT starts_with(prefix || ':' || key, 'Search:')
+    UNION ALL SELECT 'deleted_existing', count(*) FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events WHERE event_type = 'signup') d
+        WHERE EXISTS (SELECT 1 FROM fx_live l WHERE l.prefix = 'Crawl' AND l.key = d.key AND NOT starts_with(l.prefix || ':' || l.key, 'Search:'))
+    UNION ALL SELECT 'after_delete', count(*) FROM fx_snap s WHERE NOT starts_with(prefix || ':' || key, 'Search:')
+        AND NOT (s.prefix = 'Crawl' AND s.key IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'signup'))""", [SNAP, LIVE])
+SQL["cache_sets"] = """WITH sets AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, event_type AS member FROM events),
+    card AS (SELECT key, CAST(count(*) AS INTEGER) AS n_members FROM sets GROUP BY key),
+    hv0 AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type AS field, arg_max(props, (ts, event_id)) AS value FROM events GROUP BY 1, 2),
+    hv AS (SELECT key, CAST(count(*) AS INTEGER) AS n_fields, max(value) AS max_value FROM hv0 GROUP BY key),
+    probes AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events WHERE event_type = 'view')
+    SELECT coalesce(c.key, h.key) AS key, c.n_members, h.n_fields, h.max_value,
+           EXISTS (SELECT 1 FROM sets s WHERE s.key = p.key AND s.member = 'purchase') AS contains
+    FROM card c FULL JOIN hv h ON c.key = h.key LEFT JOIN probes p ON p.key = coalesce(c.key, h.key)"""
+SQL["cache_sets"] = SQL["cache_sets"].replace("EXISTS (SELECT 1 FROM sets s WHERE s.key = p.key AND s.member = 'purchase') AS contains",
+    "CASE WHEN p.key IS NULL THEN NULL ELSE EXISTS (SELECT 1 FROM sets s WHERE s.key = p.key AND s.member = 'purchase') END AS contains")
+SQL["hash_counter"] = """SELECT 'Stats' AS prefix, CAST(user_id AS VARCHAR) AS key, event_type AS field,
+    CAST(sum(coalesce(CASE WHEN event_type = 'error' THEN CAST(floor(value) AS BIGINT) END, 1)) AS BIGINT) AS value
+    FROM events GROUP BY 1, 2, 3"""
+
+# --- guard, robots, fetch ---------------------------------------------------------------------
+from webweft.plans.oracle_sql import HIER, host, is_blank, not_blank, q  # noqa: E402
+
+SCHEME_ONLY = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+IPV4 = (r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\."
+        r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$")
+
+
+def is_v4(h):
+    return f"regexp_matches({h}, {q(IPV4)})"
+
+
+def is_v6(h):
+    s = f"regexp_replace({h}, '^\\[|\\]$', '', 'g')"
+    return f"(regexp_matches({s}, '^[0-9A-Fa-f:.]+$') AND contains({s}, ':'))"
+
+
+def public_ip(h):
+    o1 = f"TRY_CAST(regexp_extract({h}, {q(IPV4)}, 1) AS INTEGER)"
+    o2 = f"TRY_CAST(regexp_extract({h}, {q(IPV4)}, 2) AS INTEGER)"
+    priv = (f"({o1} = 10 OR ({o1} = 172 AND {o2} BETWEEN 16 AND 31) OR ({o1} = 192 AND {o2} = 168) "
+            f"OR ({o1} = 169 AND {o2} = 254) OR {o1} = 127 OR {o1} = 0)")
+    v6 = f"lower(regexp_replace({h}, '^\\[|\\]$', '', 'g'))"
+    v6s = f"regexp_replace({v6}, '(^|:)0+([0-9a-f])', '\\1\\2', 'g')"
+    loop = f"(regexp_matches({v6s}, '^(0?:)+1$') OR regexp_matches({v6}, '^(0{{0,4}}:)+ffff:127\\.'))"
+    link = f"regexp_matches({v6}, '^fe[89ab][0-9a-f]?:')"
+    site = f"regexp_matches({v6}, '^fe[c-f][0-9a-f]?:')"
+    return (f"(CASE WHEN {is_v4(h)} THEN NOT {priv} WHEN {is_v6(h)} THEN NOT ({loop} OR {link} OR {site}) END)")
+
+
+def guard_sql(u, bad_ip):
+    scheme = f"(CASE WHEN regexp_matches({u}, {q(SCHEME_ONLY)}) THEN lower(regexp_extract({u}, {q(SCHEME_ONLY)}, 1)) END)"
+    has = f"(regexp_matches({u}, {q(HIER)}) AND length(regexp_extract({u}, {q(HIER)}, 2)) > 0)"
+    absolute = f"(regexp_matches({u}, {q(SCHEME_ONLY)}) AND ({scheme} NOT IN ('http', 'https') OR {has}))"
+    hr = f"regexp_extract({u}, {q(HIER)}, 2)"
+    path = f"regexp_extract({u}, {q(HIER)}, 4)"
+    is_ip = f"({is_v4(hr)} OR {is_v6(hr)})"
+    return (f"CASE WHEN {is_blank(u)} THEN 'URL is required' WHEN NOT {absolute} THEN 'Invalid URL format' "
+            f"WHEN {scheme} NOT IN ('http', 'https') THEN 'Scheme ''' || {scheme} || ''' not allowed' "
+            f"WHEN contains({path}, '/../') OR ends_with({path}, '/..') THEN 'Path traversal not allowed' "
+            f"WHEN {is_ip} AND NOT {public_ip(hr)} THEN 'Internal IP addresses are not allowed' "
+            f"WHEN NOT {is_ip} AND {bad_ip} IS NOT NULL THEN 'Host ''' || lower({hr}) || ''' resolves to internal IP (' || {bad_ip} || ')' END")
+
+
+VARIANTS = f"""fx_variants AS (
+    SELECT page_id, 0 AS variant, url FROM pages
+    UNION ALL SELECT page_id, 1, regexp_replace(url, '^https?', 'ftp') FROM pages
+    UNION ALL SELECT page_id, 2, 'http://' || {domain('url')} || '/a/../b' FROM pages
+    UNION ALL SELECT page_id, 3, 'http://' || CAST(page_id * 37 % 224 AS VARCHAR) || '.' || CAST(page_id * 11 % 256 AS VARCHAR) || '.1.9:8080/x' FROM pages
+    UNION ALL SELECT page_id, 4, {domain('url')} || '/x' FROM pages
+    UNION ALL SELECT page_id, 5, CASE WHEN page_id % 2 = 0 THEN '  ' ELSE 'http://[::1]/x' END FROM pages)"""
+BADIP = f"""fx_bad AS (SELECT lower(host) AS h, arg_min(ip, pos) AS bad_ip FROM fx_dns
+    WHERE NOT coalesce({public_ip('ip')}, true) GROUP BY 1)"""
+
+SQL["url_guard"] = with_ctes(["fx_dns"], f"""SELECT page_id, variant, err IS NULL AS url_ok, err AS url_error FROM (
+    SELECT v.page_id, v.variant, {guard_sql('v.url', 'b.bad_ip')} AS err
+    FROM fx_variants v LEFT JOIN fx_bad b ON b.h = {host('v.url')})""", [VARIANTS, BADIP])
+
+SQL["robots_join"] = with_ctes(["fx_robots"], f"""SELECT p.page_id, r.robots_txt FROM pages p
+    LEFT JOIN fx_robots r ON r.origin = {robots_url('p.url')}""")
+
+
+def _resolve_sql(proxy: bool) -> str:
+    P = "true" if proxy else "false"
+    def net(i): return f"coalesce(t{i}.n, false)"
+    def longe(i): return f"({net(i)} AND coalesce(t{i}.l >= 200, false))"
+    def html(i): return f"({net(i)} AND {not_blank(f't{i}.h')})"
+    s1 = longe(1)
+    skel1 = f"({net(1)} AND NOT {s1})"
+    try2 = f"(NOT {s1} AND {P} AND NOT {skel1})"
+    s2 = f"({try2} AND {longe(2)})"
+    skel = f"({skel1} OR ({try2} AND {net(2)} AND NOT {s2}))"
+    skip3 = f"({skel} AND NOT {net(1)} AND {P})"
+    try3 = f"(NOT {s1} AND NOT {s2} AND NOT {skip3})"
+    s3 = f"({try3} AND {html(3)})"
+    try4 = f"(NOT {s1} AND NOT {s2} AND NOT {s3} AND {P})"
+    s4 = f"({try4} AND {html(4)})"
+    succ = f"({s1} OR {s2} OR {s3} OR {s4})"
+    tier = (f"CAST(CASE WHEN {s1} THEN 1 WHEN {s2} THEN 2 WHEN {s3} THEN 3 WHEN {s4} THEN 4 WHEN {try4} THEN 4 "
+            f"WHEN {try3} THEN 3 WHEN {try2} THEN 2 ELSE 1 END AS INTEGER)")
+    hsel = f"CASE WHEN {s1} THEN t1.h WHEN {s2} THEN t2.h WHEN {s3} THEN t3.h WHEN {s4} THEN t4.h END"
+    tl = f"CAST(CASE WHEN {s1} THEN t1.l WHEN {s2} THEN t2.l END AS INTEGER)"
+    err = (f"CASE WHEN NOT {succ} THEN coalesce(CASE WHEN {try4} AND NOT {net(4)} THEN t4.e END, "
+           f"CASE WHEN {try3} AND NOT {net(3)} THEN t3.e END, 'All fetch tiers failed') END")
+    return f"""SELECT url, {P} AS proxy, {succ} AS success, {tier} AS tier,
+        ['HttpClient', 'HttpClientProxy', 'CloakBrowser', 'CloakBrowserProxy'][{tier}] AS tier_name,
+        {tl} AS text_len, {err} AS error, sha256({hsel}) AS html_hash FROM fx_tiers"""
+
+
+TIERS = "fx_tiers AS (SELECT url, " + ", ".join(
+    f"arg_max({{'n': network_ok, 'l': text_len, 'h': html, 'e': error}}, event_id) FILTER (WHERE tier = {i}) AS t{i}"
+    for i in range(1, 5)) + " FROM fx_attempts GROUP BY url)"
+
+SQL["fetch_resolution"] = with_ctes(["fx_attempts"], _resolve_sql(False) + " UNION ALL " + _resolve_sql(True), [TIERS])
+
+SQL["fetch_error_class"] = with_ctes(["fx_attempts"], """SELECT event_id, CASE WHEN NOT network_ok THEN 'INVALID_URL'
+    WHEN status IN (403, 406) THEN 'BOT_BLOCKED' WHEN timed_out THEN 'FETCH_TIMEOUT' ELSE 'FETCH_FAILED' END AS error_code
+    FROM fx_attempts""")
+
+# --- search ---------------------------------------------------------------------------------
+FRESH = ("CASE WHEN " + is_blank("tbs") + " THEN 'noLimit' "
+         "WHEN tbs IN ('qdr:h', 'qdr:d') THEN 'oneDay' WHEN tbs = 'qdr:w' THEN 'oneWeek' "
+         "WHEN tbs = 'qdr:m' THEN 'oneMonth' WHEN tbs = 'qdr:y' THEN 'oneYear' "
+         "WHEN starts_with(tbs, 'cdr:1,cd_min:') AND list_filter(string_split(tbs, ','), lambda p: starts_with(p, 'cd_min:'))[1] IS NOT NULL "
+         "AND list_filter(string_split(tbs, ','), lambda p: starts_with(p, 'cd_max:'))[1] IS NOT NULL "
+         "THEN substr(list_filter(string_split(tbs, ','), lambda p: starts_with(p, 'cd_min:'))[1], 8) || '..' || "
+         "substr(list_filter(string_split(tbs, ','), lambda p: starts_with(p, 'cd_max:'))[1], 8) ELSE 'noLimit' END")
+PARAMS = f"""fx_params AS (SELECT *,
+    ({not_blank('query')} AND length(query) <= 500 AND coalesce("limit" BETWEEN 1 AND 100, true)
+     AND coalesce(timeout BETWEEN 1000 AND 300000, true)) AS valid,
+    sha256(query || '|' || coalesce(country, '') || '|' || coalesce(location, '') || '|' || coalesce(tbs, '') || '|' ||
+           CASE WHEN len(sources) > 0 THEN array_to_string(sources, ',') ELSE 'web' END || '|' ||
+           coalesce(array_to_string(include_domains, ','), '') || '|' || coalesce(array_to_string(exclude_domains, ','), '') || '|' ||
+           coalesce(CAST("limit" AS VARCHAR), '')) AS cache_key,
+    {FRESH} AS freshness,
+    least(coalesce("limit", 10), 50) AS count,
+    CASE WHEN len(include_domains) > 0 THEN array_to_string(include_domains, '|') END AS include,
+    CASE WHEN len(exclude_domains) > 0 THEN array_to_string(exclude_domains, '|') END AS exclude
+    FROM fx_search_req)"""
+
+SQL["search_params"] = with_ctes(["fx_results", "fx_search_req"],
+                                 "SELECT query_id, valid, cache_key, freshness, count, include, exclude FROM fx_params", [PARAMS])
+
+PARSED = f"""fx_parsed_res AS (
+    SELECT p.query_id, p.count, p.valid, r.rank AS provider_pos,
+        CAST(row_number() OVER (PARTITION BY p.query_id ORDER BY r.rank) AS INTEGER) AS rank,
+        coalesce(r.title, '') AS title, r.url, coalesce(r.description, '') AS description
+    FROM fx_params p JOIN fx_results r ON p.query = 'query ' || CAST(r.query_id AS VARCHAR)
+    WHERE p.query_id % 7 NOT IN (3, 4, 5) AND {not_blank('r.url')})"""
+
+SQL["search_results"] = with_ctes(["fx_results", "fx_search_req"], """SELECT query_id, provider_pos, rank, title, url, description
+    FROM fx_parsed_res""", [PARAMS, PARSED])
+
+SQL["search_flow"] = with_ctes(["fx_rule_lines", "fx_fetch_log", "fx_results", "fx_search_req"], f"""SELECT p.query_id,
+    p.valid AND (p.query_id % 7 NOT IN (3, 4, 5)) AS success,
+    CASE WHEN NOT p.valid THEN 'Invalid request' WHEN p.query_id % 7 IN (3, 4, 5) THEN 'Search provider unavailable' END AS error,
+    s.n_raw, s.n_kept, CASE WHEN s.n_raw - s.n_kept > 0 THEN CAST(s.n_raw - s.n_kept AS VARCHAR) || ' results filtered' END AS warning,
+    s.urls
+    FROM fx_params p LEFT JOIN (
+        SELECT query_id, count(*) AS n_raw, count(*) FILTER (WHERE NOT blocked) AS n_kept,
+               coalesce(string_agg(url, '|' ORDER BY rank) FILTER (WHERE NOT blocked), '') AS urls
+        FROM (SELECT v.*, (rp.domain IS NOT NULL OR v.bl_rule IS NOT NULL) AS blocked
+              FROM ({verdict_sql('(SELECT * FROM fx_parsed_res WHERE valid AND provider_pos <= count)')}) v
+              LEFT JOIN (SELECT domain FROM fx_rep WHERE blocked_until > TIMESTAMP '2024-01-30 23:00:00') rp ON rp.domain = v.bl_host)
+        GROUP BY query_id) s ON s.query_id = p.query_id""", [RULES, OUTCOMES, REP, PARAMS, PARSED])
+
+SQL["scrape_context"] = with_ctes(["fx_scrape_req"], """SELECT request_id, NOT skip_ai AS use_ai,
+    sha256('UseAiClean=' || CASE WHEN NOT skip_ai THEN 'True' ELSE 'False' END || '&Formats=' ||
+           array_to_string(coalesce(formats, ['markdown']), ',') || '&Url=' || url) AS context_hash,
+    len(list_filter(coalesce(formats, ['markdown']), lambda x: lower(x) = 'markdown')) > 0 AS want_markdown,
+    len(list_filter(coalesce(formats, ['markdown']), lambda x: lower(x) = 'html')) > 0 AS want_html
+    FROM fx_scrape_req""")
+
+# --- text steps -------------------------------------------------------------------------------
+from webweft.operators.clean import DATA_URI_PATTERNS  # noqa: E402
+
+_strip = "html"
+for _p in DATA_URI_PATTERNS:
+    _strip = f"regexp_replace({_strip}, {q(_p)}, '', 'gi')"
+SQL["data_uri_strip"] = f"SELECT page_id, sha256({_strip}) AS stripped_hash, length(html) - length({_strip}) AS removed_chars FROM pages"
+
+_ws = "regexp_replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '(?m)[ \\t]+$', '', 'g'), '\\n{2,}', chr(10) || chr(10), 'g')"
+SQL["whitespace_normalise"] = f"SELECT doc_id, sha256({_ws}) AS content_hash, length({_ws}) AS n_chars_out FROM documents"

@@ -208,9 +208,9 @@ def fx_scrape_req(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fx_robots(spark: SparkSession, sf: str) -> DataFrame:
-    """robots.txt per origin, for origins whose first page id is even."""
+    """robots.txt for the ``www.`` and ``blog.`` origins (others have none)."""
     pg = read_table(spark, sf, "pages")
     o = pg.groupBy(robots_url(F.col("url")).alias("origin")).agg(F.min("page_id").alias("first_id"))
-    return (o.filter(F.col("first_id") % 2 == 0)
+    return (o.filter(F.col("origin").rlike(r"^https?://(www|blog)\."))
             .select("origin", F.concat(F.lit("User-agent: *\nDisallow: /private/"),
                                        F.col("first_id").cast("string")).alias("robots_txt")))
