@@ -1,0 +1,144 @@
+"""HTML → GitHub-flavoured Markdown over the tree of ``html_tree`` (H4).
+
+The converter in the reference is an external package; this tag table is our
+own definition: headings, paragraphs and block containers, line breaks, rules,
+bold/italic/strike/inline code, fenced ``pre``, block quotes, nested lists,
+tables (first row as header), links and images.  Comments are dropped.
+"""
+
+from __future__ import annotations
+
+import re
+
+from webweft.operators.html_tree import Comment, Node, parse, body_of
+
+# --- fixed values -------------------------------------------------------------------
+BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "aside", "nav", "address",
+          "figure", "figcaption", "details", "summary", "dl", "dt", "dd", "form", "fieldset", "body",
+          "center", "hgroup", "dialog"}
+INLINE_WRAP = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~", "strike": "~~"}
+SKIP = {"script", "style", "noscript", "template", "head", "title", "meta", "link"}
+# ---------------------------------------------------------------------------------------
+
+_WS = re.compile(r"[ \t\n\r\f]+")
+
+
+def _inline(node, pre=False) -> str:
+    out = []
+    for c in node.children:
+        if isinstance(c, Comment):
+            continue
+        if isinstance(c, str):
+            out.append(c if pre else _WS.sub(" ", c))
+        else:
+            out.append(_render(c, pre))
+    return "".join(out)
+
+
+def _wrap(mark: str, inner: str) -> str:
+    core = inner.strip()
+    if not core:
+        return inner
+    if core.startswith(mark) and core.endswith(mark) and len(core) > 2 * len(mark):
+        return inner  # nested same emphasis: keep one pair
+    lead = " " if inner[:1].isspace() else ""
+    trail = " " if inner[-1:].isspace() else ""
+    return f"{lead}{mark}{core}{mark}{trail}"
+
+
+def _list(node: Node, ordered: bool, depth: int = 0) -> str:
+    lines, i = [], 0
+    for c in node.children:
+        if not isinstance(c, Node) or c.tag != "li":
+            continue
+        i += 1
+        marker = f"{i}. " if ordered else "- "
+        body_parts, nested = [], []
+        for cc in c.children:
+            if isinstance(cc, Node) and cc.tag in ("ul", "ol"):
+                nested.append(_list(cc, cc.tag == "ol", depth + 1))
+            elif isinstance(cc, Comment):
+                continue
+            elif isinstance(cc, str):
+                body_parts.append(_WS.sub(" ", cc))
+            else:
+                body_parts.append(_render(cc))
+        text = " ".join("".join(body_parts).split())
+        lines.append("    " * depth + marker + text)
+        lines.extend(n for n in nested if n)
+    return "\n".join(lines)
+
+
+def _table(node: Node) -> str:
+    rows = []
+    for tr in node.iter():
+        if tr.tag == "tr":
+            cells = [" ".join(_inline(td).split()) for td in tr.children
+                     if isinstance(td, Node) and td.tag in ("td", "th")]
+            rows.append(cells)
+    if not rows:
+        return ""
+    width = max(len(r) for r in rows)
+    rows = [r + [""] * (width - len(r)) for r in rows]
+    out = ["| " + " | ".join(rows[0]) + " |", "| " + " | ".join(["---"] * width) + " |"]
+    out += ["| " + " | ".join(r) + " |" for r in rows[1:]]
+    return "\n".join(out)
+
+
+def _render(node: Node, pre: bool = False) -> str:
+    t = node.tag
+    if t in SKIP:
+        return ""
+    if t in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return "\n\n" + "#" * int(t[1]) + " " + " ".join(_inline(node).split()) + "\n\n"
+    if t == "br":
+        return "\n"
+    if t == "hr":
+        return "\n\n* * *\n\n"
+    if t in INLINE_WRAP:
+        return _wrap(INLINE_WRAP[t], _inline(node, pre))
+    if t == "code":
+        inner = _inline(node, True)
+        return inner if pre else (f"`{inner}`" if inner.strip() else inner)
+    if t == "pre":
+        return "\n\n```\n" + _inline(node, True).strip("\n") + "\n```\n\n"
+    if t == "blockquote":
+        inner = _blocks(node).strip()
+        return "\n\n" + "\n".join("> " + ln if ln else ">" for ln in inner.split("\n")) + "\n\n"
+    if t in ("ul", "ol"):
+        return "\n\n" + _list(node, t == "ol") + "\n\n"
+    if t == "table":
+        return "\n\n" + _table(node) + "\n\n"
+    if t == "a":
+        text = " ".join(_inline(node).split())
+        href = node.get("href")
+        return f"[{text}]({href})" if href and text else text
+    if t == "img":
+        src = node.get("src")
+        return f"![{node.get('alt') or ''}]({src})" if src else ""
+    if t in BLOCKS:
+        return "\n\n" + _blocks(node).strip(" ") + "\n\n"
+    return _inline(node, pre)
+
+
+def _blocks(node: Node) -> str:
+    return _inline(node)
+
+
+def _finish(md: str) -> str:
+    md = "\n".join(ln.rstrip(" ") if not ln.endswith("  ") else ln for ln in md.split("\n"))
+    md = re.sub(r"\n{3,}", "\n\n", md)
+    return md.strip()
+
+
+def to_markdown_tree(body: Node) -> str:
+    return _finish(_blocks(body))
+
+
+def to_markdown(html: str | None) -> str:
+    """H4: blank → empty; else convert, collapse 3+ newlines to 2, trim."""
+    if html is None or not html.strip():
+        return ""
+    root = parse(f"<body>{html}</body>")
+    body = body_of(root)
+    return to_markdown_tree(body) if body is not None else ""

@@ -103,7 +103,7 @@ def assign_ids(df: DataFrame, start: Column | int, order_cols: list[str]) -> Dat
             .drop("_pid", "_rn", "_off"))
 
 
-def upsert_records(records: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_records(records: DataFrame, batch: DataFrame, force_overwrite: bool = False) -> DataFrame:
     """J8 (with the J7 branch): ``batch`` holds one crawl per URL with
     ``url, html_hash, ts`` and optional content columns.
 
@@ -111,21 +111,23 @@ def upsert_records(records: DataFrame, batch: DataFrame) -> DataFrame:
     * else the lowest-id record of the URL → overwrite hash and content,
       stability reset (P16), status Completed; an old error text is kept;
     * else insert with stability 1 and a new id above the current maximum.
+    With ``force_overwrite`` the same-hash branch is skipped (a freshly
+    cleaned page always overwrites the lowest-id record of its URL).
     Returns the new snapshot (untouched rows included)."""
     content = [c for c in ("markdown_content", "cleaned_markdown", "cleaned_html", "metadata_json",
                            "context_hash", "fetch_tier") if c in batch.columns]
     b = batch.select("url", F.col("html_hash").alias("_nh"), F.col("ts").alias("_nts"),
                      *[F.col(c).alias("_n_" + c) for c in content])
-    same = records.groupBy("url", "html_hash").agg(F.min("id").alias("_same_id"))
+    same = records.groupBy(F.col("url"), F.col("html_hash").alias("_nh")).agg(F.min("id").alias("_same_id"))
     first = records.groupBy("url").agg(F.min("id").alias("_first_id"))
-    plan = (b.join(same, (b["url"] == same["url"]) & (b["_nh"] == same["html_hash"]), "left")
-            .drop(same["url"]).drop("html_hash")
-            .join(first, "url", "left"))
+    plan = b.join(same, ["url", "_nh"], "left").join(first, "url", "left")
+    if force_overwrite:
+        plan = plan.withColumn("_same_id", F.lit(None).cast("long"))
     plan = plan.withColumn("_target", F.coalesce("_same_id", "_first_id")).withColumn(
         "_kind", F.when(F.col("_same_id").isNotNull(), "same")
         .when(F.col("_first_id").isNotNull(), "changed").otherwise("new"))
-    upd = plan.filter(F.col("_kind") != "new")
-    r = records.join(upd, records["id"] == upd["_target"], "left").drop(upd["url"])
+    upd = plan.filter(F.col("_kind") != "new").drop("url")
+    r = records.join(upd, F.col("id") == F.col("_target"), "left")
     kind = F.col("_kind")
     cols = []
     for c in records.columns:

@@ -164,7 +164,7 @@ SQL["hash_counter"] = """SELECT 'Stats' AS prefix, CAST(user_id AS VARCHAR) AS k
     FROM events GROUP BY 1, 2, 3"""
 
 # --- guard, robots, fetch ---------------------------------------------------------------------
-from webweft.plans.oracle_sql import HIER, host, is_blank, not_blank, q  # noqa: E402
+from webweft.plans.oracle_sql import HIER, host, is_blank, not_blank, q, trim_ws  # noqa: E402
 
 SCHEME_ONLY = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 IPV4 = (r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\."
@@ -326,3 +326,15 @@ SQL["data_uri_strip"] = f"SELECT page_id, sha256({_strip}) AS stripped_hash, len
 
 _ws = "regexp_replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '(?m)[ \\t]+$', '', 'g'), '\\n{2,}', chr(10) || chr(10), 'g')"
 SQL["whitespace_normalise"] = f"SELECT doc_id, sha256({_ws}) AS content_hash, length({_ws}) AS n_chars_out FROM documents"
+
+# --- HTML: SQL form of H1 title and lang for pages with regular head markup -----------------
+_title_raw = "regexp_extract(html, '<head[^>]*>(?s:.*?)<title[^>]*>((?s:.*?))</title>', 1)"
+_dec = _title_raw
+for _ent, _ch in (("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&#39;", "'"), ("&amp;?", "&")):
+    _dec = f"regexp_replace({_dec}, {q(_ent)}, {q(_ch)}, 'g')"
+SQL["page_metadata"] = f"""SELECT page_id,
+    CASE WHEN regexp_matches(html, '<title') THEN {trim_ws(_dec)} END AS title,
+    CASE WHEN regexp_matches(html, '<html[^>]*\\slang="') THEN regexp_extract(html, '<html[^>]*\\slang="([^"]*)"', 1) END AS language,
+    CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS robots, CAST(NULL AS VARCHAR) AS og_title,
+    '' AS og_locale_alternate
+    FROM pages"""

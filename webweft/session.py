@@ -74,7 +74,11 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([root.rstrip("/"), *parts, uuid.uuid4().hex])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing a Parquet table into the shared checkpoint folder
+    and reading it back: computed once (``Dataset.checkpoint`` computes its
+    input twice unless cached), survives executor loss, and later plans scan
+    it with column pruning."""
+    path = work_path(df.sparkSession, "tables", name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
