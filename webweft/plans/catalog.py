@@ -446,3 +446,40 @@ def scrape_records(spark: SparkSession, sf: str) -> DataFrame:
     r = scrape_run(spark, sf).records
     return r.select("id", "url", "html_hash", "stability_count", "status",
                     F.col("cleaned_markdown").isNotNull().alias("has_ai"))
+
+
+# --- streams (each checked against its batch form) ------------------------------------------
+from webweft.session import work_path  # noqa: E402
+from webweft.streaming import jobs as stream_jobs  # noqa: E402
+
+
+def _stream_source(spark, df: DataFrame, name: str, order_col: str = "ts") -> tuple[DataFrame, str]:
+    path = work_path(spark, "streams", name, "source")
+    stream_jobs.write_source_slices(df, path, order_col)
+    return stream_jobs.file_stream(spark, path, spark.read.parquet(path).schema), path
+
+
+def stream_reputation(spark: SparkSession, sf: str) -> DataFrame:
+    """R2 over the fetch log, micro-batch by micro-batch; equals A3."""
+    src, _ = _stream_source(spark, _fetch_outcomes(spark, sf), "outcomes")
+    sink, ck = work_path(spark, "streams", "rep", "sink"), work_path(spark, "streams", "rep", "ckpt")
+    stream_jobs.reputation_stream(src, sink, ck)
+    return stream_jobs.latest_rows(spark.read.parquet(sink), "domain")
+
+
+def stream_stability(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 over the crawl log; equals W4."""
+    crawls = derived.fx_crawls(spark, sf).select("url", "html_hash", "ts", "event_id")
+    src, _ = _stream_source(spark, crawls, "crawls")
+    sink, ck = work_path(spark, "streams", "stab", "sink"), work_path(spark, "streams", "stab", "ckpt")
+    stream_jobs.stability_stream(src, sink, ck)
+    return stream_jobs.latest_rows(spark.read.parquet(sink), "url").drop("last_hash")
+
+
+def stream_hit_flush(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 over the hit log (one file per trigger); equals the batch flush."""
+    src, _ = _stream_source(spark, derived.fx_hits(spark, sf), "hits")
+    sink, ck = work_path(spark, "streams", "hits", "sink"), work_path(spark, "streams", "hits", "ckpt")
+    stats = derived.fx_stats(spark, sf)
+    stream_jobs.hit_flush_stream(src, derived.fx_records(spark, sf), stats, sink, ck)
+    return rec_ops.apply_hit_deltas(stats.select("id", "cache_hit_count"), spark.read.parquet(sink))

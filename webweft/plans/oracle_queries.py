@@ -338,3 +338,10 @@ SQL["page_metadata"] = f"""SELECT page_id,
     CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS robots, CAST(NULL AS VARCHAR) AS og_title,
     '' AS og_locale_alternate
     FROM pages"""
+
+# --- streams: the batch forms -------------------------------------------------------------------
+SQL["stream_reputation"] = SQL["reputation"]
+SQL["stream_stability"] = SQL["stability"].replace(f"""SELECT url, n_crawls, n_runs, stability_count,
+    round({curve('stability_count', 60.0, 3, 10080.0)}, 4) AS ttl_minutes,
+    {reset('stability_count')} AS reset_to, true AS jitter_in_range FROM fx_stab""", "SELECT url, n_crawls, stability_count FROM fx_stab")
+SQL["stream_hit_flush"] = SQL["hit_flush"]
