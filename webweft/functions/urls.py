@@ -44,10 +44,9 @@ def url_scheme(col) -> Column:
 
 
 def url_host(col) -> Column:
-    """Host of an absolute URL, lower-cased; null when there is none."""
-    c = _c(col)
-    h = F.lower(_hier(c, 2))
-    return F.when(has_authority(c), h)
+    """Host of an absolute URL, lower-cased; null when there is none (one
+    regex evaluation: no match and an empty host both give '')."""
+    return F.nullif(F.lower(_hier(_c(col), 2)), F.lit(""))
 
 
 def extract_domain(col) -> Column:
@@ -57,8 +56,10 @@ def extract_domain(col) -> Column:
 
 
 def raw_path(col) -> Column:
-    c = absolute_or_https(col)
-    return F.when(has_authority(c), _hier(c, 4))
+    c = _c(col)
+    https = F.concat(F.lit("https://"), c)
+    return (F.when(_hier(c, 2) != "", _hier(c, 4))
+            .when(_hier(https, 2) != "", _hier(https, 4)))
 
 
 def collapse_dot_segments(path: Column) -> Column:

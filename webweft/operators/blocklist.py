@@ -38,7 +38,7 @@ def read_rule_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     ``line_no`` is the position inside its file, kept by reading whole files
     through ``wholetext`` (subscription lists are a few MB at most)."""
-    raw = spark.read.option("wholetext", "true").text(paths).select(
+    raw = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), F.col("value"))
     lines = raw.select("source", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     return lines.select("source", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
@@ -135,20 +135,25 @@ def swap_snapshot(old: DataFrame | None, new: DataFrame) -> DataFrame:
 # --- verdicts -------------------------------------------------------------------
 
 def _host_flag(urls_host: str, rules: DataFrame, rule_class: str, allow: bool,
-               include_subdomains: bool = False, small: bool = True,
-               hosts_df: DataFrame | None = None) -> Column:
+               small: bool = True) -> Column:
+    """Existence-join flag: the URL host equals a rule host of the class."""
     sub = rules.filter((F.col("rule_class") == rule_class) & (F.col("is_allow") == F.lit(allow)))
     sub = sized_broadcast(sub.select(F.col("host").alias("r_host")).distinct(), small)
-    outer_host = F.col(urls_host).outer()
-    if include_subdomains:
-        # every suffix of the rule host set is matched by equality: explode
-        # the (few) distinct URL hosts into their suffixes, equi-join
-        sub = sized_broadcast(
-            hosts_df.select("bl_host").distinct()
-            .select("bl_host", F.explode(host_suffixes(F.col("bl_host"))).alias("sfx"))
-            .join(sub, F.col("sfx") == F.col("r_host"), "left_semi")
-            .select(F.col("bl_host").alias("r_host")).distinct(), small)
-    return sub.where(F.col("r_host") == outer_host).exists()
+    return sub.where(F.col("r_host") == F.col(urls_host).outer()).exists()
+
+
+def _suffix_flag(df: DataFrame, rules: DataFrame, allow: bool, small: bool, name: str) -> DataFrame:
+    """``include_subdomains``: a wildcard rule also matches every subdomain.
+    The (few) distinct URL hosts are exploded into their suffixes and
+    equi-joined with the rule hosts; the matched hosts are joined back."""
+    sub = rules.filter((F.col("rule_class") == "wildcard") & (F.col("is_allow") == F.lit(allow)))
+    sub = sized_broadcast(sub.select(F.col("host").alias("r_host")).distinct(), small)
+    hosts = df.select(F.col("bl_host").alias("_h")).distinct()
+    matched = (hosts.select("_h", F.explode(host_suffixes(F.col("_h"))).alias("_sfx"))
+               .join(sub, F.col("_sfx") == F.col("r_host"), "left_semi")
+               .select(F.col("_h").alias(name + "_h")).distinct().withColumn(name, F.lit(True)))
+    out = df.join(matched, df["bl_host"] == matched[name + "_h"], "left").drop(name + "_h")
+    return out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def host_suffixes(host: Column) -> Column:
@@ -206,13 +211,20 @@ def blocklist_verdict(df: DataFrame, rules: DataFrame, url_col: str = "url",
             .withColumn("bl_path", lower_path(F.col(url_col)))
     out, rx_allow = _regex_flag(out, url_col, rules, True, max_literal_regex)
     out, rx_block = _regex_flag(out, url_col, rules, False, max_literal_regex)
-    allowed = (_host_flag("bl_host", rules, "wildcard", True, include_subdomains, small, out)
-               | _host_flag("bl_host", rules, "exact", True, small=small)
+    if include_subdomains:
+        out = _suffix_flag(out, rules, True, small, "_wild_allow")
+        out = _suffix_flag(out, rules, False, small, "_wild")
+        wild_allow = F.col("_wild_allow")
+    else:
+        wild_allow = _host_flag("bl_host", rules, "wildcard", True, small)
+    allowed = (wild_allow
+               | _host_flag("bl_host", rules, "exact", True, small)
                | _path_flag("bl_host", "bl_path", rules, True, small)
                | rx_allow)
     out = out.withColumn("bl_allowed", F.coalesce(allowed, F.lit(False)))
-    out = out.withColumn("_wild", _host_flag("bl_host", rules, "wildcard", False, include_subdomains, small, out)) \
-             .withColumn("_exact", _host_flag("bl_host", rules, "exact", False, small=small)) \
+    if not include_subdomains:
+        out = out.withColumn("_wild", _host_flag("bl_host", rules, "wildcard", False, small))
+    out = out.withColumn("_exact", _host_flag("bl_host", rules, "exact", False, small)) \
              .withColumn("_path", _path_flag("bl_host", "bl_path", rules, False, small)) \
              .withColumn("_rx", rx_block)
     rule = (F.when(F.col("bl_allowed") | F.col("bl_host").isNull(), F.lit(None))
@@ -220,7 +232,7 @@ def blocklist_verdict(df: DataFrame, rules: DataFrame, url_col: str = "url",
             .when(F.col("_exact"), F.lit("exact"))
             .when(F.col("_path"), F.lit("path"))
             .when(F.col("_rx"), F.lit("regex")))
-    return out.withColumn("bl_rule", rule).drop("_wild", "_exact", "_path", "_rx")
+    return out.withColumn("bl_rule", rule).drop("_wild", "_exact", "_path", "_rx", "_wild_allow")
 
 
 def as_url_filter(rules: DataFrame, **kw):

@@ -167,15 +167,17 @@ def fx_attempts(spark: SparkSession, sf: str) -> DataFrame:
 def fx_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Blocklist subscription text derived from page URLs: every rule form,
     allow rules, comments, blanks, unsupported lines and bad regexes."""
-    pg = read_table(spark, sf, "pages")
-    host = extract_domain(F.col("url"))
-    seg = F.regexp_extract(lower_path(F.col("url")), "^(/[^/]*)", 1)
+    pg = (read_table(spark, sf, "pages").select("page_id", "url")
+          .withColumn("_h", extract_domain(F.col("url")))
+          .withColumn("_lp", lower_path(F.col("url"))))
+    host = F.col("_h")
+    seg = F.regexp_extract(F.col("_lp"), "^(/[^/]*)", 1)
     pid = F.col("page_id")
     hre = F.regexp_replace(host, r"\.", r"\\.")
     line = (F.when(pid % 12 == 0, F.concat(F.lit("*://*."), host, F.lit("/*")))
             .when(pid % 12 == 1, F.concat(F.lit("*://"), F.upper(host), F.lit("/*")))
             .when(pid % 12 == 2, F.concat(F.lit("  *://"), host, seg, F.lit("/*  ")))
-            .when(pid % 12 == 3, F.concat(F.lit("*://*."), host, lower_path(F.col("url"))))
+            .when(pid % 12 == 3, F.concat(F.lit("*://*."), host, F.col("_lp")))
             .when(pid % 12 == 4, F.concat(F.lit("@*://*."), host, F.lit("/*")))
             .when(pid % 12 == 5, F.concat(F.lit("/"), hre, F.lit(r"/[a-z]{2}/\d+\?page=/")))
             .when(pid % 12 == 6, F.concat(F.lit("! "), host))

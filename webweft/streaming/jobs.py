@@ -12,6 +12,7 @@ inside a micro-batch, and micro-batches are assumed to arrive in time order
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -208,19 +209,21 @@ DEDUP_OUT = T.StructType([
 DEDUP_STATE = T.StructType([T.StructField("until_ms", T.LongType())])
 
 
-def _dedup_update(ttl_ms: int):
+def _dedup_update(ttl_ms: int, timers: bool):
     def fn(key, pdfs, state):
         (ch,) = key
         if state.hasTimedOut:
             state.remove()
             return
+        now_ms = int(time.time() * 1000)
+        live = state.exists and state.get[0] > now_ms  # expiry is also checked lazily
         pdf = pd.concat(list(pdfs)).sort_values("request_id")
-        live = state.exists
         work = [False] * len(pdf)
         if not live:
             work[0] = True
-            state.update((0,))
-            state.setTimeoutDuration(ttl_ms)
+            state.update((now_ms + ttl_ms,))
+            if timers:
+                state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"request_id": pdf["request_id"].astype("int64"), "context_hash": ch, "does_work": work})
     return fn
 
@@ -228,11 +231,14 @@ def _dedup_update(ttl_ms: int):
 def dedup_stream(requests: DataFrame, ttl_minutes: float, sink: str, checkpoint: str,
                  available_now: bool = True, processing_time: str = "10 seconds"):
     """The first request per context hash does the work; later ones within
-    the TTL are answered from the cache.  Keyed state with a processing-time
-    timeout (the TTL)."""
+    the TTL are answered from the cache.  Keyed state holds the expiry; a
+    continuous query also sets a processing-time timeout so idle keys are
+    dropped (an ``availableNow`` run checks expiry lazily instead, since
+    pending timers would keep it running no-data batches)."""
+    timers = not available_now
     out = requests.groupBy("context_hash").applyInPandasWithState(
-        _dedup_update(int(ttl_minutes * 60_000)), DEDUP_OUT, DEDUP_STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        _dedup_update(int(ttl_minutes * 60_000), timers), DEDUP_OUT, DEDUP_STATE, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
     w = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint) \
         .outputMode("append")
     return _run(w, available_now, processing_time)
