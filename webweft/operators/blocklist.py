@@ -10,10 +10,8 @@ existence join over distinct URLs.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,17 +60,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                        F.when(is_allow, ws_trim(F.substring("t", 2, 1 << 30))).otherwise(F.col("t")).alias("rule"))
 
 
-@F.pandas_udf(T.BooleanType())
-def _regex_compiles(patterns: pd.Series) -> pd.Series:
-    def ok(p):
-        if p is None:
-            return False
-        try:
-            re.compile(p, re.IGNORECASE)
-            return True
-        except re.error:
-            return False
-    return patterns.map(ok)
+def regex_compiles(pattern: Column) -> Column:
+    """True when the JVM regex engine (the one ``rlike`` uses) accepts the
+    pattern case-insensitively: ``try_reflect`` turns the syntax error of
+    ``Pattern.matches`` into null.  No Python round trip."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"),
+                         F.concat(F.lit("(?i)"), pattern), F.lit("")).isNotNull()
 
 
 def classify(parsed: DataFrame, validate_regex: bool = True) -> DataFrame:
@@ -97,7 +90,7 @@ def classify(parsed: DataFrame, validate_regex: bool = True) -> DataFrame:
                p.endswith("/*").alias("is_prefix"),
                F.when(c == "regex", F.regexp_extract(r, REGEX_RULE, 1)).alias("pattern")))
     if validate_regex:
-        out = out.filter((c != "regex") | _regex_compiles(F.col("pattern")))
+        out = out.filter((c != "regex") | regex_compiles(F.col("pattern")))
     return out
 
 
@@ -175,30 +168,33 @@ def _path_flag(host_col: str, path_col: str, rules: DataFrame, allow: bool,
     return sub.where(cond).exists()
 
 
-def _regex_flag(df: DataFrame, url_col: str, rules: DataFrame, allow: bool,
-                max_literal_regex: int, chunk: int = 200) -> tuple[DataFrame, Column]:
-    sub = rules.filter((F.col("rule_class") == "regex") & (F.col("is_allow") == F.lit(allow))) \
-        .select("pattern").distinct()
-    n = sub.count()
-    if n == 0:
-        return df, F.lit(False)
-    if n <= max_literal_regex:
-        # bounded (size checked above): fold into literal alternations,
-        # compiled once per task inside codegen
-        pats = sorted(r["pattern"] for r in sub.collect())
-        flag = F.lit(False)
-        for i in range(0, len(pats), chunk):
-            alt = "|".join(f"(?:{p})" for p in pats[i:i + chunk])
-            flag = flag | F.col(url_col).rlike(f"(?i){alt}")
-        return df, flag
-    # large rule lists: existence join on distinct URLs, no literal regex
+def _regex_flags(df: DataFrame, url_col: str, rules: DataFrame, max_literal_regex: int,
+                 chunk: int = 200) -> tuple[DataFrame, Column, Column]:
+    """(df, allow flag, block flag) for regex rules.  Up to
+    ``max_literal_regex`` distinct patterns (checked with one bounded
+    ``collect``) are folded into literal alternations compiled once per task;
+    beyond that, an existence join of the distinct URLs against the pattern
+    table."""
+    sub = rules.filter(F.col("rule_class") == "regex").select("is_allow", "pattern").distinct()
+    got = sub.limit(max_literal_regex + 1).collect()
+    if not got:
+        return df, F.lit(False), F.lit(False)
+    if len(got) <= max_literal_regex:
+        flags = []
+        for allow in (True, False):
+            pats = sorted(r["pattern"] for r in got if r["is_allow"] == allow)
+            flag = F.lit(False)
+            for i in range(0, len(pats), chunk):
+                alt = "|".join(f"(?:{p})" for p in pats[i:i + chunk])
+                flag = flag | F.col(url_col).rlike(f"(?i){alt}")
+            flags.append(flag)
+        return df, flags[0], flags[1]
     urls = df.select(F.col(url_col).alias("_u")).distinct()
-    hits = urls.join(F.broadcast(sub) if n <= 100_000 else sub,
-                     F.expr("_u rlike concat('(?i)', pattern)"), "left_semi")
-    flagname = "_rx_allow" if allow else "_rx_block"
-    hits = hits.select(F.col("_u"), F.lit(True).alias(flagname))
+    hits = (urls.join(sub, F.expr("_u rlike concat('(?i)', pattern)"), "inner")
+            .groupBy("_u").agg(F.max(F.col("is_allow").cast("int")).alias("_rx_a"),
+                               F.max((~F.col("is_allow")).cast("int")).alias("_rx_b")))
     out = df.join(hits, df[url_col] == hits["_u"], "left").drop("_u")
-    return out, F.coalesce(F.col(flagname), F.lit(False))
+    return out, F.coalesce(F.col("_rx_a") == 1, F.lit(False)), F.coalesce(F.col("_rx_b") == 1, F.lit(False))
 
 
 def blocklist_verdict(df: DataFrame, rules: DataFrame, url_col: str = "url",
@@ -209,8 +205,7 @@ def blocklist_verdict(df: DataFrame, rules: DataFrame, url_col: str = "url",
     small = fits_broadcast(rules)
     out = df.withColumn("bl_host", extract_domain(F.col(url_col))) \
             .withColumn("bl_path", lower_path(F.col(url_col)))
-    out, rx_allow = _regex_flag(out, url_col, rules, True, max_literal_regex)
-    out, rx_block = _regex_flag(out, url_col, rules, False, max_literal_regex)
+    out, rx_allow, rx_block = _regex_flags(out, url_col, rules, max_literal_regex)
     if include_subdomains:
         out = _suffix_flag(out, rules, True, small, "_wild_allow")
         out = _suffix_flag(out, rules, False, small, "_wild")

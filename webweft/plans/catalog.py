@@ -26,7 +26,10 @@ def page_urls(spark: SparkSession, sf: str) -> DataFrame:
 def rules_from_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Rule snapshot: loaded once, checkpointed into the shared folder, then
     read by every verdict sub-join."""
-    return cut_lineage(blocklist.load_rules(derived.fx_rule_lines(spark, sf)), "rules")
+    # the derived rule text is written first, like a downloaded subscription
+    # list: parsing then works on a plain text column
+    lines = cut_lineage(derived.fx_rule_lines(spark, sf), "rule_lines")
+    return cut_lineage(blocklist.load_rules(lines), "rules")
 
 
 def blocklist_rules(spark: SparkSession, sf: str) -> DataFrame:
