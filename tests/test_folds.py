@@ -56,6 +56,9 @@ def test_streak_and_stability_folds(spark):
         want[r["url"]] = (r["html_hash"], s)
     got = {r["url"]: r["stability_count"] for r in records.stability(crawls).collect()}
     assert got == {u: v[1] for u, v in want.items()}
+    # multi-level ordered composition (tiny fan-in) gives the same answer
+    got2 = {r["url"]: r["stability_count"] for r in records.stability(crawls, fanin=2).collect()}
+    assert got2 == got
 
 
 def test_fold_runs_example(spark):

@@ -13,39 +13,94 @@ from webweft.operators.sizing import sized_broadcast
 
 # --- W4 ---------------------------------------------------------------------------
 
+BUCKET_MINUTES = 60      # time slice that splits a hot URL's history across tasks
+FOLD_FANIN = 1024        # tables composed per group in the ordered fold
+
+
+def _bucket(ts: str, minutes: int) -> Column:
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(minutes * 60_000_000)).cast("long")
+
+
 def crawl_runs(crawls: DataFrame, key: str = "url", hash_col: str = "html_hash",
-               ts: str = "ts", tie: str = "event_id") -> DataFrame:
+               ts: str = "ts", tie: str = "event_id", bucket_minutes: int = BUCKET_MINUTES) -> DataFrame:
     """Consecutive crawls with the same hash form one run: ``(key, run_no,
-    run_len, first_ts, last_ts)``."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    prev = F.lag(hash_col).over(w)
-    new_run = F.when(prev.isNull() | (prev != F.col(hash_col)), 1).otherwise(0)
-    c = crawls.select(key, hash_col, ts, tie, new_run.alias("_new"))
-    c = c.withColumn("run_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    run_len, first_ts, last_ts, hash)``.
+
+    Skew-safe: windows run per (key, time bucket), never over a whole key;
+    the carry between buckets (last hash, run offset) comes from per-bucket
+    partial aggregates and a window over bucket rows (one row per bucket)."""
+    c = crawls.select(key, hash_col, ts, tie, _bucket(ts, bucket_minutes).alias("_b"))
+    wb = Window.partitionBy(key).orderBy("_b")
+    last_b = (c.groupBy(key, "_b").agg(F.max_by(hash_col, F.struct(ts, tie)).alias("_bl"))
+              .withColumn("_prev_bl", F.lag("_bl").over(wb)).drop("_bl"))
+    w = Window.partitionBy(key, "_b").orderBy(ts, tie)
+    c = c.join(last_b, [key, "_b"])
+    prev = F.coalesce(F.lag(hash_col).over(w), F.col("_prev_bl"))
+    c = c.withColumn("_new", F.when(prev.isNull() | (prev != F.col(hash_col)), 1).otherwise(0)).drop("_prev_bl")
+    offs = (c.groupBy(key, "_b").agg(F.sum("_new").alias("_nb"))
+            .withColumn("_off", F.coalesce(F.sum("_nb").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                                           F.lit(0))).drop("_nb"))
+    c = c.join(offs, [key, "_b"]).withColumn(
+        "run_no", (F.col("_off") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("int"))
     return c.groupBy(key, "run_no").agg(F.count(F.lit(1)).cast("int").alias("run_len"),
                                         F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
                                         F.max_by(hash_col, F.struct(ts, tie)).alias(hash_col))
 
 
 def fold_stability(run_lengths: Column) -> Column:
-    """Per-run fold over run lengths sorted by run number: the first run gives
-    its length, every later run ``reset(s) + len - 1``."""
+    """Sequential fold over one (short) array of run lengths: the first run
+    gives its length, every later run ``reset(s) + len - 1``."""
     first = F.element_at(run_lengths, 1)
     rest = F.slice(run_lengths, 2, 1 << 30)
     return F.aggregate(rest, first, lambda s, ln: stability_reset(s) + ln - 1)
 
 
-def stability(crawls: DataFrame, key: str = "url", hash_col: str = "html_hash") -> DataFrame:
-    """Stability count per key after all crawls.  Only run lengths travel
-    to the per-key fold (runs per key, not crawls per key)."""
+def _transfer(run_len: Column) -> Column:
+    """A middle run as a map over the six reset classes: r → reset(r + len - 1)."""
+    return F.transform(F.sequence(F.lit(1), F.lit(6)), lambda r: stability_reset(r + run_len - 1))
+
+
+def _compose(tables: Column) -> Column:
+    """Compose transfer tables in array order (identity for an empty array)."""
+    ident = F.sequence(F.lit(1), F.lit(6))
+    return F.aggregate(tables, ident, lambda acc, t: F.transform(acc, lambda x: F.element_at(t, x)))
+
+
+def stability(crawls: DataFrame, key: str = "url", hash_col: str = "html_hash",
+              fanin: int = FOLD_FANIN) -> DataFrame:
+    """Stability count per key after all crawls.
+
+    The fold ``s → reset(s) + len - 1`` only depends on ``reset(s)`` (six
+    classes), so each middle run is a 6-entry transfer table and tables
+    compose associatively in run order.  They are composed in groups of at
+    most ``fanin`` (ordered, bounded ``collect_list``), level by level, so no
+    task ever holds a key's whole history."""
     runs = crawl_runs(crawls, key, hash_col)
     per_key = runs.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("run_no", "run_len"))).alias("_runs"),
-        F.sum("run_len").cast("long").alias("n_crawls"),
-        F.max_by(hash_col, "run_no").alias("last_hash"),
-        F.max("last_ts").alias("last_crawl_at"))
-    return per_key.select(key, "n_crawls", F.size("_runs").alias("n_runs"), "last_hash", "last_crawl_at",
-                          fold_stability(F.col("_runs.run_len")).cast("int").alias("stability_count"))
+        F.max("run_no").alias("n_runs"), F.sum("run_len").cast("long").alias("n_crawls"),
+        F.max_by(hash_col, "run_no").alias("last_hash"), F.max("last_ts").alias("last_crawl_at"),
+        F.max(F.when(F.col("run_no") == 1, F.col("run_len"))).alias("_len0"),
+        F.max_by("run_len", "run_no").alias("_lenK"))
+    mids = (runs.join(per_key.select(key, "n_runs"), key)
+            .filter((F.col("run_no") > 1) & (F.col("run_no") < F.col("n_runs")))
+            .select(key, (F.col("run_no") - 2).cast("long").alias("_i"), _transfer(F.col("run_len")).alias("_t")))
+    max_mid = per_key.agg(F.max("n_runs")).first()[0] or 0
+    span = 1
+    while span < max(max_mid - 2, 1):
+        span *= fanin
+        mids = (mids.groupBy(key, F.floor(F.col("_i") / fanin).cast("long").alias("_i"))
+                .agg(F.sort_array(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_t").alias("t"))))
+                     .alias("_ts"))
+                .select(key, "_i", _compose(F.col("_ts.t")).alias("_t")))
+    if span == 1:  # at most one middle run per key
+        mids = mids.groupBy(key).agg(F.first("_t").alias("_t"))
+    composed = mids.select(key, F.col("_t").alias("_c"))
+    out = per_key.join(composed, key, "left")
+    r0 = stability_reset(F.col("_len0"))
+    r = F.coalesce(F.element_at(F.col("_c"), r0), r0)
+    s = F.when(F.col("n_runs") == 1, F.col("_len0")).otherwise(r + F.col("_lenK") - 1)
+    return out.select(key, "n_crawls", F.col("n_runs").cast("int").alias("n_runs"), "last_hash",
+                      "last_crawl_at", s.cast("int").alias("stability_count"))
 
 
 # --- W1 / W2 / J9 ------------------------------------------------------------------

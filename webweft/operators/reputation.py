@@ -56,15 +56,39 @@ def reputation_fold(events: DataFrame, enabled: bool = True) -> DataFrame:
         F.greatest("last_failure_at", "last_success_at").alias("updated_at"))
 
 
-def failure_streak(events: DataFrame) -> DataFrame:
-    """Consecutive failures at each event (running form of A3)."""
-    w = (Window.partitionBy("domain").orderBy("ts", "event_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fails = F.sum(F.when(~F.col("ok"), 1).otherwise(0)).over(w)
-    s = events.withColumn("_rf", fails)
-    at_success = F.max(F.when(F.col("ok"), F.col("_rf"))).over(w)
-    return (s.withColumn("streak", (F.col("_rf") - F.coalesce(at_success, F.lit(0))).cast("int"))
-            .drop("_rf"))
+def failure_streak(events: DataFrame, bucket_minutes: int = 60) -> DataFrame:
+    """Consecutive failures at each event (running form of A3).
+
+    Skew-safe prefix scan: windows run per (host, time bucket); the carry
+    into a bucket (the streak at the end of the previous buckets) comes from
+    per-bucket partial aggregates and a window over bucket rows."""
+    ok, ts, eid = F.col("ok"), F.col("ts"), F.col("event_id")
+    e = events.withColumn("_b", F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(bucket_minutes * 60_000_000))
+                          .cast("long"))
+    per_b = e.groupBy("domain", "_b").agg(
+        F.max(F.when(ok, F.struct(ts.alias("t"), eid.alias("i")))).alias("_ls"),
+        F.count_if(~ok).alias("_nf"))
+    # failures after the bucket's last success (needs the key: a second partial aggregate)
+    tail = (e.join(per_b.select("domain", "_b", "_ls"), ["domain", "_b"])
+            .groupBy("domain", "_b").agg(
+                F.count_if(~ok & (F.col("_ls").isNull() | _after(ts, eid, F.col("_ls.t"), F.col("_ls.i"))))
+                .alias("_tail")))
+    wb = Window.partitionBy("domain").orderBy("_b")
+    run = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = per_b.join(tail, ["domain", "_b"]).withColumn("_has", F.col("_ls").isNotNull())
+    b = b.withColumn("_cum", F.sum("_nf").over(run))
+    b = b.withColumn("_lsb", F.max(F.when(F.col("_has"), F.col("_b"))).over(run))
+    # streak at the end of each bucket: tail of the last success bucket + later failures
+    at_lsb = F.max(F.when(F.col("_b") == F.col("_lsb"), F.col("_tail") - F.col("_cum"))).over(
+        Window.partitionBy("domain", "_lsb"))
+    b = b.withColumn("_end", F.when(F.col("_lsb").isNull(), F.col("_cum"))
+                     .otherwise(F.col("_cum") + at_lsb))
+    b = b.withColumn("_carry", F.coalesce(F.lag("_end").over(wb), F.lit(0))).select("domain", "_b", "_carry")
+    w = Window.partitionBy("domain", "_b").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    s = e.join(b, ["domain", "_b"]).withColumn("_rf", F.sum(F.when(~ok, 1).otherwise(0)).over(w))
+    at_success = F.max(F.when(ok, F.col("_rf"))).over(w)
+    streak = F.when(at_success.isNull(), F.col("_carry") + F.col("_rf")).otherwise(F.col("_rf") - at_success)
+    return s.withColumn("streak", streak.cast("int")).drop("_rf", "_b", "_carry")
 
 
 def reputation_gate(df: DataFrame, reputations: DataFrame, as_of, url_col: str = "url",
