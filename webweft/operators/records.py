@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webweft.functions.policy import stability_reset
 from webweft.operators.sizing import sized_broadcast
+from webweft.session import cut_lineage
 
 
 # --- W4 ---------------------------------------------------------------------------
@@ -75,7 +76,8 @@ def stability(crawls: DataFrame, key: str = "url", hash_col: str = "html_hash",
     compose associatively in run order.  They are composed in groups of at
     most ``fanin`` (ordered, bounded ``collect_list``), level by level, so no
     task ever holds a key's whole history."""
-    runs = crawl_runs(crawls, key, hash_col)
+    # one row per run, read three times below: computed once into the shared folder
+    runs = cut_lineage(crawl_runs(crawls, key, hash_col), "runs")
     per_key = runs.groupBy(key).agg(
         F.max("run_no").alias("n_runs"), F.sum("run_len").cast("long").alias("n_crawls"),
         F.max_by(hash_col, "run_no").alias("last_hash"), F.max("last_ts").alias("last_crawl_at"),

@@ -100,7 +100,9 @@ def block_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 def stability(spark: SparkSession, sf: str) -> DataFrame:
     """W4 + P13 (TTL before jitter) + P14 jitter bounds."""
-    s = rec_ops.stability(derived.fx_crawls(spark, sf))
+    # the crawl log is a derived source: written once, like an ingested table
+    crawls = cut_lineage(derived.fx_crawls(spark, sf).select("url", "html_hash", "ts", "event_id"), "crawls")
+    s = rec_ops.stability(crawls)
     jit = policy.jitter_factor(F.col("url"))
     return s.select("url", "n_crawls", "n_runs", "stability_count",
                     F.round(policy.cache_ttl_minutes(F.col("stability_count")), 4).alias("ttl_minutes"),
