@@ -18,8 +18,16 @@ BUCKET_MINUTES = 60      # time slice that splits a hot URL's history across tas
 FOLD_FANIN = 1024        # tables composed per group in the ordered fold
 
 
+def time_bucket(ts, minutes: int) -> Column:
+    """Bucket number of a wall-clock (``timestamp_ntz``) time; independent of
+    the session time zone and monotonic in time."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("MINUTE", epoch, c.cast("timestamp_ntz")) / F.lit(minutes)).cast("long")
+
+
 def _bucket(ts: str, minutes: int) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(minutes * 60_000_000)).cast("long")
+    return time_bucket(ts, minutes)
 
 
 def crawl_runs(crawls: DataFrame, key: str = "url", hash_col: str = "html_hash",

@@ -63,8 +63,8 @@ def failure_streak(events: DataFrame, bucket_minutes: int = 60) -> DataFrame:
     into a bucket (the streak at the end of the previous buckets) comes from
     per-bucket partial aggregates and a window over bucket rows."""
     ok, ts, eid = F.col("ok"), F.col("ts"), F.col("event_id")
-    e = events.withColumn("_b", F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(bucket_minutes * 60_000_000))
-                          .cast("long"))
+    from webweft.operators.records import time_bucket
+    e = events.withColumn("_b", time_bucket(ts, bucket_minutes))
     per_b = e.groupBy("domain", "_b").agg(
         F.max(F.when(ok, F.struct(ts.alias("t"), eid.alias("i")))).alias("_ls"),
         F.count_if(~ok).alias("_nf"))
