@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webweft.functions.hashing import sha256_hex
 from webweft.functions.text import _c, is_blank
@@ -88,35 +89,47 @@ USAGE_DDL = ("model string, prompt_tokens int, completion_tokens int, total_toke
 
 
 def ai_clean(df: DataFrame, cleaner: Callable[[str], tuple[str, dict | None]] | None,
-             text_col: str = "markdown", use_ai_col: str = "use_ai") -> DataFrame:
-    """H8: each distinct Markdown text (by content hash) is sent once to the
-    user-supplied ``cleaner(text) -> (text, usage)`` inside ``mapInPandas``;
-    results are joined back on the hash.  Blank input → empty, no usage;
-    cleaner error → input kept and ``ai_cleaned = false`` (D4)."""
+             text_col: str = "markdown", use_ai_col: str = "use_ai",
+             partitions: int | None = None) -> DataFrame:
+    """H8: rows are hash-partitioned on the content hash, so every copy of a
+    text lands in one task, where the user-supplied ``cleaner(text) -> (text,
+    usage)`` runs once per distinct text (a per-task memo) inside
+    ``mapInPandas``.  One shuffle, no join back, the upstream plan runs once.
+    Blank input → empty, no usage; cleaner error → input kept and
+    ``ai_cleaned = false`` (D4)."""
     out = df.withColumn("content_hash", F.when(F.col(use_ai_col), content_hash(F.col(text_col))))
     if cleaner is None:
         return (out.withColumn("ai_cleaned", F.lit(False))
                 .withColumn("usage", F.lit(None).cast(f"struct<{USAGE_DDL}>")))
-    todo = out.filter(F.col(use_ai_col)).select("content_hash", F.col(text_col).alias("_in")) \
-        .dropDuplicates(["content_hash"])
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism * 2
+    src = out.repartition(n, "content_hash")
+    schema = T.StructType(src.schema.fields + [
+        T.StructField("ai_cleaned", T.BooleanType()),
+        T.StructField("usage", T.StructType.fromDDL(USAGE_DDL))])
 
     def run(batches):
+        memo: dict = {}
         for pdf in batches:
             texts, oks, usages = [], [], []
-            for t in pdf["_in"]:
-                if t is None or not str(t).strip():
-                    texts.append(""), oks.append(True), usages.append(None)
-                    continue
-                try:
-                    res, usage = cleaner(t)
-                    texts.append((res or "").strip()), oks.append(True), usages.append(usage)
-                except Exception:  # noqa: BLE001 - a failing call keeps the input
+            for use, h, t in zip(pdf[use_ai_col], pdf["content_hash"], pdf[text_col]):
+                if not use:
                     texts.append(t), oks.append(False), usages.append(None)
-            yield pd.DataFrame({"content_hash": pdf["content_hash"], "_out": texts, "_ok": oks,
-                                "usage": usages})
-
-    done = todo.mapInPandas(run, f"content_hash string, _out string, _ok boolean, usage struct<{USAGE_DDL}>")
-    j = out.join(done, "content_hash", "left")
-    return (j.withColumn(text_col, F.when(F.col(use_ai_col) & F.col("_ok"), F.col("_out")).otherwise(F.col(text_col)))
-            .withColumn("ai_cleaned", F.coalesce(F.col(use_ai_col) & F.col("_ok"), F.lit(False)))
-            .drop("_out", "_ok"))
+                    continue
+                if h not in memo:
+                    if t is None or not str(t).strip():
+                        memo[h] = ("", True, None)
+                    else:
+                        try:
+                            res, usage = cleaner(t)
+                            memo[h] = ((res or "").strip(), True, usage)
+                        except Exception:  # noqa: BLE001 - a failing call keeps the input
+                            memo[h] = (t, False, None)
+                res, ok, usage = memo[h]
+                texts.append(res), oks.append(ok), usages.append(usage)
+            pdf = pdf.copy()
+            pdf[text_col] = texts
+            pdf["ai_cleaned"] = oks
+            pdf["usage"] = usages
+            yield pdf
+
+    return src.mapInPandas(run, schema)

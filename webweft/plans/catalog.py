@@ -426,13 +426,15 @@ def scrape_run(spark: SparkSession, sf: str, ai_configured: bool = True):
     spam = F.col("url").rlike("casino|pills")
     outcomes = pages.select("url", (~spam).alias("ok"),
                             F.lit("2024-01-30 22:59:00").cast("timestamp_ntz").alias("ts"), pid.alias("event_id"))
-    reps = rep_ops.reputation_fold(rep_ops.outcomes(outcomes))
+    # prior state as stored snapshots (reputations S4, records S2)
+    reps = cut_lineage(rep_ops.reputation_fold(rep_ops.outcomes(outcomes)), "reputations")
+    records = cut_lineage(_page_records(spark, sf), "page_records")
     ctx = scrape_context(spark, sf)
     cache = (ctx.join(req.select("request_id", "url"), "request_id").filter(F.col("url").contains("/en/") & F.col("url").endswith(".html"))
              .select(F.lit("Crawl").alias("prefix"), F.col("context_hash").alias("key"),
                      F.to_json(F.struct(F.lit(True).alias("success"), F.col("request_id"))).alias("value"),
                      F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("expires_at")))
-    return scrape_plan.batch_scrape(req, fetched, _page_records(spark, sf), cache, reps,
+    return scrape_plan.batch_scrape(req, fetched, records, cache, reps,
                                     derived.fx_robots(spark, sf), AS_OF, ai_configured=ai_configured,
                                     ai_cleaner=_markdown_cleaner)
 
