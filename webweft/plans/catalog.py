@@ -83,7 +83,7 @@ def failure_streak(spark: SparkSession, sf: str) -> DataFrame:
 
 def reputation_gate(spark: SparkSession, sf: str) -> DataFrame:
     """J1 / F6 at a fixed ``as_of`` over every hit event's URL."""
-    reps = reputation(spark, sf)
+    reps = cut_lineage(reputation(spark, sf), "reputations")  # the S4 snapshot table
     hits = derived.fx_hits(spark, sf)
     g = rep_ops.reputation_gate(hits, reps, F.lit(AS_OF).cast("timestamp_ntz"))
     return g.select("event_id", "rep_blocked", "rep_blocked_until")
@@ -326,7 +326,7 @@ def search_results(spark: SparkSession, sf: str) -> DataFrame:
 def search_flow(spark: SparkSession, sf: str) -> DataFrame:
     """Q2 with both URL filters (reputation at as_of, then the blocklist)."""
     rules = rules_from_pages(spark, sf)
-    reps = reputation(spark, sf)
+    reps = cut_lineage(reputation(spark, sf), "reputations")  # the S4 snapshot table
     filters = [("reputation", rep_ops.as_url_filter(reps, F.lit(AS_OF).cast("timestamp_ntz"))),
                ("blocklist", blocklist.as_url_filter(rules))]
     out = search_ops.batch_search(derived.fx_search_req(spark, sf), fixture_provider(spark, sf), filters)
