@@ -75,3 +75,10 @@ def test_text_source(spark, tmp_path):
     assert got[1] == (2, "*://*.a.example/*") and got[3] == (4, "@*://b.example/*")
     counts = {r["rule_class"]: r["n_rules"] for r in B.rule_counts(B.load_rules(lines)).collect()}
     assert counts == {"wildcard": 1, "allow": 1}
+
+
+def test_subscription_list(spark):
+    configured = spark.createDataFrame([("https://lists.example/a.txt",), (" https://lists.example/b.txt ",)], "url string")
+    extra = B.lines_from_rows(spark, "f", ["# comment", "", "https://lists.example/b.txt", "https://lists.example/c.txt"])
+    got = sorted(r["url"] for r in B.subscription_list(configured, extra).collect())
+    assert got == ["https://lists.example/a.txt", "https://lists.example/b.txt", "https://lists.example/c.txt"]

@@ -64,3 +64,32 @@ def test_batch_search_flow(spark):
     assert out[1]["warning"] == "1 results filtered" and [w["url"] for w in out[1]["web"]] == ["https://h0.example/"]
     assert out[2]["n_raw"] == 5 and out[2]["n_kept"] == 4
     assert not out[3]["success"] and out[3]["error"] == "Search provider unavailable"
+
+
+def test_cached_search_and_actions(spark):
+    import datetime as dt
+    req = spark.createDataFrame([(1, "alpha"), (2, "beta")], "query_id int, query string").withColumn(
+        "limit", F.lit(None).cast("int"))
+    for c, t in [("sources", "array<string>"), ("include_domains", "array<string>"), ("exclude_domains", "array<string>"),
+                 ("tbs", "string"), ("location", "string"), ("country", "string"), ("timeout", "int")]:
+        req = req.withColumn(c, F.lit(None).cast(t))
+    req = req.withColumn("summary", F.lit(False))
+    keys = {r["query"]: r["cache_key"] for r in S.provider_requests(req).collect()}
+    body = json.dumps({"code": 200, "data": {"webPages": {"value": [{"name": "c", "url": "https://c.example/"}]}}})
+    cache = spark.createDataFrame([("Search", keys["alpha"], body, dt.datetime(2030, 1, 1))],
+                                  "prefix string, key string, value string, expires_at timestamp_ntz")
+    called = []
+
+    def provider(calls):
+        called.append(sorted(r["query"] for r in calls.collect()))
+        return calls.select("cache_key", F.lit(json.dumps({"code": 200, "data": {"webPages": {"value": [
+            {"name": "p", "url": "https://p.example/"}]}}})).alias("body"))
+    seen, errors = [], []
+    actions = [(2, True, lambda df, b: seen.append(df.count())), (1, False, lambda df, b: 1 / 0)]
+    out, writes = S.batch_search_cached(req, provider, cache, "2024-01-01 00:00:00", actions=actions,
+                                        on_error=errors.append)
+    got = {r["query_id"]: r for r in out.collect()}
+    assert [w["url"] for w in got[1]["web"]] == ["https://c.example/"]
+    assert [w["url"] for w in got[2]["web"]] == ["https://p.example/"]
+    assert called[-1] == ["beta"] and seen == [2] and len(errors) == 1
+    assert [r["key"] for r in writes.collect()] == [keys["beta"]]

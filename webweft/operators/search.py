@@ -107,19 +107,31 @@ def summarise(results: DataFrame, key: str = "cache_key") -> DataFrame:
                                                             F.lit(" results filtered"))))
 
 
-def batch_search(requests: DataFrame, provider: Callable[[DataFrame], DataFrame],
-                 filters: Sequence[tuple[str, UrlFilter]] = (), validate: bool = True,
-                 max_count: int = 50) -> DataFrame:
-    """Q2: requests → F2 → P8 de-dup → provider (X3, returns ``(cache_key,
-    body)``) → S7/F4 → T1 → F5 → A2 → A6.  Provider failure →
-    ``success=false`` with the fixed error text."""
-    req = provider_requests(requests, max_count)
-    ok_req = req.filter("valid") if validate else req
-    calls = ok_req.dropDuplicates(["cache_key"]).select("cache_key", "query", "count", "freshness", "summary",
-                                                        "include", "exclude")
-    bodies = provider(calls)
+Action = tuple[int, bool, Callable[[DataFrame, int], None]]
+
+
+def run_actions(raw: DataFrame, actions: Sequence[Action], batch_id: int = 0,
+                on_error: Callable[[Exception], None] | None = None) -> None:
+    """R6/X4 in batch form: ``(order, synchronous, fn(df, batch_id))`` run in
+    order on the raw (unfiltered) results; a failing best-effort action is
+    reported and skipped, a failing synchronous one propagates."""
+    for _, sync, fn in sorted(actions, key=lambda a: a[0]):
+        if sync:
+            fn(raw, batch_id)
+        else:
+            try:
+                fn(raw, batch_id)
+            except Exception as e:  # noqa: BLE001
+                if on_error:
+                    on_error(e)
+
+
+def _finish(req: DataFrame, calls: DataFrame, bodies: DataFrame, filters, validate: bool,
+            actions: Sequence[Action], on_error) -> DataFrame:
     results, failed = parse_provider(bodies)
     results = top_n(results, calls)
+    if actions:
+        run_actions(results, actions, on_error=on_error)
     filtered = apply_filters(results, filters)
     summary = summarise(filtered)
     out = req.join(summary, "cache_key", "left").join(
@@ -127,5 +139,47 @@ def batch_search(requests: DataFrame, provider: Callable[[DataFrame], DataFrame]
     success = F.col("valid") & F.col("provider_error").isNull() if validate else F.col("provider_error").isNull()
     return out.select(
         "*", success.alias("success"),
-        F.when(validate & ~F.col("valid"), F.lit("Invalid request"))
+        F.when(F.lit(validate) & ~F.col("valid"), F.lit("Invalid request"))
          .when(F.col("provider_error").isNotNull(), F.lit(PROVIDER_ERROR)).alias("error"))
+
+
+def _calls(requests: DataFrame, validate: bool, max_count: int):
+    req = provider_requests(requests, max_count)
+    ok_req = req.filter("valid") if validate else req
+    calls = ok_req.dropDuplicates(["cache_key"]).select("cache_key", "query", "count", "freshness", "summary",
+                                                        "include", "exclude")
+    return req, calls
+
+
+def batch_search(requests: DataFrame, provider: Callable[[DataFrame], DataFrame],
+                 filters: Sequence[tuple[str, UrlFilter]] = (), validate: bool = True,
+                 max_count: int = 50, actions: Sequence[Action] = (),
+                 on_error: Callable[[Exception], None] | None = None) -> DataFrame:
+    """Q2: requests → F2 → P8 de-dup → provider (X3, returns ``(cache_key,
+    body)``) → S7/F4 → T1 → after-actions on raw results (X4) → F5 → A2 →
+    A6.  Provider failure → ``success=false`` with the fixed error text."""
+    req, calls = _calls(requests, validate, max_count)
+    return _finish(req, calls, provider(calls), filters, validate, actions, on_error)
+
+
+def batch_search_cached(requests: DataFrame, provider: Callable[[DataFrame], DataFrame], cache: DataFrame,
+                        as_of, filters: Sequence[tuple[str, UrlFilter]] = (), validate: bool = True,
+                        max_count: int = 50, cache_minutes: float = 60.0, actions: Sequence[Action] = (),
+                        on_error: Callable[[Exception], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Q2 with the raw-result cache (J13 on ``prefix = 'Search'``): cached
+    raw bodies answer hits, the provider is called for the misses only, and
+    filters re-run on both.  Returns ``(responses, cache_writes)``; only
+    successful provider bodies are written (TTL ``cache_minutes``)."""
+    from webweft.operators.cache import live
+    req, calls = _calls(requests, validate, max_count)
+    ts = as_of if not isinstance(as_of, str) else F.lit(as_of).cast("timestamp_ntz")
+    cached = live(cache, ts).filter(F.col("prefix") == "Search").select(
+        F.col("key").alias("cache_key"), F.col("value").alias("body"))
+    hit = calls.join(cached, "cache_key")
+    fresh = provider(calls.join(cached.select("cache_key"), "cache_key", "left_anti"))
+    bodies = hit.select("cache_key", "body").unionByName(fresh.select("cache_key", "body"))
+    _, failed = parse_provider(fresh)
+    writes = (fresh.join(failed.select("cache_key"), "cache_key", "left_anti")
+              .select(F.lit("Search").alias("prefix"), F.col("cache_key").alias("key"), F.col("body").alias("value"),
+                      ts.alias("written_at"), F.lit(float(cache_minutes)).alias("ttl_minutes")))
+    return _finish(req, calls, bodies, filters, validate, actions, on_error), writes
