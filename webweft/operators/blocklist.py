@@ -189,8 +189,15 @@ def _regex_flags(df: DataFrame, url_col: str, rules: DataFrame, max_literal_rege
                 flag = flag | F.col(url_col).rlike(f"(?i){alt}")
             flags.append(flag)
         return df, flags[0], flags[1]
+    # many patterns: fold them (in Spark, hash-balanced groups of about
+    # ``chunk``) into alternation rows, then test each distinct URL against
+    # the alternation rows (chunk times fewer pairs than one row per pattern)
+    n_chunks = max(1, -(-sub.count() // chunk))
+    alts = (sub.groupBy("is_allow", F.pmod(F.xxhash64("pattern"), F.lit(n_chunks)).alias("_c"))
+            .agg(F.concat(F.lit("(?i)"), F.concat_ws("|", F.collect_list(
+                F.concat(F.lit("(?:"), F.col("pattern"), F.lit(")"))))).alias("_alt")))
     urls = df.select(F.col(url_col).alias("_u")).distinct()
-    hits = (urls.join(sub, F.expr("_u rlike concat('(?i)', pattern)"), "inner")
+    hits = (urls.join(alts, F.expr("_u rlike _alt"), "inner")
             .groupBy("_u").agg(F.max(F.col("is_allow").cast("int")).alias("_rx_a"),
                                F.max((~F.col("is_allow")).cast("int")).alias("_rx_b")))
     out = df.join(hits, df[url_col] == hits["_u"], "left").drop("_u")
