@@ -41,12 +41,22 @@ def write_source_slices(df: DataFrame, path: str, order_col: str, slices: int =
     for i in range(slices):
         a = lo + step * i
         b = hi if i == slices - 1 else lo + step * (i + 1)
-        cond = (F.col(order_col) >= F.lit(a)) & ((F.col(order_col) <= F.lit(b)) if i == slices - 1
-                                                  else (F.col(order_col) < F.lit(b)))
+        cond = (F.col(order_col) >= _lit_like(a)) & ((F.col(order_col) <= _lit_like(b)) if i == slices - 1
+                                                      else (F.col(order_col) < _lit_like(b)))
         df.filter(cond).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
+def _lit_like(v):
+    """Literal for a bound read back from the data: wall-clock times become
+    ``timestamp_ntz`` literals (a Python datetime literal would be read in
+    the session time zone and shift the bound)."""
+    import datetime as _dt
+    if isinstance(v, _dt.datetime):
+        return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(v)
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
     """Append-only event folder as a stream; ``maxFilesPerTrigger`` bounds a
     micro-batch (T4)."""
@@ -90,16 +100,26 @@ REP_OUT = T.StructType([
     T.StructField("updated_at", T.TimestampNTZType()),
     T.StructField("seq", T.LongType()),
 ])
+# state keeps wall-clock times as microseconds since the epoch: independent
+# of the session time zone on every state round trip
 REP_STATE = T.StructType([
     T.StructField("exists", T.BooleanType()),
     T.StructField("consecutive", T.IntegerType()),
     T.StructField("total", T.IntegerType()),
-    T.StructField("last_failure", T.TimestampNTZType()),
-    T.StructField("last_success", T.TimestampNTZType()),
+    T.StructField("last_failure_us", T.LongType()),
+    T.StructField("last_success_us", T.LongType()),
     T.StructField("seq", T.LongType()),
 ])
 
 
+def _to_us(ts) -> int | None:
+    return None if ts is None or pd.isna(ts) else int(pd.Timestamp(ts).value // 1000)
+
+
+def _from_us(us):
+    return None if us is None or pd.isna(us) else pd.Timestamp(int(us) * 1000)
+
+
 def _block_minutes(n: int) -> float:
     import math
     if n <= BLOCK_THRESHOLD:
@@ -113,19 +133,20 @@ def _reputation_update(key, pdfs, state):
     (domain,) = key
     if state.exists:
         ex, cons, tot, lf, ls, seq = state.get
+        lf, ls = _from_us(lf), _from_us(ls)
     else:
         ex, cons, tot, lf, ls, seq = False, 0, 0, None, None, 0
     pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
     last_ts = None
     for ok, ts in zip(pdf["ok"], pdf["ts"]):
-        ts = ts.to_pydatetime() if hasattr(ts, "to_pydatetime") else ts
+        ts = pd.Timestamp(ts)
         if ok:
             if ex:  # a success only leaves a trace on an existing row
                 cons, ls, last_ts = 0, ts, ts
         else:
             ex, cons, tot, lf, last_ts = True, cons + 1, tot + 1, ts, ts
     seq += 1
-    state.update((ex, cons, tot, lf, ls, seq))
+    state.update((ex, cons, tot, _to_us(lf), _to_us(ls), seq))
     if not ex:
         return
     blocked = None
