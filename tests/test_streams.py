@@ -52,3 +52,15 @@ def test_rule_refresh_keeps_old_on_allow_only(spark):
     p3 = jobs.refresh_rules(spark, blocklist.lines_from_rows(spark, "s", ["*://c.example/*"]), root, load)
     cur = jobs.current_rules(spark, root)
     assert p3 != p1 and {r["rule_class"] for r in cur.collect()} == {"wildcard", "exact"}
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        la_stream = _rows(catalog.stream_reputation(spark, SF_SMALL), "domain")
+        la_streak = _rows(catalog.failure_streak(spark, SF_SMALL), "event_id")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert la_stream == _rows(catalog.reputation(spark, SF_SMALL), "domain")
+    assert la_streak == _rows(catalog.failure_streak(spark, SF_SMALL), "event_id")
