@@ -101,11 +101,15 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
     req = req.filter(~F.col("rep_blocked")).drop("rep_blocked", "rep_blocked_until")
 
     # fetch (S1): one fetched page per URL
-    f = fetched.select("url", "html", *([F.col("fetch_error")] if "fetch_error" in fetched.columns
-                                        else [F.lit(None).cast("string").alias("fetch_error")]))
+    f = fetched.select("url", "html", F.lit(True).alias("_fetched"),
+                       *([F.col("fetch_error")] if "fetch_error" in fetched.columns
+                         else [F.lit(None).cast("string").alias("fetch_error")]))
     req = req.join(f, "url", "left")
-    failed = req.filter(F.col("html").isNull())
-    fail_resp = _response(failed, "fetch_failed", False, F.coalesce(F.col("fetch_error"), F.lit(FETCH_FAILED)))
+    # F8: a failed fetch writes a Failed record; fetched-but-empty content writes none;
+    # both count as a domain failure
+    failed = req.filter(F.col("_fetched").isNull() | F.col("fetch_error").isNotNull())
+    empty = req.filter(F.col("_fetched") & F.col("fetch_error").isNull() & F.col("html").isNull())
+    empty_resp = _response(empty, "empty", False, F.lit(EMPTY_CONTENT))
     ok = req.filter(F.col("html").isNotNull()).withColumn("html_hash", sha256_hex(F.col("html")))
 
     # Unchanged page with the same hash → answer from the stored record
@@ -149,7 +153,14 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
         "cleaned_html", "metadata_json", F.lit("HttpClient").alias("fetch_tier"),
         (F.col("_same_id").isNotNull() & F.col("use_ai")).alias("reclean"))
     unchanged_batch = unchanged.dropDuplicates(["url"]).select("url", "html_hash", now.alias("ts"))
-    new_records = cut_lineage(_upsert(records, batch, unchanged_batch), "records")
+    merged = _upsert(records, batch, unchanged_batch)
+    fail_rows = failed.dropDuplicates(["url"]).select(
+        "url", F.coalesce(F.col("fetch_error"), F.lit(FETCH_FAILED)).alias("error_message"))
+    new_records = cut_lineage(_append_failures(merged, fail_rows, now), "records")
+    fail_ids = (new_records.filter(F.col("status") == "Failed")
+                .groupBy("url").agg(F.max("id").alias("_fid")))
+    fail_resp = _response(failed.join(fail_ids, "url", "left"), "fetch_failed", False,
+                          F.coalesce(F.col("fetch_error"), F.lit(FETCH_FAILED)), record_id=F.col("_fid"))
     ids = new_records.select(F.col("url"), F.col("id").alias("_rid"), F.col("stability_count").alias("_stab"))
     ids = ids.groupBy("url").agg(F.min_by(F.struct("_rid", "_stab"), "_rid").alias("_r")).select(
         "url", F.col("_r._rid").alias("_rid"), F.col("_r._stab").alias("_stab"))
@@ -161,6 +172,7 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
         metadata=F.col("metadata_out"))
 
     responses = (rejected.unionByName(cached_resp).unionByName(blocked_resp).unionByName(fail_resp)
+                 .unionByName(empty_resp)
                  .unionByName(unchanged_resp).unionByName(fresh_resp))
 
     # S3: statistics when the AI step ran and usage is known
@@ -179,11 +191,36 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
 
     hits = cached.filter("use_ai").select("url").unionByName(unchanged.filter("use_ai").select("url"))
     outcomes = (failed.select("url", F.lit(False).alias("ok"))
+                .unionByName(empty.select("url", F.lit(False).alias("ok")))
                 .unionByName(fresh.select("url", F.lit(True).alias("ok")))
                 .withColumn("ts", now).withColumn("event_id", F.xxhash64("url")))
     return ScrapeResult(responses, new_records, stats, cache_writes, hits, outcomes)
 
 
+def _append_failures(records: DataFrame, fails: DataFrame, now) -> DataFrame:
+    """A failed fetch inserts a Failed record (new id above the current
+    maximum) with the error text, tier and times."""
+    from webweft.operators.records import assign_ids
+    start = records.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    rows = assign_ids(fails, start, ["url"])
+    cols = []
+    for fld in records.schema.fields:
+        c = fld.name
+        if c in ("id", "url", "error_message"):
+            cols.append(F.col(c))
+        elif c == "status":
+            cols.append(F.lit("Failed").alias(c))
+        elif c == "fetch_tier":
+            cols.append(F.lit("HttpClient").alias(c))
+        elif c == "stability_count":
+            cols.append(F.lit(0).cast("int").alias(c))
+        elif c in ("created_at", "completed_at", "last_accessed_at"):
+            cols.append(now.alias(c))
+        else:
+            cols.append(F.lit(None).cast(fld.dataType).alias(c))
+    return records.unionByName(rows.select(*cols))
+
+
 def _upsert(records: DataFrame, batch: DataFrame, unchanged: DataFrame) -> DataFrame:
     """J8 with the two J7 branches: ``unchanged`` URLs → stability + 1 on the
     same-hash record; ``batch`` rows overwrite the lowest-id record of the URL
