@@ -153,7 +153,7 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
         "cleaned_html", "metadata_json", F.lit("HttpClient").alias("fetch_tier"),
         (F.col("_same_id").isNotNull() & F.col("use_ai")).alias("reclean"))
     unchanged_batch = unchanged.dropDuplicates(["url"]).select("url", "html_hash", now.alias("ts"))
-    merged = _upsert(records, batch, unchanged_batch)
+    merged = cut_lineage(_upsert(records, batch, unchanged_batch), "records_merged")
     fail_rows = failed.dropDuplicates(["url"]).select(
         "url", F.coalesce(F.col("fetch_error"), F.lit(FETCH_FAILED)).alias("error_message"))
     new_records = cut_lineage(_append_failures(merged, fail_rows, now), "records")
