@@ -59,36 +59,34 @@ def reputation_fold(events: DataFrame, enabled: bool = True) -> DataFrame:
 def failure_streak(events: DataFrame, bucket_minutes: int = 60) -> DataFrame:
     """Consecutive failures at each event (running form of A3).
 
-    Skew-safe prefix scan: windows run per (host, time bucket); the carry
-    into a bucket (the streak at the end of the previous buckets) comes from
-    per-bucket partial aggregates and a window over bucket rows."""
-    ok, ts, eid = F.col("ok"), F.col("ts"), F.col("event_id")
+    Skew-safe prefix scan.  Pass 1 is a window per (host, time bucket): the
+    running failure count and the streak inside the bucket.  Per-bucket end
+    values are aggregated from pass 1 (same partitioning, no new shuffle of
+    the events); the carry into each bucket comes from a window over one row
+    per bucket and is joined back on (host, bucket)."""
     from webweft.operators.records import time_bucket
-    e = events.withColumn("_b", time_bucket(ts, bucket_minutes))
-    per_b = e.groupBy("domain", "_b").agg(
-        F.max(F.when(ok, F.struct(ts.alias("t"), eid.alias("i")))).alias("_ls"),
-        F.count_if(~ok).alias("_nf"))
-    # failures after the bucket's last success (needs the key: a second partial aggregate)
-    tail = (e.join(per_b.select("domain", "_b", "_ls"), ["domain", "_b"])
-            .groupBy("domain", "_b").agg(
-                F.count_if(~ok & (F.col("_ls").isNull() | _after(ts, eid, F.col("_ls.t"), F.col("_ls.i"))))
-                .alias("_tail")))
-    wb = Window.partitionBy("domain").orderBy("_b")
-    run = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = per_b.join(tail, ["domain", "_b"]).withColumn("_has", F.col("_ls").isNotNull())
-    b = b.withColumn("_cum", F.sum("_nf").over(run))
-    b = b.withColumn("_lsb", F.max(F.when(F.col("_has"), F.col("_b"))).over(run))
-    # streak at the end of each bucket: tail of the last success bucket + later failures
-    at_lsb = F.max(F.when(F.col("_b") == F.col("_lsb"), F.col("_tail") - F.col("_cum"))).over(
-        Window.partitionBy("domain", "_lsb"))
-    b = b.withColumn("_end", F.when(F.col("_lsb").isNull(), F.col("_cum"))
-                     .otherwise(F.col("_cum") + at_lsb))
-    b = b.withColumn("_carry", F.coalesce(F.lag("_end").over(wb), F.lit(0))).select("domain", "_b", "_carry")
+    ok = F.col("ok")
+    e = events.withColumn("_b", time_bucket(F.col("ts"), bucket_minutes))
     w = Window.partitionBy("domain", "_b").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    s = e.join(b, ["domain", "_b"]).withColumn("_rf", F.sum(F.when(~ok, 1).otherwise(0)).over(w))
-    at_success = F.max(F.when(ok, F.col("_rf"))).over(w)
-    streak = F.when(at_success.isNull(), F.col("_carry") + F.col("_rf")).otherwise(F.col("_rf") - at_success)
-    return s.withColumn("streak", streak.cast("int")).drop("_rf", "_b", "_carry")
+    p1 = e.withColumn("_rf", F.sum(F.when(~ok, 1).otherwise(0)).over(w))
+    p1 = p1.withColumn("_at", F.max(F.when(ok, F.col("_rf"))).over(w))
+    # streak inside the bucket and whether a success was seen so far
+    p1 = p1.withColumn("_local", (F.col("_rf") - F.coalesce(F.col("_at"), F.lit(0))).cast("long"))
+    per_b = p1.groupBy("domain", "_b").agg(
+        F.max_by("_local", F.struct("ts", "event_id")).alias("_end_local"),
+        F.max(F.col("_at").isNotNull().cast("int")).alias("_has"))
+    wb = Window.partitionBy("domain").orderBy("_b")
+    # streak at the end of bucket b = end_local(b) if b saw a success, else carry(b) + end_local(b):
+    # that is, end_local summed back to (and including) the last bucket with a success
+    grp = F.sum("_has").over(wb.rowsBetween(Window.unboundedPreceding, 0))
+    per_b = per_b.withColumn("_grp", grp)
+    end = F.sum("_end_local").over(Window.partitionBy("domain", "_grp").orderBy("_b")
+                                   .rowsBetween(Window.unboundedPreceding, 0))
+    per_b = per_b.withColumn("_end", end)
+    carry = per_b.withColumn("_carry", F.coalesce(F.lag("_end").over(wb), F.lit(0))).select("domain", "_b", "_carry")
+    s = p1.join(carry, ["domain", "_b"])
+    streak = F.when(F.col("_at").isNull(), F.col("_carry") + F.col("_rf")).otherwise(F.col("_local"))
+    return s.withColumn("streak", streak.cast("int")).drop("_rf", "_at", "_local", "_b", "_carry")
 
 
 def reputation_gate(df: DataFrame, reputations: DataFrame, as_of, url_col: str = "url",
