@@ -47,8 +47,10 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when nothing is configured (local
-    tests) a private folder is created and registered.
+    The cluster's setting always wins.  Only on a ``local`` master, where driver
+    and executors are one process, a private folder is made when nothing is
+    configured; on any other master executors could not see each other's files,
+    so a missing setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -59,19 +61,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="webweft-ckpt-")
+    local = local_work_folder(sc.master)
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
 
+def local_work_folder(master: str) -> str:
+    """A private folder for a one-process master; refused for any other."""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master!r}")
+    return tempfile.mkdtemp(prefix="webweft-ckpt-")
+
+
+def work_root(spark: SparkSession) -> str:
+    """This application's folder below the shared checkpoint folder."""
+    return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "webweft", spark.sparkContext.applicationId])
+
+
 def work_path(spark: SparkSession, *parts: str) -> str:
-    """A fresh path under the shared checkpoint folder (for snapshots,
+    """A fresh path in the application's shared folder (for snapshots,
     streaming sources/sinks and checkpoints)."""
-    root = ensure_checkpoint_dir(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return "/".join([root.rstrip("/"), *parts, uuid.uuid4().hex])
+    return "/".join([work_root(spark), *parts, uuid.uuid4().hex])
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete every table this application wrote to the shared folder.  Call it
+    once no result that reads them is needed any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
