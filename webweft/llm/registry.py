@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from webweft.llm import exact_dedup
+from webweft.llm import exact_dedup, simhash
 
-MODULES = [exact_dedup]
+MODULES = [exact_dedup, simhash]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in getattr(m, "SQL", {}).items()}
