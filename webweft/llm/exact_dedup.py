@@ -20,6 +20,9 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +31,11 @@ from webweft.llm.common import materialise, table
 from webweft.session import work_path
 
 WHITE = r"[\x20\x09-\x0D]+"
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 # Digest rows of one micro-batch (about 100 bytes a document).
 BATCH_BYTES = 4 << 30
 FULL_BITS = 256
@@ -85,16 +91,21 @@ def run_state_stream(spark: SparkSession, inbox: str, checkpoint: str, batch_byt
     after each micro-batch and never expires; a later call goes on where the last ended."""
     schema = spark.read.parquet(inbox).schema
     rows = (spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(inbox))
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKSDB)
+    (retained_state(rows).writeStream.outputMode("update").format("noop")
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+
+
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """RocksDB for the states that are run or read inside; small ones claim no disk ahead."""
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     try:
-        (retained_state(rows).writeStream.outputMode("update").format("noop")
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
+        yield
     finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -116,8 +127,9 @@ def dedup_located(spark: SparkSession, content: DataFrame, digest_bits: int = FU
     if rows.isEmpty():
         groups = retained_state(rows)
     else:
-        run_state_stream(spark, inbox, checkpoint)
-        groups = materialise(read_state(spark, checkpoint), "dedup_groups")
+        with disk_state(spark):
+            run_state_stream(spark, inbox, checkpoint)
+            groups = materialise(read_state(spark, checkpoint), "dedup_groups")
     hit = groups.filter("n > 1")
     members = _members(content, rows, hit)
     checks = materialise(byte_check(members), "dedup_checks")
