@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +37,18 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def with_locator(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``_at`` (file, row), the place of each row in its Parquet file.
+
+    Rows that do not come straight from files are written to the shared folder first."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select(*columns, at)
+        except AnalysisException:  # no hidden file columns: not a plain scan
+            pass
+    stored = materialise(docs.withColumnRenamed("_metadata", "_metadata_column"), "content")
+    return stored.select("*", at).withColumnRenamed("_metadata_column", "_metadata")

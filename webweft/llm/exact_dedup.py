@@ -23,11 +23,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import materialise, table
+from webweft.llm.common import materialise, table, with_locator
 from webweft.session import work_path
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -45,21 +44,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_at`` (file, row), the place of each row in its Parquet file.
-
-    Rows that do not come straight from files are written to the shared folder first."""
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    if "_metadata" not in docs.columns:
-        try:
-            return docs.select(*columns, at)
-        except AnalysisException:  # no hidden file columns: not a plain scan
-            pass
-    stored = materialise(docs.withColumnRenamed("_metadata", "_metadata_column"), "dedup_content")
-    return stored.select("*", at).withColumnRenamed("_metadata_column", "_metadata")
-
-
 def located(docs: DataFrame) -> DataFrame:
     """(doc_id, text, file, row) of every document."""
     return with_locator(docs.select("doc_id", "text")).select("doc_id", "text", "_at.file", "_at.row")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from webweft.llm import exact_dedup, language_id, simhash
+from webweft.llm import exact_dedup, language_id, secrets, simhash
 
-MODULES = [exact_dedup, simhash, language_id]
+MODULES = [exact_dedup, simhash, secrets, language_id]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in getattr(m, "SQL", {}).items()}
