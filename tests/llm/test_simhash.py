@@ -106,3 +106,11 @@ def test_stage_keeps_one_of_a_component_with_all_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = S.drop_near_copies(spark, docs, "")
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 9]
+
+
+def test_stage_with_repeated_and_missing_ids(spark):
+    a, b, c = ("same words in every one of these", "other words stand in this text now", "a third text has its own words")
+    docs = spark.createDataFrame([(1, a), (1, a), (2, b), (1, c), (None, b), (None, "zz yy xx ww"), (None, "q r s t u v")],
+                                 "doc_id long, text string")
+    out = sorted(((r.doc_id or 0), r.text) for r in S.drop_near_copies(spark, docs, "").collect())
+    assert out == sorted([(1, a), (2, b), (1, c), (0, "zz yy xx ww"), (0, "q r s t u v")])

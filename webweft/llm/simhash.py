@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import materialise, short_batches, table
+from webweft.llm.common import materialise, short_batches, table, with_locator
 
 BITS, SHINGLE, RADIUS, SEED = 64, 3, 3, 42
 # Two whole blocks of these widths stay equal when at most 3 bits differ.
@@ -74,16 +74,18 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): ``fp`` is the fingerprint as a signed long."""
+    """(doc_id, fp), and the locator ``_at`` where ``docs`` has it; ``fp`` is a signed long."""
     short_batches(docs.sparkSession)
+    locator = [c for c in docs.columns if c == "_at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t or b"", shingle) for t in b.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)),
+                                              *map(b.column, locator)], ["doc_id", "fp", *locator])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *locator)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", _at struct<file:string,row:long>" * len(locator))
 
 
 # --- bit-sliced links ----------------------------------------------------------------------------
@@ -310,13 +312,13 @@ def _all_stars(edges: DataFrame) -> bool:
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every document."""
+    """(doc_id, fp, component_id) for every document, and ``_at`` where ``docs`` has it."""
     rows = materialise(fingerprints(docs, shingle), "simhash")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("id"))
     nodes = materialise(nodes, "simhash_nodes")
     roots = components(near_links(nodes.filter("id is not null"), radius))
     homes = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return rows.join(homes, "fp", "left").select("doc_id", "fp", "component_id")
+    return rows.join(homes, "fp", "left").select("doc_id", "fp", "component_id", *rows.columns[2:])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,10 +327,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the component's id stays."""
-    out = simhash_components(docs)
-    gone = out.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Pipeline stage: of each component the document with the component's id stays.
+
+    Of rows with that id the one at the smallest locator stays; rows without an id are
+    grouped by fingerprint."""
+    full = with_locator(docs)
+    out = simhash_components(full.select("doc_id", "text", "_at"))
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    kept = (out.groupBy("component_id", alone.alias("alone"))
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_at")).alias("k")).select("k._at"))
+    return full.join(kept.hint("shuffle_hash"), "_at", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op4_simhash": op4_simhash}
