@@ -312,13 +312,16 @@ def _all_stars(edges: DataFrame) -> bool:
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every document, and ``_at`` where ``docs`` has it."""
+    """(doc_id, fp, component_id, root) for every document, and ``_at`` where ``docs`` has it.
+
+    ``root`` is the component's least fingerprint."""
     rows = materialise(fingerprints(docs, shingle), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    nodes = materialise(nodes, "simhash_nodes")
-    roots = components(near_links(nodes.filter("id is not null"), radius))
-    homes = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return rows.join(homes, "fp", "left").select("doc_id", "fp", "component_id", *rows.columns[2:])
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_nodes")
+    roots = components(near_links(nodes.select(F.col("fp").alias("id"), "fp"), radius)).withColumnRenamed("id", "fp")
+    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    homes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    return (rows.join(homes.select("fp", "root", "component_id"), "fp")
+            .select("doc_id", "fp", "component_id", "root", *rows.columns[2:]))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,15 +330,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the component's id stays.
+    """Pipeline stage: of each component the document with the smallest id stays.
 
-    Of rows with that id the one at the smallest locator stays; rows without an id are
-    grouped by fingerprint."""
+    A null id comes last, and of rows with the same id the smallest locator stays."""
     full = with_locator(docs)
     out = simhash_components(full.select("doc_id", "text", "_at"))
-    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
-    kept = (out.groupBy("component_id", alone.alias("alone"))
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_at")).alias("k")).select("k._at"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_at"))
+    kept = out.groupBy("root").agg(first.alias("k")).select("k._at")
     return full.join(kept.hint("shuffle_hash"), "_at", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
