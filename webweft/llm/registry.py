@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from webweft.llm import exact_dedup, language_id, packing, secrets, simhash
+from webweft.llm import exact_dedup, language_id, packing, secrets, simhash, toxicity
 
-MODULES = [exact_dedup, packing, simhash, secrets, language_id]
+MODULES = [exact_dedup, packing, simhash, secrets, language_id, toxicity]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in getattr(m, "SQL", {}).items()}
