@@ -61,21 +61,23 @@ ODD = ["", " \n", "It's we're don'T !'s ''d", "İstanbul ΣΑΣ ß ǅ", "a\x1cb\
 
 @pytest.mark.parametrize("text", ODD)
 def test_ids_equal_the_library(text):
-    assert [*P.word_ids(None).ids(text).tolist(), 1] == true_ids(text)
+    assert [*P.word_ids(None).batch_ids([text, "a b", text])[2].tolist(), 1] == true_ids(text)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.characters(max_codepoint=0x250, exclude_categories=["Cs"]), st.sampled_from("  \n'stdl.,%_é")), max_size=60))
 def test_ids_equal_the_library_on_any_text(text):
-    assert [*P.word_ids(None).ids(text).tolist(), 1] == true_ids(text)
+    assert [*P.word_ids(None).batch_ids([text, "a b", text])[2].tolist(), 1] == true_ids(text)
 
 
 def test_chunks_and_forgetting_change_nothing(monkeypatch):
     monkeypatch.setattr(P, "CHUNK", 40)
     monkeypatch.setattr(P, "KEPT", 30)
     own = P.WordIds(public_tokenizers.path(P.VOCABULARY))
-    text = " ".join(f"word{i % 97} it's {i}" for i in range(500)) + "\nend"
-    assert [*own.ids(text).tolist(), 1] == true_ids(text)
+    plain = " ".join(f"word{i % 97} it's {i}" for i in range(500)) + "\nend"
+    odd = plain.replace("it", "日本")
+    for _ in range(2):
+        assert [[*x.tolist(), 1] for x in own.batch_ids([plain, odd, ""])] == [true_ids(t) for t in (plain, odd, "")]
 
 
 @settings(max_examples=200, deadline=None)

@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ VOCABULARY = "word_bpe_49k.json"
 # Padding that a cut may leave before a shorter one is tried, and the shortest cut.
 GOOD_PADDING, LEAST_CUT = 0.01, 128
 # Pieces of a length and bucket that are numbered together.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 
 
 # --- tokens --------------------------------------------------------------------------------------
@@ -50,8 +51,8 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 # digits and blanks, its lower case or its normal form may differ from Python's.
 NOT_PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7e\u00c0-\u012f\u0131-\u017f]")
 BLANK = re.compile(r"[\x20\t-\r]")
-# Characters taken at once, longest word kept, and words kept by a worker.
-CHUNK, LONGEST, KEPT = 1 << 18, 48, 400_000
+# Characters of such texts taken at once, longest word kept, and words kept by a worker.
+CHUNK, LONGEST, KEPT = 1 << 18, 48, 800_000
 
 
 class WordIds:
@@ -72,59 +73,92 @@ class WordIds:
 
     def forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.flat, self.first = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
+        self.ids_of, self.first = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
-    def learn(self, words: list[str]) -> None:
-        """Append the ids of new words, encoded as one text."""
-        ids = self.encode(" ".join(words))
-        stops = np.nonzero(self.ends[ids])[0] + 1
-        if len(stops) != len(words):
-            raise ValueError("a word of the vocabulary's pattern was split")
-        known = len(self.code)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while known + len(words) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.first[known + 1:known + 1 + len(words)] = self.used + stops
-        self.used += len(ids)
-        self.code.update(zip(words, range(known, known + len(words))))
-
-    def chunk_ids(self, text: str) -> np.ndarray:
-        if NOT_PLAIN.search(text):
-            return self.encode(text)
-        words = WORDS.findall(text.lower())
-        codes = list(map(self.code.get, words))
-        if None in codes:
-            new = [w for w in dict.fromkeys(words) if w not in self.code]
-            if max(map(len, new)) > LONGEST:
-                return self.encode(text)
-            if len(self.code) + len(new) > KEPT:
-                self.forget()
-                new = list(dict.fromkeys(words))
-            self.learn(new)
-            codes = list(map(self.code.get, words))
-        at = np.array(codes, dtype=np.int64)
-        first, size = self.first[at], self.first[at + 1] - self.first[at]
-        before = np.cumsum(size) - size
-        return self.flat[np.repeat(first - before, size) + np.arange(int(size.sum()))]
-
-    def ids(self, text: str) -> np.ndarray:
+    def encode_long(self, text: str) -> np.ndarray:
         """Ids of a whole text, taken in chunks that end at blanks."""
-        if len(text) <= CHUNK:
-            return self.chunk_ids(text)
-        found, at = [], 0
+        found, at = [np.zeros(0, dtype=np.uint32)], 0
         while at < len(text):
             blank = BLANK.search(text, min(at + CHUNK, len(text)))
             stop = blank.start() if blank else len(text)
-            found.append(self.chunk_ids(text[at:stop]))
+            found.append(self.encode(text[at:stop]))
             at = stop
         return np.concatenate(found)
 
+    def keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append new pieces and their ids, which follow one another."""
+        known, used = len(self.code), int(self.first[len(self.code)])
+        while used + len(ids) > len(self.ids_of):
+            self.ids_of = np.concatenate([self.ids_of, np.zeros_like(self.ids_of)])
+        while known + len(pieces) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        self.ids_of[used:used + len(ids)] = ids
+        self.first[known + 1:known + 1 + len(pieces)] = used + np.cumsum(sizes)
+        self.code.update(zip(pieces, range(known, known + len(pieces))))
+
+    def ids_at(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gathered(self.ids_of, self.first[codes], self.first[codes + 1] - self.first[codes])
+
+    def learn(self, pieces: list[str]) -> None:
+        """Keep new pieces: their new words are encoded as one text, then put together."""
+        words = [[p] if p.isalpha() else WORDS.findall(p) for p in pieces]
+        new = sorted({w for own in words for w in own if w not in self.code})
+        if new:
+            ids = self.encode(" ".join(new))
+            stops = np.nonzero(self.ends[ids])[0] + 1
+            if len(stops) != len(new):
+                raise ValueError("a word of the vocabulary's pattern was split")
+            self.keep(new, ids, np.diff(stops, prepend=0))
+        joined = [(p, own) for p, own in zip(pieces, words) if p not in self.code]
+        ids, sizes = self.ids_at(np.array([self.code[w] for _, own in joined for w in own], dtype=np.int64))
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *(len(own) for _, own in joined)])]
+        self.keep([p for p, _ in joined], ids, np.diff(ends))
+
+    def codes_of(self, pieces: list[str]) -> np.ndarray:
+        """Places of lower-case pieces without blanks; unknown ones are learnt."""
+        codes = list(map(self.code.get, pieces))
+        if None in codes:
+            missing = [i for i, c in enumerate(codes) if c is None]
+            if self.code and len(self.code) + 2 * len(missing) > KEPT:
+                self.forget()
+                return self.codes_of(pieces)
+            self.learn([pieces[i] for i in missing])
+            for i in missing:
+                codes[i] = self.code[pieces[i]]
+        return np.array(codes, dtype=np.int64)
+
+    def batch_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each whole text.  The blank-separated pieces of plain texts are encoded once."""
+        found: list[np.ndarray | None] = [None if t and not NOT_PLAIN.search(t) else self.encode_long(t) for t in texts]
+        plain = [i for i, ids in enumerate(found) if ids is None]
+        if not plain:
+            return found
+        split = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        rare = {k for k, p in enumerate(pieces) if len(p) > LONGEST}
+        table_ids, sizes = self.ids_at(self.codes_of(["" if k in rare else p for k, p in enumerate(pieces)] if rare else pieces))
+        first = np.cumsum(sizes) - sizes
+        for k in rare:  # long pieces are not kept
+            own = self.encode_long(pieces[k])
+            first[k], sizes[k] = len(table_ids), len(own)
+            table_ids = np.concatenate([table_ids, own])
+        at = coded.indices.to_numpy()
+        ids, sizes = gathered(table_ids, first[at], sizes[at])
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for i, low, high in zip(plain, bounds[:-1], bounds[1:]):
+            found[i] = ids[low:high]
+        return found
+
+
+def gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[first : first + size]`` one after the other, and their sizes."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
 
 _WORKERS: dict[str, WordIds] = {}
 
@@ -150,8 +184,8 @@ def token_pieces(docs: DataFrame, cut: int = SEQUENCE, vocabulary: str | None =
         encoder = word_ids(vocabulary)
         for b in batches:
             rows, start, length, ids, tokens = [], [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                own = np.append(encoder.ids(text or ""), np.uint32(END_ID)).astype("<u4")
+            for i, found in enumerate(encoder.batch_ids([t or "" for t in b.column("text").to_pylist()])):
+                own = np.append(found, np.uint32(END_ID)).astype("<u4")
                 for at in range(0, len(own), cut):
                     part = own[at:at + cut]
                     rows.append(i), start.append(at), length.append(len(part)), tokens.append(len(own))
