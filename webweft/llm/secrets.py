@@ -166,7 +166,7 @@ def span_lists(reported: DataFrame) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned, reported = find_secrets(table(spark, sf_dir, "documents"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
-    rows = (scanned.select("_at", "doc_id").join(span_lists(reported), "_at", "left")
+    rows = (scanned.select("_at", "doc_id").join(span_lists(reported).hint("shuffle_hash"), "_at", "left")
             .withColumn("spans", F.coalesce("spans", none)))
     names = F.array(*[F.lit(k.name) for k in KINDS])
 
