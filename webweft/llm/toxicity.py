@@ -226,7 +226,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for keys in (["toxic", "bucket"], ["toxic"]):
         nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
         known = known.withColumn("nth", nth).filter(F.col("nth") <= bound).drop("nth")
-    chosen = known.select("doc_id", "h", "toxic")
+    # at most POSITIVES + NEGATIVES rows of three numbers: sent to where the texts are
+    chosen = F.broadcast(known.select("doc_id", "h", "toxic"))
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
     return texts.groupBy("doc_id", "h", "toxic").agg(F.min("text").alias("text")).drop("doc_id")
 
