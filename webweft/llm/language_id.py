@@ -139,7 +139,8 @@ def training_sample(docs: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
     for keys in (["lang", "bucket"], ["lang"]):
         nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
         ids = ids.withColumn("nth", nth).filter(F.col("nth") <= per_lang).drop("nth")
-    edge = ids.groupBy("lang").agg(F.max("h").alias("edge"))
+    # one row per language, for each of which the model holds landmarks anyway
+    edge = F.broadcast(ids.groupBy("lang").agg(F.max("h").alias("edge")))
     return rows.join(edge, "lang").filter("h <= edge").groupBy("lang", "h").agg(F.min("text").alias("text"))
 
 
