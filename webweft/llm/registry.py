@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from webweft.llm import exact_dedup, language_id, licenses, packing, permutation_index, secrets, sentencepiece_codec, simhash, toxicity
+from webweft.llm import (exact_dedup, language_id, licenses, packing, permutation_index, quality, secrets,
+                         sentencepiece_codec, simhash, toxicity)
 
 MODULES = [exact_dedup, packing, simhash, secrets, language_id, toxicity, permutation_index,
-           sentencepiece_codec, licenses]
+           sentencepiece_codec, licenses, quality]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in getattr(m, "SQL", {}).items()}
