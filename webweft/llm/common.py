@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webweft.session import cut_lineage
@@ -42,6 +42,18 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def smallest_hashes(rows: DataFrame, by: str, bound: Column) -> DataFrame:
+    """Of each class ``by`` at most ``bound`` rows (by, h), those with the smallest hash ``h``.
+
+    A class's size tells below which hash about twice as many rows lie; only those are
+    sorted, so a task never gets more of a class than that.  There must be few classes."""
+    sizes = F.broadcast(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")))
+    place = F.col("h") / F.lit(float(1 << 64)) + 0.5
+    low = rows.join(sizes, by).filter(place * F.col("_n") < bound * 2 + 50).drop("_n")
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("h"))
+    return low.withColumn("_nth", nth).filter(F.col("_nth") <= bound).drop("_nth")
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """At most ``rows`` rows in an Arrow batch for what runs inside, for tables of large rows."""

@@ -28,10 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import held_out, short_batches, table
+from webweft.llm.common import held_out, short_batches, smallest_hashes, table
 
 NGRAMS = (1, 2, 3)
 DIM_BITS = 13
@@ -41,7 +41,6 @@ SAMPLE, LANDMARKS = 600, 24
 RIDGE = 1e-2
 SHARPNESS = 4.0
 UNDETERMINED = "und"
-BUCKETS = 61
 # Texts in one matrix product, and characters taken at once from a long text.
 BATCH, CHUNK = 256, 1 << 16
 
@@ -130,15 +129,11 @@ def fit_model(rows: np.ndarray, langs: list[str], per_lang: int = LANDMARKS, rid
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
     """(lang, h, text): of each language the training rows with the smallest hash of the doc_id.
 
-    Each hash bucket keeps its smallest before they meet, so a language that holds
-    most rows does not sort in one task; repeated ids count once."""
+    Repeated ids count once."""
     rows = (docs.select("doc_id", "text", "lang")
             .filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
             .withColumn("h", F.xxhash64("doc_id")))
-    ids = rows.select("lang", "h").distinct().withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    for keys in (["lang", "bucket"], ["lang"]):
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
-        ids = ids.withColumn("nth", nth).filter(F.col("nth") <= per_lang).drop("nth")
+    ids = smallest_hashes(rows.select("lang", "h").distinct(), "lang", F.lit(per_lang))
     # one row per language, for each of which the model holds landmarks anyway
     edge = F.broadcast(ids.groupBy("lang").agg(F.max("h").alias("edge")))
     return rows.join(edge, "lang").filter("h <= edge").groupBy("lang", "h").agg(F.min("text").alias("text"))

@@ -26,10 +26,10 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import held_out, materialise, short_batches, table
+from webweft.llm.common import held_out, materialise, short_batches, smallest_hashes, table
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
 SAMPLE = 6000
@@ -38,7 +38,6 @@ NGRAMS = (1, 2, 3)
 CHUNK = 1 << 16
 RIGHT, TRUST = 0.8, 0.2
 FEW_WORDS = 20
-BUCKETS = 61
 # Limits of the labellers.  The first vote bad from a limit on and else abstain;
 # the second vote bad up to a limit and good from another on.
 DEFECTS = {"signs": 0.03, "stuck": 0.2, "bars": 0.05, "repeats": 0.1, "shouting": 0.3, "digits": 0.2, "top_word": 0.35, "line_copies": 0.3}
@@ -218,13 +217,9 @@ def training_sample(docs: DataFrame, cast: DataFrame, good: list[int], rows: int
     """(h, pattern, text): of each side of the posterior the training rows with the smallest hash."""
     known = (cast.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.min("pattern").alias("pattern"))
-             .withColumn("good", F.col("pattern").isin(good)).withColumn("h", F.xxhash64("doc_id"))
-             .withColumn("bucket", F.pmod("h", F.lit(BUCKETS))))
-    for keys in (["good", "bucket"], ["good"]):
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
-        known = known.withColumn("nth", nth).filter(F.col("nth") <= rows // 2).drop("nth")
+             .withColumn("good", F.col("pattern").isin(good)).withColumn("h", F.xxhash64("doc_id")))
     # at most SAMPLE rows of three numbers
-    chosen = F.broadcast(known.select("doc_id", "h", "pattern"))
+    chosen = F.broadcast(smallest_hashes(known, "good", F.lit(rows // 2)).drop("good"))
     return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "h", "pattern").agg(F.min("text").alias("text"))
 
 

@@ -31,10 +31,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import held_out, materialise, short_batches, table
+from webweft.llm.common import held_out, materialise, short_batches, smallest_hashes, table
 
 POSITIVES, NEGATIVES, PATTERNS = 4000, 8000, 300
 PREFIXES = (4, 5, 6, 7, 8)
@@ -48,7 +48,6 @@ THRESHOLD = 0.3
 TOXIC, CLEAN, ABSTAIN = 1, -1, 0
 WORD = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 300_000
-BUCKETS = 61
 
 
 # --- patterns ------------------------------------------------------------------------------------
@@ -217,17 +216,14 @@ def rates_of(hits: list[tuple[Counter, int, int]], patterns: int) -> tuple[np.nd
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(h, toxic, text): labelled training rows of both classes, those with the smallest hash.
 
-    Hash buckets keep their smallest before they meet; repeated ids count once."""
+    Repeated ids count once."""
     known = (labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
              .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-             .withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS))))
+             .withColumn("h", F.xxhash64("doc_id")))
     bound = F.when(F.col("toxic") == 1, POSITIVES).otherwise(NEGATIVES)
-    for keys in (["toxic", "bucket"], ["toxic"]):
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
-        known = known.withColumn("nth", nth).filter(F.col("nth") <= bound).drop("nth")
     # at most POSITIVES + NEGATIVES rows of three numbers: sent to where the texts are
-    chosen = F.broadcast(known.select("doc_id", "h", "toxic"))
+    chosen = F.broadcast(smallest_hashes(known, "toxic", bound))
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
     return texts.groupBy("doc_id", "h", "toxic").agg(F.min("text").alias("text")).drop("doc_id")
 
