@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from webweft.functions.hashing import sha256_hex
 from webweft.functions.text import _c, is_blank
+from webweft.session import cut_lineage
 
 # --- fixed values (data-URI patterns, applied in this order, case-insensitive) ---
 DATA_URI_PATTERNS = [
@@ -89,47 +90,42 @@ USAGE_DDL = ("model string, prompt_tokens int, completion_tokens int, total_toke
 
 
 def ai_clean(df: DataFrame, cleaner: Callable[[str], tuple[str, dict | None]] | None,
-             text_col: str = "markdown", use_ai_col: str = "use_ai",
-             partitions: int | None = None) -> DataFrame:
-    """H8: rows are hash-partitioned on the content hash, so every copy of a
-    text lands in one task, where the user-supplied ``cleaner(text) -> (text,
-    usage)`` runs once per distinct text (a per-task memo) inside
-    ``mapInPandas``.  One shuffle, no join back, the upstream plan runs once.
-    Blank input → empty, no usage; cleaner error → input kept and
-    ``ai_cleaned = false`` (D4)."""
+             text_col: str = "markdown", use_ai_col: str = "use_ai") -> DataFrame:
+    """H8: the user-supplied ``cleaner(text) -> (text, usage)`` runs once per
+    distinct text of the rows that ask for it.
+
+    Only texts are sent to it: rows that want AI and have one.  They are
+    reduced to one row per content hash (in each task first), cleaned, written
+    once, and joined back; all other rows pass by.  A blank text becomes
+    empty and is not marked as cleaned; a failing call keeps the input and is not
+    marked either (D4)."""
+    usage_type = f"struct<{USAGE_DDL}>"
     out = df.withColumn("content_hash", F.when(F.col(use_ai_col), content_hash(F.col(text_col))))
     if cleaner is None:
         return (out.withColumn("ai_cleaned", F.lit(False))
-                .withColumn("usage", F.lit(None).cast(f"struct<{USAGE_DDL}>")))
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism * 2
-    src = out.repartition(n, "content_hash")
-    schema = T.StructType(src.schema.fields + [
-        T.StructField("ai_cleaned", T.BooleanType()),
-        T.StructField("usage", T.StructType.fromDDL(USAGE_DDL))])
+                .withColumn("usage", F.lit(None).cast(usage_type)))
+    out = cut_lineage(out, "before_ai")  # both sides of the split read it
+    asks = F.coalesce(F.col(use_ai_col), F.lit(False)) & ~is_blank(text_col)
+    texts = out.filter(asks).groupBy("content_hash").agg(F.min(text_col).alias("_text"))
 
     def run(batches):
-        memo: dict = {}
         for pdf in batches:
-            texts, oks, usages = [], [], []
-            for use, h, t in zip(pdf[use_ai_col], pdf["content_hash"], pdf[text_col]):
-                if not use:
-                    texts.append(t), oks.append(False), usages.append(None)
-                    continue
-                if h not in memo:
-                    if t is None or not str(t).strip():
-                        memo[h] = ("", True, None)
-                    else:
-                        try:
-                            res, usage = cleaner(t)
-                            memo[h] = ((res or "").strip(), True, usage)
-                        except Exception:  # noqa: BLE001 - a failing call keeps the input
-                            memo[h] = (t, False, None)
-                res, ok, usage = memo[h]
-                texts.append(res), oks.append(ok), usages.append(usage)
-            pdf = pdf.copy()
-            pdf[text_col] = texts
-            pdf["ai_cleaned"] = oks
-            pdf["usage"] = usages
-            yield pdf
-
-    return src.mapInPandas(run, schema)
+            rows = []
+            for t in pdf["_text"]:
+                try:
+                    res, usage = cleaner(t)
+                    rows.append(((res or "").strip(), True, usage))
+                except Exception:  # noqa: BLE001 - a failing call keeps the input
+                    rows.append((t, False, None))
+            texts_out, oks, usages = zip(*rows) if rows else ((), (), ())
+            yield pd.DataFrame({"content_hash": pdf["content_hash"], "_clean": list(texts_out),
+                                "ai_cleaned": list(oks), "usage": list(usages)})
+
+    answers = cut_lineage(texts.mapInPandas(run, T.StructType([
+        T.StructField("content_hash", T.StringType()), T.StructField("_clean", T.StringType()),
+        T.StructField("ai_cleaned", T.BooleanType()), T.StructField("usage", T.StructType.fromDDL(USAGE_DDL))])), "ai_texts")
+    done = out.filter(asks).join(answers, "content_hash").withColumn(text_col, F.col("_clean"))
+    blank = F.coalesce(F.col(use_ai_col), F.lit(False)) & F.col(text_col).isNotNull()
+    rest = (out.filter(~asks).withColumn(text_col, F.when(blank, F.lit("")).otherwise(F.col(text_col)))
+            .withColumn("ai_cleaned", F.lit(False)).withColumn("usage", F.lit(None).cast(usage_type)))
+    return done.select(*rest.columns).unionByName(rest)

@@ -1,19 +1,19 @@
 """Crawl records and statistics: stability fold (W4), content-hash lookup
 (J7), keyed upsert (J8), latest rows (W1/W2), record→statistics (J9), hit
-counts (A1/T4) and the additive counter (A4)."""
+counts (A1) and the additive counter (A4)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webweft.functions.policy import stability_reset
-from webweft.operators.sizing import sized_broadcast
+from webweft.functions.policy import CACHE_RESET_CAP, stability_reset
 from webweft.session import cut_lineage
 
 
 # --- W4 ---------------------------------------------------------------------------
 
+RESET_CLASSES = CACHE_RESET_CAP  # values that a stability reset can take
 BUCKET_MINUTES = 60      # time slice that splits a hot URL's history across tasks
 FOLD_FANIN = 1024        # tables composed per group in the ordered fold
 
@@ -66,12 +66,12 @@ def fold_stability(run_lengths: Column) -> Column:
 
 def _transfer(run_len: Column) -> Column:
     """A middle run as a map over the six reset classes: r → reset(r + len - 1)."""
-    return F.transform(F.sequence(F.lit(1), F.lit(6)), lambda r: stability_reset(r + run_len - 1))
+    return F.transform(F.sequence(F.lit(1), F.lit(RESET_CLASSES)), lambda r: stability_reset(r + run_len - 1))
 
 
 def _compose(tables: Column) -> Column:
     """Compose transfer tables in array order (identity for an empty array)."""
-    ident = F.sequence(F.lit(1), F.lit(6))
+    ident = F.sequence(F.lit(1), F.lit(RESET_CLASSES))
     return F.aggregate(tables, ident, lambda acc, t: F.transform(acc, lambda x: F.element_at(t, x)))
 
 
@@ -152,20 +152,32 @@ def hash_lookup(batch: DataFrame, records: DataFrame, url: str = "url",
 
 
 def assign_ids(df: DataFrame, start: Column | int, order_cols: list[str]) -> DataFrame:
-    """Durable new ids ``start + 1 ..`` without a single-partition window:
-    rows are numbered inside their partition, partitions are offset by the
-    running count of the partitions before them (a small per-partition table).
-    The input should be deterministic (checkpointed) for retry safety."""
-    d = df.withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*order_cols)
-    d = d.withColumn("_rn", F.row_number().over(w))
+    """Durable new ids ``start + 1 ..`` in the order of ``order_cols``, without a
+    single-partition window.
+
+    The rows are dealt by range and written once with their place in the written
+    partition; ids come from that table, so every later plan sees the same rows
+    and numbers whatever its own partitions are.  Partitions are offset by the
+    running count of those before them (one small row per partition)."""
+    dealt = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    d = cut_lineage(dealt.withColumn("_place", F.monotonically_increasing_id()), "new_rows")
+    d = d.withColumn("_pid", F.shiftright("_place", 33))
     counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
     offs = F.broadcast(offs.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off")))
     start_c = start if isinstance(start, Column) else F.lit(start)
-    return (d.join(offs, "_pid").withColumn("id", (start_c + F.col("_off") + F.col("_rn")).cast("long"))
-            .drop("_pid", "_rn", "_off"))
+    place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return (d.join(offs, "_pid").withColumn("id", (start_c + F.col("_off") + place).cast("long"))
+            .drop("_pid", "_place", "_off"))
+
+
+def one_per_url(batch: DataFrame, order: list[str]) -> DataFrame:
+    """One row per URL, the least by ``order``: a partial aggregate, so a URL asked
+    for many times is reduced in each task first."""
+    rest = [c for c in batch.columns if c != "url"]
+    least = F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")
+    return batch.groupBy("url").agg(least).select("url", *[F.col(f"_r.`{c}`").alias(c) for c in rest])
 
 
 def upsert_records(records: DataFrame, batch: DataFrame, force_overwrite: bool = False) -> DataFrame:
@@ -178,7 +190,10 @@ def upsert_records(records: DataFrame, batch: DataFrame, force_overwrite: bool =
     * else insert with stability 1 and a new id above the current maximum.
     With ``force_overwrite`` the same-hash branch is skipped (a freshly
     cleaned page always overwrites the lowest-id record of its URL).
-    Returns the new snapshot (untouched rows included)."""
+    Of several batch rows of one URL the earliest counts (ties: the least
+    hash), so no record is matched twice.  Returns the new snapshot
+    (untouched rows included)."""
+    batch = one_per_url(batch, ["ts", "html_hash"])
     content = [c for c in ("markdown_content", "cleaned_markdown", "cleaned_html", "metadata_json",
                            "context_hash", "fetch_tier") if c in batch.columns]
     b = batch.select("url", F.col("html_hash").alias("_nh"), F.col("ts").alias("_nts"),
@@ -208,6 +223,8 @@ def upsert_records(records: DataFrame, batch: DataFrame, force_overwrite: bool =
             col = F.when(kind.isNotNull(), F.col("_nts")).otherwise(col)
         elif c == "completed_at":
             col = F.when(kind == "changed", F.col("_nts")).otherwise(col)
+        elif c == "fetch_tier" and c in content:  # the tier of this fetch, changed page or not
+            col = F.when(kind.isNotNull(), F.coalesce(F.col("_n_" + c), col)).otherwise(col)
         elif c in content:
             col = F.when(kind == "changed", F.col("_n_" + c)).otherwise(col)
         cols.append(col.alias(c))
@@ -236,12 +253,7 @@ def upsert_records(records: DataFrame, batch: DataFrame, force_overwrite: bool =
     return kept.unionByName(ins.select(*new_cols))
 
 
-# --- A1 / T4 / A4 ------------------------------------------------------------------
-
-def bounded_batch(events: DataFrame, n: int = 10_000, order: str = "event_id") -> DataFrame:
-    """T4: the first ``n`` events by id (the flush batch size)."""
-    return events.orderBy(order).limit(n)
-
+# --- A1 / A4 ------------------------------------------------------------------
 
 def hits_per_url(hits: DataFrame, url: str = "url") -> DataFrame:
     """A1: hit count per URL in a batch, null URLs dropped."""

@@ -119,7 +119,7 @@ SQL["record_statistics"] = with_ctes(["fx_records", "fx_stats"], """SELECT r.id,
     FROM fx_records r JOIN fx_stats s ON s.crawl_record_id = r.id""")
 
 SQL["hit_counts"] = with_ctes(["fx_hits"], """SELECT url, CAST(count(*) AS INTEGER) AS hits
-    FROM (SELECT * FROM fx_hits ORDER BY event_id LIMIT 10000) WHERE url IS NOT NULL GROUP BY url""")
+    FROM fx_hits WHERE url IS NOT NULL GROUP BY url""")
 
 SQL["hit_flush"] = with_ctes(["fx_hits", "fx_records", "fx_stats"], """SELECT s.id, CAST(s.cache_hit_count + coalesce(d.hits, 0) AS INTEGER) AS cache_hit_count
     FROM fx_stats s LEFT JOIN (

@@ -25,6 +25,7 @@ from webweft.operators import cache as cache_ops
 from webweft.operators import clean as clean_ops
 from webweft.operators.guard import guard, join_robots
 from webweft.operators.html import clean_pages
+from webweft.operators.records import assign_ids, one_per_url, upsert_records
 from webweft.operators.reputation import reputation_gate
 from webweft.session import cut_lineage
 
@@ -35,6 +36,7 @@ FETCH_FAILED = "All fetch tiers failed"
 EMPTY_CONTENT = "Fetched content was empty"
 DEFAULT_FORMATS = ["markdown"]
 CACHE_PREFIX = "Crawl"
+DEFAULT_TIER = "HttpClient"
 # ----------------------------------------------------------------------------------------
 
 
@@ -48,6 +50,11 @@ class ScrapeResult:
     outcomes: DataFrame      # (url, ok, ts, event_id) for the reputation fold
 
 
+METADATA_DDL = ("title string, description string, language string, keywords string, robots string, robots_txt string, "
+                "og_title string, og_description string, og_url string, og_image string, og_locale_alternate string, "
+                "og_site_name string, source_url string, status_code int, content_type string")
+# a response as it is stored in the cache and read back
+CACHED_RESPONSE = "success boolean, error string, crawl_record_id long, markdown string, html string, metadata string"
 RESPONSE_COLS = ["request_id", "url", "success", "error", "blocked_until", "crawl_record_id",
                  "markdown", "html", "metadata", "source"]
 
@@ -87,7 +94,9 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
     else:
         req = req.withColumn("_cached", F.lit(None).cast("string"))
     cached = req.filter(F.col("_cached").isNotNull())
-    cached_resp = _response(cached, "cache", True, metadata=F.col("_cached"))
+    c = F.from_json("_cached", CACHED_RESPONSE)
+    cached_resp = _response(cached, "cache", F.coalesce(c["success"], F.lit(True)), c["error"], record_id=c["crawl_record_id"],
+                            markdown=c["markdown"], html=c["html"], metadata=c["metadata"])
     req = req.filter(F.col("_cached").isNull()).drop("_cached")
 
     # reputation gate (J1): blocked requests fail fast, not counted as failures
@@ -103,7 +112,9 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
     # fetch (S1): one fetched page per URL
     f = fetched.select("url", "html", F.lit(True).alias("_fetched"),
                        *([F.col("fetch_error")] if "fetch_error" in fetched.columns
-                         else [F.lit(None).cast("string").alias("fetch_error")]))
+                         else [F.lit(None).cast("string").alias("fetch_error")]),
+                       *([F.col("fetch_tier")] if "fetch_tier" in fetched.columns
+                         else [F.lit(DEFAULT_TIER).alias("fetch_tier")]))
     req = req.join(f, "url", "left")
     # F8: a failed fetch writes a Failed record; fetched-but-empty content writes none;
     # both count as a domain failure
@@ -125,7 +136,7 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
         markdown=F.when(F.array_contains(F.transform("formats", F.lower), "markdown"),
                         F.when(F.col("use_ai"), F.col("_s_ai")).otherwise(F.col("_s_md"))),
         html=F.when(F.array_contains(F.transform("formats", F.lower), "html"), F.col("_s_html")),
-        metadata=F.col("_s_meta"))
+        metadata=stored_metadata(F.col("_s_meta"), F.col("url")))
     to_clean = ok.join(unchanged.select("request_id"), "request_id", "left_anti")
 
     # H7 (+H8) once per distinct (url, html, use_ai): only pages that need it
@@ -146,16 +157,17 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
 
     fresh = to_clean.join(cleaned.drop("html"), ["url", "use_ai"])
     # J8 upsert: one batch row per URL (first request wins)
-    batch = fresh.dropDuplicates(["url"]).select(
-        "url", "html_hash", now.alias("ts"), "context_hash",
+    batch = one_per_url(fresh.select(
+        "url", "request_id", "html_hash", now.alias("ts"), "context_hash",
         F.col("markdown").alias("markdown_content"),
         F.when(F.col("ai_cleaned"), F.col("markdown")).alias("cleaned_markdown"),
-        "cleaned_html", "metadata_json", F.lit("HttpClient").alias("fetch_tier"),
-        (F.col("_same_id").isNotNull() & F.col("use_ai")).alias("reclean"))
-    unchanged_batch = unchanged.dropDuplicates(["url"]).select("url", "html_hash", now.alias("ts"))
-    merged = cut_lineage(_upsert(records, batch, unchanged_batch), "records_merged")
-    fail_rows = failed.dropDuplicates(["url"]).select(
-        "url", F.coalesce(F.col("fetch_error"), F.lit(FETCH_FAILED)).alias("error_message"))
+        "cleaned_html", "metadata_json", "fetch_tier",
+        (F.col("_same_id").isNotNull() & F.col("use_ai")).alias("reclean")), ["request_id"]).drop("request_id")
+    seen = one_per_url(unchanged.select("url", "request_id", "html_hash", now.alias("ts"), "fetch_tier"), ["request_id"])
+    merged = _upsert(records, batch, seen.drop("request_id"))
+    fail_rows = one_per_url(failed.select(
+        "url", "request_id", F.coalesce(F.col("fetch_error"), F.lit(FETCH_FAILED)).alias("error_message"),
+        F.coalesce("fetch_tier", F.lit(DEFAULT_TIER)).alias("fetch_tier")), ["request_id"]).drop("request_id")
     new_records = cut_lineage(_append_failures(merged, fail_rows, now), "records")
     fail_ids = (new_records.filter(F.col("status") == "Failed")
                 .groupBy("url").agg(F.max("id").alias("_fid")))
@@ -176,42 +188,54 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
                  .unionByName(unchanged_resp).unionByName(fresh_resp))
 
     # S3: statistics when the AI step ran and usage is known
-    stats = fresh.filter(F.col("ai_cleaned") & F.col("usage").isNotNull()).dropDuplicates(["url"]).select(
+    stats = one_per_url(fresh.filter(F.col("ai_cleaned") & F.col("usage").isNotNull()), ["request_id"]).select(
         F.col("_rid").alias("crawl_record_id"), "content_hash", F.lit(0).alias("cache_hit_count"),
         *[F.col(f"usage.{c}").alias(c) for c in clean_ops.USAGE_FIELDS], now.alias("created_at"))
 
-    # cache writes with TTL from stability (P13 × P14)
-    stab = new_records.groupBy("url").agg(F.min_by("stability_count", "id").alias("_stab_now"))
-    ttl_src = fresh.select("context_hash", "url", F.col("metadata_out").alias("value")).unionByName(
-        unchanged.select("context_hash", "url", F.col("_s_meta").alias("value")))
-    cache_writes = ttl_src.join(stab, "url", "left").select(
-        F.lit(CACHE_PREFIX).alias("prefix"), F.col("context_hash").alias("key"), "value", now.alias("written_at"),
-        (cache_ttl_minutes(F.coalesce("_stab_now", F.lit(1))) * jitter_factor(F.col("context_hash")))
-        .alias("ttl_minutes"))
+    # cache writes: the whole response, with a TTL from the stability of the record that
+    # answered (P13 x P14); one write per context hash, the first request's
+    answered = fresh_resp.unionByName(unchanged_resp)
+    keys = fresh.select("request_id", "context_hash").unionByName(unchanged.select("request_id", "context_hash"))
+    stored = F.to_json(F.struct("success", "error", "crawl_record_id", "markdown", "html", "metadata"))
+    ttl_src = (answered.join(keys, "request_id").withColumn("value", stored)
+               .groupBy("context_hash").agg(F.min_by(F.struct("value", "crawl_record_id"), "request_id").alias("w")))
+    stab = new_records.select(F.col("id").alias("_id"), "stability_count")
+    cache_writes = ttl_src.join(stab, F.col("w.crawl_record_id") == F.col("_id"), "left").select(
+        F.lit(CACHE_PREFIX).alias("prefix"), F.col("context_hash").alias("key"), F.col("w.value").alias("value"),
+        now.alias("written_at"), (cache_ttl_minutes(F.coalesce("stability_count", F.lit(1)))
+                                  * jitter_factor(F.col("context_hash"))).alias("ttl_minutes"))
 
     hits = cached.filter("use_ai").select("url").unionByName(unchanged.filter("use_ai").select("url"))
-    outcomes = (failed.select("url", F.lit(False).alias("ok"))
-                .unionByName(empty.select("url", F.lit(False).alias("ok")))
-                .unionByName(fresh.select("url", F.lit(True).alias("ok")))
-                .withColumn("ts", now).withColumn("event_id", F.xxhash64("url")))
+    # one outcome per fetched URL, however many requests shared the fetch
+    outcomes = (failed.unionByName(empty).select("url", F.lit(False).alias("ok"))
+                .unionByName(fresh.select("url", F.lit(True).alias("ok"))).distinct()
+                .withColumn("ts", now).withColumn("event_id", F.xxhash64("url", F.lit(str(as_of)))))
     return ScrapeResult(responses, new_records, stats, cache_writes, hits, outcomes)
 
 
+def stored_metadata(stored, url):
+    """P18 on a stored metadata JSON: the defaults fill what it lacks."""
+    m = F.from_json(stored, METADATA_DDL)
+    filled = (m.withField("source_url", F.coalesce(m["source_url"], url))
+              .withField("status_code", F.coalesce(m["status_code"], F.lit(200)))
+              .withField("content_type", F.coalesce(m["content_type"], F.lit("text/html"))))
+    empty = F.from_json(F.lit("{}"), METADATA_DDL)
+    return F.to_json(F.when(m.isNotNull(), filled).otherwise(
+        empty.withField("source_url", url).withField("status_code", F.lit(200)).withField("content_type", F.lit("text/html"))))
+
+
 def _append_failures(records: DataFrame, fails: DataFrame, now) -> DataFrame:
     """A failed fetch inserts a Failed record (new id above the current
     maximum) with the error text, tier and times."""
-    from webweft.operators.records import assign_ids
     start = records.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
     rows = assign_ids(fails, start, ["url"])
     cols = []
     for fld in records.schema.fields:
         c = fld.name
-        if c in ("id", "url", "error_message"):
+        if c in ("id", "url", "error_message", "fetch_tier"):
             cols.append(F.col(c))
         elif c == "status":
             cols.append(F.lit("Failed").alias(c))
-        elif c == "fetch_tier":
-            cols.append(F.lit("HttpClient").alias(c))
         elif c == "stability_count":
             cols.append(F.lit(0).cast("int").alias(c))
         elif c in ("created_at", "completed_at", "last_accessed_at"):
@@ -226,7 +250,6 @@ def _upsert(records: DataFrame, batch: DataFrame, unchanged: DataFrame) -> DataF
     same-hash record; ``batch`` rows overwrite the lowest-id record of the URL
     (stability reset, or +1 then reset when an unchanged page is re-cleaned
     for AI) or are inserted with stability 1."""
-    from webweft.operators.records import upsert_records
-    plus_one = unchanged.unionByName(batch.filter("reclean").select("url", "html_hash", "ts"))
+    plus_one = unchanged.unionByName(batch.filter("reclean").select(*unchanged.columns))
     base = upsert_records(records, plus_one)
     return upsert_records(base, batch.drop("reclean"), force_overwrite=True)
