@@ -48,13 +48,17 @@ def test_verdicts(spark):
     assert sub[2] == "wildcard" and sub[13] == "wildcard"
 
 
-def test_regex_join_fallback_matches_literal_path(spark):
-    urls = spark.createDataFrame([(i, f"http://h{i}.example/{'casino' if i % 3 == 0 else 'ok'}")
-                                  for i in range(30)], "id int, url string")
-    rules = _rules(spark)
-    lit = {r["id"]: r["bl_rule"] for r in B.blocklist_verdict(urls, rules).collect()}
-    joined = {r["id"]: r["bl_rule"] for r in B.blocklist_verdict(urls, rules, max_literal_regex=0).collect()}
-    assert lit == joined and sum(v == "regex" for v in lit.values()) == 10
+def test_regex_rules_do_not_change_each_other(spark):
+    lines = [r"/(?<n>casino)\.a/", r"/(?<n>pills)\.b/", r"/(x)(y)\2\1z/", r"/\Qa.b(c\E/", r"/(?-i)CaseOnly/", "/plain[0-9]+/", "@/(good)-\\1/"]
+    rules = B.load_rules(B.lines_from_rows(spark, "s", lines))
+    assert rules.count() == 7
+    urls = ["http://h.example/casino.a", "http://h.example/pills.b", "http://h.example/xyyxz", "http://h.example/xyxyz",
+            "http://h.example/a.b(c", "http://h.example/axb(c", "http://h.example/CaseOnly", "http://h.example/caseonly",
+            "http://h.example/PLAIN7", "http://h.example/plain7?good-good", "http://h.example/good"]
+    df = spark.createDataFrame(list(enumerate(urls)), "id int, url string")
+    got = {r["id"] for r in B.blocklist_verdict(df, rules).filter("bl_rule = 'regex'").collect()}
+    assert got == {0, 1, 2, 4, 6, 8}
+    assert B.blocklist_verdict(df, rules, enabled=False).filter("bl_rule is not null or bl_allowed").isEmpty()
 
 
 def test_snapshot_swap(spark):
@@ -64,7 +68,15 @@ def test_snapshot_swap(spark):
     only_exact = B.load_rules(B.lines_from_rows(spark, "s", ["*://new.example/*"]))
     merged = B.swap_snapshot(old, only_exact)
     counts = {r["rule_class"]: r["n_rules"] for r in B.rule_counts(merged).collect()}
-    assert counts["exact"] == 1 and counts["wildcard"] == 3 and counts["regex"] == 1
+    assert counts == {"exact": 1, "wildcard": 3, "allow": 3}  # path and regex rules are replaced by none
+
+
+def test_a_missing_source_does_not_stop_the_others(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("*://*.a.example/*\n")
+    lines, failed = B.read_sources(spark, [str(tmp_path / "a.txt"), str(tmp_path / "missing.txt")])
+    assert B.load_rules(lines).count() == 1 and failed == [str(tmp_path / "missing.txt")]
+    none, failed = B.read_sources(spark, [str(tmp_path / "missing.txt")])
+    assert none.count() == 0 and len(failed) == 1
 
 
 def test_text_source(spark, tmp_path):

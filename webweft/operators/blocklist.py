@@ -1,24 +1,22 @@
 """Blocklist rules: text source, classification, snapshots and URL verdicts.
 
-Rule tables are small next to URL tables.  Host and path rules are matched
-with existence joins keyed on the host (a broadcast hash join when the rule
-side passes a size check, a shuffled join otherwise); regex rules are folded
-into a few literal ``rlike`` alternations when there are at most
-``max_literal_regex`` of them, else matched with a broadcast nested-loop
-existence join over distinct URLs.
+Rule tables are small next to URL tables.  Host and path rules are folded into one
+row per host and matched with one left join on the host (a broadcast hash join when
+the folded table passes a size check in bytes, a shuffled join otherwise); regex rules
+are literal ``rlike`` conditions, compiled once per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from webweft.functions.text import not_blank, ws_trim
 from webweft.functions.urls import extract_domain, lower_path
-from webweft.operators.sizing import fits_broadcast, sized_broadcast
+from webweft.operators.sizing import sized_broadcast, table_bytes
 
 # --- fixed values (rule syntax) ------------------------------------------------
 REGEX_RULE = r"^/(.+)/$"
@@ -34,12 +32,28 @@ RULE_COLUMNS = ["source", "line_no", "rule_class", "is_allow", "host", "path", "
 def read_rule_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """S5 source: subscription text files → ``(source, line_no, line)``.
 
-    ``line_no`` is the position inside its file, kept by reading whole files
-    through ``wholetext`` (subscription lists are a few MB at most)."""
-    raw = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source"), F.col("value"))
-    lines = raw.select("source", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    return lines.select("source", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
+    ``line_no`` is the position inside the file: lines keep their order in a
+    block, and blocks are ordered by where they start."""
+    raw = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    w = Window.partitionBy("source").orderBy("_at", "_row")
+    return raw.select("source", F.row_number().over(w).cast("int").alias("line_no"), "line")
+
+
+def read_sources(spark: SparkSession, sources: list[str]) -> tuple[DataFrame, list[str]]:
+    """The lines of every source that can be read, and the sources that cannot: one
+    missing list does not stop the others from loading."""
+    good, failed = [], []
+    for source in sources:
+        try:
+            spark.read.text(source)  # checks that the path exists
+            good.append(source)
+        except AnalysisException:
+            failed.append(source)
+    if good:
+        return read_rule_text(spark, good), failed
+    return spark.createDataFrame([], "source string, line_no int, line string"), failed
 
 
 def subscription_list(configured: DataFrame, extra_lines: DataFrame) -> DataFrame:
@@ -112,40 +126,46 @@ def rule_counts(rules: DataFrame) -> DataFrame:
 
 
 def swap_snapshot(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """With no block rule at all in ``new`` keep ``old``; otherwise take
-    ``new`` and, per class with no new rule, keep the old rules of that class.
-    Host-set classes are kept per (class, allow) as in the reference."""
+    """With no block rule at all in ``new`` keep ``old``.  Otherwise path and
+    regex rules are replaced, and so is each host set (wildcard or exact, block or
+    allow) that ``new`` has rules for; a host set without new rules stays."""
     if old is None:
         return new
-    new_blocking = new.filter(~F.col("is_allow")).limit(1).count() > 0
-    if not new_blocking:
+    if new.filter(~F.col("is_allow")).isEmpty():
         return old
     present = new.select("rule_class", "is_allow").distinct()
-    kept_old = old.join(present, ["rule_class", "is_allow"], "left_anti")
+    kept_old = old.filter(F.col("rule_class").isin("wildcard", "exact")).join(present, ["rule_class", "is_allow"], "left_anti")
     return new.unionByName(kept_old)
 
 
 # --- verdicts -------------------------------------------------------------------
 
-def _host_flag(urls_host: str, rules: DataFrame, rule_class: str, allow: bool,
-               small: bool = True) -> Column:
-    """Existence-join flag: the URL host equals a rule host of the class."""
-    sub = rules.filter((F.col("rule_class") == rule_class) & (F.col("is_allow") == F.lit(allow)))
-    sub = sized_broadcast(sub.select(F.col("host").alias("r_host")).distinct(), small)
-    return sub.where(F.col("r_host") == F.col(urls_host).outer()).exists()
+def fold_hosts(rules: DataFrame) -> DataFrame:
+    """One row per rule host: which classes name it, and its path rules."""
+    c, allow = F.col("rule_class"), F.col("is_allow")
 
+    def named(cls: str, kind: Column) -> Column:
+        return F.coalesce(F.max((c == cls) & kind), F.lit(False))
 
-def _suffix_flag(df: DataFrame, rules: DataFrame, allow: bool, small: bool, name: str) -> DataFrame:
+    def paths(kind: Column) -> Column:
+        return F.collect_set(F.when((c == "path") & kind, F.struct("path", "is_prefix")))
+
+    return (rules.filter(F.col("host").isNotNull()).groupBy(F.col("host").alias("r_host"))
+            .agg(named("wildcard", allow).alias("r_wild_allow"), named("exact", allow).alias("r_exact_allow"),
+                 named("wildcard", ~allow).alias("r_wild"), named("exact", ~allow).alias("r_exact"),
+                 paths(allow).alias("r_paths_allow"), paths(~allow).alias("r_paths")))
+
+
+def _suffix_flag(df: DataFrame, rules: DataFrame, name: str) -> DataFrame:
     """``include_subdomains``: a wildcard rule also matches every subdomain.
     The (few) distinct URL hosts are exploded into their suffixes and
     equi-joined with the rule hosts; the matched hosts are joined back."""
-    sub = rules.filter((F.col("rule_class") == "wildcard") & (F.col("is_allow") == F.lit(allow)))
-    sub = sized_broadcast(sub.select(F.col("host").alias("r_host")).distinct(), small)
+    sub = sized_broadcast(rules.select(F.col("host").alias("_rule")).distinct())
     hosts = df.select(F.col("bl_host").alias("_h")).distinct()
     matched = (hosts.select("_h", F.explode(host_suffixes(F.col("_h"))).alias("_sfx"))
-               .join(sub, F.col("_sfx") == F.col("r_host"), "left_semi")
+               .join(sub, F.col("_sfx") == F.col("_rule"), "left_semi")
                .select(F.col("_h").alias(name + "_h")).distinct().withColumn(name, F.lit(True)))
-    out = df.join(matched, df["bl_host"] == matched[name + "_h"], "left").drop(name + "_h")
+    out = df.join(matched, df["_key"] == matched[name + "_h"], "left").drop(name + "_h")
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
@@ -157,84 +177,68 @@ def host_suffixes(host: Column) -> Column:
                        lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
 
 
-def _path_flag(host_col: str, path_col: str, rules: DataFrame, allow: bool,
-               small: bool = True) -> Column:
-    sub = rules.filter((F.col("rule_class") == "path") & (F.col("is_allow") == F.lit(allow)))
-    sub = sized_broadcast(sub.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"),
-                                     "is_prefix").distinct(), small)
-    p = F.col(path_col).outer()
-    cond = (F.col("r_host") == F.col(host_col).outer()) & F.when(
-        F.col("is_prefix"), p.startswith(F.col("r_path"))).otherwise(p == F.col("r_path"))
-    return sub.where(cond).exists()
-
-
-def _regex_flags(df: DataFrame, url_col: str, rules: DataFrame, max_literal_regex: int,
-                 chunk: int = 200) -> tuple[DataFrame, Column, Column]:
-    """(df, allow flag, block flag) for regex rules.  Up to
-    ``max_literal_regex`` distinct patterns (checked with one bounded
-    ``collect``) are folded into literal alternations compiled once per task;
-    beyond that, an existence join of the distinct URLs against the pattern
-    table."""
+def _path_match(paths: str, path_col: str) -> Column:
+    """Whether a path is one of a host's path rules, or begins with a prefix rule."""
+    p = F.col(path_col)
+    return F.coalesce(F.exists(paths, lambda r: F.when(r["is_prefix"], p.startswith(r["path"])).otherwise(p == r["path"])),
+                      F.lit(False))
+
+
+# A pattern with one of these means something else beside other patterns: references
+# to groups, group names, flags, look-around and quoting.
+NOT_FOLDABLE = r"\\[1-9kQE]|\(\?(?!:)"
+MAX_PATTERN_BYTES = 8 << 20
+
+
+def regex_flags(url: Column, rules: DataFrame, chunk: int = 200) -> tuple[Column, Column]:
+    """(allow flag, block flag) of the regex rules, as literal conditions.
+
+    Plain patterns are folded into alternations; the others stand alone, so no
+    rule changes the meaning of another.  The patterns are collected, after a
+    check of their bytes."""
     sub = rules.filter(F.col("rule_class") == "regex").select("is_allow", "pattern").distinct()
-    got = sub.limit(max_literal_regex + 1).collect()
-    if not got:
-        return df, F.lit(False), F.lit(False)
-    if len(got) <= max_literal_regex:
-        flags = []
-        for allow in (True, False):
-            pats = sorted(r["pattern"] for r in got if r["is_allow"] == allow)
-            flag = F.lit(False)
-            for i in range(0, len(pats), chunk):
-                alt = "|".join(f"(?:{p})" for p in pats[i:i + chunk])
-                flag = flag | F.col(url_col).rlike(f"(?i){alt}")
-            flags.append(flag)
-        return df, flags[0], flags[1]
-    # many patterns: fold them (in Spark, hash-balanced groups of about
-    # ``chunk``) into alternation rows, then test each distinct URL against
-    # the alternation rows (chunk times fewer pairs than one row per pattern)
-    n_chunks = max(1, -(-sub.count() // chunk))
-    alts = (sub.groupBy("is_allow", F.pmod(F.xxhash64("pattern"), F.lit(n_chunks)).alias("_c"))
-            .agg(F.concat(F.lit("(?i)"), F.concat_ws("|", F.collect_list(
-                F.concat(F.lit("(?:"), F.col("pattern"), F.lit(")"))))).alias("_alt")))
-    urls = df.select(F.col(url_col).alias("_u")).distinct()
-    hits = (urls.join(alts, F.expr("_u rlike _alt"), "inner")
-            .groupBy("_u").agg(F.max(F.col("is_allow").cast("int")).alias("_rx_a"),
-                               F.max((~F.col("is_allow")).cast("int")).alias("_rx_b")))
-    out = df.join(hits, df[url_col] == hits["_u"], "left").drop("_u")
-    return out, F.coalesce(F.col("_rx_a") == 1, F.lit(False)), F.coalesce(F.col("_rx_b") == 1, F.lit(False))
+    if table_bytes(sub) > MAX_PATTERN_BYTES:
+        raise ValueError(f"the regex rules take more than {MAX_PATTERN_BYTES} bytes")
+    got = sub.withColumn("alone", F.col("pattern").rlike(NOT_FOLDABLE)).collect()
+    flags = []
+    for allow in (True, False):
+        plain = sorted(r["pattern"] for r in got if r["is_allow"] == allow and not r["alone"])
+        tests = ["|".join(f"(?:{p})" for p in plain[i:i + chunk]) for i in range(0, len(plain), chunk)]
+        tests += sorted(r["pattern"] for r in got if r["is_allow"] == allow and r["alone"])
+        flag = F.lit(False)
+        for t in tests:
+            flag = flag | url.rlike(f"(?i){t}")
+        flags.append(F.coalesce(flag, F.lit(False)))
+    return flags[0], flags[1]
 
 
 def blocklist_verdict(df: DataFrame, rules: DataFrame, url_col: str = "url",
-                      include_subdomains: bool = False, max_literal_regex: int = 2000) -> DataFrame:
+                      include_subdomains: bool = False, enabled: bool = True) -> DataFrame:
     """Adds ``bl_host``, ``bl_path``, ``bl_allowed`` and ``bl_rule``
     (which class blocked the URL, or null).  Allow rules of any class win;
-    then wildcard, exact, path, regex in that order."""
-    small = fits_broadcast(rules)
+    then wildcard, exact, path, regex in that order.  A disabled list blocks
+    and allows nothing."""
     out = df.withColumn("bl_host", extract_domain(F.col(url_col))) \
             .withColumn("bl_path", lower_path(F.col(url_col)))
-    out, rx_allow, rx_block = _regex_flags(out, url_col, rules, max_literal_regex)
+    if not enabled:
+        return out.withColumn("bl_allowed", F.lit(False)).withColumn("bl_rule", F.lit(None).cast("string"))
+    folded = sized_broadcast(fold_hosts(rules))
+    # URLs without a host match no rule: spread keys keep them apart in a shuffled join
+    key = F.coalesce("bl_host", F.concat(F.lit(" "), F.pmod(F.xxhash64(url_col), F.lit(1024)).cast("string")))
+    out = out.withColumn("_key", key).join(folded, F.col("_key") == F.col("r_host"), "left")
+    flag = {c: F.coalesce(f"r_{c}", F.lit(False)) for c in ("wild_allow", "exact_allow", "wild", "exact")}
     if include_subdomains:
-        out = _suffix_flag(out, rules, True, small, "_wild_allow")
-        out = _suffix_flag(out, rules, False, small, "_wild")
-        wild_allow = F.col("_wild_allow")
-    else:
-        wild_allow = _host_flag("bl_host", rules, "wildcard", True, small)
-    allowed = (wild_allow
-               | _host_flag("bl_host", rules, "exact", True, small)
-               | _path_flag("bl_host", "bl_path", rules, True, small)
-               | rx_allow)
-    out = out.withColumn("bl_allowed", F.coalesce(allowed, F.lit(False)))
-    if not include_subdomains:
-        out = out.withColumn("_wild", _host_flag("bl_host", rules, "wildcard", False, small))
-    out = out.withColumn("_exact", _host_flag("bl_host", rules, "exact", False, small)) \
-             .withColumn("_path", _path_flag("bl_host", "bl_path", rules, False, small)) \
-             .withColumn("_rx", rx_block)
+        wild = rules.filter(F.col("rule_class") == "wildcard")
+        for name, kind in (("wild_allow", F.col("is_allow")), ("wild", ~F.col("is_allow"))):
+            out = _suffix_flag(out, wild.filter(kind), "_sub_" + name)
+            flag[name] = flag[name] | F.col("_sub_" + name)
+    rx_allow, rx_block = regex_flags(F.col(url_col), rules)
+    allowed = flag["wild_allow"] | flag["exact_allow"] | _path_match("r_paths_allow", "bl_path") | rx_allow
+    out = out.withColumn("bl_allowed", F.col("bl_host").isNotNull() & allowed)
     rule = (F.when(F.col("bl_allowed") | F.col("bl_host").isNull(), F.lit(None))
-            .when(F.col("_wild"), F.lit("wildcard"))
-            .when(F.col("_exact"), F.lit("exact"))
-            .when(F.col("_path"), F.lit("path"))
-            .when(F.col("_rx"), F.lit("regex")))
-    return out.withColumn("bl_rule", rule).drop("_wild", "_exact", "_path", "_rx", "_wild_allow")
+            .when(flag["wild"], F.lit("wildcard")).when(flag["exact"], F.lit("exact"))
+            .when(_path_match("r_paths", "bl_path"), F.lit("path")).when(rx_block, F.lit("regex")))
+    return out.withColumn("bl_rule", rule).drop("_key", *folded.columns, "_sub_wild_allow", "_sub_wild")
 
 
 def as_url_filter(rules: DataFrame, **kw):
