@@ -90,16 +90,34 @@ def robots_url(col) -> Column:
                                              F.lower(_hier(c, 2)), F.lit("/robots.txt")))
 
 
-def url_origin(col) -> Column:
-    return robots_url(col)
-
-
 # --- P4 -----------------------------------------------------------------------
-_IPV4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
+
+def ipv4_number(col) -> Column:
+    """An IPv4 address as a number, in any form a URL parser takes for one: one to
+    four parts, each decimal, octal (leading 0) or hexadecimal (0x); the last
+    part fills the bytes that are left.  Null for any other text."""
+    host = F.regexp_replace(F.lower(_c(col)), r"\.$", "")
+    parts = F.split(host, r"\.")
+    n = F.size(parts)
+
+    def number(p: Column) -> Column:
+        value = (F.when(p.rlike(r"^0x[0-9a-f]{1,12}$"), F.conv(F.substring(p, 3, 12), 16, 10))
+                 .when(p.rlike(r"^0[0-7]{1,15}$"), F.conv(p, 8, 10))
+                 .when(p.rlike(r"^(0|[1-9][0-9]{0,11})$"), p))
+        return value.try_cast("long")
+
+    values = F.transform(parts, number)
+    last = F.element_at(values, -1)
+    head = F.slice(values, 1, F.greatest(n - 1, F.lit(0)))
+    room = F.pow(F.lit(256.0), F.lit(5) - n).cast("long")
+    fits = (n.between(1, 4) & F.forall(head, lambda v: F.coalesce(v.between(0, 255), F.lit(False)))
+            & F.coalesce(last < room, F.lit(False)))
+    high = F.aggregate(head, F.lit(0).cast("long"), lambda acc, v: acc * 256 + v)
+    return F.when(fits, high * room + last)
 
 
 def is_ipv4(col) -> Column:
-    return _c(col).rlike(_IPV4)
+    return ipv4_number(col).isNotNull()
 
 
 def is_ipv6_literal(col) -> Column:
@@ -115,8 +133,8 @@ def is_public_ip(col) -> Column:
     """P4 for an IPv4 or (bracketed or bare) IPv6 literal.  Null when the text
     is not an IP literal."""
     c = _c(col)
-    o1 = F.regexp_extract(c, _IPV4, 1).try_cast("int")
-    o2 = F.regexp_extract(c, _IPV4, 2).try_cast("int")
+    ip = ipv4_number(c)
+    o1, o2 = F.shiftright(ip, 24), F.shiftright(ip, 16).bitwiseAND(F.lit(255))
     v4_private = ((o1 == 10) | ((o1 == 172) & o2.between(16, 31)) | ((o1 == 192) & (o2 == 168))
                   | ((o1 == 169) & (o2 == 254)) | (o1 == 127) | (o1 == 0))
     v6 = F.lower(F.regexp_replace(c, r"^\[|\]$", ""))
@@ -124,7 +142,7 @@ def is_public_ip(col) -> Column:
     v6_loop = v6s.rlike(r"^(0?:)+1$") | v6.rlike(r"^(0{0,4}:)+ffff:127\.")
     v6_link = v6.rlike(r"^fe[89ab][0-9a-f]?:")
     v6_site = v6.rlike(r"^fe[c-f][0-9a-f]?:")
-    return (F.when(is_ipv4(c), ~v4_private)
+    return (F.when(ip.isNotNull(), ~v4_private)
             .when(is_ipv6_literal(c), ~(v6_loop | v6_link | v6_site)))
 
 

@@ -30,12 +30,6 @@ def guard(requests: DataFrame, dns: DataFrame | None = None, url_col: str = "url
     return out.drop("_bad_ip") if dns is not None else out
 
 
-def split_valid(requests: DataFrame, dns: DataFrame | None = None, url_col: str = "url"):
-    """(accepted, rejected-with-reason)."""
-    g = guard(requests, dns, url_col)
-    return g.filter("url_ok").drop("url_error"), g.filter(~F.col("url_ok"))
-
-
 def join_robots(pages: DataFrame, robots: DataFrame, url_col: str = "url") -> DataFrame:
     """Robots text per page by origin (``scheme://host``); missing → null.
     One robots row per origin, joined on the origin key."""

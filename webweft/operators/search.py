@@ -14,6 +14,7 @@ from webweft.functions.hashing import search_cache_key
 from webweft.functions.search import (PROVIDER_ERROR, empty_if_null, freshness, pipe_list,
                                       request_valid, result_count)
 from webweft.functions.text import not_blank
+from webweft.session import cut_lineage
 
 PROVIDER_SCHEMA = T.StructType([
     T.StructField("code", T.IntegerType()),
@@ -137,6 +138,10 @@ def _finish(req: DataFrame, calls: DataFrame, bodies: DataFrame, filters, valida
     out = req.join(summary, "cache_key", "left").join(
         failed.select("cache_key", "provider_error"), "cache_key", "left")
     success = F.col("valid") & F.col("provider_error").isNull() if validate else F.col("provider_error").isNull()
+    # a call that succeeded without results has an empty list, not a missing one
+    for c, empty in (("n_raw", F.lit(0)), ("n_kept", F.lit(0)), ("n_filtered", F.lit(0)),
+                     ("web", F.array().cast(summary.schema["web"].dataType))):
+        out = out.withColumn(c, F.when(success, F.coalesce(c, empty.cast(summary.schema[c].dataType))).otherwise(F.col(c)))
     return out.select(
         "*", success.alias("success"),
         F.when(F.lit(validate) & ~F.col("valid"), F.lit("Invalid request"))
@@ -159,7 +164,9 @@ def batch_search(requests: DataFrame, provider: Callable[[DataFrame], DataFrame]
     body)``) → S7/F4 → T1 → after-actions on raw results (X4) → F5 → A2 →
     A6.  Provider failure → ``success=false`` with the fixed error text."""
     req, calls = _calls(requests, validate, max_count)
-    return _finish(req, calls, provider(calls), filters, validate, actions, on_error)
+    # written once: parsing has several outputs, and the provider is asked once per key
+    bodies = cut_lineage(provider(calls), "provider_bodies")
+    return _finish(req, calls, bodies, filters, validate, actions, on_error)
 
 
 def batch_search_cached(requests: DataFrame, provider: Callable[[DataFrame], DataFrame], cache: DataFrame,
@@ -176,7 +183,7 @@ def batch_search_cached(requests: DataFrame, provider: Callable[[DataFrame], Dat
     cached = live(cache, ts).filter(F.col("prefix") == "Search").select(
         F.col("key").alias("cache_key"), F.col("value").alias("body"))
     hit = calls.join(cached, "cache_key")
-    fresh = provider(calls.join(cached.select("cache_key"), "cache_key", "left_anti"))
+    fresh = cut_lineage(provider(calls.join(cached.select("cache_key"), "cache_key", "left_anti")), "provider_bodies")
     bodies = hit.select("cache_key", "body").unionByName(fresh.select("cache_key", "body"))
     _, failed = parse_provider(fresh)
     writes = (fresh.join(failed.select("cache_key"), "cache_key", "left_anti")

@@ -247,13 +247,20 @@ def _url_variants(spark, sf):
     host = urls.extract_domain(F.col("url"))
     pid = F.col("page_id")
     ip = F.concat_ws(".", ((pid * 37) % 224).cast("string"), ((pid * 11) % 256).cast("string"), F.lit("1"), F.lit("9"))
+    first = F.when(pid % 3 == 0, F.lit(127)).otherwise(F.lit(9)).cast("long")
     forms = F.array(
         F.col("url"),
         F.regexp_replace(F.col("url"), "^https?", "ftp"),
         F.concat(F.lit("http://"), host, F.lit("/a/../b")),
         F.concat(F.lit("http://"), ip, F.lit(":8080/x")),
         F.concat(host, F.lit("/x")),
-        F.when(pid % 2 == 0, F.lit("  ")).otherwise(F.lit("http://[::1]/x")))
+        F.when(pid % 2 == 0, F.lit("  ")).otherwise(F.lit("http://[::1]/x")),
+        # the address 127.0.x.y or 9.0.x.y as one decimal, as hexadecimal, in octal, and in three parts
+        F.concat(F.lit("http://"), (first * 16777216 + pid % 65536).cast("string"), F.lit("/x")),
+        F.concat(F.lit("http://0x"), F.hex(first * 16777216 + pid % 65536), F.lit("/x")),
+        F.concat(F.lit("http://0"), F.conv(first.cast("string"), 10, 8), F.lit(".0.0.7/x")),
+        F.concat(F.lit("http://"), first.cast("string"), F.lit(".0."), (pid % 65536).cast("string"), F.lit("/x")),
+        F.concat(F.lit("http://"), first.cast("string"), F.lit(".0.0.256/x")))
     return pg.select("page_id", F.posexplode(forms).alias("variant", "url"))
 
 
@@ -334,6 +341,27 @@ def search_flow(spark: SparkSession, sf: str) -> DataFrame:
                       F.array_join(F.transform("web", lambda x: x["url"]), "|").alias("urls"))
 
 
+def search_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """Q2 with the raw-result cache: every other query's body comes from the cache."""
+    req, provider = derived.fx_search_req(spark, sf), fixture_provider(spark, sf)
+    calls = search_ops.provider_requests(req).filter("valid").select("cache_key", "query", "query_id")
+    held = cut_lineage(provider(calls.filter(F.col("query_id") % 2 == 0).select("cache_key", "query")), "held_bodies")
+    cache = held.select(F.lit("Search").alias("prefix"), F.col("cache_key").alias("key"), F.col("body").alias("value"),
+                        F.lit("2024-03-01 00:00:00").cast("timestamp_ntz").alias("expires_at"))
+    filters = [("blocklist", blocklist.as_url_filter(rules_from_pages(spark, sf)))]
+    out, _ = search_ops.batch_search_cached(req, provider, cache, AS_OF, filters)
+    return out.select("query_id", "success", "error", "n_raw", "n_kept", "warning",
+                      F.array_join(F.transform("web", lambda x: x["url"]), "|").alias("urls"))
+
+
+def rule_swap(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of the even pages replaced by those of every fourth odd page."""
+    lines = cut_lineage(derived.fx_rule_lines(spark, sf), "rule_lines")
+    old = blocklist.load_rules(lines.filter(F.col("line_no") % 2 == 0))
+    new = blocklist.load_rules(lines.filter(F.col("line_no") % 12 == 1))
+    return blocklist.rule_counts(cut_lineage(blocklist.swap_snapshot(old, new), "rules"))
+
+
 def scrape_context(spark: SparkSession, sf: str, ai_configured: bool = True) -> DataFrame:
     """P7, P17 (formats), P19 (effective AI flag)."""
     r = derived.fx_scrape_req(spark, sf)

@@ -219,7 +219,10 @@ BADIP = f"""fx_bad AS (SELECT lower(host) AS h, arg_min(ip, pos) AS bad_ip FROM
 
 SQL["url_guard"] = with_ctes(["fx_dns"], f"""SELECT page_id, variant, err IS NULL AS url_ok, err AS url_error FROM (
     SELECT v.page_id, v.variant, {guard_sql('v.url', 'b.bad_ip')} AS err
-    FROM fx_variants v LEFT JOIN fx_bad b ON b.h = {host('v.url')})""", [VARIANTS, BADIP])
+    FROM fx_variants v LEFT JOIN fx_bad b ON b.h = {host('v.url')}
+    -- other spellings of 127.0.x.y and 9.0.x.y; the last form (a part above 255) is no address at all
+    UNION ALL SELECT page_id, variant, CASE WHEN page_id % 3 = 0 AND variant < 10
+        THEN 'Internal IP addresses are not allowed' END FROM pages, range(6, 11) AS n(variant))""", [VARIANTS, BADIP])
 
 SQL["robots_join"] = with_ctes(["fx_robots"], f"""SELECT p.page_id, r.robots_txt FROM pages p
     LEFT JOIN fx_robots r ON r.origin = {robots_url('p.url')}""")
@@ -299,8 +302,10 @@ SQL["search_results"] = with_ctes(["fx_results", "fx_search_req"], """SELECT que
 SQL["search_flow"] = with_ctes(["fx_rule_lines", "fx_fetch_log", "fx_results", "fx_search_req"], f"""SELECT p.query_id,
     p.valid AND (p.query_id % 7 NOT IN (3, 4, 5)) AS success,
     CASE WHEN NOT p.valid THEN 'Invalid request' WHEN p.query_id % 7 IN (3, 4, 5) THEN 'Search provider unavailable' END AS error,
-    s.n_raw, s.n_kept, CASE WHEN s.n_raw - s.n_kept > 0 THEN CAST(s.n_raw - s.n_kept AS VARCHAR) || ' results filtered' END AS warning,
-    s.urls
+    CASE WHEN p.valid AND p.query_id % 7 NOT IN (3, 4, 5) THEN coalesce(s.n_raw, 0) ELSE s.n_raw END AS n_raw,
+    CASE WHEN p.valid AND p.query_id % 7 NOT IN (3, 4, 5) THEN coalesce(s.n_kept, 0) ELSE s.n_kept END AS n_kept,
+    CASE WHEN s.n_raw - s.n_kept > 0 THEN CAST(s.n_raw - s.n_kept AS VARCHAR) || ' results filtered' END AS warning,
+    CASE WHEN p.valid AND p.query_id % 7 NOT IN (3, 4, 5) THEN coalesce(s.urls, '') ELSE s.urls END AS urls
     FROM fx_params p LEFT JOIN (
         SELECT query_id, count(*) AS n_raw, count(*) FILTER (WHERE NOT blocked) AS n_kept,
                coalesce(string_agg(url, '|' ORDER BY rank) FILTER (WHERE NOT blocked), '') AS urls
@@ -309,6 +314,18 @@ SQL["search_flow"] = with_ctes(["fx_rule_lines", "fx_fetch_log", "fx_results", "
               LEFT JOIN (SELECT domain FROM fx_rep WHERE blocked_until > TIMESTAMP '2024-01-30 23:00:00') rp ON rp.domain = v.bl_host)
         GROUP BY query_id) s ON s.query_id = p.query_id""", [RULES, OUTCOMES, REP, PARAMS, PARSED])
 
+# the raw-result cache changes where bodies come from, not the answers
+SQL["search_cached"] = (SQL["search_flow"].replace("(rp.domain IS NOT NULL OR v.bl_rule IS NOT NULL)", "(v.bl_rule IS NOT NULL)")
+                        .replace("""
+              LEFT JOIN (SELECT domain FROM fx_rep WHERE blocked_until > TIMESTAMP '2024-01-30 23:00:00') rp ON rp.domain = v.bl_host""", ""))
+
+# old rules: even lines; new ones: every twelfth, which are exact hosts.  Path and regex rules go.
+SQL["rule_swap"] = with_ctes(["fx_rule_lines"], r"""SELECT CASE WHEN is_allow THEN 'allow' ELSE rule_class END AS rule_class,
+    count(*) AS n_rules FROM (
+        SELECT DISTINCT rule_class, is_allow, lower(regexp_extract(rule, '^\*://(?:\*\.)?([^/]+)/\*$', 1)) AS host FROM fx_classed
+        WHERE (line_no % 2 = 0 AND rule_class IN ('wildcard', 'exact')) OR (line_no % 12 = 1 AND rule_class IS NOT NULL))
+    GROUP BY 1""", [RULES])
+
 SQL["scrape_context"] = with_ctes(["fx_scrape_req"], """SELECT request_id, NOT skip_ai AS use_ai,
     sha256('UseAiClean=' || CASE WHEN NOT skip_ai THEN 'True' ELSE 'False' END || '&Formats=' ||
            array_to_string(coalesce(formats, ['markdown']), ',') || '&Url=' || url) AS context_hash,
@@ -317,10 +334,9 @@ SQL["scrape_context"] = with_ctes(["fx_scrape_req"], """SELECT request_id, NOT s
     FROM fx_scrape_req""")
 
 # --- text steps -------------------------------------------------------------------------------
-from webweft.operators.clean import DATA_URI_PATTERNS  # noqa: E402
-
 _strip = "html"
-for _p in DATA_URI_PATTERNS:
+for _p in (r"""src\s*=\s*['"]data:image/[^'"]+['"]""", r"""src\s*=\s*['"]data:video/[^'"]+['"]""",
+           r"""src\s*=\s*['"]data:audio/[^'"]+['"]""", r"""href\s*=\s*['"]data:[^'"]+['"]""", r"url\(data:[^)]+\)"):
     _strip = f"regexp_replace({_strip}, {q(_p)}, '', 'gi')"
 SQL["data_uri_strip"] = f"SELECT page_id, sha256({_strip}) AS stripped_hash, length(html) - length({_strip}) AS removed_chars FROM pages"
 
