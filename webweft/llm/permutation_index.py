@@ -41,11 +41,11 @@ from webweft.llm.common import arrow_rows, materialise, table
 
 K, QUERY_EVERY = 20, 20
 # Pivots, and how many of a row's nearest make its order.
-PIVOTS, PREFIX = 256, 96
+PIVOTS, PREFIX = 256, 48
 # Rows of an index block and of a query block.
 BLOCK_ROWS, QUERY_ROWS = 8192, 512
 # Share of a block that is ranked again for each query, and at least so many rows.
-RERANKED, LEAST = 0.08, 512
+RERANKED, LEAST = 0.125, 1024
 LONGEST = 32
 
 BLOCK = "n int, dim int, ids binary, vectors binary, files array<struct<pivot:int,rows:binary,places:binary>>, long binary"
@@ -104,8 +104,9 @@ def build_block(ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray) -> dic
 
 
 def build_index(rows: DataFrame, pivots: np.ndarray, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per block; a task fills blocks from its own rows, so nothing is shuffled."""
+    """One row per block; rows are dealt evenly, about a block to a task."""
     sent = rows.sparkSession.sparkContext.broadcast(pivots)
+    dealt = rows.repartition(max(1, -(-rows.count() // block_rows)), "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = np.zeros(0, np.int64), None
@@ -121,7 +122,7 @@ def build_index(rows: DataFrame, pivots: np.ndarray, block_rows: int = BLOCK_ROW
         if len(ids):
             yield _one_row(build_block(ids, vectors, sent.value))
 
-    return materialise(rows.mapInArrow(run, BLOCK), "permutation_index")
+    return materialise(dealt.mapInArrow(run, BLOCK), "permutation_index")
 
 
 _FILE = pa.struct([("pivot", pa.int32()), ("rows", pa.binary()), ("places", pa.binary())])
@@ -153,15 +154,15 @@ def nearest_orders(order: np.ndarray, files: dict[int, tuple[np.ndarray, np.ndar
 
     Two orders without a common pivot are ``prefix * (prefix + 1)`` apart; a pivot at
     places a and b shortens that by twice ``prefix - max(a, b)``."""
+    if keep >= n:
+        return np.arange(n)
     nearer = np.zeros(n, dtype=np.int64)
     for a, pivot in enumerate(order):
         if pivot in files:
             rows, places = files[pivot]
             nearer[rows] += prefix - np.maximum(places, a)
-    if keep >= n:
-        return np.arange(n)
-    key = nearer * n - np.arange(n)
-    return np.argpartition(-key, keep)[:keep]
+    key = np.arange(n) - nearer * n
+    return np.argpartition(key, keep)[:keep]
 
 
 def search_block(q_ids: np.ndarray, q_vectors: np.ndarray, block: dict, pivots: np.ndarray,
@@ -176,8 +177,10 @@ def search_block(q_ids: np.ndarray, q_vectors: np.ndarray, block: dict, pivots:
     keep = min(n, max(LEAST, int(np.ceil(n * RERANKED))))
     found = []
     for q, v, order in zip(q_ids, q_vectors, orders(q_vectors, pivots)):
-        near = np.union1d(nearest_orders(order, files, n, keep, len(order)), longest)
-        near = near[ids[near] != q]
+        chosen = np.zeros(n, dtype=bool)
+        chosen[nearest_orders(order, files, n, keep, len(order))] = True
+        chosen[longest] = True
+        near = np.nonzero(chosen & (ids != q))[0]
         scores = vectors[near] @ v
         best = np.lexsort((ids[near], -scores))[:k]
         found.append((np.full(len(best), q), ids[near][best], scores[best]))
