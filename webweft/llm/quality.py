@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from webweft.llm.common import held_out, materialise, short_batches, smallest_hashes, table
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
-SAMPLE = 6000
-DIM_BITS = 12
+SAMPLE = 4000
+DIM_BITS = 11
 NGRAMS = (1, 2, 3)
 CHUNK = 1 << 16
 RIGHT, TRUST = 0.8, 0.2
@@ -175,7 +175,7 @@ def rows_of(texts: list[str | None]) -> np.ndarray:
 
 def fit_linear(rows: np.ndarray, target: np.ndarray, rounds: int = 400, ridge: float = 1e-5) -> np.ndarray:
     """Logistic regression on soft labels, by accelerated gradient steps; the constant is last."""
-    x = np.column_stack([rows, np.ones(len(rows))])
+    x = np.column_stack([rows, np.ones(len(rows))]).astype(np.float32)
     step = 4 / (np.square(x).sum(axis=1).mean() + ridge)
     w = ahead = np.zeros(x.shape[1])
     for t in range(1, rounds + 1):
