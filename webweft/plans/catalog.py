@@ -396,10 +396,8 @@ from webweft.plans import scrape as scrape_plan  # noqa: E402
 
 
 def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """H1 (tree pass) over every page: title and language (checked against a
-    regex form in SQL) plus the meta fields."""
-    pg = read_table(spark, sf, "pages").select("page_id", "html")
-    p = html_ops.page_pass(pg, keep=["page_id"], clean=False)
+    """H1 over every page, with meta tags of every kind put into them."""
+    p = html_ops.page_metadata(derived.fx_meta_pages(spark, sf))
     return p.select("page_id", "title", "language", "description", "robots", "og_title",
                     "og_locale_alternate")
 

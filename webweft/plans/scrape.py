@@ -2,11 +2,11 @@
 
 requests → F1 guard → context hash (P7/P19) → cache lookup (J12/R4) →
 reputation gate (J1) → fetched page (S1 / A9) → content hash (P6) →
-unchanged split (J7, ``left_anti`` before the Python pass) → clean (H7, H8)
+unchanged split (J7, ``left_anti`` before the clean) → clean (H7, H8)
 → upsert (J8) → statistics (S3) → robots (J10) → responses (S10, P17, P18)
 with TTLs (P13 × P14) for the cache writes; domain outcomes (X6) for A3.
 
-Only pages that actually need cleaning reach the HTML pass; repeated requests
+Only pages that actually need cleaning are cleaned; repeated requests
 for one URL (or one context hash) share a single fetch and clean.
 """
 
@@ -140,10 +140,8 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
     to_clean = ok.join(unchanged.select("request_id"), "request_id", "left_anti")
 
     # H7 (+H8) once per distinct (url, html, use_ai): only pages that need it
-    par = requests.sparkSession.sparkContext.defaultParallelism * 2
-    pages = (to_clean.select("url", "html", "use_ai").repartition(par, "url")
-             .dropDuplicates(["url", "use_ai"]))  # one shuffle, spread for the Python pass
-    cleaned = clean_pages(pages, keep=["url", "use_ai"], spread=False)
+    pages = to_clean.select("url", "html", "use_ai").dropDuplicates(["url", "use_ai"])
+    cleaned = clean_pages(pages, keep=["url", "use_ai"])
     cleaned = clean_ops.ai_clean(cleaned, ai_cleaner if ai_configured else None, "markdown", "use_ai")
     if robots is not None:
         cleaned = join_robots(cleaned, robots)
@@ -152,7 +150,7 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
     meta_json = F.to_json(F.col("metadata"))  # stored without robots text (as in the reference)
     cleaned = cleaned.withColumn("metadata_json", meta_json).withColumn(
         "metadata_out", F.to_json(F.col("metadata").withField("robots_txt", F.col("robots_txt"))))
-    # the Python passes feed five outputs: run them once, into the shared folder
+    # the cleaned pages feed five outputs: computed once, into the shared folder
     cleaned = cut_lineage(cleaned, "cleaned")
 
     fresh = to_clean.join(cleaned.drop("html"), ["url", "use_ai"])

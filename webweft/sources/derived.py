@@ -189,6 +189,29 @@ def fx_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
     return pg.select(F.lit("pages").alias("source"), pid.cast("int").alias("line_no"), line.alias("line"))
 
 
+def fx_meta_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with meta tags: a description in the head, in the body or blank in the head and
+    given in the body; robots by name, by property or not; Open Graph fields on every third page."""
+    pg = read_table(spark, sf, "pages").select("page_id", "html")
+    pid = F.col("page_id")
+    n = pid.cast("string")
+    described = F.concat(F.lit('<meta content="About &lt;page&gt; '), n, F.lit('" name=description>'))
+    blank = F.lit("<meta name='description' content=' '>")
+    robots = (F.when(pid % 4 == 0, F.lit('<META NAME="Robots" CONTENT=" noindex ">'))
+              .when(pid % 4 == 1, F.lit("<meta property='robots' content='all'><meta name='other' content='x > y'>"))
+              .when(pid % 4 == 2, F.lit('<meta property="robots" content="all"><meta name="robots" content="none">'))
+              .otherwise(F.lit("")))
+    graph = F.when(pid % 3 == 0, F.concat(
+        F.lit('<meta property="og:title" content="It&#39;s '), n,
+        F.lit('"><meta property="og:locale:alternate" content="fr_FR"><meta property="og:locale:alternate" content="">'
+              '<meta property="og:locale:alternate" content="es_ES">'))).otherwise(F.lit(""))
+    head = F.concat(F.when(pid % 5 == 0, described).when(pid % 5 == 1, blank).otherwise(F.lit("")), robots, graph)
+    body = F.when((pid % 5 == 1) | (pid % 5 == 2), described).otherwise(F.lit(""))
+    html = F.replace(F.replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), head)),
+                     F.lit("<body>"), F.concat(F.lit("<body>"), body))
+    return pg.select("page_id", html.alias("html"))
+
+
 def fx_dns(spark: SparkSession, sf: str) -> DataFrame:
     """Host → address table (several addresses per host, some private)."""
     pg = read_table(spark, sf, "pages")
