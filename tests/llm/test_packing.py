@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as E
 from tests.conftest import SF_CHECK
 from webweft.llm import packing as P
+from webweft.llm import pieces
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path(P.VOCABULARY))
 TOKENIZER.encode_special_tokens = True
@@ -72,7 +73,7 @@ def test_ids_equal_the_library_on_any_text(text):
 
 def test_chunks_and_forgetting_change_nothing(monkeypatch):
     monkeypatch.setattr(P, "CHUNK", 40)
-    monkeypatch.setattr(P, "KEPT", 30)
+    monkeypatch.setattr(pieces, "KEPT", 30)
     own = P.WordIds(public_tokenizers.path(P.VOCABULARY))
     plain = " ".join(f"word{i % 97} it's {i}" for i in range(500)) + "\nend"
     odd = plain.replace("it", "日本")

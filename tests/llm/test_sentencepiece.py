@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 import __spark_entry__ as E
 from tests.conftest import SF_CHECK
+from webweft.llm import pieces
 from webweft.llm import sentencepiece_codec as C
 
 PATH = public_tokenizers.path(C.MODEL)
@@ -58,6 +59,7 @@ def test_any_text(text):
 
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(C, "KEPT", 3)
+    monkeypatch.setattr(pieces, "KEPT", 3)
     own = C.Codec(PATH)
     text = "one two three four \x01\x02 one five. six, one"
     assert own.encode(text).tolist() == own.encode(text).tolist() == MODEL.encode(text)

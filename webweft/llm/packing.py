@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webweft.llm.common import materialise, short_batches, table
+from webweft.llm.pieces import PieceStore, gathered
 
 SEQUENCE, END_ID = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
@@ -51,11 +52,11 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 # digits and blanks, its lower case or its normal form may differ from Python's.
 NOT_PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7e\u00c0-\u012f\u0131-\u017f]")
 BLANK = re.compile(r"[\x20\t-\r]")
-# Characters of such texts taken at once, longest word kept, and words kept by a worker.
-CHUNK, LONGEST, KEPT = 1 << 18, 48, 800_000
+# Characters of such texts taken at once, and the longest word kept by a worker.
+CHUNK, LONGEST = 1 << 18, 48
 
 
-class WordIds:
+class WordIds(PieceStore):
     """Token ids of texts by the `tokenizers` library, which sees each distinct word once.
 
     The vocabulary splits texts into words, which no token crosses; the last token of
@@ -69,11 +70,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids_of, self.first = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64)
+        super().__init__()
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -88,20 +85,6 @@ class WordIds:
             at = stop
         return np.concatenate(found)
 
-    def keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Append new pieces and their ids, which follow one another."""
-        known, used = len(self.code), int(self.first[len(self.code)])
-        while used + len(ids) > len(self.ids_of):
-            self.ids_of = np.concatenate([self.ids_of, np.zeros_like(self.ids_of)])
-        while known + len(pieces) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        self.ids_of[used:used + len(ids)] = ids
-        self.first[known + 1:known + 1 + len(pieces)] = used + np.cumsum(sizes)
-        self.code.update(zip(pieces, range(known, known + len(pieces))))
-
-    def ids_at(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return gathered(self.ids_of, self.first[codes], self.first[codes + 1] - self.first[codes])
-
     def learn(self, pieces: list[str]) -> None:
         """Keep new pieces: their new words are encoded as one text, then put together."""
         words = [[p] if p.isalpha() else WORDS.findall(p) for p in pieces]
@@ -117,19 +100,6 @@ class WordIds:
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *(len(own) for _, own in joined)])]
         self.keep([p for p, _ in joined], ids, np.diff(ends))
 
-    def codes_of(self, pieces: list[str]) -> np.ndarray:
-        """Places of lower-case pieces without blanks; unknown ones are learnt."""
-        codes = list(map(self.code.get, pieces))
-        if None in codes:
-            missing = [i for i, c in enumerate(codes) if c is None]
-            if self.code and len(self.code) + 2 * len(missing) > KEPT:
-                self.forget()
-                return self.codes_of(pieces)
-            self.learn([pieces[i] for i in missing])
-            for i in missing:
-                codes[i] = self.code[pieces[i]]
-        return np.array(codes, dtype=np.int64)
-
     def batch_ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text.  The blank-separated pieces of plain texts are encoded once."""
         found: list[np.ndarray | None] = [None if t and not NOT_PLAIN.search(t) else self.encode_long(t) for t in texts]
@@ -154,12 +124,6 @@ class WordIds:
         return found
 
 
-def gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``values[first : first + size]`` one after the other, and their sizes."""
-    before = np.cumsum(sizes) - sizes
-    return values[np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))], sizes
-
-
 _WORKERS: dict[str, WordIds] = {}
 
 

@@ -36,15 +36,17 @@ from itertools import chain, pairwise
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webweft.llm.common import short_batches, table
+from webweft.llm.pieces import KEPT, PieceStore, gathered
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-# Words kept by a worker, and the longest of them.
-KEPT, LONGEST = 800_000, 48
+# Longest word kept by a worker.
+LONGEST = 48
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN_PENALTY = 10.0
 # Letters after which, and signs before which, words may fall apart.
@@ -52,7 +54,7 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 SIGNS = "\n\t!\"#$%&'()*+,-./:;<=>?@[]_{|}~"
 
 
-class Codec:
+class Codec(PieceStore):
     """Pieces of a model file, and their automaton."""
 
     def __init__(self, path: str, merges: bool | None = None):
@@ -82,7 +84,10 @@ class Codec:
         self.number, self.score = ({self.pieces[i]: x for i, x in own} for own in (((i, i) for i in plain), scores.items()))
         self.merges = all(x == int(x) for x in scores.values()) if merges is None else merges
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        super().__init__()
+        table = [np.frombuffer(b, np.uint8) for b in self.bytes_of]
+        self.bytes_size = np.array([len(b) for b in table])
+        self.bytes_first, self.bytes_flat = np.cumsum(self.bytes_size) - self.bytes_size, np.concatenate(table)
 
     def spelt(self, char: str) -> tuple[int, ...]:
         """A character without a piece: its bytes, or the unknown piece."""
@@ -127,21 +132,23 @@ class Codec:
     def last_by_merges(self, word: str) -> list[int]:
         """Length of the last piece at each position that the merges leave beside the one before."""
         last = [0] + [1] * len(word)
-        done = 0
+        done, pairs = 0, self.pairs
         for end, (size, _) in self.automaton.iter(word):
             end += 1
-            if size > 1 and end > done and self.stays(word[end - size - last[end - size]:end - size], word[end - size:end]):
-                last[end], done = size, end
+            if size > 1 and end > done:
+                at = end - size
+                key = (word[at - last[at]:at], word[at:end])
+                stays = pairs.get(key)
+                if stays or stays is None and self.judge(key):
+                    last[end], done = size, end
         return last
 
-    def stays(self, left: str, right: str) -> bool:
+    def judge(self, key: tuple[str, str]) -> bool:
         """Whether merges keep two neighbours apart, and each of them whole."""
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [x for x in key if x]
-        return known
+        if len(self.pairs) >= KEPT:
+            self.pairs.clear()
+        self.pairs[key] = stays = self.merged("".join(key)) == [x for x in key if x]
+        return stays
 
     def merged(self, text: str) -> list[str]:
         """A short text by merges: the best neighbours first, of equal ones the leftmost."""
@@ -156,39 +163,84 @@ class Codec:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def path(self, word: str) -> tuple[int, ...]:
-        """The best path of a word, made of those of its parts, which no piece crosses."""
-        found = []
-        for part in self.crossed.split(word):
-            ids = self.words.get(part)
-            if ids is None:
-                ids = self.best_path(part)
-                if len(part) <= LONGEST:
-                    self.words[part] = ids
-            found.append(ids)
-        whole = tuple(chain.from_iterable(found))
-        if len(word) <= LONGEST:
-            self.words[word] = whole
-        return whole
+    def learn(self, pieces: list[str]) -> None:
+        """Keep new words: the best paths of their parts, which no piece crosses, put together."""
+        paths: dict[str, tuple[int, ...]] = {}
+        own_ids = []
+        for word in pieces:
+            parts = self.crossed.split(word)
+            for part in parts:
+                if part not in paths:
+                    paths[part] = self.known_path(part)
+            own_ids.append(paths[word] if len(parts) == 1 else tuple(chain.from_iterable(paths[p] for p in parts)))
+        # parts that stand alone are words of other texts
+        extra = [p for p in paths if p not in self.code and len(p) <= LONGEST]
+        rows = {**{p: paths[p] for p in extra}, **dict(zip(pieces, own_ids))}
+        rows = {w: ids for w, ids in rows.items() if w not in self.code}
+        self.keep(list(rows), np.fromiter(chain.from_iterable(rows.values()), dtype=np.uint32),
+                  np.array([len(ids) for ids in rows.values()], dtype=np.int64))
+
+    def known_path(self, part: str) -> tuple[int, ...]:
+        at = self.code.get(part)
+        if at is None:
+            return self.best_path(part)
+        return tuple(self.ids_of[self.first[at]:self.first[at + 1]].tolist())
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, one after the other, and how many each has."""
+        counts = np.zeros(len(texts), dtype=np.int64)
+        single = [i for i, t in enumerate(texts) if t and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t]
+        chosen = set(single)
+        split = pc.split_pattern(pa.array([texts[i] for i in single], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        pieces = [MARK + w for w in coded.dictionary.to_pylist()]
+        at = [coded.indices.to_numpy()]
+        counts[single] = np.diff(split.offsets.to_numpy())
+        for i, t in enumerate(texts):  # runs of blanks stay together
+            if i not in chosen and t:
+                words = WORD.findall(MARK + t.replace(" ", MARK))
+                at.append(len(pieces) + np.arange(len(words)))
+                pieces += words
+                counts[i] = len(words)
+        order = [*single, *(i for i, t in enumerate(texts) if i not in chosen and t)]
+        ids, sizes, first = self.table_of(pieces)
+        at = np.concatenate(at).astype(np.int64)
+        flat, each = gathered(ids, first[at], sizes[at])
+        bounds = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(counts[order])))]
+        found = {i: flat[a:b] for i, a, b in zip(order, bounds[:-1], bounds[1:])}
+        none = np.zeros(0, dtype=np.uint32)
+        rows = [found.get(i, none) for i in range(len(texts))]
+        return np.concatenate([none, *rows]).astype(np.int32), np.array([len(r) for r in rows], dtype=np.int64)
+
+    def table_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, sizes and places of words; long ones are not kept."""
+        long = {k for k, p in enumerate(pieces) if len(p) > LONGEST}
+        ids, sizes = self.ids_at(self.codes_of([MARK if k in long else p for k, p in enumerate(pieces)] if long else pieces))
+        first = np.cumsum(sizes) - sizes
+        sizes = sizes.copy()
+        extra, used = [ids], len(ids)
+        for k in long:
+            own = [self.known_path(p) for p in self.crossed.split(pieces[k])]
+            own = np.fromiter(chain.from_iterable(own), dtype=np.uint32)
+            first[k], sizes[k] = used, len(own)
+            extra.append(own)
+            used += len(own)
+        return np.concatenate(extra), sizes, first
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        words = WORD.findall(MARK + text.replace(" ", MARK))
-        found = list(map(self.words.get, words))
-        if None in found:
-            if len(self.words) > KEPT:
-                self.words.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self.words.get(words[i]) or self.path(words[i])
-        return np.fromiter(chain.from_iterable(found), dtype=np.int32)
+        return self.encode_batch([text])[0]
+
+    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of runs of ids; control pieces have no text."""
+        raw, sizes = gathered(self.bytes_flat, self.bytes_first[ids], self.bytes_size[ids])
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+        whole = raw.tobytes()
+        return [whole[a:b].decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of a sequence of ids; control pieces have no text."""
-        whole = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return whole.replace(MARK, " ").removeprefix(" ")
+        return self.decode_batch(np.array(ids, dtype=np.int64), np.array([len(ids)]))[0]
 
 
 _WORKERS: dict[str, Codec] = {}
@@ -212,11 +264,10 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
         own = codec(model)
         for b in batches:
             texts = b.column("text").to_pylist()
-            ids = [np.zeros(0, np.int32) if t is None else own.encode(t) for t in texts]
-            starts = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-            values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32())
+            values, counts = own.encode_batch([t or "" for t in texts])
+            starts = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
             nulls = pa.array([t is None for t in texts], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(starts, values, mask=nulls)],
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(starts, pa.array(values), mask=nulls)],
                                              ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -230,8 +281,11 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for b in batches:
-            texts = [None if ids is None else own.decode(ids) for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())],
+            ids = b.column("ids")
+            counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+            texts = pa.array(own.decode_batch(ids.flatten().to_numpy().astype(np.int64), counts), pa.string())
+            texts = pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, texts],
                                              ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
