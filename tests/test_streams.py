@@ -43,6 +43,42 @@ def test_dedup_and_actions(spark):
     assert seen == [("sync", 3)] and len(errors) == 1
 
 
+def test_dedup_across_batches_and_expiry(spark):
+    src, sink, ck = (work_path(spark, "t", x) for x in ("dd_src", "dd_sink", "dd_ck"))
+    rows = [(i, "hot") for i in range(50)]
+    spark.createDataFrame(rows, "request_id long, context_hash string").repartition(5).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    jobs.dedup_stream(jobs.file_stream(spark, src, schema, 9), 60, sink, ck)
+    spark.createDataFrame([(90, "hot"), (91, "cold")], schema).write.mode("append").parquet(src)
+    jobs.dedup_stream(jobs.file_stream(spark, src, schema, 9), 60, sink, ck)
+    work = {r["request_id"] for r in spark.read.parquet(sink).filter("does_work").collect()}
+    assert work == {0, 91} and spark.read.parquet(sink).count() == 52
+    spark.createDataFrame([(99, "hot")], schema).write.mode("append").parquet(src)
+    jobs.dedup_stream(jobs.file_stream(spark, src, schema, 9), 0, sink, ck)  # nothing more expires by a shorter time
+    assert not spark.read.parquet(sink).filter("request_id = 99").first()["does_work"]
+
+
+def test_slices_lose_no_row(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(100)] + [(100, None)],
+                               "i int, ts timestamp_ntz")
+    folders = jobs.staged_slices(df.repartition(6), work_path(spark, "t", "slices"), "ts")
+    got = [sorted(r["i"] for r in spark.read.parquet(f).collect()) for f in folders]
+    assert sorted(x for part in got for x in part) == list(range(101)) and 100 in got[0] and got[3][-1] == 99
+
+
+def test_refresh_does_not_hide_read_errors(spark):
+    import pytest
+    root = work_path(spark, "t", "rules2")
+    load = blocklist.load_rules
+    p = jobs.refresh_rules(spark, blocklist.lines_from_rows(spark, "s", ["*://*.a.example/*"]), root, load)
+    import glob
+    for f in glob.glob(p.removeprefix("file:") + "/*.parquet"):
+        open(f, "w").write("broken")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        jobs.refresh_rules(spark, blocklist.lines_from_rows(spark, "s", ["@*://*.b.example/*", "*://c.example/*"]), root, load)
+
+
 def test_rule_refresh_keeps_old_on_allow_only(spark):
     root = work_path(spark, "t", "rules")
     load = blocklist.load_rules

@@ -75,22 +75,22 @@ def _compose(tables: Column) -> Column:
     return F.aggregate(tables, ident, lambda acc, t: F.transform(acc, lambda x: F.element_at(t, x)))
 
 
-def stability(crawls: DataFrame, key: str = "url", hash_col: str = "html_hash",
-              fanin: int = FOLD_FANIN) -> DataFrame:
-    """Stability count per key after all crawls.
-
-    The fold ``s → reset(s) + len - 1`` only depends on ``reset(s)`` (six
-    classes), so each middle run is a 6-entry transfer table and tables
-    compose associatively in run order.  They are composed in groups of at
-    most ``fanin`` (ordered, bounded ``collect_list``), level by level, so no
-    task ever holds a key's whole history."""
+def stability_summary(crawls: DataFrame, key: str = "url", hash_col: str = "html_hash",
+                      fanin: int = FOLD_FANIN) -> DataFrame:
+    """What W4 needs of a key's crawls, whatever its count was before them: the first
+    run, the middle runs composed to one table, and the last run.
+
+    The fold ``s → reset(s) + len - 1`` only depends on ``reset(s)``, so each middle
+    run is a table over the reset classes and tables compose associatively in run
+    order.  They are composed in groups of at most ``fanin`` (ordered, bounded
+    ``collect_list``), level by level, so no task holds a key's whole history."""
     # one row per run, read three times below: computed once into the shared folder
     runs = cut_lineage(crawl_runs(crawls, key, hash_col), "runs")
     per_key = runs.groupBy(key).agg(
-        F.max("run_no").alias("n_runs"), F.sum("run_len").cast("long").alias("n_crawls"),
-        F.max_by(hash_col, "run_no").alias("last_hash"), F.max("last_ts").alias("last_crawl_at"),
-        F.max(F.when(F.col("run_no") == 1, F.col("run_len"))).alias("_len0"),
-        F.max_by("run_len", "run_no").alias("_lenK"))
+        F.max("run_no").cast("int").alias("n_runs"), F.sum("run_len").cast("long").alias("n_crawls"),
+        F.min_by(hash_col, "run_no").alias("first_hash"), F.max_by(hash_col, "run_no").alias("last_hash"),
+        F.max("last_ts").alias("last_crawl_at"), F.min_by("run_len", "run_no").alias("first_len"),
+        F.max_by("run_len", "run_no").alias("last_len"))
     mids = (runs.join(per_key.select(key, "n_runs"), key)
             .filter((F.col("run_no") > 1) & (F.col("run_no") < F.col("n_runs")))
             .select(key, (F.col("run_no") - 2).cast("long").alias("_i"), _transfer(F.col("run_len")).alias("_t")))
@@ -104,13 +104,35 @@ def stability(crawls: DataFrame, key: str = "url", hash_col: str = "html_hash",
                 .select(key, "_i", _compose(F.col("_ts.t")).alias("_t")))
     if span == 1:  # at most one middle run per key
         mids = mids.groupBy(key).agg(F.first("_t").alias("_t"))
-    composed = mids.select(key, F.col("_t").alias("_c"))
-    out = per_key.join(composed, key, "left")
-    r0 = stability_reset(F.col("_len0"))
-    r = F.coalesce(F.element_at(F.col("_c"), r0), r0)
-    s = F.when(F.col("n_runs") == 1, F.col("_len0")).otherwise(r + F.col("_lenK") - 1)
-    return out.select(key, "n_crawls", F.col("n_runs").cast("int").alias("n_runs"), "last_hash",
-                      "last_crawl_at", s.cast("int").alias("stability_count"))
+    return per_key.join(mids.select(key, F.col("_t").alias("middle")), key, "left")
+
+
+def _count_after(first: Column) -> Column:
+    """Stability after a summary's runs, given the count after its first run."""
+    r0 = stability_reset(first)
+    r = F.coalesce(F.element_at(F.col("middle"), r0), r0)
+    return F.when(F.col("n_runs") == 1, first).otherwise(r + F.col("last_len") - 1).cast("int")
+
+
+def stability(crawls: DataFrame, key: str = "url", hash_col: str = "html_hash",
+              fanin: int = FOLD_FANIN) -> DataFrame:
+    """Stability count per key after all crawls."""
+    out = stability_summary(crawls, key, hash_col, fanin)
+    return out.select(key, "n_crawls", "n_runs", "last_hash", "last_crawl_at",
+                      _count_after(F.col("first_len")).alias("stability_count"))
+
+
+def stability_merge(snapshot: DataFrame, crawls: DataFrame, key: str = "url", hash_col: str = "html_hash") -> DataFrame:
+    """W4 on a stored snapshot (key, n_crawls, last_hash, stability_count) and later
+    crawls, for the keys of the crawls: a first run of the stored hash goes on with it."""
+    s = snapshot.select(F.col(key).alias("_key"), F.col("n_crawls").alias("_n"), F.col("last_hash").alias("_hash"),
+                        F.col("stability_count").alias("_s"))
+    j = stability_summary(crawls, key, hash_col).join(s, F.col(key) == F.col("_key"), "left")
+    first = (F.when(F.col("_s").isNull(), F.col("first_len"))
+             .when(F.col("_hash") == F.col("first_hash"), F.col("_s") + F.col("first_len"))
+             .otherwise(stability_reset(F.col("_s")) + F.col("first_len") - 1))
+    return j.select(key, (F.coalesce("_n", F.lit(0)) + F.col("n_crawls")).alias("n_crawls"), "last_hash",
+                    _count_after(first).alias("stability_count"))
 
 
 # --- W1 / W2 / J9 ------------------------------------------------------------------
@@ -265,9 +287,10 @@ def flush_hits(hits: DataFrame, records: DataFrame, stats: DataFrame) -> DataFra
     crawl_record_id, url, hits)`` deltas; URLs with no AI record or no
     statistic are dropped."""
     counts = hits_per_url(hits)
-    rec = latest_ai_record(records.select("id", "url", "cleaned_markdown")).select(
-        F.col("url"), F.col("id").alias("crawl_record_id"))
-    st = latest_statistic(stats.select("id", "crawl_record_id")).select(
+    # only the batch's records, and only their statistics
+    mine = records.select("id", "url", "cleaned_markdown").join(counts.select("url"), "url", "left_semi")
+    rec = latest_ai_record(mine).select(F.col("url"), F.col("id").alias("crawl_record_id"))
+    st = latest_statistic(stats.select("id", "crawl_record_id").join(rec.select("crawl_record_id"), "crawl_record_id", "left_semi")).select(
         "crawl_record_id", F.col("id").alias("stat_id"))
     return counts.join(rec, "url").join(st, "crawl_record_id").select("stat_id", "crawl_record_id", "url", "hits")
 

@@ -17,11 +17,6 @@ from webweft.functions.urls import extract_domain
 from webweft.operators.sizing import sized_broadcast
 
 
-def _after(ts: Column, eid: Column, ref_ts: Column, ref_id: Column) -> Column:
-    """(ts, eid) strictly after (ref_ts, ref_id); false when ref is null."""
-    return F.coalesce((ts > ref_ts) | ((ts == ref_ts) & (eid > ref_id)), F.lit(False))
-
-
 def outcomes(df: DataFrame, url_col: str = "url", ok_col: str = "ok", ts_col: str = "ts",
              id_col: str = "event_id") -> DataFrame:
     """Outcome events ``(domain, ok, ts, event_id)``; unparsable URLs dropped."""
@@ -30,30 +25,76 @@ def outcomes(df: DataFrame, url_col: str = "url", ok_col: str = "ok", ts_col: st
             .filter(F.col("domain").isNotNull()))
 
 
-def reputation_fold(events: DataFrame, enabled: bool = True) -> DataFrame:
-    """A3: one row per host that has at least one failure."""
-    o = events
-    if not enabled:
-        return o.limit(0).select(F.col("domain"))
-    ok, ts, eid = F.col("ok"), F.col("ts"), F.col("event_id")
-    keys = o.groupBy("domain").agg(
-        F.max(F.when(ok, F.struct(ts.alias("t"), eid.alias("i")))).alias("ls"),
-        F.min(F.when(~ok, F.struct(ts.alias("t"), eid.alias("i")))).alias("ff"))
-    keys = keys.filter(F.col("ff").isNotNull())
-    j = o.join(keys, "domain")
-    after_ls = _after(ts, eid, F.col("ls.t"), F.col("ls.i")) | F.col("ls").isNull()
-    after_ff = _after(ts, eid, F.col("ff.t"), F.col("ff.i"))
-    agg = j.groupBy("domain").agg(
-        F.count_if(~ok & after_ls).cast("int").alias("consecutive_failures"),
-        F.count_if(~ok).cast("int").alias("total_failures"),
-        F.max(F.when(~ok, ts)).alias("last_failure_at"),
-        F.max(F.when(ok & after_ff, ts)).alias("last_success_at"))
+def host_buckets(events: DataFrame, bucket_minutes: int = 60) -> DataFrame:
+    """One row per host and time bucket: failures, failures after the bucket's last
+    success, whether it had one, and the times that a fold needs.
+
+    The events are shuffled once, by (host, bucket); a hot host is split by time."""
+    from webweft.operators.records import time_bucket
+    ok, at = F.col("ok"), F.struct(F.col("ts").alias("t"), F.col("event_id").alias("i"))
+    w = Window.partitionBy("domain", "_b")
+    e = (events.withColumn("_b", time_bucket(F.col("ts"), bucket_minutes)).withColumn("_at", at)
+         .withColumn("_ls", F.max(F.when(ok, at)).over(w)).withColumn("_ff", F.min(F.when(~ok, at)).over(w)))
+    return e.groupBy("domain", "_b").agg(
+        F.count_if(~ok).alias("failures"),
+        F.count_if(~ok & (F.col("_ls").isNull() | (F.col("_at") > F.col("_ls")))).alias("trailing"),
+        F.max(ok).alias("succeeded"), F.max(F.when(~ok, F.col("ts"))).alias("last_failure_at"),
+        F.max(F.when(ok, F.col("ts"))).alias("last_ok_at"),
+        F.max(F.when(ok & (F.col("_at") > F.col("_ff")), F.col("ts"))).alias("ok_after_failure_at"))
+
+
+def combine_buckets(buckets: DataFrame) -> DataFrame:
+    """Bucket rows of a host put together in time order: one row of the same columns."""
+    host = Window.partitionBy("domain")
+    b = (buckets.withColumn("_lb", F.max(F.when(F.col("succeeded"), F.col("_b"))).over(host))
+         .withColumn("_fb", F.min(F.when(F.col("failures") > 0, F.col("_b"))).over(host)))
+    after = F.col("_lb").isNull() | (F.col("_b") > F.col("_lb"))
+    return b.groupBy("domain").agg(
+        F.sum("failures").alias("failures"),
+        F.sum(F.when(after, F.col("failures")).when(F.col("_b") == F.col("_lb"), F.col("trailing")).otherwise(0)).alias("trailing"),
+        F.max("succeeded").alias("succeeded"), F.max("last_failure_at").alias("last_failure_at"),
+        F.max("last_ok_at").alias("last_ok_at"),
+        F.max(F.when(F.col("_b") > F.col("_fb"), F.col("last_ok_at"))
+              .when(F.col("_b") == F.col("_fb"), F.col("ok_after_failure_at"))).alias("ok_after_failure_at"))
+
+
+REPUTATION = ["domain", "consecutive_failures", "total_failures", "blocked_until", "last_failure_at",
+              "last_success_at", "updated_at"]
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    """Reputation rows with the block time (P15) and the time of the last change."""
     c = F.col("consecutive_failures")
-    return agg.select(
-        "domain", "consecutive_failures", "total_failures",
-        F.when(c > 0, add_minutes(F.col("last_failure_at"), block_minutes(c))).alias("blocked_until"),
-        "last_failure_at", "last_success_at",
-        F.greatest("last_failure_at", "last_success_at").alias("updated_at"))
+    return (rows.filter("total_failures > 0")
+            .withColumn("blocked_until", F.when(c > 0, add_minutes(F.col("last_failure_at"), block_minutes(c))))
+            .withColumn("updated_at", F.greatest("last_failure_at", "last_success_at")).select(*REPUTATION))
+
+
+def reputation_fold(events: DataFrame, enabled: bool = True) -> DataFrame:
+    """A3: one row per host that has at least one failure; none when disabled."""
+    rows = combine_buckets(host_buckets(events)).select(
+        "domain", F.col("trailing").cast("int").alias("consecutive_failures"),
+        F.col("failures").cast("int").alias("total_failures"), "last_failure_at",
+        F.col("ok_after_failure_at").alias("last_success_at"))
+    out = _finished(rows)
+    return out if enabled else out.limit(0)
+
+
+def reputation_merge(snapshot: DataFrame, events: DataFrame) -> DataFrame:
+    """The snapshot after a later batch of events, for the hosts of the batch.
+
+    Equal to the fold over all events when every event of a host is later than the
+    ones in its snapshot row.  A success only leaves a trace on a host that has failed."""
+    s = snapshot.select(*[F.col(c).alias("_" + c) for c in REPUTATION])
+    j = combine_buckets(host_buckets(events)).join(s, F.col("domain") == F.col("_domain"), "left")
+    known = F.col("_domain").isNotNull()
+    streak = F.when(F.col("succeeded"), F.col("trailing")).otherwise(F.coalesce("_consecutive_failures", F.lit(0)) + F.col("failures"))
+    return _finished(j.select(
+        "domain", streak.cast("int").alias("consecutive_failures"),
+        (F.coalesce("_total_failures", F.lit(0)) + F.col("failures")).cast("int").alias("total_failures"),
+        F.coalesce("last_failure_at", "_last_failure_at").alias("last_failure_at"),
+        F.when(known, F.coalesce("last_ok_at", "_last_success_at")).otherwise(F.col("ok_after_failure_at"))
+        .alias("last_success_at")))
 
 
 def failure_streak(events: DataFrame, bucket_minutes: int = 60) -> DataFrame:

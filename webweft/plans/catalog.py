@@ -486,33 +486,42 @@ from webweft.session import work_path  # noqa: E402
 from webweft.streaming import jobs as stream_jobs  # noqa: E402
 
 
-def _stream_source(spark, df: DataFrame, name: str, order_col: str = "ts") -> tuple[DataFrame, str]:
-    path = work_path(spark, "streams", name, "source")
-    stream_jobs.write_source_slices(df, path, order_col)
-    return stream_jobs.file_stream(spark, path, spark.read.parquet(path).schema), path
+def _run_stream(spark, df: DataFrame, name: str, start) -> str:
+    """``start(stream, sink, checkpoint)`` over the table as it arrives in time order; the sink."""
+    root = work_path(spark, "streams", name)
+    sink = f"{root}/sink"
+    stream_jobs.run_in_slices(df, root, "ts", lambda stream: start(stream, sink, f"{root}/checkpoint"))
+    return sink
 
 
 def stream_reputation(spark: SparkSession, sf: str) -> DataFrame:
     """R2 over the fetch log, micro-batch by micro-batch; equals A3."""
-    src, _ = _stream_source(spark, _fetch_outcomes(spark, sf), "outcomes")
-    sink, ck = work_path(spark, "streams", "rep", "sink"), work_path(spark, "streams", "rep", "ckpt")
-    stream_jobs.reputation_stream(src, sink, ck)
-    return stream_jobs.latest_rows(spark.read.parquet(sink), "domain")
+    sink = _run_stream(spark, _fetch_outcomes(spark, sf), "outcomes", stream_jobs.reputation_stream)
+    return stream_jobs.latest_rows(spark.read.parquet(sink), "domain").select(*rep_ops.REPUTATION)
 
 
 def stream_stability(spark: SparkSession, sf: str) -> DataFrame:
     """R3 over the crawl log; equals W4."""
     crawls = derived.fx_crawls(spark, sf).select("url", "html_hash", "ts", "event_id")
-    src, _ = _stream_source(spark, crawls, "crawls")
-    sink, ck = work_path(spark, "streams", "stab", "sink"), work_path(spark, "streams", "stab", "ckpt")
-    stream_jobs.stability_stream(src, sink, ck)
+    sink = _run_stream(spark, crawls, "crawls", stream_jobs.stability_stream)
     return stream_jobs.latest_rows(spark.read.parquet(sink), "url").drop("last_hash")
 
 
 def stream_hit_flush(spark: SparkSession, sf: str) -> DataFrame:
-    """R1 over the hit log (one file per trigger); equals the batch flush."""
-    src, _ = _stream_source(spark, derived.fx_hits(spark, sf), "hits")
-    sink, ck = work_path(spark, "streams", "hits", "sink"), work_path(spark, "streams", "hits", "ckpt")
-    stats = derived.fx_stats(spark, sf)
-    stream_jobs.hit_flush_stream(src, derived.fx_records(spark, sf), stats, sink, ck)
+    """R1 over the hit log; equals the batch flush."""
+    stats, records = derived.fx_stats(spark, sf), derived.fx_records(spark, sf)
+    sink = _run_stream(spark, derived.fx_hits(spark, sf), "hits",
+                       lambda stream, to, checkpoint: stream_jobs.hit_flush_stream(stream, records, stats, to, checkpoint))
     return rec_ops.apply_hit_deltas(stats.select("id", "cache_hit_count"), spark.read.parquet(sink))
+
+
+def reputation_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The fold of the first half of the fetch log, merged with the second half; equals A3."""
+    log = cut_lineage(_fetch_outcomes(spark, sf), "outcomes")
+    half = log.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0] or 0
+    edge = log.filter(F.col("event_id") == half).agg(F.min("ts")).first()[0]
+    cut = F.lit(str(edge)).cast("timestamp_ntz")
+    before = cut_lineage(rep_ops.reputation_fold(log.filter(F.col("ts") <= cut)), "reputations")
+    merged = rep_ops.reputation_merge(before, log.filter(F.col("ts") > cut))
+    untouched = before.join(merged.select("domain"), "domain", "left_anti")
+    return merged.unionByName(untouched)

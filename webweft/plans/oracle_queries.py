@@ -359,6 +359,7 @@ SQL["page_metadata"] = f"""SELECT page_id,
 
 # --- streams: the batch forms -------------------------------------------------------------------
 SQL["stream_reputation"] = SQL["reputation"]
+SQL["reputation_merge"] = SQL["reputation"]
 SQL["stream_stability"] = SQL["stability"].replace(f"""SELECT url, n_crawls, n_runs, stability_count,
     round({curve('stability_count', 60.0, 3, 10080.0)}, 4) AS ttl_minutes,
     {reset('stability_count')} AS reset_to, true AS jitter_in_range FROM fx_stab""", "SELECT url, n_crawls, stability_count FROM fx_stab")

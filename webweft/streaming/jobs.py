@@ -4,59 +4,64 @@ All sources are file sources (append-only event tables in the shared
 folder); every query has its own checkpoint location, so a restarted or
 retried micro-batch resumes where it stopped.  Sinks are idempotent: a
 micro-batch writes under its own ``batch_id`` (overwrite), so a replay never
-adds twice.  Stateful operators use ``applyInPandasWithState`` keyed on the
-host or URL; events of one key are applied in ``(ts, event_id)`` order
-inside a micro-batch, and micro-batches are assumed to arrive in time order
-(an append-ordered log).
+adds twice.  Keyed state is a table: a micro-batch is summarised per key with
+partial aggregates, and the summaries are merged into the keys' rows.
+Micro-batches are assumed to arrive in time order (an append-ordered log).
 """
 
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from webweft.functions.policy import (BLOCK_BASE_MINUTES, BLOCK_MAX_MINUTES, BLOCK_THRESHOLD,
-                                      CACHE_RESET_CAP, CACHE_RESET_DIVISOR)
 from webweft.operators import records as rec_ops
+from webweft.operators.reputation import reputation_merge
 
 # --- sources -------------------------------------------------------------------------------
 
 
-def write_source_slices(df: DataFrame, path: str, order_col: str, slices: int = 4) -> str:
-    """Append ``df`` to a file-source folder in ``slices`` time-ordered writes
-    (each write becomes one or more files, later slices get later times)."""
-    bounds = df.select(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    if bounds["lo"] is None:
-        df.limit(0).write.mode("append").parquet(path)
-        return path
-    lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / slices
-    for i in range(slices):
-        a = lo + step * i
-        b = hi if i == slices - 1 else lo + step * (i + 1)
-        cond = (F.col(order_col) >= _lit_like(a)) & ((F.col(order_col) <= _lit_like(b)) if i == slices - 1
-                                                      else (F.col(order_col) < _lit_like(b)))
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
-    return path
+def staged_slices(df: DataFrame, path: str, order_col: str, slices: int = 4) -> list[str]:
+    """``df`` written once, in ``slices`` folders of successive ranges of ``order_col``
+    (rows without one are in the first); each folder has a file per task and range."""
+    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+    number = F.lit(0)
+    if lo is not None and hi is not None and hi > lo:
+        step = (hi - lo) / slices
+        for i in range(1, slices):
+            number = F.when(F.col(order_col) >= _lit_like(lo + step * i), F.lit(i)).otherwise(number)
+    df.withColumn("_slice", number).write.partitionBy("_slice").parquet(path)
+    return [f"{path}/_slice={i}" for i in range(slices)]
 
 
 def _lit_like(v):
     """Literal for a bound read back from the data: wall-clock times become
     ``timestamp_ntz`` literals (a Python datetime literal would be read in
     the session time zone and shift the bound)."""
-    import datetime as _dt
-    if isinstance(v, _dt.datetime):
+    if isinstance(v, datetime):
         return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
     return F.lit(v)
 
 
+def run_in_slices(df: DataFrame, path: str, order_col: str, start: Callable[[DataFrame], object], slices: int = 4) -> None:
+    """Let the slices of a table arrive one after the other in a source folder, and run
+    ``start(stream)`` (an ``availableNow`` query with one checkpoint) after each."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(f"{path}/source")
+    fs = source.getFileSystem(conf)
+    fs.mkdirs(source)
+    for i, folder in enumerate(staged_slices(df, f"{path}/staged", order_col, slices)):
+        staged = jvm.org.apache.hadoop.fs.Path(folder)
+        if fs.exists(staged):
+            fs.rename(staged, jvm.org.apache.hadoop.fs.Path(f"{path}/source/part-{i}"))
+            start(spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{path}/source"))
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
     """Append-only event folder as a stream; ``maxFilesPerTrigger`` bounds a
     micro-batch (T4)."""
@@ -88,181 +93,86 @@ def hit_flush_stream(hits: DataFrame, records: DataFrame, stats: DataFrame, sink
     return _run(w, available_now, processing_time)
 
 
-# --- R2: live reputation --------------------------------------------------------------------
-
-REP_OUT = T.StructType([
-    T.StructField("domain", T.StringType()),
-    T.StructField("consecutive_failures", T.IntegerType()),
-    T.StructField("total_failures", T.IntegerType()),
-    T.StructField("blocked_until", T.TimestampNTZType()),
-    T.StructField("last_failure_at", T.TimestampNTZType()),
-    T.StructField("last_success_at", T.TimestampNTZType()),
-    T.StructField("updated_at", T.TimestampNTZType()),
-    T.StructField("seq", T.LongType()),
-])
-# state keeps wall-clock times as microseconds since the epoch: independent
-# of the session time zone on every state round trip
-REP_STATE = T.StructType([
-    T.StructField("exists", T.BooleanType()),
-    T.StructField("consecutive", T.IntegerType()),
-    T.StructField("total", T.IntegerType()),
-    T.StructField("last_failure_us", T.LongType()),
-    T.StructField("last_success_us", T.LongType()),
-    T.StructField("seq", T.LongType()),
-])
-
-
-def _to_us(ts) -> int | None:
-    return None if ts is None or pd.isna(ts) else int(pd.Timestamp(ts).value // 1000)
-
-
-def _from_us(us):
-    return None if us is None or pd.isna(us) else pd.Timestamp(int(us) * 1000)
-
-
-def _block_minutes(n: int) -> float:
-    import math
-    if n <= BLOCK_THRESHOLD:
-        raw = BLOCK_BASE_MINUTES * (1 + math.log2(max(n, 0) + 1))
-    else:
-        raw = BLOCK_BASE_MINUTES * (1 + math.log2(BLOCK_THRESHOLD + 1)) * 2 ** (n - BLOCK_THRESHOLD)
-    return min(raw, BLOCK_MAX_MINUTES)
+# --- keyed state as a table ---------------------------------------------------------------------
 
+def keyed_state_stream(stream: DataFrame, key: str, schema: T.StructType, sink: str, checkpoint: str,
+                       merge: Callable[[DataFrame, DataFrame], DataFrame], available_now: bool, processing_time: str):
+    """Run ``merge(state, batch)`` on every micro-batch; its rows are the new state of
+    the batch's keys and are written to ``sink/batch_id=<id>``.  The state before a
+    batch is the latest row of each key in earlier batches, so a replayed batch
+    writes the same rows again."""
+    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
 
-def _reputation_update(key, pdfs, state):
-    (domain,) = key
-    if state.exists:
-        ex, cons, tot, lf, ls, seq = state.get
-        lf, ls = _from_us(lf), _from_us(ls)
-    else:
-        ex, cons, tot, lf, ls, seq = False, 0, 0, None, None, 0
-    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    last_ts = None
-    for ok, ts in zip(pdf["ok"], pdf["ts"]):
-        ts = pd.Timestamp(ts)
-        if ok:
-            if ex:  # a success only leaves a trace on an existing row
-                cons, ls, last_ts = 0, ts, ts
+    def update(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        if batch_id:
+            earlier = spark.read.schema(stored).parquet(sink).filter(F.col("batch_id") < batch_id)
+            state = latest_rows(earlier, key)
         else:
-            ex, cons, tot, lf, last_ts = True, cons + 1, tot + 1, ts, ts
-    seq += 1
-    state.update((ex, cons, tot, _to_us(lf), _to_us(ls), seq))
-    if not ex:
-        return
-    blocked = None
-    if cons > 0:
-        micros = int(_block_minutes(cons) * 60_000_000)
-        blocked = pd.Timestamp(lf) + pd.Timedelta(microseconds=micros)
-    upd = max(x for x in (lf, ls) if x is not None)
-    yield pd.DataFrame({"domain": [domain], "consecutive_failures": [cons], "total_failures": [tot],
-                        "blocked_until": [blocked], "last_failure_at": [lf], "last_success_at": [ls],
-                        "updated_at": [upd], "seq": [seq]})
+            state = spark.createDataFrame([], schema)
+        merge(state, batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-
-def reputation_stream(outcomes: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
-                      processing_time: str = "60 seconds"):
-    """R2: keyed state per host (five scalars); each micro-batch appends the
-    touched hosts' current rows (with a sequence number) to ``sink``."""
-    out = outcomes.groupBy("domain").applyInPandasWithState(
-        _reputation_update, REP_OUT, REP_STATE, "append", GroupStateTimeout.NoTimeout)
-    w = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint) \
-        .outputMode("append")
-    return _run(w, available_now, processing_time)
+    return _run(stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint), available_now, processing_time)
 
 
 def latest_rows(df: DataFrame, key: str) -> DataFrame:
-    """Current row per key from an append-only state log (highest ``seq``)."""
-    return rec_ops.latest_by(df, key, "seq").drop("seq")
+    """Current row per key of a state table (highest batch)."""
+    return rec_ops.latest_by(df, key, "batch_id").drop("batch_id")
+
+
+# --- R2: live reputation --------------------------------------------------------------------
+
+REPUTATION_STATE = ("domain string, consecutive_failures int, total_failures int, blocked_until timestamp_ntz, "
+                    "last_failure_at timestamp_ntz, last_success_at timestamp_ntz, updated_at timestamp_ntz")
+
+
+def reputation_stream(outcomes: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
+                      processing_time: str = "60 seconds"):
+    """R2: each micro-batch is summarised per host and merged into the reputations.
+    Batches of a host must come in time order."""
+    return keyed_state_stream(outcomes, "domain", T.StructType.fromDDL(REPUTATION_STATE), sink, checkpoint,
+                              reputation_merge, available_now, processing_time)
 
 
 # --- R3: live stability -----------------------------------------------------------------------
 
-STAB_OUT = T.StructType([
-    T.StructField("url", T.StringType()),
-    T.StructField("n_crawls", T.LongType()),
-    T.StructField("stability_count", T.IntegerType()),
-    T.StructField("last_hash", T.StringType()),
-    T.StructField("seq", T.LongType()),
-])
-STAB_STATE = T.StructType([
-    T.StructField("last_hash", T.StringType()),
-    T.StructField("stability", T.IntegerType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("seq", T.LongType()),
-])
-
-
-def _stability_update(key, pdfs, state):
-    (url,) = key
-    last, s, n, seq = state.get if state.exists else (None, 0, 0, 0)
-    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    for h in pdf["html_hash"]:
-        if last is None:
-            s = 1
-        elif h == last:
-            s += 1
-        else:
-            s = max(1, min(s // CACHE_RESET_DIVISOR, CACHE_RESET_CAP))
-        last, n = h, n + 1
-    seq += 1
-    state.update((last, s, n, seq))
-    yield pd.DataFrame({"url": [url], "n_crawls": [n], "stability_count": [s], "last_hash": [last],
-                        "seq": [seq]})
+STABILITY_STATE = "url string, n_crawls long, last_hash string, stability_count int"
 
 
 def stability_stream(crawls: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
                      processing_time: str = "60 seconds"):
-    """Keyed state ``(last_hash, stability)`` per URL (change detection)."""
-    out = crawls.groupBy("url").applyInPandasWithState(
-        _stability_update, STAB_OUT, STAB_STATE, "append", GroupStateTimeout.NoTimeout)
-    w = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint) \
-        .outputMode("append")
-    return _run(w, available_now, processing_time)
+    """Each micro-batch is summarised per URL and merged into (last hash, stability)."""
+    return keyed_state_stream(crawls, "url", T.StructType.fromDDL(STABILITY_STATE), sink, checkpoint,
+                              rec_ops.stability_merge, available_now, processing_time)
 
 
 # --- R4: request de-duplication within a TTL ---------------------------------------------------
 
-DEDUP_OUT = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("context_hash", T.StringType()),
-    T.StructField("does_work", T.BooleanType()),
-])
-DEDUP_STATE = T.StructType([T.StructField("until_ms", T.LongType())])
-
-
-def _dedup_update(ttl_ms: int, timers: bool):
-    def fn(key, pdfs, state):
-        (ch,) = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now_ms = int(time.time() * 1000)
-        live = state.exists and state.get[0] > now_ms  # expiry is also checked lazily
-        pdf = pd.concat(list(pdfs)).sort_values("request_id")
-        work = [False] * len(pdf)
-        if not live:
-            work[0] = True
-            state.update((now_ms + ttl_ms,))
-            if timers:
-                state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"request_id": pdf["request_id"].astype("int64"), "context_hash": ch, "does_work": work})
-    return fn
+DEDUP_ROWS = "request_id long, context_hash string, does_work boolean, until_ms long, batch_id long"
 
 
 def dedup_stream(requests: DataFrame, ttl_minutes: float, sink: str, checkpoint: str,
                  available_now: bool = True, processing_time: str = "10 seconds"):
-    """The first request per context hash does the work; later ones within
-    the TTL are answered from the cache.  Keyed state holds the expiry; a
-    continuous query also sets a processing-time timeout so idle keys are
-    dropped (an ``availableNow`` run checks expiry lazily instead, since
-    pending timers would keep it running no-data batches)."""
-    timers = not available_now
-    out = requests.groupBy("context_hash").applyInPandasWithState(
-        _dedup_update(int(ttl_minutes * 60_000), timers), DEDUP_OUT, DEDUP_STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
-    w = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint) \
-        .outputMode("append")
-    return _run(w, available_now, processing_time)
+    """The first request per context hash does the work; later ones within the TTL
+    are answered from the cache.  The state is the sink itself: its working requests
+    whose time is not over.  Of a batch's requests for one hash the first is found by a
+    partial aggregate, so a hash that everybody asks for is no hot key."""
+    ttl_ms = int(ttl_minutes * 60_000)
+
+    def update(batch: DataFrame, batch_id: int):
+        spark, now_ms = batch.sparkSession, int(time.time() * 1000)
+        first = batch.groupBy("context_hash").agg(F.min("request_id").alias("_first"))
+        if batch_id:
+            held = (spark.read.schema(DEDUP_ROWS).parquet(sink)
+                    .filter((F.col("batch_id") < batch_id) & F.col("does_work") & (F.col("until_ms") > now_ms)))
+            first = first.join(held.select("context_hash"), "context_hash", "left_anti")
+        out = batch.select("request_id", "context_hash").join(first, "context_hash", "left")
+        work = F.coalesce(F.col("request_id") == F.col("_first"), F.lit(False))
+        out.select("request_id", "context_hash", work.alias("does_work"),
+                   F.when(work, F.lit(now_ms + ttl_ms)).alias("until_ms")).write.mode("overwrite").parquet(
+            f"{sink}/batch_id={batch_id}")
+
+    return _run(requests.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint), available_now, processing_time)
 
 
 def dedup_within_watermark(requests: DataFrame, ttl: str = "60 minutes") -> DataFrame:
@@ -272,34 +182,42 @@ def dedup_within_watermark(requests: DataFrame, ttl: str = "60 minutes") -> Data
 
 # --- R5: periodic blocklist refresh ------------------------------------------------------------
 
+SNAPSHOT_DONE = "_SUCCESS"
+
+
 def refresh_rules(spark: SparkSession, lines: DataFrame, snapshot_root: str,
                   load: Callable[[DataFrame], DataFrame]) -> str:
-    """Build a new rule snapshot; with no block rule keep the old
-    one; classes missing from the new load keep their old rules.  The
-    snapshot is written to a new folder and the ``CURRENT`` pointer switched
-    afterwards, so readers never see a half-written snapshot."""
+    """Build a new rule snapshot; with no block rule the old one stays.
+
+    Snapshots are numbered folders.  A reader takes the highest number whose
+    write has been committed, so the switch is the commit of the new folder,
+    and a failed read of the old rules fails the refresh instead of passing
+    for a first load."""
     from webweft.operators.blocklist import swap_snapshot
-    pointer = f"{snapshot_root}/CURRENT"
-    old = None
-    try:
-        cur = spark.read.text(pointer).first()
-        if cur is not None:
-            old = spark.read.parquet(cur["value"])
-    except Exception:  # noqa: BLE001 - first load: no pointer yet
-        old = None
-    new = load(lines)
-    merged = swap_snapshot(old, new)
+    done = committed_snapshots(spark, snapshot_root)
+    old = spark.read.parquet(f"{snapshot_root}/snap-{done[-1]:08d}") if done else None
+    merged = swap_snapshot(old, load(lines))
     if old is not None and merged is old:
-        return cur["value"]
-    path = f"{snapshot_root}/snap-{uuid.uuid4().hex}"
-    merged.write.parquet(path)
-    spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+        return f"{snapshot_root}/snap-{done[-1]:08d}"
+    path = f"{snapshot_root}/snap-{(done[-1] + 1 if done else 0):08d}"
+    merged.write.mode("overwrite").parquet(path)
     return path
 
 
+def committed_snapshots(spark: SparkSession, snapshot_root: str) -> list[int]:
+    """Numbers of the finished snapshots, in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(snapshot_root)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n[5:]) for n in names if n.startswith("snap-")
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{snapshot_root}/{n}/{SNAPSHOT_DONE}")))
+
+
 def current_rules(spark: SparkSession, snapshot_root: str) -> DataFrame:
-    cur = spark.read.text(f"{snapshot_root}/CURRENT").first()["value"]
-    return spark.read.parquet(cur)
+    return spark.read.parquet(f"{snapshot_root}/snap-{committed_snapshots(spark, snapshot_root)[-1]:08d}")
 
 
 # --- R6: after-search actions ------------------------------------------------------------------
