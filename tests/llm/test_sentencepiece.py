@@ -58,7 +58,7 @@ def test_any_text(text):
 
 
 def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(C, "KEPT", 3)
+    monkeypatch.setattr(C, "PAIRS", 3)
     monkeypatch.setattr(pieces, "KEPT", 3)
     own = C.Codec(PATH)
     text = "one two three four \x01\x02 one five. six, one"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-# Pieces kept by a worker before it forgets them all.
-KEPT = 800_000
+# Pieces that a worker keeps; further ones are learnt for one batch.
+KEPT = 400_000
 
 
 def gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -18,9 +18,6 @@ class PieceStore:
     """Pieces and their ids in two growing arrays.  ``learn`` of a subclass keeps new pieces."""
 
     def __init__(self) -> None:
-        self.forget()
-
-    def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.ids_of, self.first = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64)
 
@@ -43,13 +40,12 @@ class PieceStore:
         return gathered(self.ids_of, self.first[codes], self.first[codes + 1] - self.first[codes])
 
     def codes_of(self, pieces: list[str]) -> np.ndarray:
-        """Places of pieces; unknown ones are learnt."""
+        """Places of pieces, valid until the next call; unknown pieces are learnt."""
+        while len(self.code) > KEPT:  # the pieces learnt last
+            self.code.popitem()
         codes = list(map(self.code.get, pieces))
         if None in codes:
             missing = [i for i, c in enumerate(codes) if c is None]
-            if self.code and len(self.code) + 2 * len(missing) > KEPT:
-                self.forget()
-                return self.codes_of(pieces)
             self.learn([pieces[i] for i in missing])
             for i in missing:
                 codes[i] = self.code[pieces[i]]

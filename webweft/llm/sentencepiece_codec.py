@@ -41,12 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webweft.llm.common import short_batches, table
-from webweft.llm.pieces import KEPT, PieceStore, gathered
+from webweft.llm.pieces import PieceStore, gathered
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-# Longest word kept by a worker.
-LONGEST = 48
+# Longest word kept by a worker, and pairs of pieces that it keeps.
+LONGEST, PAIRS = 48, 250_000
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN_PENALTY = 10.0
 # Letters after which, and signs before which, words may fall apart.
@@ -145,9 +145,9 @@ class Codec(PieceStore):
 
     def judge(self, key: tuple[str, str]) -> bool:
         """Whether merges keep two neighbours apart, and each of them whole."""
-        if len(self.pairs) >= KEPT:
-            self.pairs.clear()
-        self.pairs[key] = stays = self.merged("".join(key)) == [x for x in key if x]
+        stays = self.merged("".join(key)) == [x for x in key if x]
+        if len(self.pairs) < PAIRS:
+            self.pairs[key] = stays
         return stays
 
     def merged(self, text: str) -> list[str]:
