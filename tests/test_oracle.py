@@ -43,4 +43,4 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_every_query_has_oracle_or_is_rows_only(spark):
     rows_only = set(library_queries(E.queries())) - set(E.oracle_sql())
-    assert rows_only <= {"page_clean", "scrape_flow", "scrape_records"}
+    assert rows_only <= {"page_clean", "scrape_flow"}

@@ -43,9 +43,6 @@ def jitter_factor(key, seed: int = 42) -> Column:
     return F.lit(JITTER_LOW) + F.lit(JITTER_SPAN) * h
 
 
-def cache_ttl_with_jitter(n, key, seed: int = 42) -> Column:
-    return cache_ttl_minutes(n) * jitter_factor(key, seed)
-
 
 def block_minutes(n, base=BLOCK_BASE_MINUTES, threshold=BLOCK_THRESHOLD,
                   cap=BLOCK_MAX_MINUTES) -> Column:

@@ -25,8 +25,3 @@ def is_blank(col) -> Column:
 def not_blank(col) -> Column:
     c = _c(col)
     return c.isNotNull() & c.rlike(r"(?U)\S")
-
-
-def null_if_blank(col) -> Column:
-    c = _c(col)
-    return F.when(not_blank(c), c)

@@ -32,11 +32,6 @@ def has_authority(col) -> Column:
     return _c(col).rlike(_HIER + ".*") & (F.length(_hier(_c(col), 2)) > 0)
 
 
-def absolute_or_https(col) -> Column:
-    """The text itself when it is absolute, else the text with ``https://``."""
-    c = _c(col)
-    return F.when(has_authority(c), c).otherwise(F.concat(F.lit("https://"), c))
-
 
 def url_scheme(col) -> Column:
     c = _c(col)

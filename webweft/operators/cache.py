@@ -143,10 +143,3 @@ def rename_key(table: DataFrame, old: tuple[str, str], new: tuple[str, str]) ->
         *[F.when(is_old, F.lit(new[0])).otherwise(F.col("prefix")).alias("prefix") if c == "prefix"
           else F.when(is_old, F.lit(new[1])).otherwise(F.col("key")).alias("key") if c == "key"
           else F.col(c) for c in table.columns])
-
-
-def expire_key(table: DataFrame, key: tuple[str, str], as_of, minutes: float) -> DataFrame:
-    """U6 expire: set a key's expiry to ``as_of + minutes``."""
-    hit = (F.col("prefix") == key[0]) & (F.col("key") == key[1])
-    return table.withColumn("expires_at", F.when(hit, add_minutes(_ts(as_of), F.lit(minutes)))
-                            .otherwise(F.col("expires_at")))

@@ -71,9 +71,3 @@ def resolve(attempts: DataFrame, proxy: bool, min_len: int = MIN_TEXT_LENGTH,
         F.element_at(names, tier.cast("int")).alias("tier_name"),
         html.alias("html"), tlen.cast("int").alias("text_len"),
         F.when(~success, F.coalesce(last_err, F.lit(ALL_TIERS_FAILED))).alias("error"))
-
-
-def failure_outcomes(resolved: DataFrame, ts_col: str = "ts") -> DataFrame:
-    """F8: a failed fetch, or one with no content, is a domain failure."""
-    ok = F.col("success") & F.col("html").isNotNull()
-    return resolved.withColumn("fetch_ok", ok)

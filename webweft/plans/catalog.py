@@ -444,25 +444,54 @@ def _markdown_cleaner(text: str):
                   "cache_hit_tokens": 0, "cache_miss_tokens": n}
 
 
-def scrape_run(spark: SparkSession, sf: str, ai_configured: bool = True):
+def _scrape_state(spark, sf):
+    """Requests, fetched pages, and the prior state as stored snapshots (reputations S4, records S2)."""
     req = derived.fx_scrape_req(spark, sf)
     pages = read_table(spark, sf, "pages")
     fetched = pages.filter(~F.col("url").contains("ads-track")).select("url", "html")
-    pid = F.col("page_id")
     spam = F.col("url").rlike("casino|pills")
     outcomes = pages.select("url", (~spam).alias("ok"),
-                            F.lit("2024-01-30 22:59:00").cast("timestamp_ntz").alias("ts"), pid.alias("event_id"))
-    # prior state as stored snapshots (reputations S4, records S2)
+                            F.lit("2024-01-30 22:59:00").cast("timestamp_ntz").alias("ts"), F.col("page_id").alias("event_id"))
     reps = cut_lineage(rep_ops.reputation_fold(rep_ops.outcomes(outcomes)), "reputations")
-    records = cut_lineage(_page_records(spark, sf), "page_records")
+    return req, fetched, cut_lineage(_page_records(spark, sf), "page_records"), reps
+
+
+def _scrape(spark, sf, state, cache):
+    req, fetched, records, reps = state
+    return scrape_plan.batch_scrape(req, fetched, records, cache, reps, derived.fx_robots(spark, sf), AS_OF,
+                                    ai_configured=True, ai_cleaner=_markdown_cleaner)
+
+
+def scrape_run(spark: SparkSession, sf: str):
+    state = _scrape_state(spark, sf)
     ctx = scrape_context(spark, sf)
-    cache = (ctx.join(req.select("request_id", "url"), "request_id").filter(F.col("url").contains("/en/") & F.col("url").endswith(".html"))
-             .select(F.lit("Crawl").alias("prefix"), F.col("context_hash").alias("key"),
-                     F.to_json(F.struct(F.lit(True).alias("success"), F.col("request_id"))).alias("value"),
+    held = F.col("url").contains("/en/") & F.col("url").endswith(".html")
+    value = F.to_json(F.struct(F.lit(True).alias("success"), F.concat(F.lit("held "), F.col("request_id")).alias("markdown")))
+    cache = (ctx.join(state[0].select("request_id", "url"), "request_id").filter(held)
+             .select(F.lit("Crawl").alias("prefix"), F.col("context_hash").alias("key"), value.alias("value"),
                      F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("expires_at")))
-    return scrape_plan.batch_scrape(req, fetched, records, cache, reps,
-                                    derived.fx_robots(spark, sf), AS_OF, ai_configured=ai_configured,
-                                    ai_cleaner=_markdown_cleaner)
+    return _scrape(spark, sf, state, cache)
+
+
+def scrape_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1: which branch answered each request, and with which record."""
+    r = scrape_run(spark, sf).responses
+    return r.select("request_id", "source", "success", "error", "crawl_record_id",
+                    F.when(F.col("source") == "cache", F.col("markdown")).alias("held_markdown"))
+
+
+def scrape_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1 twice: what the first run wrote to the cache answers the second one alike."""
+    state = _scrape_state(spark, sf)
+    first = _scrape(spark, sf, state, None)
+    writes = cut_lineage(first.cache_writes, "cache_writes")
+    cache = writes.select("prefix", "key", "value", F.lit("2024-03-01 00:00:00").cast("timestamp_ntz").alias("expires_at"))
+    again = _scrape(spark, sf, state, cache).responses
+    answer = F.struct("markdown", "html", "metadata", "crawl_record_id")
+    pairs = (first.responses.select("request_id", answer.alias("a"))
+             .join(again.select("request_id", "source", answer.alias("b")), "request_id"))
+    hit = F.col("source") == "cache"
+    return pairs.select("request_id", hit.alias("from_cache"), F.when(hit, F.col("a").eqNullSafe(F.col("b"))).alias("same_answer"))
 
 
 def scrape_flow(spark: SparkSession, sf: str) -> DataFrame:

@@ -357,6 +357,39 @@ SQL["page_metadata"] = f"""SELECT page_id,
     CASE WHEN has_head AND page_id % 3 = 0 THEN 'fr_FR, es_ES' ELSE '' END AS og_locale_alternate
     FROM (SELECT *, contains(html, '<head>') AS has_head, contains(html, '<body>') AS has_body FROM pages)"""
 
+# --- Q1: the branch of each request -----------------------------------------------------------
+SCRAPED = f"""fx_blocked AS (SELECT h FROM (SELECT {domain('url')} AS h, arg_max(regexp_matches(url, 'casino|pills'), page_id) AS bad
+        FROM pages GROUP BY 1) WHERE bad),
+fx_scraped AS (SELECT p.page_id AS pid, p.url, p.html, page_id % 3 <> 0 AS use_ai, page_id % 5 <> 4 AS known,
+    CASE WHEN __HELD__ THEN 'cache' WHEN b.h IS NOT NULL THEN 'blocked' WHEN contains(url, 'ads-track') THEN 'fetch_failed'
+         WHEN page_id % 3 = 0 AND page_id % 5 <> 4 THEN 'hash_hit' ELSE 'cleaned' END AS source
+    FROM pages p LEFT JOIN fx_blocked b ON b.h = {domain('url')}),
+fx_new AS (SELECT url, (SELECT max(page_id) FROM pages WHERE page_id % 5 <> 4)
+        + row_number() OVER (ORDER BY source = 'fetch_failed', url) AS new_id
+    FROM fx_scraped WHERE (source = 'cleaned' AND NOT known) OR source = 'fetch_failed')"""
+_held = SCRAPED.replace("__HELD__", "contains(url, '/en/') AND ends_with(url, '.html')")
+
+SQL["scrape_sources"] = with_ctes([], """SELECT pid AS request_id, source, source IN ('cache', 'hash_hit', 'cleaned') AS success,
+    CASE source WHEN 'blocked' THEN 'The website refused the connection, likely due to strict anti-crawling measures. '
+                                    || 'This domain will be temporarily avoided.'
+                WHEN 'fetch_failed' THEN 'All fetch tiers failed' END AS error,
+    CASE WHEN source IN ('hash_hit', 'cleaned') AND known THEN pid ELSE new_id END AS crawl_record_id,
+    CASE WHEN source = 'cache' THEN 'held ' || pid END AS held_markdown
+    FROM fx_scraped LEFT JOIN fx_new USING (url)""", [_held])
+
+SQL["scrape_records"] = with_ctes([], """SELECT pid AS id, url,
+        CASE WHEN source = 'cleaned' OR pid % 3 = 0 THEN sha256(html) ELSE sha256('old') END AS html_hash,
+        CAST(CASE source WHEN 'hash_hit' THEN pid % 9 + 2 WHEN 'cleaned' THEN greatest(1, least((pid % 9 + 1) // 5, 6))
+             ELSE pid % 9 + 1 END AS INTEGER) AS stability_count,
+        'Completed' AS status, CASE WHEN source = 'cleaned' THEN use_ai ELSE pid % 2 = 0 END AS has_ai
+    FROM fx_scraped WHERE known
+    UNION ALL SELECT new_id, url, CASE WHEN source = 'cleaned' THEN sha256(html) END, CASE WHEN source = 'cleaned' THEN 1 ELSE 0 END,
+        CASE WHEN source = 'cleaned' THEN 'Completed' ELSE 'Failed' END, source = 'cleaned' AND use_ai
+    FROM fx_scraped JOIN fx_new USING (url)""", [_held])
+
+SQL["scrape_cached"] = with_ctes([], """SELECT pid AS request_id, source IN ('hash_hit', 'cleaned') AS from_cache,
+    CASE WHEN source IN ('hash_hit', 'cleaned') THEN true END AS same_answer FROM fx_scraped""", [SCRAPED.replace("__HELD__", "false")])
+
 # --- streams: the batch forms -------------------------------------------------------------------
 SQL["stream_reputation"] = SQL["reputation"]
 SQL["reputation_merge"] = SQL["reputation"]

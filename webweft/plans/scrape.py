@@ -73,10 +73,13 @@ def _response(df: DataFrame, source: str, success, error=None, blocked_until=Non
 
 def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, cache: DataFrame | None,
                  reputations: DataFrame | None, robots: DataFrame | None, as_of, ai_configured: bool = False,
-                 ai_cleaner: Callable | None = None, dns: DataFrame | None = None) -> ScrapeResult:
+                 ai_cleaner: Callable | None = None, dns: DataFrame | None = None,
+                 statistics: DataFrame | None = None) -> ScrapeResult:
     """``requests(request_id, url, formats, skip_ai)``; ``fetched(url, html)``
     (missing URL = fetch failure; a ``fetch_error`` column may carry the A9
-    error); ``records`` a record snapshot; ``cache`` a cache snapshot."""
+    error, a ``fetch_tier`` column its tier); ``records`` a record snapshot;
+    ``cache`` a cache snapshot; ``statistics`` the stored statistics, whose ids
+    the new rows go on from."""
     now = F.lit(as_of).cast("timestamp_ntz")
     fm = F.coalesce(F.col("formats"), F.array(*[F.lit(x) for x in DEFAULT_FORMATS]))
     req = (requests.withColumn("formats", fm)
@@ -190,6 +193,9 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
         F.col("_rid").alias("crawl_record_id"), "content_hash", F.lit(0).alias("cache_hit_count"),
         *[F.col(f"usage.{c}").alias(c) for c in clean_ops.USAGE_FIELDS], now.alias("created_at"))
 
+    last_id = statistics.select(F.coalesce(F.max("id"), F.lit(0))).scalar() if statistics is not None else 0
+    stats = assign_ids(stats, last_id, ["crawl_record_id"])
+
     # cache writes: the whole response, with a TTL from the stability of the record that
     # answered (P13 x P14); one write per context hash, the first request's
     answered = fresh_resp.unionByName(unchanged_resp)
