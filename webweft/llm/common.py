@@ -67,10 +67,10 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def with_locator(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_at`` (file, row), the place of each row in its Parquet file.
+    """``docs`` with a column ``_doc_at`` (file, row), the place of each row in its Parquet file.
 
     Rows that do not come straight from files are written to the shared folder first."""
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at")
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_doc_at")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if "_metadata" not in docs.columns:
         try:

@@ -46,7 +46,7 @@ def normalised(text: Column) -> Column:
 
 def located(docs: DataFrame) -> DataFrame:
     """(doc_id, text, file, row) of every document."""
-    return with_locator(docs.select("doc_id", "text")).select("doc_id", "text", "_at.file", "_at.row")
+    return with_locator(docs.select("doc_id", "text")).select("doc_id", "text", "_doc_at.file", "_doc_at.row")
 
 
 def fingerprints(content: DataFrame, digest_bits: int = FULL_BITS) -> DataFrame:
@@ -125,7 +125,7 @@ def dedup_located(spark: SparkSession, content: DataFrame, digest_bits: int = FU
     bad = members.join(failed.select("digest"), "digest")
     exact = bad.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"), F.max(_order()).alias("best"))
     return (_labelled(rows.join(groups, "digest").join(failed.select("digest"), "digest", "left_anti"))
-            .unionByName(_labelled(bad.drop("points").join(exact, ["digest", "norm"]))))
+            .unionByName(_labelled(bad.drop("points", "best").join(exact, ["digest", "norm"]))))
 
 
 def _members(content: DataFrame, rows: DataFrame, hit: DataFrame) -> DataFrame:
@@ -161,9 +161,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the retained document of every group, with its columns."""
     full = with_locator(docs)
-    content = full.select("doc_id", "text", "_at.file", "_at.row")
-    dropped = dedup_located(spark, content).filter(~F.col("kept")).select(F.struct("file", "row").alias("_at"))
-    return full.join(dropped.hint("shuffle_hash"), "_at", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    content = full.select("doc_id", "text", "_doc_at.file", "_doc_at.row")
+    dropped = dedup_located(spark, content).filter(~F.col("kept")).select(F.struct("file", "row").alias("_doc_at"))
+    return full.join(dropped.hint("shuffle_hash"), "_doc_at", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = {"op1_exact_dedup": r"""

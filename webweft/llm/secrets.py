@@ -101,11 +101,11 @@ def _matches(kind: Kind) -> Column:
 
 
 def scan(located: DataFrame) -> DataFrame:
-    """(_at, doc_id, one array column per kind) of documents with their locator; written once.
+    """(_doc_at, doc_id, one array column per kind) of documents with their locator; written once.
 
     One projection per step, so that no text is matched twice."""
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(MARK), F.lit(UNMARK))
-    keys, names = ["_at", "doc_id"], [k.name for k in KINDS]
+    keys, names = ["_doc_at", "doc_id"], [k.name for k in KINDS]
     rows = located.select(*keys, text.alias("text"), F.lower(text).alias("lower"))
     rows = rows.select(*keys, *[_pieces(k).alias(k.name) for k in KINDS])
     rows = rows.select(*keys, *[_matches(k).alias(k.name) for k in KINDS])
@@ -114,15 +114,15 @@ def scan(located: DataFrame) -> DataFrame:
 
 
 def parts(scanned: DataFrame) -> DataFrame:
-    """One row (_at, rank, start, end) for each kept match; ``rank`` is the kind's place in KINDS."""
+    """One row (_doc_at, rank, start, end) for each kept match; ``rank`` is the kind's place in KINDS."""
     by_kind = F.array(*[F.struct(F.lit(i).alias("rank"), F.col(k.name).alias("found")) for i, k in enumerate(KINDS)])
-    rows = (scanned.select("_at", F.explode(by_kind).alias("k")).filter("k.found is not null")
-            .select("_at", "k.rank", F.posexplode("k.found").alias("i", "m"))
-            .select("_at", "rank", "i", F.col("m.gap").cast("long").alias("gap"),
+    rows = (scanned.select("_doc_at", F.explode(by_kind).alias("k")).filter("k.found is not null")
+            .select("_doc_at", "k.rank", F.posexplode("k.found").alias("i", "m"))
+            .select("_doc_at", "rank", "i", F.col("m.gap").cast("long").alias("gap"),
                     F.col("m.size").cast("long").alias("size"), "m.ok"))
-    so_far = Window.partitionBy("_at", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("_doc_at", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far))
-    return placed.filter("ok").select("_at", "rank", (F.col("end") - F.col("size")).alias("start"), "end")
+    return placed.filter("ok").select("_doc_at", "rank", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def _by_rank(values: list[Column]) -> Column:
@@ -144,29 +144,29 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     scopes = (weak.withColumn("low", F.greatest(F.col("start") - scope, F.lit(0))).withColumn("high", F.col("end") + scope)
               .withColumn("cell", cells(F.col("low"), F.col("high"))))
     offers = (found.withColumn("role", F.explode(roles)).withColumn("cell", cells(F.col("start"), F.col("end")))
-              .select("_at", "cell", "role", F.col("start").alias("o_start"), F.col("end").alias("o_end")))
+              .select("_doc_at", "cell", "role", F.col("start").alias("o_start"), F.col("end").alias("o_end")))
     s, o = scopes.alias("s"), offers.alias("o")
-    meet = ((F.col("s._at") == F.col("o._at")) & (F.col("s.cell") == F.col("o.cell"))
+    meet = ((F.col("s._doc_at") == F.col("o._doc_at")) & (F.col("s.cell") == F.col("o.cell"))
             & (F.col("s.role") == F.col("o.role")) & (F.col("o_start") < F.col("high")) & (F.col("o_end") > F.col("low")))
-    linked = s.join(o, meet, "left_semi").select("_at", "rank", "start", "end").distinct()
+    linked = s.join(o, meet, "left_semi").select("_doc_at", "rank", "start", "end").distinct()
     return found.filter(F.col("rank") < len(BASE)).unionByName(linked)
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> tuple[DataFrame, DataFrame]:
-    """All documents as (_at, doc_id, ...) rows, and the reported parts as (_at, rank, start, end)."""
+    """All documents as (_doc_at, doc_id, ...) rows, and the reported parts as (_doc_at, rank, start, end)."""
     scanned = scan(with_locator(docs.select("doc_id", "text")))
     return scanned, link(materialise(parts(scanned), "secret_parts"), scope)
 
 
 def span_lists(reported: DataFrame) -> DataFrame:
-    """(_at, spans): each document's parts as an array of (start, rank, end), in that order."""
-    return reported.groupBy("_at").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("spans"))
+    """(_doc_at, spans): each document's parts as an array of (start, rank, end), in that order."""
+    return reported.groupBy("_doc_at").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("spans"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned, reported = find_secrets(table(spark, sf_dir, "documents"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
-    rows = (scanned.select("_at", "doc_id").join(span_lists(reported).hint("shuffle_hash"), "_at", "left")
+    rows = (scanned.select("_doc_at", "doc_id").join(span_lists(reported).hint("shuffle_hash"), "_doc_at", "left")
             .withColumn("spans", F.coalesce("spans", none)))
     names = F.array(*[F.lit(k.name) for k in KINDS])
 
@@ -183,21 +183,21 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged(reported: DataFrame) -> DataFrame:
-    """(_at, cuts): each document's reported intervals, overlapping ones joined, in order."""
-    order = Window.partitionBy("_at").orderBy("start", "end")
+    """(_doc_at, cuts): each document's reported intervals, overlapping ones joined, in order."""
+    order = Window.partitionBy("_doc_at").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = reported.withColumn("new", (F.coalesce(before, F.lit(-1)) <= F.col("start")).cast("int"))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy("_at", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return runs.groupBy("_at").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    runs = rows.groupBy("_doc_at", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("_doc_at").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every reported span becomes ``<SECRET>``; n_chars follows the text."""
     full = with_locator(docs)
-    located = full.select("_at", "doc_id", "text")
+    located = full.select("_doc_at", "doc_id", "text")
     cuts = merged(link(materialise(parts(scan(located)), "secret_parts")))
-    joined = full.join(cuts.hint("shuffle_hash"), "_at", "left")
+    joined = full.join(cuts.hint("shuffle_hash"), "_doc_at", "left")
     text, n = F.col("text"), F.size("cuts")
 
     def piece(i: Column) -> Column:

@@ -74,9 +74,9 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp), and the locator ``_at`` where ``docs`` has it; ``fp`` is a signed long."""
+    """(doc_id, fp), and the locator ``_doc_at`` where ``docs`` has it; ``fp`` is a signed long."""
     short_batches(docs.sparkSession)
-    locator = [c for c in docs.columns if c == "_at"]
+    locator = [c for c in docs.columns if c == "_doc_at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                                               *map(b.column, locator)], ["doc_id", "fp", *locator])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *locator)
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", _at struct<file:string,row:long>" * len(locator))
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", _doc_at struct<file:string,row:long>" * len(locator))
 
 
 # --- bit-sliced links ----------------------------------------------------------------------------
@@ -312,7 +312,7 @@ def _all_stars(edges: DataFrame) -> bool:
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id, root) for every document, and ``_at`` where ``docs`` has it.
+    """(doc_id, fp, component_id, root) for every document, and ``_doc_at`` where ``docs`` has it.
 
     ``root`` is the component's least fingerprint."""
     rows = materialise(fingerprints(docs, shingle), "simhash")
@@ -334,10 +334,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A null id comes last, and of rows with the same id the smallest locator stays."""
     full = with_locator(docs)
-    out = simhash_components(full.select("doc_id", "text", "_at"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_at"))
-    kept = out.groupBy("root").agg(first.alias("k")).select("k._at")
-    return full.join(kept.hint("shuffle_hash"), "_at", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = simhash_components(full.select("doc_id", "text", "_doc_at"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_doc_at"))
+    kept = out.groupBy("root").agg(first.alias("k")).select("k._doc_at")
+    return full.join(kept.hint("shuffle_hash"), "_doc_at", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op4_simhash": op4_simhash}
