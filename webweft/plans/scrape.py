@@ -126,24 +126,27 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
     empty_resp = _response(empty, "empty", False, F.lit(EMPTY_CONTENT))
     ok = req.filter(F.col("html").isNotNull()).withColumn("html_hash", sha256_hex(F.col("html")))
 
-    # Unchanged page with the same hash → answer from the stored record
+    # Unchanged page with the same hash → answer from the stored record.  The split is
+    # decided on keys and hashes; stored texts and pages are joined to their own side only
     same = records.groupBy("url", "html_hash").agg(F.min("id").alias("_same_id"))
-    same_rec = records.select(F.col("id").alias("_same_id"), F.col("cleaned_markdown").alias("_s_ai"),
-                              F.col("markdown_content").alias("_s_md"), F.col("cleaned_html").alias("_s_html"),
-                              F.col("metadata_json").alias("_s_meta"))
-    ok = ok.join(same, ["url", "html_hash"], "left").join(same_rec, "_same_id", "left")
+    has_ai = records.filter(F.col("cleaned_markdown").isNotNull()).select(F.col("id").alias("_same_id"), F.lit(True).alias("_has_ai"))
+    ok = ok.drop("html").join(same, ["url", "html_hash"], "left").join(has_ai, "_same_id", "left")
     ok = cut_lineage(ok, "fetched")  # feeds both branches and the upsert: compute once
-    unchanged = ok.filter(F.col("_same_id").isNotNull() & (~F.col("use_ai") | F.col("_s_ai").isNotNull()))
+    kept = F.col("_same_id").isNotNull() & (~F.col("use_ai") | F.coalesce("_has_ai", F.lit(False)))
+    stored = records.select(F.col("id").alias("_same_id"), F.col("cleaned_markdown").alias("_s_ai"),
+                            F.col("markdown_content").alias("_s_md"), F.col("cleaned_html").alias("_s_html"),
+                            F.col("metadata_json").alias("_s_meta"))
+    unchanged = ok.filter(kept).join(stored, "_same_id")
     unchanged_resp = _response(
         unchanged, "hash_hit", True, record_id=F.col("_same_id"),
         markdown=F.when(F.array_contains(F.transform("formats", F.lower), "markdown"),
                         F.when(F.col("use_ai"), F.col("_s_ai")).otherwise(F.col("_s_md"))),
         html=F.when(F.array_contains(F.transform("formats", F.lower), "html"), F.col("_s_html")),
         metadata=stored_metadata(F.col("_s_meta"), F.col("url")))
-    to_clean = ok.join(unchanged.select("request_id"), "request_id", "left_anti")
+    to_clean = ok.filter(~kept)
 
     # H7 (+H8) once per distinct (url, html, use_ai): only pages that need it
-    pages = to_clean.select("url", "html", "use_ai").dropDuplicates(["url", "use_ai"])
+    pages = to_clean.select("url", "use_ai").distinct().join(f.select("url", "html"), "url")
     cleaned = clean_pages(pages, keep=["url", "use_ai"])
     cleaned = clean_ops.ai_clean(cleaned, ai_cleaner if ai_configured else None, "markdown", "use_ai")
     if robots is not None:
@@ -156,7 +159,7 @@ def batch_scrape(requests: DataFrame, fetched: DataFrame, records: DataFrame, ca
     # the cleaned pages feed five outputs: computed once, into the shared folder
     cleaned = cut_lineage(cleaned, "cleaned")
 
-    fresh = to_clean.join(cleaned.drop("html"), ["url", "use_ai"])
+    fresh = to_clean.join(cleaned, ["url", "use_ai"])
     # J8 upsert: one batch row per URL (first request wins)
     batch = one_per_url(fresh.select(
         "url", "request_id", "html_hash", now.alias("ts"), "context_hash",
