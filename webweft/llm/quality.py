@@ -176,12 +176,13 @@ def rows_of(texts: list[str | None]) -> np.ndarray:
 def fit_linear(rows: np.ndarray, target: np.ndarray, rounds: int = 400, ridge: float = 1e-5) -> np.ndarray:
     """Logistic regression on soft labels, by accelerated gradient steps; the constant is last."""
     x = np.column_stack([rows, np.ones(len(rows))]).astype(np.float32)
-    step = 4 / (np.square(x).sum(axis=1).mean() + ridge)
-    w = ahead = np.zeros(x.shape[1])
+    target = target.astype(np.float32)
+    step = np.float32(4 / (np.square(x).sum(axis=1).mean() + ridge))
+    w = ahead = np.zeros(x.shape[1], dtype=np.float32)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        new = ahead - step * (x.T @ (p - target) / len(x) + ridge * ahead)
-        w, ahead = new, new + (t - 1) / (t + 2) * (new - w)
+        new = ahead - step * (x.T @ (p - target) / np.float32(len(x)) + np.float32(ridge) * ahead)
+        w, ahead = new, new + np.float32((t - 1) / (t + 2)) * (new - w)
     return w
 
 
