@@ -395,6 +395,18 @@ from webweft.operators import html as html_ops  # noqa: E402
 from webweft.plans import scrape as scrape_plan  # noqa: E402
 
 
+def ai_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """H8 over the documents with a stand-in cleaner: every other one asks for it."""
+    def cleaner(text: str):
+        return text.replace("the", "THE"), {"model": "local-rule", "prompt_tokens": len(text), "completion_tokens": 0,
+                                            "total_tokens": len(text), "reasoning_tokens": None,
+                                            "cache_hit_tokens": 0, "cache_miss_tokens": 0}
+    d = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("markdown"), (F.col("doc_id") % 2 == 0).alias("use_ai"))
+    out = clean_ops.ai_clean(d, cleaner)
+    return out.select("doc_id", F.sha2("markdown", 256).alias("markdown_hash"), "content_hash", "ai_cleaned",
+                      F.col("usage.total_tokens").alias("total_tokens"))
+
+
 def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
     """H1 over every page, with meta tags of every kind put into them."""
     p = html_ops.page_metadata(derived.fx_meta_pages(spark, sf))

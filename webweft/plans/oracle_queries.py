@@ -343,6 +343,12 @@ SQL["data_uri_strip"] = f"SELECT page_id, sha256({_strip}) AS stripped_hash, len
 _ws = "regexp_replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '(?m)[ \\t]+$', '', 'g'), '\\n{2,}', chr(10) || chr(10), 'g')"
 SQL["whitespace_normalise"] = f"SELECT doc_id, sha256({_ws}) AS content_hash, length({_ws}) AS n_chars_out FROM documents"
 
+SQL["ai_clean"] = r"""SELECT doc_id, sha256(CASE WHEN asks THEN regexp_replace(replace(text, 'the', 'THE'), '^\s+|\s+$', '', 'g')
+        WHEN doc_id % 2 = 0 AND text IS NOT NULL THEN '' ELSE text END) AS markdown_hash,
+    CASE WHEN doc_id % 2 = 0 THEN sha256(text) END AS content_hash, asks AS ai_cleaned,
+    CASE WHEN asks THEN CAST(length(text) AS INTEGER) END AS total_tokens
+    FROM (SELECT doc_id, text, doc_id % 2 = 0 AND regexp_matches(coalesce(text, ''), '\S') AS asks FROM documents)"""
+
 # --- HTML: SQL form of H1 title and lang for pages with regular head markup -----------------
 _title_raw = "regexp_extract(html, '<head[^>]*>(?s:.*?)<title[^>]*>((?s:.*?))</title>', 1)"
 _dec = _title_raw
