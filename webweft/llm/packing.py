@@ -277,22 +277,26 @@ def length_histogram(pieces: DataFrame) -> dict[int, int]:
     return {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def numbered(pieces: DataFrame, rows: int) -> DataFrame:
+def numbered(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
     """``pieces`` with ``nth``, counting the pieces of each length from 0 without gaps.
 
-    Salted buckets number their own pieces; a bucket begins where the ones before it
-    end.  Rows that are equal in all columns may change places, others may not, so a
-    lost task gives the same numbers when it runs again."""
-    buckets = max(1, rows // BUCKET_ROWS)
-    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    counts = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    Each length has salted buckets by its count; a bucket numbers its own pieces and
+    begins where the ones before it end.  Rows that are equal in all columns may
+    change places, others may not, so a lost task gives the same numbers when it runs
+    again.  The broadcast has a row per length, which the sequence length bounds."""
+    spark = pieces.sparkSession
+    buckets = F.broadcast(spark.createDataFrame(
+        [(length, max(1, n // BUCKET_ROWS)) for length, n in sorted(counts.items())], "b_length long, buckets long"))
+    salted = (pieces.join(buckets, F.col("length") == F.col("b_length"))
+              .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets"))))
+    sizes = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    begins = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", *[c for c in pieces.columns
                                                                                if c not in ("doc_id", "start", "length")])
     own = salted.withColumn("own", F.row_number().over(order) - 1)
     return (own.join(begins, ["length", "bucket"]).withColumn("nth", F.col("own") + F.col("begin"))
-            .drop("bucket", "own", "begin"))
+            .drop("b_length", "buckets", "bucket", "own", "begin"))
 
 
 def placed(pieces: DataFrame, found: list[tuple[int, list[tuple[int, int]]]]) -> DataFrame:
@@ -301,11 +305,14 @@ def placed(pieces: DataFrame, found: list[tuple[int, list[tuple[int, int]]]]) ->
     The slots are broadcast: patterns are at most three for each length, and the
     distinct lengths of one pattern add up to a sequence at most."""
     spark = pieces.sparkSession
-    rows = sum(packs * copies for packs, content in found for _, copies in content)
+    own_slots = slots(found)
+    counts: Counter[int] = Counter()
+    for slot in own_slots:
+        counts[slot.length] += slot.high - slot.low
     table_of_slots = F.broadcast(spark.createDataFrame(
-        slots(found), "s_length long, low long, high long, copies long, sequence long, at long"))
+        own_slots, "s_length long, low long, high long, copies long, sequence long, at long"))
     r = F.col("nth") - F.col("low")
-    return (numbered(pieces, rows)
+    return (numbered(pieces, counts)
             .join(table_of_slots, (F.col("length") == F.col("s_length")) & (F.col("nth") >= F.col("low"))
                   & (F.col("nth") < F.col("high")))
             .withColumn("sequence_id", F.col("sequence") + F.floor(r / F.col("copies")))
