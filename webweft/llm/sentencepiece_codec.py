@@ -46,7 +46,9 @@ from webweft.llm.pieces import PieceStore, gathered
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 # Longest word kept by a worker, and pairs of pieces that it keeps.
-LONGEST, PAIRS = 48, 250_000
+LONGEST, PAIRS = 48, 150_000
+# Rows of an Arrow batch: ids and bytes are gathered batch by batch.
+ROWS = 512
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN_PENALTY = 10.0
 # Letters after which, and signs before which, words may fall apart.
@@ -258,7 +260,7 @@ def codec(path: str | None) -> Codec:
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids) of every row; ``model`` is the path of a SentencePiece file."""
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -276,7 +278,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids, text) of every row of (doc_id, ids)."""
-    short_batches(encoded.sparkSession)
+    short_batches(encoded.sparkSession, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
