@@ -145,7 +145,8 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
               .withColumn("cell", cells(F.col("low"), F.col("high"))))
     offers = (found.withColumn("role", F.explode(roles)).withColumn("cell", cells(F.col("start"), F.col("end")))
               .select("_doc_at", "cell", "role", F.col("start").alias("o_start"), F.col("end").alias("o_end")))
-    s, o = scopes.alias("s"), offers.alias("o")
+    # both sides are shuffled: their files are far smaller than the rows made of them
+    s, o = scopes.alias("s"), offers.hint("merge").alias("o")
     meet = ((F.col("s._doc_at") == F.col("o._doc_at")) & (F.col("s.cell") == F.col("o.cell"))
             & (F.col("s.role") == F.col("o.role")) & (F.col("o_start") < F.col("high")) & (F.col("o_end") > F.col("low")))
     linked = s.join(o, meet, "left_semi").select("_doc_at", "rank", "start", "end").distinct()
