@@ -75,3 +75,12 @@ def test_stage_drops_texts_without_a_language(spark):
     junk = spark.createDataFrame([(10**9, "12 34", "en", "s", 5), (10**9 + 1, None, None, None, None)], docs.schema)
     out = L.drop_undetermined(spark, docs.unionByName(junk), "")
     assert out.columns == docs.columns and out.count() == 200
+
+
+def test_stage_keeps_texts_when_no_language_is_learnt(spark):
+    rows = [(1, "some text", None), (2, "12 34", None), (3, None, None), (4, "\u65e5\u672c", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in L.drop_undetermined(spark, docs, "").collect()) == [1, 4]
+    held = spark.createDataFrame([(5, "some text", "en"), (1, "other text", None)], docs.schema)
+    assert L.train(held).langs == []
+    assert L.drop_undetermined(spark, held, "").count() == 2

@@ -180,14 +180,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in no language (``und``) go."""
+    """Pipeline stage: documents in no language (``und``) go.
+
+    Without a labelled row no language is learnt and every text is ``und``; then only
+    texts without a letter go, which are in no language whatever the labels are."""
     sent = spark.sparkContext.broadcast(train(docs))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pred, _ = sent.value.predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            if sent.value.langs:
+                kept = [p != UNDETERMINED for p in sent.value.predict(texts)[0]]
+            else:
+                kept = [has_letter(t) for t in texts]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
