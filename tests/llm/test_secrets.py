@@ -90,3 +90,15 @@ def test_stage_redacts_every_reported_span(spark):
     assert all(r.n_chars == len(r.text or "") for r in out.values())
     for r in out.values():
         assert not base_spans(r.text)
+
+
+def test_a_lone_token_does_not_complement_itself(spark, tmp_path):
+    value = "Ab12Cd34Ef56Gh78Ij90"
+    lone = {1: f"client_id={value}", 2: f"account: {value} alone", 3: f"access_key_id={KEY}", 4: f"user={value}"}
+    both = {5: f"client_id={value} and {BLOB}", 6: f"user: bob client_id={value}"}
+    got = table(spark, tmp_path, list((lone | both).items()))
+    assert [got[d].spans for d in (1, 2, 4)] == ["", "", ""] and got[3].spans == "access:14:34"
+    assert got[5].spans == "ident:0:30,blob:35:62" and got[6].spans == "ident:0:9,blob:10:40"
+    docs = spark.createDataFrame(list(lone.items()), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.redact(spark, docs, "").collect()}
+    assert out == lone | {3: "access_key_id=<SECRET>"}

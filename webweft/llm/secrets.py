@@ -8,7 +8,8 @@ URL or a host with a port).  A part's scope reaches ``SCOPE`` code points to bot
 sides.  An interval join of scopes and parts, on the cells they cover, reports a weak
 candidate only where its scope holds a complementary part: an ident needs a secret
 (assign, hex or blob), a blob an identifier (access or ident), an endpoint an access
-id or an assigned secret.
+id or an assigned secret.  The complementary part is another stretch of text: one that
+overlaps the candidate is the same token read twice and complements nothing.
 
 Each pattern is leftmost and non-overlapping in its kind.  Matches are marked in the
 text, the text is split at the marks, and the pieces' lengths give positions in code
@@ -148,7 +149,8 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     # both sides are shuffled: their files are far smaller than the rows made of them
     s, o = scopes.alias("s"), offers.hint("merge").alias("o")
     meet = ((F.col("s._doc_at") == F.col("o._doc_at")) & (F.col("s.cell") == F.col("o.cell"))
-            & (F.col("s.role") == F.col("o.role")) & (F.col("o_start") < F.col("high")) & (F.col("o_end") > F.col("low")))
+            & (F.col("s.role") == F.col("o.role")) & (F.col("o_start") < F.col("high")) & (F.col("o_end") > F.col("low"))
+            & ((F.col("o_end") <= F.col("s.start")) | (F.col("o_start") >= F.col("s.end"))))
     linked = s.join(o, meet, "left_semi").select("_doc_at", "rank", "start", "end").distinct()
     return found.filter(F.col("rank") < len(BASE)).unionByName(linked)
 
