@@ -70,3 +70,54 @@ def test_odd_texts_and_empty_table(spark):
     out = [(str(r.doc_id), len(r.matches)) for r in L.scan_licenses(docs).collect()]
     assert sorted(out) == sorted([("1", 0), ("2", 0), ("3", 0), ("4", 0), ("5", 0), ("6", 500), ("None", 1), ("6", 0)])
     assert L.scan_licenses(docs.limit(0)).collect() == []
+
+# Texts whose licences share most of their words: each must get its own name.
+SIBLINGS = {
+    "GPL-2.0": L.NOTICES["GPL-3.0"].replace("version 3", "version 2"),
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": L.NOTICES["GPL-3.0"].replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+    "LGPL-3.0": L.NOTICES["GPL-3.0"].replace("GNU General", "GNU Lesser General"),
+    "CC-BY-NC-name": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "CC-BY-NC-ND-4.0": "CC BY-NC-ND 4.0", "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.", "BSD-2-line": "Licensed under the BSD 2-Clause License.",
+}
+
+
+def test_siblings_get_their_own_names():
+    for name, text in SIBLINGS.items():
+        assert [m.name for m in SCANNER.scan(f"Before it. {text}\nAfter it.")] == [name], text
+
+
+def test_whole_licences_with_other_holders_and_lost_words():
+    rng = np.random.default_rng(5)
+    for name, text in L.TEXTS.items():
+        words = [w for w in text.split() if rng.random() > 0.01]
+        m, *rest = SCANNER.scan("Copyright 2020 Some Person. " + " ".join(words) + " And more.")
+        assert (m.name, rest) == (name, []) and m.score > 0.9
+
+
+def test_an_opening_alone_names_no_single_licence():
+    assert [m.name for m in SCANNER.scan(L.OPENINGS["BSD-opening"])] == ["BSD-opening"]
+
+
+def greedy(text):
+    """The matches of a text from the list of all passages, the heaviest first."""
+    pairs, found, kept = L.bigrams(L.words_of(text)), [], []
+    for name, bag in SCANNER.bags.items():
+        hits = [(i, p) for i, p in enumerate(pairs) if p in bag]
+        for a, b, score in SCANNER.passages(name, hits):
+            both = b - a + 1 + bag.total()
+            found.append((both - 3 * round(score * both / 2), a, name, b, score))
+    for _, a, name, b, score in sorted(found):
+        if all(b < x or y < a for x, y, *_ in kept):
+            kept.append((a, b, name, score))
+    return [(name, score) for _, _, name, score in sorted(kept)]
+
+
+def test_matches_equal_the_list_of_all_passages():
+    rng = np.random.default_rng(7)
+    short = [t for n, t in L.TEMPLATES.items() if len(t) < 1500]
+    for _ in range(20):
+        words = [w for t in rng.choice(short, 4) for w in t.split() if rng.random() > 0.05]
+        text = " ".join(words)
+        assert [(m.name, m.score) for m in SCANNER.scan(text)] == greedy(text)

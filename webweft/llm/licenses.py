@@ -10,8 +10,10 @@ t / (2 - t) * m hits in the document.  For what is left the coefficient
 2 |A & B| / (|A| + |B|) of the two bags decides.  A passage that begins or ends beside
 a hit scores less than the one between hits, so no match is lost.
 
-Of matches that overlap the best stays; ties go to the earlier, then to the first
-template by name, then to the shorter passage.
+Of matches that overlap the heaviest stays: the common bigrams less those that only one
+of both bags holds.  So a whole licence stays before a notice or an opening in it, and of
+siblings the one that differs least.  Ties go to the earlier, then to the first template
+by name, then to the shorter passage.
 
 Defined results: null, empty and blank texts, and texts without a match, have an empty
 list and score 0.  Repeated rows are scanned alike.  An empty table gives an empty
@@ -25,8 +27,11 @@ from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from itertools import islice
+from pkgutil import get_data
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,37 +40,93 @@ from webweft.llm.common import short_batches, table
 
 THRESHOLD = 0.8
 
-# The usual statements and openings of public licences.
-TEMPLATES = {
-    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
-                "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
-                "(at your option) any later version.",
+# Whole licences, in ``license_texts``.
+WHOLE = ("0BSD", "AGPL-3.0-text", "Apache-2.0-text", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "CC0-1.0-text",
+         "GPL-1.0-text", "GPL-2.0-text", "GPL-3.0-text", "ISC", "JSON", "LGPL-2.0-text", "LGPL-2.1-text",
+         "LGPL-3.0-text", "MIT", "MIT-0", "MPL-1.1-text", "MPL-2.0-text", "NCSA", "Unlicense", "X11")
+# The usual statements of public licences, whole.
+NOTICES = {
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                "Affero General Public License as published by the Free Software Foundation, either version 3 of the"
+                " License, or (at your option) any later version.",
+    "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the"
+                     " GNU Affero General Public License version 3 as published by the Free Software Foundation.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-                         "compliance with the License. You may obtain a copy of the License at",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                    "that the following conditions are met:",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
+                         "except in compliance with the License. You may obtain a copy of the License at "
+                         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
+                         "in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+                         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License "
+                         "for the specific language governing permissions and limitations under the License.",
+    "BSD-2-line": "Licensed under the BSD 2-Clause License.",
     "BSD-line": "Licensed under the BSD 3-Clause License.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-line": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
+                           "International License.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-"
+                              "NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike "
+                              "4.0 International License.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 "
+                           "International License.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
-               "this work.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-               "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-               "option) any later version.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International "
+                           "License.",
+    "CC-BY-line": "Licensed under CC BY 4.0.",
+    "CC-BY-name": "Creative Commons Attribution 4.0 International",
+    "CC-BY-SA-name": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC-BY-ND-name": "Creative Commons Attribution-NoDerivatives 4.0 International",
+    "CC-BY-NC-name": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "CC-BY-NC-SA-name": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International",
+    "CC-BY-NC-ND-name": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring "
+               "rights to this work.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+               "General Public License as published by the Free Software Foundation; either version 2 of the "
+               "License, or (at your option) any later version.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the "
+                    "GNU General Public License version 2 as published by the Free Software Foundation.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+               "General Public License as published by the Free Software Foundation, either version 3 of the "
+               "License, or (at your option) any later version.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-           "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "GPL-3.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the "
+                    "GNU General Public License version 3 as published by the Free Software Foundation.",
+    "LGPL-2.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "Library General Public License as published by the Free Software Foundation; either version 2 of "
+                "the License, or (at your option) any later version.",
+    "LGPL-2.0-line": "This work is licensed under the GNU Library General Public License, version 2.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of "
+                "the License, or (at your option) any later version.",
+    "LGPL-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                "Lesser General Public License as published by the Free Software Foundation, either version 3 of the"
+                " License, or (at your option) any later version.",
     "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-           "documentation files (the \"Software\"), to deal in the Software without restriction",
     "MIT-line": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
-               "not distributed with this file, You can obtain one at",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of "
+               "the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+# Openings of licences; the one of BSD is shared by its kinds.
+OPENINGS = {
+    "BSD-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                   "provided that the following conditions are met:",
+    "ISC-opening": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without"
+                   " fee is hereby granted, provided that the above copyright notice and this permission notice "
+                   "appear in all copies.",
+    "MIT-opening": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
+                   "and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "Unlicense-opening": "This is free and unencumbered software released into the public domain.",
 }
+TEXTS = {name: get_data(__package__, f"license_texts/{name}.txt").decode() for name in WHOLE}
+TEMPLATES = TEXTS | NOTICES | OPENINGS
 # Other spellings, and the years of copyright lines.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
 YEARS = frozenset(map(str, range(1900, 2100)))
@@ -100,57 +161,103 @@ class Scanner:
         self.threshold = threshold
         bags = {name: Counter(bigrams(words_of(t))) for name, t in sorted(templates.items())}
         self.bags = {name: bag for name, bag in bags.items() if bag}
-        self.holders: dict[tuple[str, str], list[str]] = {}
-        for name, bag in self.bags.items():
-            for pair in bag:
-                self.holders.setdefault(pair, []).append(name)
+        self.holders: dict[tuple[str, str], list[tuple[float, str]]] = {}  # least sizes first
+        for least, name in sorted((self.bounds(name)[0], name) for name in self.bags):
+            for pair in self.bags[name]:
+                self.holders.setdefault(pair, []).append((least, name))
 
     def bounds(self, name: str) -> tuple[float, float]:
         """Least and greatest number of bigrams that can reach the threshold."""
         m, t = self.bags[name].total(), self.threshold
         return t / (2 - t) * m - 1e-9, (2 - t) / t * m + 1e-9
 
+    def starts(self, name: str, hits: list[tuple[int, tuple[str, str]]]) -> "Starts":
+        return Starts(hits, self.bags[name], *self.bounds(name), self.threshold)
+
     def passages(self, name: str, hits: list[tuple[int, tuple[str, str]]]) -> Iterator[tuple[int, int, float]]:
         """Stretches between hits (first bigram, last bigram, Dice) that reach the threshold."""
-        least, most = self.bounds(name)
-        bag, m = self.bags[name], self.bags[name].total()
-        for i, (first, _) in enumerate(hits):
-            inside: Counter = Counter()
-            common = 0
-            for last, pair in islice(hits, i, None):
-                size = last - first + 1
-                if size > most:
-                    break
-                inside[pair] += 1
-                common += inside[pair] <= bag[pair]
-                if size >= least and 2 * common >= self.threshold * (size + m) - 1e-9:
-                    yield first, last, 2 * common / (size + m)
+        starts = self.starts(name, hits)
+        for i in starts.hopeful():
+            last, _, score = starts.ends(i)
+            yield from ((int(starts.at[i]), int(a), float(s)) for a, s in zip(last, score))
 
     def scan(self, text: str | None) -> list[Match]:
-        """Matches of a whole text, by place."""
+        """Matches of a whole text, by place.
+
+        Of every start only its best passage waits; one that runs into a match is cut there."""
         hits: dict[str, list[tuple[int, tuple[str, str]]]] = {}
         words, holders = words_of(text or ""), self.holders
+        size = len(words) - 1
         for i, pair in enumerate(zip(words, islice(words, 1, None))):
-            if pair in holders:
-                for name in holders[pair]:
-                    hits.setdefault(name, []).append((i, pair))
-        found = []
+            for least, name in holders.get(pair, ()):
+                if least > size:
+                    break
+                hits.setdefault(name, []).append((i, pair))
+        starts, waiting = {}, []
         for name, own in hits.items():
             if len(own) >= self.bounds(name)[0]:
-                found += [(-score, first, name, last) for first, last, score in self.passages(name, own)]
-        if not found:
+                starts[name] = self.starts(name, own)
+                for i in starts[name].hopeful():
+                    if best := starts[name].best(i):
+                        waiting.append((-best[1], int(starts[name].at[i]), name, best[0], int(i), best[2]))
+        if not waiting:
             return []
+        heapify(waiting)
         taken: list[tuple[int, int]] = []  # disjoint and in order
         kept = []
-        for score, first, name, last in sorted(found):
-            at = bisect(taken, (first, last))
-            if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
-                taken.insert(at, (first, last))
-                kept.append((first, last, name, -score))
+        while waiting:
+            _, first, name, last, i, score = heappop(waiting)
+            at = bisect(taken, (first, size))
+            if at and taken[at - 1][1] >= first:
+                continue
+            if at < len(taken) and taken[at][0] <= last:
+                if best := starts[name].best(i, taken[at][0] - 1):
+                    heappush(waiting, (-best[1], first, name, best[0], i, best[2]))
+                continue
+            taken.insert(at, (first, last))
+            kept.append((first, last, name, score))
         places = places_of(text)
         return [Match(name, places[first][0], places[last + 1][1], score) for first, last, name, score in sorted(kept)]
 
 
+class Starts:
+    """The hits of one template in a text, as starts of passages."""
+
+    def __init__(self, hits: list[tuple[int, tuple[str, str]]], bag: Counter, least: float, most: float, threshold: float):
+        self.least, self.most, self.threshold, self.total = least, most, threshold, bag.total()
+        self.at = np.array([i for i, _ in hits], dtype=np.int64)
+        # a hit is common to both bags if the one as many before as the bag holds lies before the start
+        before: dict[tuple[str, str], list[int]] = {}
+        self.back = np.full(len(hits), -1, dtype=np.int64)
+        for k, (_, pair) in enumerate(hits):
+            own = before.setdefault(pair, [])
+            if len(own) >= bag[pair]:
+                self.back[k] = own[-bag[pair]]
+            own.append(k)
+        self.stop = np.searchsorted(self.at, self.at + int(most), "left")
+
+    def hopeful(self) -> np.ndarray:
+        """Starts with enough hits behind them."""
+        return np.nonzero(self.stop - np.arange(len(self.at)) >= self.least)[0]
+
+    def ends(self, i: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Last bigram, weight and Dice of the passages from a start that reach the threshold and end by ``limit``."""
+        stop = self.stop[i] if limit is None else min(self.stop[i], np.searchsorted(self.at, limit, "right"))
+        last = self.at[i:stop]
+        common = np.cumsum(self.back[i:stop] < i)
+        both = last - self.at[i] + 1 + self.total
+        good = (both - self.total >= self.least) & (2 * common >= self.threshold * both - 1e-9)
+        last, common, both = last[good], common[good], both[good]
+        return last, 3 * common - both, 2 * common / both
+
+    def best(self, i: int, limit: int | None = None) -> tuple[int, int, float] | None:
+        last, weight, score = self.ends(i, limit)
+        if not len(last):
+            return None
+        k = int(weight.argmax())
+        return int(last[k]), int(weight[k]), float(score[k])
+
+
 SPANS = "array<struct<license:string,start:bigint,end:bigint,score:double>>"
 
 
