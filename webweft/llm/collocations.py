@@ -44,6 +44,8 @@ LEAST_COUNT, COVER_PERCENT, TOP, SCALE = 10, 50, 2000, 1_000_000
 WORDS_AT_ONCE, BUCKET_BYTES = 1_000_000, 8 << 20
 # Lines of one blob, and bytes of lines that a task merges at once.
 BLOB_LINES, MERGE_BYTES = 1 << 15, 32 << 20
+# Frequencies (as JSON text) that may be sent to every task; larger tables are joined by shuffles.
+LOOKUP_BYTES = 16 << 20
 UNKNOWN = "und"
 
 # piece ends become a full stop, which no word holds; other white space is a blank
@@ -212,7 +214,7 @@ def merged_stripes(partial: DataFrame, least: int) -> DataFrame:
 
 def _small(df: DataFrame) -> DataFrame:
     """Frequencies that others look up: sent to every task only if their measured size allows it."""
-    return F.broadcast(df) if fits_broadcast(df) else df
+    return F.broadcast(df) if fits_broadcast(df, LOOKUP_BYTES) else df
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -267,9 +269,9 @@ WITH pieces AS (
                                       '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
 words AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM pieces),
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
 grams AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
   FROM words, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k),
 f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
 cand AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= {LEAST_COUNT}),
@@ -280,7 +282,7 @@ cuts AS (
 scored AS (
   SELECT c.*, p.n AS l, q.n AS r,
          cast((c.a::HUGEINT * c.a * {SCALE}) // (p.n::HUGEINT * q.n) AS BIGINT) AS score
-  FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = c.first_part AND p.k = c.at
+  FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = c.first_part AND p.k = c.place
               JOIN f q ON q.lang = c.lang AND q.phrase = c.rest AND q.k = c.k - c.place),
 least AS (
   SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) = 1),
