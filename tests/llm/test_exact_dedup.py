@@ -96,3 +96,9 @@ def test_locator_names_the_row_of_a_file(spark):
     assert [r.row for r in got] == list(range(len(ROWS))) and all(path.removeprefix("file:") in r.file for r in got)
     assert [r.doc_id for r in got] == [d for d, _ in ROWS]
     assert D.located(spark.createDataFrame(ROWS, SCHEMA).filter(F.col("doc_id") > 9)).count() == 6
+
+
+def test_stage_keeps_columns_with_the_names_it_uses(spark):
+    docs = spark.createDataFrame([(1, "same text here", 5), (2, "same text here", 6)], "doc_id long, text string, _DOC_AT int")
+    out = D.drop_copies(spark, docs, "")
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "same text here", 5)]

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tests.conftest import SF_CHECK
@@ -84,3 +85,13 @@ def test_stage_keeps_texts_when_no_language_is_learnt(spark):
     held = spark.createDataFrame([(5, "some text", "en"), (1, "other text", None)], docs.schema)
     assert L.train(held).langs == []
     assert L.drop_undetermined(spark, held, "").count() == 2
+
+
+def test_stage_fills_in_a_missing_language(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang")))
+    out = {r.doc_id: r for r in L.drop_undetermined(spark, hidden, SF_CHECK).collect()}
+    true = {r.doc_id: r.lang for r in docs.collect() if r.doc_id in out and r.lang}
+    assert all(out[d].lang == lang for d, lang in true.items() if d % 7)
+    filled = [out[d].lang == lang for d, lang in true.items() if d % 7 == 0]
+    assert len(filled) > 50 and sum(filled) / len(filled) > 0.95

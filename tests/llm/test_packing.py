@@ -14,7 +14,6 @@ from webweft.llm import packing as P
 from webweft.llm import pieces
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path(P.VOCABULARY))
-TOKENIZER.encode_special_tokens = True
 
 
 def true_ids(text):
@@ -56,7 +55,8 @@ def test_query_packs_every_id_with_little_padding(spark):
 
 
 ODD = ["", " \n", "It's we're don'T !'s ''d", "İstanbul ΣΑΣ ß ǅ", "a\x1cb\x1dc d\x85e\xa0f g", "é é ñ",
-       "1234 ½ ² x_y __ !!!???", "<|endoftext|> a<|startoftext|>b", "日本語 テスト 👩‍👩‍👧 🏳️‍🌈", "x" * 5000, "ab " * 3000,
+       "1234 ½ ² x_y __ !!!???", "<|endoftext|> a<|startoftext|>b", "end <|endoftext|> next", "<|startoftext|>", "x<|EndOfText|>y <|ENDOFTEXT|>" + "z" * 60,
+       "<|endoftext|>" * 50 + " It's", "日本語 テスト 👩‍👩‍👧 🏳️‍🌈", "x" * 5000, "ab " * 3000,
        "%%% ***word### |", "\x00\x07 \x7f", "naïve façade œuvre ŉ ſ"]
 
 

@@ -98,7 +98,17 @@ def test_a_lone_token_does_not_complement_itself(spark, tmp_path):
     both = {5: f"client_id={value} and {BLOB}", 6: f"user: bob client_id={value}"}
     got = table(spark, tmp_path, list((lone | both).items()))
     assert [got[d].spans for d in (1, 2, 4)] == ["", "", ""] and got[3].spans == "access:14:34"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rel = con.sql(S.SQL["op8_secrets"])
+    assert {r[0]: dict(zip(rel.columns, r)) for r in rel.fetchall()} == {d: r.asDict() for d, r in got.items()}
     assert got[5].spans == "ident:0:30,blob:35:62" and got[6].spans == "ident:0:9,blob:10:40"
     docs = spark.createDataFrame(list(lone.items()), "doc_id long, text string")
     out = {r.doc_id: r.text for r in S.redact(spark, docs, "").collect()}
     assert out == lone | {3: "access_key_id=<SECRET>"}
+
+
+def test_stage_keeps_columns_with_the_names_it_uses(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijkl", 5, "a", 6)], "doc_id long, text string, cuts int, _doc_at string, Cuts_ int")
+    out = S.redact(spark, docs, "")
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "<SECRET>", 5, "a", 6)]

@@ -114,3 +114,9 @@ def test_stage_with_repeated_and_missing_ids(spark):
                                  "doc_id long, text string")
     out = sorted(((r.doc_id or 0), r.text) for r in S.drop_near_copies(spark, docs, "").collect())
     assert out == sorted([(1, a), (2, b), (1, c), (0, "zz yy xx ww"), (0, "q r s t u v")])
+
+
+def test_stage_keeps_columns_with_the_names_it_uses(spark):
+    docs = spark.createDataFrame([(1, "same text here", 5), (2, "same text here", 6)], "doc_id long, text string, _DOC_AT int")
+    out = S.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "same text here", 5)]

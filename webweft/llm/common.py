@@ -79,3 +79,19 @@ def with_locator(docs: DataFrame) -> DataFrame:
             pass
     stored = materialise(docs.withColumnRenamed("_metadata", "_metadata_column"), "content")
     return stored.select("*", at).withColumnRenamed("_metadata_column", "_metadata")
+
+
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` without columns of these names (in any case), which are renamed, and the
+    select list that gives the columns of ``docs`` back."""
+    taken = {n.lower() for n in names}
+    used = {c.lower() for c in docs.columns} | taken
+    columns, back = [], []
+    for c in docs.columns:
+        name = c
+        while name.lower() in taken or (name != c and name.lower() in used):
+            name += "_"
+        used.add(name.lower())
+        columns.append(F.col(f"`{c}`").alias(name))
+        back.append(F.col(f"`{name}`").alias(c))
+    return (docs.select(*columns) if any(c.lower() in taken for c in docs.columns) else docs), back

@@ -26,7 +26,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import materialise, table, with_locator
+from webweft.llm.common import materialise, set_aside, table, with_locator
 from webweft.session import work_path
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -160,10 +160,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the retained document of every group, with its columns."""
-    full = with_locator(docs)
+    apart, back = set_aside(docs, "_doc_at")
+    full = with_locator(apart)
     content = full.select("doc_id", "text", "_doc_at.file", "_doc_at.row")
     dropped = dedup_located(spark, content).filter(~F.col("kept")).select(F.struct("file", "row").alias("_doc_at"))
-    return full.join(dropped.hint("shuffle_hash"), "_doc_at", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return full.join(dropped.hint("shuffle_hash"), "_doc_at", "left_anti").select(*back)
 
 
 SQL = {"op1_exact_dedup": r"""

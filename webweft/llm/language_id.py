@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,18 +181,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in no language (``und``) go.
+    """Pipeline stage: documents in no language (``und``) go; rows without a ``lang`` get the predicted one.
 
     Without a labelled row no language is learnt and every text is ``und``; then only
     texts without a letter go, which are in no language whatever the labels are."""
     sent = spark.sparkContext.broadcast(train(docs))
     at = docs.columns.index("text")
+    lang_at = docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
             if sent.value.langs:
-                kept = [p != UNDETERMINED for p in sent.value.predict(texts)[0]]
+                found = list(sent.value.predict(texts)[0])
+                kept = [p != UNDETERMINED for p in found]
+                langs = pc.coalesce(b.column(lang_at), pa.array(found, pa.string()).cast(b.schema.field(lang_at).type))
+                b = b.set_column(lang_at, b.schema.field(lang_at), langs)
             else:
                 kept = [has_letter(t) for t in texts]
             yield b.filter(pa.array(kept, pa.bool_()))

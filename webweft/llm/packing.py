@@ -66,7 +66,8 @@ class WordIds(PieceStore):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # tokens that the library finds in the text as written, before it is split into words
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -101,12 +102,16 @@ class WordIds(PieceStore):
         self.keep([p for p, _ in joined], ids, np.diff(ends))
 
     def batch_ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each whole text.  The blank-separated pieces of plain texts are encoded once."""
-        found: list[np.ndarray | None] = [None if t and not NOT_PLAIN.search(t) else self.encode_long(t) for t in texts]
+        """Ids of each whole text.  The blank-separated pieces of plain texts are encoded once;
+        texts that hold an added token (in any case) go to the library as they are."""
+        lower = [t.lower() for t in texts]
+        found: list[np.ndarray | None] = [
+            None if t and not NOT_PLAIN.search(t) and not any(a in low for a in self.added) else self.encode_long(t)
+            for t, low in zip(texts, lower)]
         plain = [i for i, ids in enumerate(found) if ids is None]
         if not plain:
             return found
-        split = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+        split = pc.ascii_split_whitespace(pa.array([lower[i] for i in plain], pa.large_string()))
         coded = split.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         rare = {k for k, p in enumerate(pieces) if len(p) > LONGEST}

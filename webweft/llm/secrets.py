@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webweft.llm.common import materialise, table, with_locator
+from webweft.llm.common import materialise, set_aside, table, with_locator
 
 # The patterns of the kinds.  ``group`` is the value whose length counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -197,7 +197,8 @@ def merged(reported: DataFrame) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every reported span becomes ``<SECRET>``; n_chars follows the text."""
-    full = with_locator(docs)
+    apart, back = set_aside(docs, "_doc_at", "cuts")
+    full = with_locator(apart)
     located = full.select("_doc_at", "doc_id", "text")
     cuts = merged(link(materialise(parts(scan(located)), "secret_parts")))
     joined = full.join(cuts.hint("shuffle_hash"), "_doc_at", "left")
@@ -215,7 +216,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         as_before = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(as_before)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*back)
 
 
 # Fixed values again: the oracle states the patterns for another regex engine.
@@ -238,6 +239,7 @@ part AS (SELECT doc_id, rank, name, (stop - size)::BIGINT AS start, stop::BIGINT
                AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')))),
 span AS (SELECT * FROM part a WHERE rank < 3 OR EXISTS (
   SELECT 1 FROM part b WHERE b.doc_id = a.doc_id AND b.start < a.stop + 200 AND b.stop > greatest(a.start - 200, 0)
+  AND (b.stop <= a.start OR b.start >= a.stop)
   AND CASE a.rank WHEN 3 THEN b.rank IN (0, 2, 4) WHEN 4 THEN b.rank IN (1, 3) ELSE b.rank IN (0, 1) END)),
 listed AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
                   count(*) FILTER (rank = 2) AS n_hex,

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import materialise, short_batches, table, with_locator
+from webweft.llm.common import materialise, set_aside, short_batches, table, with_locator
 
 BITS, SHINGLE, RADIUS, SEED = 64, 3, 3, 42
 # Two whole blocks of these widths stay equal when at most 3 bits differ.
@@ -333,11 +333,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pipeline stage: of each component the document with the smallest id stays.
 
     A null id comes last, and of rows with the same id the smallest locator stays."""
-    full = with_locator(docs)
+    apart, back = set_aside(docs, "_doc_at")
+    full = with_locator(apart)
     out = simhash_components(full.select("doc_id", "text", "_doc_at"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_doc_at"))
     kept = out.groupBy("root").agg(first.alias("k")).select("k._doc_at")
-    return full.join(kept.hint("shuffle_hash"), "_doc_at", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return full.join(kept.hint("shuffle_hash"), "_doc_at", "left_semi").select(*back)
 
 
 QUERIES = {"op4_simhash": op4_simhash}
