@@ -56,7 +56,7 @@ class Step:
     stage: int
     order: int
     name: str = field(compare=False)
-    fn: Callable = field(compare=False)   # Column -> Column, or DataFrame -> DataFrame
+    fn: Callable = field(compare=False)   # Column -> Column, or (DataFrame, text column) -> DataFrame
     frame: bool = field(default=False, compare=False)
 
 
@@ -74,7 +74,7 @@ class StepRegistry:
     def run_stage(self, df: DataFrame, stage: int, text_col: str = "text") -> DataFrame:
         for st in sorted(s for s in self.steps if s.stage == stage):
             if st.frame:
-                df = st.fn(df)
+                df = st.fn(df, text_col)
             else:
                 df = df.withColumn(text_col, F.when(is_blank(text_col), F.col(text_col))
                                    .otherwise(st.fn(F.col(text_col))))
