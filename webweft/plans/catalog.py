@@ -414,6 +414,24 @@ def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
                     "og_locale_alternate")
 
 
+def page_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
+    """H2 over every page, with markup of every kind put into them."""
+    out = html_ops.remove_boilerplate(derived.fx_block_pages(spark, sf))
+    return out.select("page_id", F.length("html").alias("cleaned_len"), F.sha2("html", 256).alias("cleaned_hash"))
+
+
+def page_text_length(spark: SparkSession, sf: str) -> DataFrame:
+    """H6 over every page, and pages that a script would fill."""
+    pg = read_table(spark, sf, "pages").select("page_id", "html")
+    pid, html = F.col("page_id"), F.col("html")
+    made = (F.when(pid % 5 == 0, F.replace(html, F.lit("<body>"), F.lit('<body><div id="app"> </div>')))
+            .when(pid % 5 == 1, F.concat(F.substring(html, 1, 900), F.lit("<div data-reactroot>")))
+            .when(pid % 5 == 2, F.replace(html, F.lit("<body>"), F.lit("<body><noscript>Please enable JavaScript</noscript>")))
+            .otherwise(html))
+    out = html_ops.with_text_length(pg.withColumn("html", made))
+    return out.select("page_id", "text_len")
+
+
 def page_clean(spark: SparkSession, sf: str) -> DataFrame:
     """H7 over every page: H1 → H2 → H3 → H4 → H5, with H6 and F3.
 

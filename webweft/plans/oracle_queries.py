@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from webweft.plans.oracle_sql import (CTE, RULES, add_minutes, curve, domain, lower_path,
                                       reset, robots_url, verdict_sql, with_ctes)
+from webweft.sources.derived import BLOCK_MARKUP
 
 SQL: dict[str, str] = {}
 
@@ -403,3 +404,88 @@ SQL["stream_stability"] = SQL["stability"].replace(f"""SELECT url, n_crawls, n_r
     round({curve('stability_count', 60.0, 3, 10080.0)}, 4) AS ttl_minutes,
     {reset('stability_count')} AS reset_to, true AS jitter_in_range FROM fx_stab""", "SELECT url, n_crawls, stability_count FROM fx_stab")
 SQL["stream_hit_flush"] = SQL["hit_flush"]
+
+
+# --- page text rules: stated by positions and containment, element by element ---------------
+
+_IN = r"""(?:[^<>"'']|"[^"]*"|''[^'']*'')*"""
+_TAGS = f"</?[a-zA-Z]{_IN}>"
+
+
+def _attr(name: str) -> str:
+    value = f"""regexp_extract(tag, '(?is)[\\s"'']{name}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1)"""
+    return f"""regexp_replace({value}, '^["'']|["'']$', '', 'g')"""
+
+
+def _without(expr: str, names: list[str]) -> str:
+    for n in names:
+        expr = f"regexp_replace({expr}, '(?is)<{n}\\b{_IN}>.*?(?:</{n}\\s*>|\\z)', '', 'g')"
+    return expr
+
+
+_NO_COMMENTS = r"regexp_replace(html, '(?s)<!--.*?(?:-->|\z)|<![^>]*>|<\?[^>]*>', '', 'g')"
+_BODY = f"regexp_extract(page, '(?is)<body\\b{_IN}>(.*?)(?:</body\\s*>|\\z)', 1)"
+_BARE = r"""'(?is)\s+(?:style|class|id|on[a-z]+|data-[a-z0-9_-]+|aria-hidden|role|tabindex|target|rel)(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?([\s/>])', '\1', 'g'"""
+_DROPPED = ", ".join(f"'{t}'" for t in (
+    "script style nav footer header aside noscript iframe form img video audio svg canvas input button select textarea "
+    "fieldset figure picture source map area").split())
+_VOID = "'area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr'"
+_BLOCKS = "CASE page_id % 7 " + " ".join(f"WHEN {i} THEN '" + m.replace("'", "''") + "'" for i, m in enumerate(BLOCK_MARKUP)) + " END"
+# an element is (o, k): o the row of its tag, k its last position; tags are at 2 i and texts at 2 i + 1
+SQL["page_boilerplate"] = f"""WITH src AS (SELECT page_id, replace(html, '<body>', '<body>' || {_BLOCKS}) AS html FROM pages),
+p AS (SELECT page_id, {_without(_NO_COMMENTS, ["script", "style", "textarea", "iframe"])} AS page FROM src),
+b AS (SELECT page_id, {_BODY} AS body FROM p),
+l AS (SELECT page_id, [''] || regexp_extract_all(body, '(?s){_TAGS}') AS tags, regexp_split_to_array(body, '(?s){_TAGS}') AS texts FROM b),
+r AS (SELECT page_id, i, tags[i] AS tag, texts[i] AS text FROM l, unnest(range(1, len(tags) + 1)) AS u(i)),
+t AS (SELECT *, lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9:-]*)', 1)) AS name FROM r),
+e AS (SELECT *, starts_with(tag, '</') AND name NOT IN ({_VOID}) AS closes,
+        tag <> '' AND NOT starts_with(tag, '</') AS begins,
+        tag <> '' AND NOT starts_with(tag, '</') AND name NOT IN ({_VOID}) AND NOT ends_with(tag, '/>') AS opens,
+        name IN ({_DROPPED}) OR {_attr('role')} IN ('navigation', 'banner', 'complementary') OR {_attr('aria-hidden')} = 'true'
+        OR (name <> 'a' AND (regexp_matches({_attr('style')}, '(?i)display: ?none') OR regexp_matches({_attr('class')}, '(?i)hidden|hide'))) AS bad,
+        trim(replace(replace(text, '&nbsp;', ' '), chr(10), ' ')) = '' AS blank FROM t),
+bal AS (SELECT *, sum(opens::INT - closes::INT) OVER (PARTITION BY page_id, name ORDER BY i) AS after FROM e),
+pair AS (SELECT o.page_id, o.i AS o, min(c.i) AS k, any_value(o.name) AS name FROM bal o JOIN bal c
+         ON c.page_id = o.page_id AND c.name = o.name AND c.closes AND c.i > o.i AND c.after = o.after - 1 WHERE o.opens GROUP BY ALL),
+around AS (SELECT e.page_id, e.i, count(pair.o) AS depth, min(pair.k) AS inner_end FROM e LEFT JOIN pair
+           ON pair.page_id = e.page_id AND pair.o < e.i AND pair.k > e.i GROUP BY ALL),
+el AS (SELECT e.page_id, e.i AS o, e.name, e.opens, e.bad, a.depth, CASE
+         WHEN NOT e.opens THEN 2 * e.i WHEN pr.k IS NOT NULL THEN 2 * pr.k
+         ELSE coalesce(2 * least(a.inner_end, (SELECT min(s.i) FROM e s JOIN around sa ON sa.page_id = s.page_id AND sa.i = s.i
+              WHERE s.page_id = e.page_id AND s.i > e.i AND s.opens AND s.name = e.name AND sa.depth = a.depth
+              AND e.name IN ('p', 'li', 'td', 'th', 'tr', 'dt', 'dd', 'option'))) - 1, 1000000000) END AS stop
+       FROM e JOIN around a ON a.page_id = e.page_id AND a.i = e.i LEFT JOIN pair pr ON pr.page_id = e.page_id AND pr.o = e.i WHERE e.begins),
+spared AS (SELECT el.page_id, el.o FROM el JOIN pair l ON l.page_id = el.page_id AND l.name = 'a' AND l.o < el.o AND l.k > el.o
+           JOIN around la ON la.page_id = l.page_id AND la.i = l.o WHERE el.depth = la.depth + 1),
+cut AS (SELECT page_id, 2 * o AS low, stop AS high FROM el WHERE bad AND NOT EXISTS (
+        SELECT 1 FROM spared s WHERE s.page_id = el.page_id AND s.o = el.o)),
+words AS (SELECT page_id, 2 * i + 1 AS at FROM e WHERE NOT blank AND NOT EXISTS (
+          SELECT 1 FROM cut WHERE cut.page_id = e.page_id AND cut.low <= 2 * e.i + 1 AND cut.high >= 2 * e.i + 1)),
+void AS (SELECT page_id, 2 * o AS low, stop AS high FROM el WHERE opens AND name IN ('div', 'span', 'p', 'section', 'article', 'li', 'ul', 'ol')
+         AND NOT EXISTS (SELECT 1 FROM words w WHERE w.page_id = el.page_id AND w.at > 2 * el.o AND w.at <= el.stop)),
+gone AS (SELECT * FROM cut UNION ALL SELECT * FROM void),
+out AS (SELECT e.page_id, e.i,
+          CASE WHEN name = 'a' OR EXISTS (SELECT 1 FROM gone g WHERE g.page_id = e.page_id AND g.low <= 2 * e.i AND g.high >= 2 * e.i) THEN ''
+               WHEN NOT begins OR EXISTS (SELECT 1 FROM spared s WHERE s.page_id = e.page_id AND s.o = e.i) THEN tag
+               ELSE regexp_replace(regexp_replace(tag, {_BARE}), {_BARE}) END AS written,
+          CASE WHEN EXISTS (SELECT 1 FROM gone g WHERE g.page_id = e.page_id AND g.low <= 2 * e.i + 1 AND g.high >= 2 * e.i + 1) THEN '' ELSE text END AS shown
+        FROM e),
+done AS (SELECT page_id, trim(string_agg(written || shown, '' ORDER BY i), ' ') AS html FROM out GROUP BY page_id)
+SELECT page_id, length(html) AS cleaned_len, sha256(html) AS cleaned_hash FROM done"""
+
+_PLAIN = r"""replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '(?s)""" + _TAGS.replace("{", "{{").replace("}", "}}") + r"""', '', 'g'),
+    '&nbsp;', chr(160)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
+SQL["page_text_length"] = f"""WITH src AS (SELECT page_id, CASE page_id % 5
+        WHEN 0 THEN replace(html, '<body>', '<body><div id="app"> </div>')
+        WHEN 1 THEN substring(html, 1, 900) || '<div data-reactroot>'
+        WHEN 2 THEN replace(html, '<body>', '<body><noscript>Please enable JavaScript</noscript>') ELSE html END AS html FROM pages),
+p AS (SELECT page_id, {_NO_COMMENTS} AS page FROM src),
+b AS (SELECT page_id, CASE WHEN regexp_matches(page, '(?i)<body\\b') THEN {_BODY}
+        ELSE regexp_replace(page, '(?is)\\A.*?</head\\s*>|</?html\\b[^>]*>', '', 'g') END AS body FROM p),
+x AS (SELECT page_id, body, trim({_PLAIN.format("body")}, ' ') AS every,
+        trim({_PLAIN.format(_without("body", ["script", "style", "noscript"]))}, ' ') AS shown FROM b)
+SELECT page_id, CAST(CASE WHEN starts_with(every, 'You need to enable JavaScript') OR contains(every, 'Please enable JavaScript')
+    OR regexp_matches(body, '(?is)<div[^>]*\\sid="(?:root|app|__next|__nuxt)"[^>]*>\\s*</div')
+    OR (length(shown) < 500 AND (regexp_matches(body, 'data-reactroot|__NEXT_DATA__|ng-version')
+        OR NOT regexp_matches(body, '(?i)<(?:p|h[1-6]|article|main|section|li|td|th)\\b'))) THEN 0 ELSE length(shown) END AS INTEGER) AS text_len
+FROM x"""
