@@ -1,5 +1,7 @@
 """Streams equal their batch forms (R1, R2, R3) and R4/R5/R6 behave."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
@@ -21,15 +23,17 @@ def test_stream_equals_batch(spark):
     assert _rows(catalog.stream_hit_flush(spark, SF_SMALL), "id") == _rows(catalog.hit_flush(spark, SF_SMALL), "id")
 
 
-def test_dedup_and_actions(spark):
+REQUEST = "request_id long, context_hash string, ts timestamp_ntz"
+
+
+def _minute(m):
+    return dt.datetime(2024, 5, 1) + dt.timedelta(minutes=m)
+
+
+def test_actions(spark):
     req = spark.createDataFrame([(1, "h1"), (2, "h1"), (3, "h2")], "request_id long, context_hash string")
-    src = work_path(spark, "t", "dedup_src")
+    src = work_path(spark, "t", "after_src")
     req.coalesce(1).write.parquet(src)
-    sink, ck = work_path(spark, "t", "dedup_sink"), work_path(spark, "t", "dedup_ck")
-    jobs.dedup_stream(jobs.file_stream(spark, src, req.schema), 60, sink, ck)
-    got = {r["request_id"]: r["does_work"] for r in spark.read.parquet(sink).collect()}
-    assert got == {1: True, 2: False, 3: True}
-
     seen, errors = [], []
 
     def sync(df, bid):
@@ -43,23 +47,76 @@ def test_dedup_and_actions(spark):
     assert seen == [("sync", 3)] and len(errors) == 1
 
 
+def _arrivals(spark, batches, run):
+    """Files that arrive one after the other, a micro-batch each."""
+    src = work_path(spark, "t", "src")
+    for rows, schema in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        run(jobs.file_stream(spark, src, spark.createDataFrame([], schema).schema, 99))
+
+
 def test_dedup_across_batches_and_expiry(spark):
-    src, sink, ck = (work_path(spark, "t", x) for x in ("dd_src", "dd_sink", "dd_ck"))
-    rows = [(i, "hot") for i in range(50)]
-    spark.createDataFrame(rows, "request_id long, context_hash string").repartition(5).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    jobs.dedup_stream(jobs.file_stream(spark, src, schema, 9), 60, sink, ck)
-    spark.createDataFrame([(90, "hot"), (91, "cold")], schema).write.mode("append").parquet(src)
-    jobs.dedup_stream(jobs.file_stream(spark, src, schema, 9), 60, sink, ck)
-    work = {r["request_id"] for r in spark.read.parquet(sink).filter("does_work").collect()}
-    assert work == {0, 91} and spark.read.parquet(sink).count() == 52
-    spark.createDataFrame([(99, "hot")], schema).write.mode("append").parquet(src)
-    jobs.dedup_stream(jobs.file_stream(spark, src, schema, 9), 0, sink, ck)  # nothing more expires by a shorter time
-    assert not spark.read.parquet(sink).filter("request_id = 99").first()["does_work"]
+    sink, ck = work_path(spark, "t", "dd_sink"), work_path(spark, "t", "dd_ck")
+    batches = [[(i, "hot", _minute(i)) for i in range(50)] + [(60, "twice", _minute(1)), (61, "twice", _minute(61))],
+               [(90, "hot", _minute(55)), (91, "cold", _minute(56)), (92, "hot", _minute(60)), (93, "hot", _minute(121)), (94, "none", None)],
+               [(95, "hot", _minute(180)), (96, "hot", _minute(181)), (97, "cold", _minute(200)), (98, "cold", _minute(200))],
+               [(99, "late", _minute(900))]]
+    _arrivals(spark, [(b, REQUEST) for b in batches],
+              lambda stream: jobs.dedup_stream(stream, 60, sink, ck))
+    out = jobs.dedup_answers(spark, sink)
+    assert {r["request_id"] for r in out.filter("does_work").collect()} == {0, 60, 61, 91, 92, 93, 94, 96, 97, 99}
+    assert out.count() == sum(map(len, batches))
+    # what was over before the last batch is gone from the store, the answers are not
+    assert jobs.committed(spark, f"{sink}/held", "batch_id=") == [3]
+
+
+def test_dedup_replay_writes_the_same(spark):
+    """A batch that is run again (its checkpoint entry is lost) gives the same rows."""
+    sink, src = work_path(spark, "t", "rp_sink"), work_path(spark, "t", "rp_src")
+    spark.createDataFrame([(i, f"h{i % 3}", _minute(30 * i)) for i in range(20)], REQUEST).coalesce(1).write.parquet(src)
+    for _ in range(2):
+        stream = jobs.file_stream(spark, src, spark.read.parquet(src).schema)
+        jobs.dedup_stream(stream, 60, sink, work_path(spark, "t", "rp_ck"))
+        rows = sorted((r["request_id"], r["does_work"], r["until"]) for r in jobs.dedup_answers(spark, sink).filter("until is not null").collect())
+        first = rows if _ == 0 else first
+        assert rows == first and len(rows) > 3
+
+
+def test_dedup_within_watermark(spark):
+    src, ck, name = work_path(spark, "t", "wm_src"), work_path(spark, "t", "wm_ck"), "dedup_wm"
+    spark.createDataFrame([(1, "a", _minute(0)), (2, "a", _minute(5)), (3, "b", _minute(9))],
+                          "request_id long, context_hash string, ts timestamp").coalesce(1).write.parquet(src)
+    stream = jobs.file_stream(spark, src, spark.read.parquet(src).schema)
+    q = (jobs.dedup_within_watermark(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", ck)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r["context_hash"] for r in spark.table(name).collect()) == ["a", "b"]
+
+
+def test_state_reads_do_not_grow_with_the_batches_before(spark):
+    """Snapshots bound the folders that a batch reads, and a batch reads only its keys' buckets."""
+    sink, ck = work_path(spark, "t", "ks_sink"), work_path(spark, "t", "ks_ck")
+    events = [[(f"d{i % 4}", (i + b) % 3 == 0, _minute(100 * b + i), 100 * b + i) for i in range(12)] for b in range(7)]
+    schema = "domain string, ok boolean, ts timestamp_ntz, event_id long"
+    _arrivals(spark, [(b, schema) for b in events],
+              lambda stream: jobs.reputation_stream(stream, sink, ck, compact_every=2))
+    state = jobs.reputation_state(sink)
+    all_events = spark.createDataFrame([e for b in events for e in b], schema)
+    assert _rows(state.current(spark), "domain") == _rows(reputation.reputation_fold(all_events), "domain")
+    assert [v for v, _ in state.parts(spark, 7)] == [5, 6]
+    assert all(len(state.parts(spark, b)) <= 3 for b in range(6, 9))
+    assert jobs.committed(spark, f"{sink}/base", "v=") == [3, 5]
+    assert jobs.committed(spark, f"{sink}/delta", "batch_id=") == [4, 5, 6]
+    one = state.rows(spark, 7, state.touched(all_events.filter("domain = 'd1'")))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(bucket") == 2 or plan.count("PartitionFilters: [(bucket") == 2, plan
+    assert {r["domain"] for r in one.collect()} >= {"d1"}
+    # a batch that is run again sees the state that it saw
+    before = _rows(state.rows(spark, 6), "domain")
+    assert before == _rows(reputation.reputation_fold(all_events.filter("event_id < 600")), "domain")
 
 
 def test_slices_lose_no_row(spark):
-    import datetime as dt
     df = spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(100)] + [(100, None)],
                                "i int, ts timestamp_ntz")
     folders = jobs.staged_slices(df.repartition(6), work_path(spark, "t", "slices"), "ts")

@@ -560,14 +560,23 @@ def _run_stream(spark, df: DataFrame, name: str, start) -> str:
 def stream_reputation(spark: SparkSession, sf: str) -> DataFrame:
     """R2 over the fetch log, micro-batch by micro-batch; equals A3."""
     sink = _run_stream(spark, _fetch_outcomes(spark, sf), "outcomes", stream_jobs.reputation_stream)
-    return stream_jobs.latest_rows(spark.read.parquet(sink), "domain").select(*rep_ops.REPUTATION)
+    return stream_jobs.reputation_state(sink).current(spark).select(*rep_ops.REPUTATION)
 
 
 def stream_stability(spark: SparkSession, sf: str) -> DataFrame:
     """R3 over the crawl log; equals W4."""
     crawls = derived.fx_crawls(spark, sf).select("url", "html_hash", "ts", "event_id")
     sink = _run_stream(spark, crawls, "crawls", stream_jobs.stability_stream)
-    return stream_jobs.latest_rows(spark.read.parquet(sink), "url").drop("last_hash")
+    return stream_jobs.stability_state(sink).current(spark).drop("last_hash")
+
+
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """R4 over the event log: a request per event, for the context of its user, with a day's TTL."""
+    requests = read_table(spark, sf, "events").select(
+        F.col("event_id").alias("request_id"), F.sha2(F.col("user_id").cast("string"), 256).alias("context_hash"), "ts")
+    sink = _run_stream(spark, requests, "requests",
+                       lambda stream, to, checkpoint: stream_jobs.dedup_stream(stream, 24 * 60, to, checkpoint))
+    return stream_jobs.dedup_answers(spark, sink).select("request_id", "does_work", "until")
 
 
 def stream_hit_flush(spark: SparkSession, sf: str) -> DataFrame:

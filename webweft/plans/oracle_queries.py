@@ -489,3 +489,11 @@ SELECT page_id, CAST(CASE WHEN starts_with(every, 'You need to enable JavaScript
     OR (length(shown) < 500 AND (regexp_matches(body, 'data-reactroot|__NEXT_DATA__|ng-version')
         OR NOT regexp_matches(body, '(?i)<(?:p|h[1-6]|article|main|section|li|td|th)\\b'))) THEN 0 ELSE length(shown) END AS INTEGER) AS text_len
 FROM x"""
+
+SQL["stream_dedup"] = """WITH RECURSIVE work AS (
+  SELECT user_id, min({'ts': ts, 'id': event_id}) AS f FROM events WHERE ts IS NOT NULL GROUP BY user_id
+  UNION ALL
+  SELECT w.user_id, min({'ts': e.ts, 'id': e.event_id}) FROM work w JOIN events e
+    ON e.user_id = w.user_id AND e.ts >= w.f.ts + INTERVAL 1 DAY GROUP BY w.user_id)
+SELECT event_id AS request_id, f IS NOT NULL OR ts IS NULL AS does_work, f.ts + INTERVAL 1 DAY AS until
+FROM events e LEFT JOIN work w ON w.user_id = e.user_id AND w.f.id = e.event_id"""

@@ -4,14 +4,14 @@ All sources are file sources (append-only event tables in the shared
 folder); every query has its own checkpoint location, so a restarted or
 retried micro-batch resumes where it stopped.  Sinks are idempotent: a
 micro-batch writes under its own ``batch_id`` (overwrite), so a replay never
-adds twice.  Keyed state is a table: a micro-batch is summarised per key with
-partial aggregates, and the summaries are merged into the keys' rows.
+adds twice.  Keyed state is a table in buckets with snapshots and deltas: a
+micro-batch is summarised per key with partial aggregates, and the summaries are
+merged into the keys' rows.
 Micro-batches are assumed to arrive in time order (an append-ordered log).
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from webweft.operators import records as rec_ops
 from webweft.operators.reputation import reputation_merge
+from webweft.session import cut_lineage
 
 # --- sources -------------------------------------------------------------------------------
 
@@ -94,44 +95,124 @@ def hit_flush_stream(hits: DataFrame, records: DataFrame, stats: DataFrame, sink
 
 
 # --- keyed state as a table ---------------------------------------------------------------------
+#
+# A state table is a folder with
+#   base/v=<batch>/bucket=<b>/   snapshots: the row of every key as of that batch,
+#   delta/batch_id=<n>/bucket=<b>/   the new rows of the keys that batch n met.
+# The commit of a folder (its _SUCCESS file) makes it count.  A micro-batch reads the buckets
+# that its keys fall into, of the newest snapshot before it and of the deltas since; every
+# ``compact_every`` batches these are folded into a new snapshot, so what a trigger reads does
+# not grow with the number of batches before it.  Folders that no batch to come can read
+# are deleted.
+
+BUCKETS, COMPACT_EVERY = 64, 8
+SNAPSHOT_DONE = "_SUCCESS"
+
 
-def keyed_state_stream(stream: DataFrame, key: str, schema: T.StructType, sink: str, checkpoint: str,
-                       merge: Callable[[DataFrame, DataFrame], DataFrame], available_now: bool, processing_time: str):
-    """Run ``merge(state, batch)`` on every micro-batch; its rows are the new state of
-    the batch's keys and are written to ``sink/batch_id=<id>``.  The state before a
-    batch is the latest row of each key in earlier batches, so a replayed batch
-    writes the same rows again."""
-    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
 
+
+def committed(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """Numbers of the finished folders ``<prefix><number>``, in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(conf)
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix)
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/{SNAPSHOT_DONE}")))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class KeyedState:
+    """A state table of one row per key, in buckets of the key's hash."""
+
+    def __init__(self, root: str, key: str, schema: T.StructType, buckets: int = BUCKETS):
+        self.root, self.key, self.buckets = root, key, buckets
+        self.schema = schema
+        self.stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+
+    def parts(self, spark: SparkSession, before: int) -> list[tuple[int, str]]:
+        """(batch, folder) of the newest snapshot and of the deltas since that count before a batch."""
+        base = [v for v in committed(spark, f"{self.root}/base", "v=") if v < before]
+        since = base[-1] if base else -1
+        deltas = [d for d in committed(spark, f"{self.root}/delta", "batch_id=") if since < d < before]
+        return ([(since, f"{self.root}/base/v={since}")] if base else []) + [(d, f"{self.root}/delta/batch_id={d}") for d in deltas]
+
+    def rows(self, spark: SparkSession, before: int, buckets: list[int] | None = None) -> DataFrame:
+        """The row of each key as of the batches before ``before``, of some buckets or of all."""
+        read = [spark.read.schema(self.stored).parquet(path).withColumn("_batch", F.lit(batch))
+                for batch, path in self.parts(spark, before)]
+        if not read:
+            return spark.createDataFrame([], self.schema)
+        both = read[0]
+        for df in read[1:]:
+            both = both.unionByName(df)
+        if buckets is not None:  # a partition column: other buckets' files are not read
+            both = both.filter(F.col("bucket").isin(buckets))
+        return rec_ops.latest_by(both.drop("bucket"), self.key, "_batch").drop("_batch").select(*self.schema.names)
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        return self.rows(spark, 1 << 62)
+
+    def write(self, rows: DataFrame, folder: str) -> None:
+        (rows.withColumn("bucket", _bucket(self.key, self.buckets)).repartition("bucket").write.mode("overwrite")
+         .partitionBy("bucket").parquet(f"{self.root}/{folder}"))
+
+    def touched(self, batch: DataFrame) -> list[int]:
+        """Buckets that a batch's keys fall into (at most ``buckets`` numbers)."""
+        return sorted(r[0] for r in batch.select(_bucket(self.key, self.buckets)).distinct().collect())
+
+    def compact(self, spark: SparkSession, batch_id: int) -> None:
+        """Snapshot as of a batch.  The one before stays, in case the batch is run again."""
+        self.write(self.rows(spark, batch_id + 1), f"base/v={batch_id}")
+        keep = [v for v in committed(spark, f"{self.root}/base", "v=") if v < batch_id][-1:]
+        for v in committed(spark, f"{self.root}/base", "v="):
+            if v < batch_id and v not in keep:
+                _delete(spark, f"{self.root}/base/v={v}")
+        for d in committed(spark, f"{self.root}/delta", "batch_id="):
+            if keep and d <= keep[-1]:
+                _delete(spark, f"{self.root}/delta/batch_id={d}")
+
+
+def keyed_state_stream(stream: DataFrame, state: KeyedState, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
+                       available_now: bool, processing_time: str, compact_every: int = COMPACT_EVERY):
+    """Run ``merge(state, batch)`` on every micro-batch; its rows are the new state of the batch's keys.
+
+    The state before a batch comes from snapshots and deltas of earlier batches only, so
+    a batch that is run again writes the same rows again."""
     def update(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        if batch_id:
-            earlier = spark.read.schema(stored).parquet(sink).filter(F.col("batch_id") < batch_id)
-            state = latest_rows(earlier, key)
-        else:
-            state = spark.createDataFrame([], schema)
-        merge(state, batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        held = state.rows(spark, batch_id, state.touched(batch))
+        state.write(merge(held, batch), f"delta/batch_id={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            state.compact(spark, batch_id)
 
     return _run(stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint), available_now, processing_time)
 
 
-def latest_rows(df: DataFrame, key: str) -> DataFrame:
-    """Current row per key of a state table (highest batch)."""
-    return rec_ops.latest_by(df, key, "batch_id").drop("batch_id")
-
-
 # --- R2: live reputation --------------------------------------------------------------------
 
 REPUTATION_STATE = ("domain string, consecutive_failures int, total_failures int, blocked_until timestamp_ntz, "
                     "last_failure_at timestamp_ntz, last_success_at timestamp_ntz, updated_at timestamp_ntz")
 
 
+def reputation_state(sink: str, buckets: int = BUCKETS) -> KeyedState:
+    return KeyedState(sink, "domain", T.StructType.fromDDL(REPUTATION_STATE), buckets)
+
+
 def reputation_stream(outcomes: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
-                      processing_time: str = "60 seconds"):
+                      processing_time: str = "60 seconds", compact_every: int = COMPACT_EVERY):
     """R2: each micro-batch is summarised per host and merged into the reputations.
     Batches of a host must come in time order."""
-    return keyed_state_stream(outcomes, "domain", T.StructType.fromDDL(REPUTATION_STATE), sink, checkpoint,
-                              reputation_merge, available_now, processing_time)
+    return keyed_state_stream(outcomes, reputation_state(sink), checkpoint, reputation_merge, available_now, processing_time,
+                              compact_every)
 
 
 # --- R3: live stability -----------------------------------------------------------------------
@@ -139,42 +220,99 @@ def reputation_stream(outcomes: DataFrame, sink: str, checkpoint: str, available
 STABILITY_STATE = "url string, n_crawls long, last_hash string, stability_count int"
 
 
+def stability_state(sink: str, buckets: int = BUCKETS) -> KeyedState:
+    return KeyedState(sink, "url", T.StructType.fromDDL(STABILITY_STATE), buckets)
+
+
 def stability_stream(crawls: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
-                     processing_time: str = "60 seconds"):
+                     processing_time: str = "60 seconds", compact_every: int = COMPACT_EVERY):
     """Each micro-batch is summarised per URL and merged into (last hash, stability)."""
-    return keyed_state_stream(crawls, "url", T.StructType.fromDDL(STABILITY_STATE), sink, checkpoint,
-                              rec_ops.stability_merge, available_now, processing_time)
+    return keyed_state_stream(crawls, stability_state(sink), checkpoint, rec_ops.stability_merge, available_now, processing_time,
+                              compact_every)
 
 
 # --- R4: request de-duplication within a TTL ---------------------------------------------------
 
-DEDUP_ROWS = "request_id long, context_hash string, does_work boolean, until_ms long, batch_id long"
+DEDUP_ROWS = "request_id long, context_hash string, does_work boolean, until timestamp_ntz"
+
+
+def _hour(at):
+    """Hours since 1970 of a wall-clock time."""
+    return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at) / 3600).cast("int")
+
+
+def _hours(spark: SparkSession, folder: str) -> list[int]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    return [int(n[5:]) for n in names if n.startswith("hour=")]
+
+
+def first_requests(requests: DataFrame, held: DataFrame, ttl_minutes: float) -> DataFrame:
+    """Which requests of one batch do the work: the first of a hash (by time, then id), and
+    the first one after each answer's time is over.
+
+    ``held`` has (context_hash, until) of earlier work.  The chain of a hash is followed in
+    rounds of partial aggregates: each round takes every hash's first request behind its time,
+    so a batch takes as many rounds as the longest chain has links (its span over the TTL)."""
+    if ttl_minutes <= 0:  # no answer would ever hold: a chain would take one request a round
+        raise ValueError("the time to live must be positive")
+    ttl = F.make_interval(secs=F.lit(ttl_minutes * 60).cast("decimal(18,6)"))
+    until = held.groupBy("context_hash").agg(F.max("until").alias("until"))
+    rest = requests.filter("ts is not null").join(until, "context_hash", "left").filter(F.col("until").isNull() | (F.col("ts") >= F.col("until")))
+    worked = None
+    while True:
+        first = rest.groupBy("context_hash").agg(F.min(F.struct("ts", "request_id")).alias("f"))
+        found = cut_lineage(first.select("context_hash", F.col("f.request_id").alias("request_id"), (F.col("f.ts") + ttl).alias("until")), "dedup")
+        worked = found if worked is None else worked.unionByName(found)
+        if found.isEmpty():
+            return worked
+        rest = (rest.drop("until").join(found.select("context_hash", "until"), "context_hash")
+                .filter(F.col("ts") >= F.col("until")))
 
 
 def dedup_stream(requests: DataFrame, ttl_minutes: float, sink: str, checkpoint: str,
                  available_now: bool = True, processing_time: str = "10 seconds"):
-    """The first request per context hash does the work; later ones within the TTL
-    are answered from the cache.  The state is the sink itself: its working requests
-    whose time is not over.  Of a batch's requests for one hash the first is found by a
-    partial aggregate, so a hash that everybody asks for is no hot key."""
-    ttl_ms = int(ttl_minutes * 60_000)
+    """The first request (request_id, context_hash, ts) per hash does the work; later ones
+    within the TTL of its time are answered from the cache.
+
+    Times are the requests' own, so a batch that is run again writes the same rows.  The
+    answers go to ``sink/rows/batch_id=<id>``; the working ones also to
+    ``sink/held/batch_id=<id>/hour=<h>``, by the hour in which their time is over.  A batch
+    reads only hours that are not over at its earliest request, and folders whose hours
+    are all over by then are deleted.  Batches must come in time order.  A request without
+    a time does its own work and is no answer for others."""
+    schema = T.StructType.fromDDL("context_hash string, until timestamp_ntz, batch_id long, hour int")
 
     def update(batch: DataFrame, batch_id: int):
-        spark, now_ms = batch.sparkSession, int(time.time() * 1000)
-        first = batch.groupBy("context_hash").agg(F.min("request_id").alias("_first"))
-        if batch_id:
-            held = (spark.read.schema(DEDUP_ROWS).parquet(sink)
-                    .filter((F.col("batch_id") < batch_id) & F.col("does_work") & (F.col("until_ms") > now_ms)))
-            first = first.join(held.select("context_hash"), "context_hash", "left_anti")
-        out = batch.select("request_id", "context_hash").join(first, "context_hash", "left")
-        work = F.coalesce(F.col("request_id") == F.col("_first"), F.lit(False))
-        out.select("request_id", "context_hash", work.alias("does_work"),
-                   F.when(work, F.lit(now_ms + ttl_ms)).alias("until_ms")).write.mode("overwrite").parquet(
-            f"{sink}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        now = batch.agg(_hour(F.min("ts"))).first()[0]
+        live = []
+        for d in committed(spark, f"{sink}/held", "batch_id="):
+            folder = f"{sink}/held/batch_id={d}"
+            if d < batch_id and (now is None or max(_hours(spark, folder), default=-1) >= now):
+                live.append(folder)
+            elif d < batch_id:
+                _delete(spark, folder)  # all its answers' times were over before this batch
+        held = spark.createDataFrame([], schema)
+        if live:
+            held = spark.read.schema(schema).option("basePath", f"{sink}/held").parquet(*live)
+        if now is not None:
+            held = held.filter(F.col("hour") >= now)
+        working = cut_lineage(first_requests(batch.select("request_id", "context_hash", "ts"), held, ttl_minutes), "dedup_work")
+        out = batch.select("request_id", "context_hash", "ts").join(working, ["context_hash", "request_id"], "left")
+        (out.select("request_id", "context_hash", (F.col("until").isNotNull() | F.col("ts").isNull()).alias("does_work"), "until")
+         .write.mode("overwrite").parquet(f"{sink}/rows/batch_id={batch_id}"))
+        (working.select("context_hash", "until", _hour(F.col("until")).alias("hour"))
+         .write.mode("overwrite").partitionBy("hour").parquet(f"{sink}/held/batch_id={batch_id}"))
 
     return _run(requests.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint), available_now, processing_time)
 
 
+def dedup_answers(spark: SparkSession, sink: str) -> DataFrame:
+    """What the de-duplication stream answered, with its batch."""
+    return spark.read.schema(DEDUP_ROWS + ", batch_id long").parquet(f"{sink}/rows")
+
+
 def dedup_within_watermark(requests: DataFrame, ttl: str = "60 minutes") -> DataFrame:
     """R4, event-time option: Spark's ``dropDuplicatesWithinWatermark``."""
     return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["context_hash"])
@@ -182,9 +320,6 @@ def dedup_within_watermark(requests: DataFrame, ttl: str = "60 minutes") -> Data
 
 # --- R5: periodic blocklist refresh ------------------------------------------------------------
 
-SNAPSHOT_DONE = "_SUCCESS"
-
-
 def refresh_rules(spark: SparkSession, lines: DataFrame, snapshot_root: str,
                   load: Callable[[DataFrame], DataFrame]) -> str:
     """Build a new rule snapshot; with no block rule the old one stays.
@@ -206,14 +341,7 @@ def refresh_rules(spark: SparkSession, lines: DataFrame, snapshot_root: str,
 
 def committed_snapshots(spark: SparkSession, snapshot_root: str) -> list[int]:
     """Numbers of the finished snapshots, in order."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(snapshot_root)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return sorted(int(n[5:]) for n in names if n.startswith("snap-")
-                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{snapshot_root}/{n}/{SNAPSHOT_DONE}")))
+    return committed(spark, snapshot_root, "snap-")
 
 
 def current_rules(spark: SparkSession, snapshot_root: str) -> DataFrame:
