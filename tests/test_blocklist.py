@@ -94,3 +94,59 @@ def test_subscription_list(spark):
     extra = B.lines_from_rows(spark, "f", ["# comment", "", "https://lists.example/b.txt", "https://lists.example/c.txt"])
     got = sorted(r["url"] for r in B.subscription_list(configured, extra).collect())
     assert got == ["https://lists.example/a.txt", "https://lists.example/b.txt", "https://lists.example/c.txt"]
+
+
+def test_line_numbers_of_a_file_read_in_many_parts(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i} {'x' * (i % 37)}\n" for i in range(3000)))
+    (tmp_path / "b.txt").write_text("one\ntwo\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        df = B.read_rule_text(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
+        assert spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 1
+        rows = [tuple(r) for r in df.select("source", "line_no", "line").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 3002
+    assert all(line.startswith(f"line {n - 1} ") for s, n, line in rows if s.endswith("a.txt"))
+    assert sorted((n, line) for s, n, line in rows if s.endswith("b.txt")) == [(1, "one"), (2, "two")]
+
+
+PATTERNS = [r"ads?\.example\.com", r"track(er|ing)/[0-9]+", r"^https://pay\.", r"casino|poker", r"foo.*bar", r"a{2,3}banner", r"\bpromo\d{2}\b",
+            r"x[yz]+wall", r"(?:img|pic)\.host\.net/\w+", r"\Qa.b\E", r"(ab)\1cd", r"utm_source=[^&]+", r"UPPER\.case", r"end\.html$",
+            r"opt(ional)?part", r"colou?rs", r"((deep)(er))est", r"\x61dvert", r"p\.{2}q", r"(?=look)ahead", r"\/sl\/ash\-es", r"z*", r"k.l.m.n"]
+URLS = ["https://ads.example.com/a", "http://AD.EXAMPLE.com", "https://x/track/9", "https://x/tracker/9", "https://x/tracking/77", "https://pay.me/",
+        "http://pay.me", "http://poker.io", "http://x/foo/1/bar", "http://x/aabanner", "http://x/aaaabanner", "http://x/abanner", "http://x/promo12",
+        "http://x/promo123", "http://x/xyzywall", "http://img.host.net/q", "http://pic.host.net/", "http://a.b/", "http://a-b/", "http://x/ababcd",
+        "http://x?utm_source=q", "http://upper.CASE/", "http://x/end.html", "http://x/end.html?", "http://x/optpart", "http://x/optionalpart",
+        "http://x/colors", "http://x/colours", "http://x/deeperest", "http://x/advert", "http://x/p..q", "http://x/sl/ash-es", "http://x/k1l2m3n", None, ""]
+
+
+def test_pattern_index_equals_running_every_pattern(spark):
+    rules = spark.createDataFrame([("regex", i % 3 == 0, p) for i, p in enumerate(PATTERNS)], "rule_class string, is_allow boolean, pattern string")
+    urls = spark.createDataFrame([(u,) for u in URLS if u is not None], "url string")
+    got = {r["url"]: (r["rx_allow"], r["rx_block"]) for r in B.regex_flags(urls, rules).collect()}
+    every = urls.crossJoin(rules).filter(F.expr("url rlike concat('(?i)', pattern)")).groupBy("url").agg(
+        F.max("is_allow").alias("a"), F.max(~F.col("is_allow")).alias("b")).collect()  # all pairs: a small fixture
+    assert got == {r["url"]: (r["a"], r["b"]) for r in every}
+
+
+def test_required_text(spark):
+    want = {r"ads?\.example\.com": ".example.com", r"casino|poker": "", r"foo.*bar": "foo", r"a{2,3}banner": "banner", r"\Qa.b\E": "",
+            r"utm_source=[^&]+": "utm_source=", r"UPPER\.case": "upper.case", r"opt(ional)?part": "part", r"(?=look)ahead": "",
+            r"track(er|ing)/[0-9]+": "", r"pp\.{2}q": "pp", r"\bpromo\d{2}\b": "promo", r"\/sl\/ash\-es": "/sl/ash-es"}
+    df = spark.createDataFrame([(p,) for p in want], "p string").select("p", B.required_text(F.col("p")).alias("t"))
+    assert {r["p"]: r["t"] for r in df.collect()} == want
+
+
+def test_many_patterns_and_path_rules(spark):
+    """Far more rules than conditions or one row could hold: only those that a URL meets are looked at."""
+    n = 20_000
+    lines = spark.range(n).select(F.lit("s").alias("source"), F.col("id").cast("int").alias("line_no"), F.when(
+        F.col("id") % 2 == 0, F.concat(F.lit("/tracker-"), "id", F.lit(r"\.[a-z]+/pixel/"))).otherwise(
+        F.concat(F.lit("*://hot.example.com/area-"), "id", F.lit("/*"))).alias("line"))
+    rules = B.load_rules(lines)
+    urls = ["https://tracker-4242.net/pixel", "https://tracker-4243.net/pixel", "http://hot.example.com/area-77/deep/page",
+            "http://hot.example.com/area-8/x", "http://hot.example.com/area-7", "http://cold.example.com/area-77/"]
+    out = B.blocklist_verdict(spark.createDataFrame([(u,) for u in urls], "url string"), rules)
+    assert {r["url"]: r["bl_rule"] for r in out.collect()} == dict(zip(urls, ["regex", None, "path", None, "path", None]))

@@ -4,8 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tests.conftest import SF_SMALL
 from webweft.operators import records as R
 from webweft.plans.scrape import batch_scrape
+from webweft.sources import derived
 from webweft.sources.tables import CRAWL_RECORD
 
 T0 = dt.datetime(2024, 1, 1)
@@ -75,3 +77,53 @@ def test_failed_url_counts_once_and_answers_come_back_from_the_cache(spark):
     b = again.responses.first()
     assert b.source == "cache" and (b.markdown, b.html, b.metadata, b.crawl_record_id) == (
         a.markdown, a.html, a.metadata, a.crawl_record_id) and b.markdown and b.crawl_record_id
+
+
+def test_bucketed_records_rewrite_only_touched_buckets(spark):
+    import glob
+    from webweft.session import work_path
+    base = derived.fx_records(spark, SF_SMALL)
+    root = work_path(spark, "t", "records")
+    table = R.RecordTable(spark, root, buckets=16)
+    table.create(base)
+    urls = [r["url"] for r in base.select("url").distinct().orderBy("url").limit(2).collect()]
+    now = dt.datetime(2025, 1, 1)
+    batch = spark.createDataFrame([(u, f"h{i}", now) for i, u in enumerate([*urls, "http://new/1", "http://new/2", "http://new/1"])],
+                                  "url string, html_hash string, ts timestamp_ntz")
+    touched = table.upsert(batch, 1)
+    assert 0 < len(touched) <= 4
+
+    def files(version):
+        return {p.split("bucket=")[1].split("/")[0] for p in glob.glob(f"{root.removeprefix('file:')}/v={version}/bucket=*/*.parquet")}
+    assert files(1) == {str(b) for b in touched} and len(files(0)) > len(touched)
+    columns = ["url", "html_hash", "stability_count", "status", "last_accessed_at"]
+    want = R.upsert_records(base, batch).select(*columns)
+    assert sorted(map(str, table.read().select(*columns).collect())) == sorted(map(str, want.collect()))
+    ids = [r["id"] for r in table.read().select("id").collect()]
+    assert len(ids) == len(set(ids)) == base.count() + 2
+    # the same batch under its version again, then a later one on top
+    table.upsert(batch, 1)
+    assert sorted(map(str, table.read().select(*columns).collect())) == sorted(map(str, want.collect()))
+    later = spark.createDataFrame([("http://new/1", "h4", now), ("http://new/3", "h", now)], "url string, html_hash string, ts timestamp_ntz")
+    table.upsert(later, 2)
+    again = {r["url"]: (r["id"], r["stability_count"]) for r in table.read().filter("url like 'http://new/%'").collect()}
+    first = {r["url"]: r["id"] for r in table.read(before=2).filter("url like 'http://new/%'").collect()}
+    assert again["http://new/1"][0] == first["http://new/1"] and len({i for i, _ in again.values()}) == 3
+    for version in (3, 4, 5):
+        table.upsert(later, version)
+    before = sorted(map(str, table.read().collect()))
+    table.prune()
+    assert sorted(map(str, table.read().collect())) == before and 3 not in table.newest().values()
+
+
+def test_hot_key_runs_stay_spread(spark):
+    """No operator above the runs deals rows by the key alone."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        crawls = derived.fx_crawls(spark, SF_SMALL).select("url", "html_hash", "ts", "event_id")
+        plan = R.stability_summary(crawls, fanin=2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    anti = next(x for x in plan.split("\n") if "LeftAnti" in x)
+    assert "run_no" in anti and "url" in anti

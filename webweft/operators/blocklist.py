@@ -2,13 +2,14 @@
 
 Rule tables are small next to URL tables.  Host and path rules are folded into one
 row per host and matched with one left join on the host (a broadcast hash join when
-the folded table passes a size check in bytes, a shuffled join otherwise); regex rules
-are literal ``rlike`` conditions, compiled once per task.
+the folded table passes a size check in bytes, a shuffled join otherwise); paths are
+joined to path rules by their prefixes, and URLs to regex rules by pieces of the text that
+a rule's matches must hold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from webweft.functions.text import not_blank, ws_trim
 from webweft.functions.urls import extract_domain, lower_path
-from webweft.operators.sizing import sized_broadcast, table_bytes
+from webweft.operators.sizing import sized_broadcast
+from webweft.session import cut_lineage
 
 # --- fixed values (rule syntax) ------------------------------------------------
 REGEX_RULE = r"^/(.+)/$"
@@ -37,8 +39,14 @@ def read_rule_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     raw = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
-    w = Window.partitionBy("source").orderBy("_at", "_row")
-    return raw.select("source", F.row_number().over(w).cast("int").alias("line_no"), "line")
+    # lines are numbered in their block of the file; blocks are offset by the lines of those before
+    # them, so a file is not sorted as a whole
+    block = Window.partitionBy("source", "_at").orderBy("_row")
+    before = Window.partitionBy("source").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (raw.groupBy("source", "_at").agg(F.count(F.lit(1)).alias("_n"))
+               .select("source", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    return (raw.withColumn("_i", F.row_number().over(block)).join(offsets, ["source", "_at"])
+            .select("source", (F.col("_off") + F.col("_i")).cast("int").alias("line_no"), "line"))
 
 
 def read_sources(spark: SparkSession, sources: list[str]) -> tuple[DataFrame, list[str]]:
@@ -141,19 +149,32 @@ def swap_snapshot(old: DataFrame | None, new: DataFrame) -> DataFrame:
 # --- verdicts -------------------------------------------------------------------
 
 def fold_hosts(rules: DataFrame) -> DataFrame:
-    """One row per rule host: which classes name it, and its path rules."""
+    """One row per rule host: which classes name it, and the lengths of its path rules
+    (at most as many as a path has characters; the paths themselves are joined)."""
     c, allow = F.col("rule_class"), F.col("is_allow")
 
     def named(cls: str, kind: Column) -> Column:
         return F.coalesce(F.max((c == cls) & kind), F.lit(False))
 
-    def paths(kind: Column) -> Column:
-        return F.collect_set(F.when((c == "path") & kind, F.struct("path", "is_prefix")))
-
     return (rules.filter(F.col("host").isNotNull()).groupBy(F.col("host").alias("r_host"))
             .agg(named("wildcard", allow).alias("r_wild_allow"), named("exact", allow).alias("r_exact_allow"),
                  named("wildcard", ~allow).alias("r_wild"), named("exact", ~allow).alias("r_exact"),
-                 paths(allow).alias("r_paths_allow"), paths(~allow).alias("r_paths")))
+                 F.max(c == "path").alias("r_has_paths"),
+                 F.collect_set(F.when((c == "path") & F.col("is_prefix"), F.length("path"))).alias("r_lengths")))
+
+
+def path_flags(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """(bl_host, bl_path, path_allow, path_block) of the paths that a path rule of their host matches.
+
+    ``asked``: bl_host, bl_path, r_lengths.  A path is looked up whole and by its prefixes of
+    the lengths that its host's rules have: an equi-join, however many rules a host has."""
+    exact = F.array(F.struct(F.lit(False).alias("is_prefix"), F.col("bl_path").alias("path")))
+    prefixes = F.transform(F.filter("r_lengths", lambda n: n <= F.length("bl_path")),
+                           lambda n: F.struct(F.lit(True).alias("is_prefix"), F.substring("bl_path", F.lit(1), n).alias("path")))
+    keys = asked.distinct().select("bl_host", "bl_path", F.explode(F.concat(exact, prefixes)).alias("k"))
+    sub = rules.filter(F.col("rule_class") == "path").select(F.col("host").alias("bl_host"), "is_prefix", "path", "is_allow").distinct()
+    hit = keys.select("bl_host", "bl_path", "k.is_prefix", "k.path").join(sub, ["bl_host", "is_prefix", "path"])
+    return hit.groupBy("bl_host", "bl_path").agg(F.max("is_allow").alias("path_allow"), F.max(~F.col("is_allow")).alias("path_block"))
 
 
 def _suffix_flag(df: DataFrame, rules: DataFrame, name: str) -> DataFrame:
@@ -177,39 +198,94 @@ def host_suffixes(host: Column) -> Column:
                        lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
 
 
-def _path_match(paths: str, path_col: str) -> Column:
-    """Whether a path is one of a host's path rules, or begins with a prefix rule."""
-    p = F.col(path_col)
-    return F.coalesce(F.exists(paths, lambda r: F.when(r["is_prefix"], p.startswith(r["path"])).otherwise(p == r["path"])),
-                      F.lit(False))
-
-
 # A pattern with one of these means something else beside other patterns: references
 # to groups, group names, flags, look-around and quoting.
 NOT_FOLDABLE = r"\\[1-9kQE]|\(\?(?!:)"
+# Bytes of patterns that one pass over the URLs tests as literal conditions.
 MAX_PATTERN_BYTES = 8 << 20
-
-
-def regex_flags(url: Column, rules: DataFrame, chunk: int = 200) -> tuple[Column, Column]:
-    """(allow flag, block flag) of the regex rules, as literal conditions.
-
-    Plain patterns are folded into alternations; the others stand alone, so no
-    rule changes the meaning of another.  The patterns are collected, after a
-    check of their bytes."""
-    sub = rules.filter(F.col("rule_class") == "regex").select("is_allow", "pattern").distinct()
-    if table_bytes(sub) > MAX_PATTERN_BYTES:
-        raise ValueError(f"the regex rules take more than {MAX_PATTERN_BYTES} bytes")
-    got = sub.withColumn("alone", F.col("pattern").rlike(NOT_FOLDABLE)).collect()
-    flags = []
+# Length of the pieces of text under which patterns are posted.
+GRAM = 4
+_BREAK, _DOT = "\x01", "\x02"
+
+
+def required_text(pattern: Column) -> Column:
+    """The longest text (lower case) that every match of a pattern must hold; empty if none is certain.
+
+    Alternatives, look-around, flags and quoting make nothing certain; classes, groups, other
+    escapes and optional characters break the text."""
+    p = F.lower(pattern)
+    p = F.regexp_replace(p, r"\\([./\-_:=&%])", _DOT + "$1")             # escaped signs are themselves
+    p = F.regexp_replace(p, r"\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|\\[pc0].*|\\.", _BREAK)
+    p = F.regexp_replace(p, r"\[[^\[\]]*\]", _BREAK)
+    for _ in range(4):                                                   # groups, from the inside
+        p = F.regexp_replace(p, r"\((?:\?:)?[^()|]*\)", _BREAK)
+    p = F.regexp_replace(p, f"{_DOT}?[^{_DOT}](?:[?*]|\\{{[^}}]*\\}})", _BREAK)  # may be missing
+    p = F.regexp_replace(p, f"(?<!{_DOT})[.^$+*?]", _BREAK)
+    risky = pattern.rlike(r"[|]|\(\?(?!:)|\\[QEk]")
+
+    def longest(text: Column) -> Column:
+        pieces = F.split(F.replace(text, F.lit(_DOT), F.lit("")), _BREAK)
+        by_length = F.array_sort(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+        return F.when(risky | text.rlike(r"[()\[\]{}\\]"), F.lit("")).otherwise(F.element_at(by_length, -1)["x"])
+
+    # as the one element of an array the text is a variable, and made once
+    return F.get(F.transform(F.array(p), longest), F.lit(0))
+
+
+def _grams(text: Column) -> Column:
+    n = F.length(text) - GRAM + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                                                      lambda i: F.substring(text, i, F.lit(GRAM)))))
+
+
+def regex_flags(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, rx_allow, rx_block) of the distinct URLs (column ``url``) that a regex rule matches.
+
+    A pattern is posted under one piece of the text that its matches must hold, the one that
+    fewest URLs hold; URLs are joined by their pieces, and only the patterns that they meet are
+    run.  Patterns without such a text are tested as literal conditions, in passes of bounded size."""
+    urls = cut_lineage(urls.select("url").distinct(), "rule_urls")
+    sub = cut_lineage(rules.filter(F.col("rule_class") == "regex").select("is_allow", "pattern").distinct()
+                      .withColumn("text", required_text(F.col("pattern"))).withColumn("grams", _grams(F.col("text"))), "rule_patterns")
+    posted = sub.filter("grams is not null").select("is_allow", "pattern", F.explode("grams").alias("gram"))
+    held = urls.select("url", F.explode(_grams(F.lower("url"))).alias("gram"))
+    counts = held.join(sized_broadcast(posted.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (posted.join(counts, "gram", "left").groupBy("is_allow", "pattern")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).filter("k.n > 0")
+              .select("is_allow", "pattern", F.col("k.gram").alias("gram")))
+    met = held.join(sized_broadcast(cut_lineage(rarest, "pattern_index")), "gram").filter(F.expr("url rlike concat('(?i)', pattern)"))
+    hits = [met.select("url", "is_allow")]
     for allow in (True, False):
-        plain = sorted(r["pattern"] for r in got if r["is_allow"] == allow and not r["alone"])
-        tests = ["|".join(f"(?:{p})" for p in plain[i:i + chunk]) for i in range(0, len(plain), chunk)]
-        tests += sorted(r["pattern"] for r in got if r["is_allow"] == allow and r["alone"])
-        flag = F.lit(False)
-        for t in tests:
-            flag = flag | url.rlike(f"(?i){t}")
-        flags.append(F.coalesce(flag, F.lit(False)))
-    return flags[0], flags[1]
+        for tests in _passes(sub.filter(F.col("grams").isNull() & (F.col("is_allow") == allow))):
+            flag = F.lit(False)
+            for t in tests:
+                flag = flag | F.col("url").rlike(f"(?i){t}")
+            hits.append(urls.filter(flag).select("url", F.lit(allow).alias("is_allow")))
+    found = hits[0]
+    for h in hits[1:]:
+        found = found.unionByName(h)
+    return found.groupBy("url").agg(F.max("is_allow").alias("rx_allow"), F.max(~F.col("is_allow")).alias("rx_block"))
+
+
+def _passes(patterns: DataFrame, chunk: int = 200) -> Iterator[list[str]]:
+    """Patterns as conditions, in lists of at most MAX_PATTERN_BYTES: plain ones folded into alternations,
+    others alone, so no rule changes the meaning of another."""
+    plain, tests, size = [], [], 0
+    rows = patterns.select("pattern", F.col("pattern").rlike(NOT_FOLDABLE).alias("alone")).orderBy("alone", "pattern")
+    for r in rows.toLocalIterator():
+        if size + len(r["pattern"]) > MAX_PATTERN_BYTES:
+            yield tests + ["|".join(plain)] * bool(plain)
+            plain, tests, size = [], [], 0
+        size += len(r["pattern"])
+        if r["alone"]:
+            tests.append(r["pattern"])
+            continue
+        plain.append(f"(?:{r['pattern']})")
+        if len(plain) == chunk:
+            tests.append("|".join(plain))
+            plain = []
+    if plain or tests:
+        yield tests + ["|".join(plain)] * bool(plain)
 
 
 def blocklist_verdict(df: DataFrame, rules: DataFrame, url_col: str = "url",
@@ -232,13 +308,26 @@ def blocklist_verdict(df: DataFrame, rules: DataFrame, url_col: str = "url",
         for name, kind in (("wild_allow", F.col("is_allow")), ("wild", ~F.col("is_allow"))):
             out = _suffix_flag(out, wild.filter(kind), "_sub_" + name)
             flag[name] = flag[name] | F.col("_sub_" + name)
-    rx_allow, rx_block = regex_flags(F.col(url_col), rules)
-    allowed = flag["wild_allow"] | flag["exact_allow"] | _path_match("r_paths_allow", "bl_path") | rx_allow
+    more = []
+    if not rules.filter(F.col("rule_class") == "path").isEmpty():
+        paths = path_flags(out.filter("r_has_paths").select("bl_host", "bl_path", "r_lengths"), rules)
+        paths = paths.select(F.col("bl_host").alias("_ph"), F.col("bl_path").alias("_pp"), "path_allow", "path_block")
+        out = out.join(paths, (F.col("_key") == F.col("_ph")) & (F.col("bl_path") == F.col("_pp")), "left")
+        more += ["_ph", "_pp", "path_allow", "path_block"]
+    if not rules.filter(F.col("rule_class") == "regex").isEmpty():
+        matched = regex_flags(df.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url")), rules)
+        out = out.join(matched.withColumnRenamed("url", "_rx_url"), F.col(url_col) == F.col("_rx_url"), "left")
+        more += ["_rx_url", "rx_allow", "rx_block"]
+
+    def told(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False)) if name in more else F.lit(False)
+
+    allowed = flag["wild_allow"] | flag["exact_allow"] | told("path_allow") | told("rx_allow")
     out = out.withColumn("bl_allowed", F.col("bl_host").isNotNull() & allowed)
     rule = (F.when(F.col("bl_allowed") | F.col("bl_host").isNull(), F.lit(None))
             .when(flag["wild"], F.lit("wildcard")).when(flag["exact"], F.lit("exact"))
-            .when(_path_match("r_paths", "bl_path"), F.lit("path")).when(rx_block, F.lit("regex")))
-    return out.withColumn("bl_rule", rule).drop("_key", *folded.columns, "_sub_wild_allow", "_sub_wild")
+            .when(told("path_block"), F.lit("path")).when(told("rx_block"), F.lit("regex")))
+    return out.withColumn("bl_rule", rule).drop("_key", *folded.columns, *more, "_sub_wild_allow", "_sub_wild")
 
 
 def as_url_filter(rules: DataFrame, **kw):

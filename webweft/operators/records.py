@@ -4,7 +4,9 @@ counts (A1) and the additive counter (A4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webweft.functions.policy import CACHE_RESET_CAP, stability_reset
@@ -91,8 +93,9 @@ def stability_summary(crawls: DataFrame, key: str = "url", hash_col: str = "html
         F.min_by(hash_col, "run_no").alias("first_hash"), F.max_by(hash_col, "run_no").alias("last_hash"),
         F.max("last_ts").alias("last_crawl_at"), F.min_by("run_len", "run_no").alias("first_len"),
         F.max_by("run_len", "run_no").alias("last_len"))
-    mids = (runs.join(per_key.select(key, "n_runs"), key)
-            .filter((F.col("run_no") > 1) & (F.col("run_no") < F.col("n_runs")))
+    # the last run of a key goes by a join on key and run, so the runs of a hot key stay spread
+    last = per_key.select(key, F.col("n_runs").cast(runs.schema["run_no"].dataType).alias("run_no"))
+    mids = (runs.filter(F.col("run_no") > 1).join(last, [key, "run_no"], "left_anti")
             .select(key, (F.col("run_no") - 2).cast("long").alias("_i"), _transfer(F.col("run_len")).alias("_t")))
     max_mid = per_key.agg(F.max("n_runs")).first()[0] or 0
     span = 1
@@ -202,7 +205,8 @@ def one_per_url(batch: DataFrame, order: list[str]) -> DataFrame:
     return batch.groupBy("url").agg(least).select("url", *[F.col(f"_r.`{c}`").alias(c) for c in rest])
 
 
-def upsert_records(records: DataFrame, batch: DataFrame, force_overwrite: bool = False) -> DataFrame:
+def upsert_records(records: DataFrame, batch: DataFrame, force_overwrite: bool = False,
+                   new_ids: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """J8 (with the J7 branch): ``batch`` holds one crawl per URL with
     ``url, html_hash, ts`` and optional content columns.
 
@@ -214,7 +218,7 @@ def upsert_records(records: DataFrame, batch: DataFrame, force_overwrite: bool =
     cleaned page always overwrites the lowest-id record of its URL).
     Of several batch rows of one URL the earliest counts (ties: the least
     hash), so no record is matched twice.  Returns the new snapshot
-    (untouched rows included)."""
+    (untouched rows included).  ``new_ids(rows)`` adds ``id`` to new records."""
     batch = one_per_url(batch, ["ts", "html_hash"])
     content = [c for c in ("markdown_content", "cleaned_markdown", "cleaned_html", "metadata_json",
                            "context_hash", "fetch_tier") if c in batch.columns]
@@ -252,8 +256,11 @@ def upsert_records(records: DataFrame, batch: DataFrame, force_overwrite: bool =
         cols.append(col.alias(c))
     kept = r.select(*cols)
     ins = plan.filter(F.col("_kind") == "new")
-    max_id = records.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    ins = assign_ids(ins, max_id, ["url"])
+    if new_ids is None:
+        max_id = records.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+        ins = assign_ids(ins, max_id, ["url"])
+    else:
+        ins = new_ids(ins)
     new_cols = []
     for c in records.columns:
         if c == "id":
@@ -275,6 +282,93 @@ def upsert_records(records: DataFrame, batch: DataFrame, force_overwrite: bool =
     return kept.unionByName(ins.select(*new_cols))
 
 
+class RecordTable:
+    """Records stored in buckets of the URL's hash, so a batch rewrites only the buckets of its URLs.
+
+    ``root/v=<n>/bucket=<b>`` holds a bucket as of version n; a version counts once its folder
+    is committed, and a bucket's newest version before it is its content, so a batch that is run
+    again under its version writes the same.  Ids are dealt per bucket: new ones are congruent to
+    the bucket's number and above every id the table began with, so buckets never meet.
+    A URL lies in one bucket, so the lowest id of a URL is found there."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root, buckets
+
+    def _fs(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+    def _names(self, path: str, prefix: str) -> list[int]:
+        fs, folder = self._fs(path)
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix))
+
+    def versions(self, before: int = 1 << 62) -> list[int]:
+        done = []
+        for v in self._names(self.root, "v="):
+            fs, mark = self._fs(f"{self.root}/v={v}/_SUCCESS")
+            if v < before and fs.exists(mark):
+                done.append(v)
+        return done
+
+    def newest(self, before: int = 1 << 62) -> dict[int, int]:
+        """Bucket → its newest version: at most ``buckets`` entries."""
+        return {b: v for v in self.versions(before) for b in self._names(f"{self.root}/v={v}", "bucket=")}
+
+    def create(self, records: DataFrame) -> None:
+        floor = records.select(F.coalesce(F.max("id"), F.lit(0)).alias("floor"))
+        floor.write.mode("overwrite").parquet(f"{self.root}/floor")
+        records.limit(0).write.mode("overwrite").parquet(f"{self.root}/columns")
+        self._write(records, 0)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("url"), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, version: int) -> None:
+        (rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{self.root}/v={version}"))
+
+    def read(self, buckets: Iterable[int] | None = None, before: int = 1 << 62) -> DataFrame:
+        """The records, of some buckets or of all."""
+        newest = self.newest(before)
+        schema = self.spark.read.parquet(f"{self.root}/columns").schema
+        paths = [f"{self.root}/v={v}/bucket={b}" for b, v in sorted(newest.items()) if buckets is None or b in set(buckets)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def upsert(self, batch: DataFrame, version: int, force_overwrite: bool = False) -> list[int]:
+        """J8 over the buckets that the batch's URLs fall into; returns them."""
+        batch = cut_lineage(one_per_url(batch, ["ts", "html_hash"]), "record_batch")
+        touched = sorted(r[0] for r in batch.select(self._bucket()).distinct().collect())
+        held = self.read(touched, before=version)
+        base = self.spark.read.parquet(f"{self.root}/floor").first()["floor"] // self.buckets + 1
+        seen = held.groupBy(self._bucket().alias("_b")).agg((F.floor(F.max("id") / self.buckets) + 1).alias("_next"))
+
+        def new_ids(rows: DataFrame) -> DataFrame:
+            rows = rows.withColumn("_b", self._bucket())
+            place = F.row_number().over(Window.partitionBy("_b").orderBy("url")) - 1
+            rows = rows.withColumn("_place", place).join(F.broadcast(seen), "_b", "left")  # a row per bucket
+            first = F.greatest(F.coalesce("_next", F.lit(0)), F.lit(base))
+            return (rows.withColumn("id", ((first + F.col("_place")) * self.buckets + F.col("_b")).cast("long"))
+                    .drop("_b", "_place", "_next"))
+
+        self._write(upsert_records(held, batch, force_overwrite, new_ids), version)
+        return touched
+
+    def prune(self, keep: int = 2) -> None:
+        """Delete bucket versions that have ``keep`` newer ones."""
+        newer: dict[int, int] = {}
+        for v in reversed(self.versions()):
+            for b in self._names(f"{self.root}/v={v}", "bucket="):
+                newer[b] = newer.get(b, 0) + 1
+                if newer[b] > keep:
+                    fs, folder = self._fs(f"{self.root}/v={v}/bucket={b}")
+                    fs.delete(folder, True)
+
+
 # --- A1 / A4 ------------------------------------------------------------------
 
 def hits_per_url(hits: DataFrame, url: str = "url") -> DataFrame:

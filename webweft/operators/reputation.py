@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from webweft.functions.policy import add_minutes, block_minutes
 from webweft.functions.urls import extract_domain
 from webweft.operators.sizing import sized_broadcast
+from webweft.session import cut_lineage
 
 
 def outcomes(df: DataFrame, url_col: str = "url", ok_col: str = "ok", ts_col: str = "ts",
@@ -25,17 +26,18 @@ def outcomes(df: DataFrame, url_col: str = "url", ok_col: str = "ok", ts_col: st
             .filter(F.col("domain").isNotNull()))
 
 
-def host_buckets(events: DataFrame, bucket_minutes: int = 60) -> DataFrame:
-    """One row per host and time bucket: failures, failures after the bucket's last
-    success, whether it had one, and the times that a fold needs.
+def host_summary(events: DataFrame) -> DataFrame:
+    """One row per host: failures, failures after its last success, whether it had one, and
+    the times that a fold needs.
 
-    The events are shuffled once, by (host, bucket); a hot host is split by time."""
-    from webweft.operators.records import time_bucket
+    Two aggregates that combine in any grouping, so a hot host is reduced in each task
+    first: its last success and first failure, then counts relative to these.  The row per
+    host is joined to the events as a broadcast if its measured size allows it."""
     ok, at = F.col("ok"), F.struct(F.col("ts").alias("t"), F.col("event_id").alias("i"))
-    w = Window.partitionBy("domain", "_b")
-    e = (events.withColumn("_b", time_bucket(F.col("ts"), bucket_minutes)).withColumn("_at", at)
-         .withColumn("_ls", F.max(F.when(ok, at)).over(w)).withColumn("_ff", F.min(F.when(~ok, at)).over(w)))
-    return e.groupBy("domain", "_b").agg(
+    ends = events.groupBy("domain").agg(F.max(F.when(ok, at)).alias("_ls"), F.min(F.when(~ok, at)).alias("_ff"))
+    ends = cut_lineage(ends, "host_ends").withColumnRenamed("domain", "_host")
+    e = events.join(sized_broadcast(ends), F.col("domain") == F.col("_host")).withColumn("_at", at)
+    return e.groupBy("domain").agg(
         F.count_if(~ok).alias("failures"),
         F.count_if(~ok & (F.col("_ls").isNull() | (F.col("_at") > F.col("_ls")))).alias("trailing"),
         F.max(ok).alias("succeeded"), F.max(F.when(~ok, F.col("ts"))).alias("last_failure_at"),
@@ -43,21 +45,6 @@ def host_buckets(events: DataFrame, bucket_minutes: int = 60) -> DataFrame:
         F.max(F.when(ok & (F.col("_at") > F.col("_ff")), F.col("ts"))).alias("ok_after_failure_at"))
 
 
-def combine_buckets(buckets: DataFrame) -> DataFrame:
-    """Bucket rows of a host put together in time order: one row of the same columns."""
-    host = Window.partitionBy("domain")
-    b = (buckets.withColumn("_lb", F.max(F.when(F.col("succeeded"), F.col("_b"))).over(host))
-         .withColumn("_fb", F.min(F.when(F.col("failures") > 0, F.col("_b"))).over(host)))
-    after = F.col("_lb").isNull() | (F.col("_b") > F.col("_lb"))
-    return b.groupBy("domain").agg(
-        F.sum("failures").alias("failures"),
-        F.sum(F.when(after, F.col("failures")).when(F.col("_b") == F.col("_lb"), F.col("trailing")).otherwise(0)).alias("trailing"),
-        F.max("succeeded").alias("succeeded"), F.max("last_failure_at").alias("last_failure_at"),
-        F.max("last_ok_at").alias("last_ok_at"),
-        F.max(F.when(F.col("_b") > F.col("_fb"), F.col("last_ok_at"))
-              .when(F.col("_b") == F.col("_fb"), F.col("ok_after_failure_at"))).alias("ok_after_failure_at"))
-
-
 REPUTATION = ["domain", "consecutive_failures", "total_failures", "blocked_until", "last_failure_at",
               "last_success_at", "updated_at"]
 
@@ -72,7 +59,7 @@ def _finished(rows: DataFrame) -> DataFrame:
 
 def reputation_fold(events: DataFrame, enabled: bool = True) -> DataFrame:
     """A3: one row per host that has at least one failure; none when disabled."""
-    rows = combine_buckets(host_buckets(events)).select(
+    rows = host_summary(events).select(
         "domain", F.col("trailing").cast("int").alias("consecutive_failures"),
         F.col("failures").cast("int").alias("total_failures"), "last_failure_at",
         F.col("ok_after_failure_at").alias("last_success_at"))
@@ -86,7 +73,7 @@ def reputation_merge(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     Equal to the fold over all events when every event of a host is later than the
     ones in its snapshot row.  A success only leaves a trace on a host that has failed."""
     s = snapshot.select(*[F.col(c).alias("_" + c) for c in REPUTATION])
-    j = combine_buckets(host_buckets(events)).join(s, F.col("domain") == F.col("_domain"), "left")
+    j = host_summary(events).join(s, F.col("domain") == F.col("_domain"), "left")
     known = F.col("_domain").isNotNull()
     streak = F.when(F.col("succeeded"), F.col("trailing")).otherwise(F.coalesce("_consecutive_failures", F.lit(0)) + F.col("failures"))
     return _finished(j.select(
