@@ -78,3 +78,12 @@ def test_sets_hashes_counters(spark):
     assert C.hash_increment(None, inc).first()["value"] == 5
     renamed = C.rename_key(hs, ("H", "k"), ("H", "k2"))
     assert {r["key"] for r in renamed.collect()} == {"k2"}
+
+
+def test_answers_and_stored_values_are_the_same(spark):
+    """A value that differs from call to call is computed once."""
+    cache = spark.createDataFrame([], "prefix string, key string, value string, expires_at timestamp_ntz")
+    asked = spark.createDataFrame([(i, "P", f"k{i % 5}") for i in range(20)], "pos int, prefix string, key string")
+    answers, stored = C.get_or_set(cache, asked, lambda keys: keys.withColumn("value", F.uuid()), T0, 60.0)
+    got = {r["key"]: r["value"] for r in answers.collect()}
+    assert {r["key"]: r["value"] for r in stored.collect()} == got and len(set(got.values())) == 5

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webweft.functions.policy import add_minutes
+from webweft.session import cut_lineage
 
 # --- fixed values --------------------------------------------------------------
 DEFAULT_TTL_MINUTES = 30.0
@@ -72,7 +73,8 @@ def get_or_set(cache: DataFrame, requests: DataFrame, compute: Callable[[DataFra
     lv = live(cache, as_of).select(*KEY, "value")
     hits = requests.join(lv, KEY, "left_semi").join(lv, KEY).withColumn("hit", F.lit(True))
     misses = requests.join(lv, KEY, "left_anti")
-    computed = compute(misses.select(*KEY).distinct())
+    # written once: the answers and the new cache hold the same values, and compute runs once
+    computed = cut_lineage(compute(misses.select(*KEY).distinct()), "computed")
     answered = misses.join(computed, KEY, "left").withColumn("hit", F.lit(False))
     answers = hits.select("pos", *KEY, "value", "hit").unionByName(answered.select("pos", *KEY, "value", "hit"))
     writes = computed.select(*KEY, "value", _ts(as_of).alias("written_at"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from webweft.functions import hashing, policy, urls
 from webweft.operators import blocklist
 from webweft.sources import derived
-from webweft.session import cut_lineage
+from webweft.session import cut_lineage, work_path
 from webweft.sources.tables import read_table
 
 
@@ -45,6 +45,18 @@ def blocklist_pages(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("bl_rule").alias("blocked_by"))
 
 
+def blocklist_regex(spark: SparkSession, sf: str) -> DataFrame:
+    """A regex rule of every page's host and page number, against every page's URL."""
+    pg = read_table(spark, sf, "pages").select("page_id", "url")
+    host = F.replace(urls.extract_domain(F.col("url")), F.lit("."), F.lit("\\."))
+    number = (F.col("page_id") % 5).cast("string")
+    line = F.concat(F.when(F.col("page_id") % 4 == 0, F.lit("@")).otherwise(F.lit("")), F.lit("/"), host,
+                    F.lit("/(?:[a-z]+/)?.*[?&]page="), number, F.lit("/"))
+    rules = blocklist.load_rules(pg.select(F.lit("s").alias("source"), F.col("page_id").cast("int").alias("line_no"), line.alias("line")))
+    out = pg.join(blocklist.regex_flags(pg.select("url"), rules), "url", "left")
+    return out.select("page_id", F.coalesce("rx_allow", F.lit(False)).alias("rx_allow"), F.coalesce("rx_block", F.lit(False)).alias("rx_block"))
+
+
 def blocklist_hosts(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: pages → host, hash, title/lang → rules → verdict → per-host
     counts of kept and blocked pages."""
@@ -128,6 +140,19 @@ def record_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return snap.select("id", "url", "html_hash", "stability_count", "status", "last_accessed_at")
 
 
+def record_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """The same merge on a table stored in buckets, in two batches; each rewrites only its URLs' buckets.
+    Ids are dealt per bucket, so they are left out here."""
+    table = rec_ops.RecordTable(spark, work_path(spark, "records"), buckets=16)
+    table.create(derived.fx_records(spark, sf))
+    crawls = cut_lineage(_latest_crawl(spark, sf), "latest_crawls")
+    odd = F.crc32(F.col("url").cast("binary")) % 2 == 1
+    table.upsert(crawls.filter(odd), 1)
+    table.upsert(crawls.filter(~odd), 2)
+    table.prune()
+    return table.read().select("url", "html_hash", "stability_count", "status", "last_accessed_at")
+
+
 def latest_ai_record(spark: SparkSession, sf: str) -> DataFrame:
     """W1 + F7."""
     r = rec_ops.latest_ai_record(derived.fx_records(spark, sf).select("id", "url", "cleaned_markdown"))
@@ -545,7 +570,6 @@ def scrape_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- streams (each checked against its batch form) ------------------------------------------
-from webweft.session import work_path  # noqa: E402
 from webweft.streaming import jobs as stream_jobs  # noqa: E402
 
 

@@ -497,3 +497,12 @@ SQL["stream_dedup"] = """WITH RECURSIVE work AS (
     ON e.user_id = w.user_id AND e.ts >= w.f.ts + INTERVAL 1 DAY GROUP BY w.user_id)
 SELECT event_id AS request_id, f IS NOT NULL OR ts IS NULL AS does_work, f.ts + INTERVAL 1 DAY AS until
 FROM events e LEFT JOIN work w ON w.user_id = e.user_id AND w.f.id = e.event_id"""
+
+SQL["record_buckets"] = SQL["record_upsert"].replace("SELECT * FROM (", "SELECT url, html_hash, stability_count, status, last_accessed_at FROM (", 1)
+SQL["blocklist_regex"] = f"""WITH r AS (
+  SELECT DISTINCT page_id % 4 = 0 AS is_allow, replace({domain('url')}, '.', '\\.') || '/(?:[a-z]+/)?.*[?&]page=' || (page_id % 5) AS pattern
+  FROM pages WHERE {domain('url')} IS NOT NULL),
+u AS (SELECT DISTINCT url FROM pages),
+f AS (SELECT url, bool_or(is_allow) AS rx_allow, bool_or(NOT is_allow) AS rx_block
+      FROM u JOIN r ON regexp_matches(url, '(?i)' || pattern) GROUP BY url)
+SELECT page_id, coalesce(rx_allow, false) AS rx_allow, coalesce(rx_block, false) AS rx_block FROM pages LEFT JOIN f USING (url)"""
