@@ -90,3 +90,23 @@ def test_small_blocks_meet_all_queries(spark):
     assert index.count() >= 8
     got = collect(P.search(index, df.filter("vec_id % 20 = 0").repartition(4), pivots))
     assert recall(got, brute(rows)) == 1
+
+
+@pytest.mark.parametrize("kind", ["even", "uneven", "wide", "clustered"])
+def test_recall_of_a_full_block_at_the_production_share(kind):
+    """A whole block of unclustered, uneven and clustered vectors; a third of it is ranked again."""
+    rng = np.random.default_rng(7)
+    n, dim = P.BLOCK_ROWS, 128 if kind == "wide" else 64
+    x = rng.normal(size=(n, dim))
+    if kind == "clustered":
+        x = rng.normal(size=(40, dim))[rng.integers(0, 40, n)] + 0.4 * x
+    if kind in ("uneven", "wide"):
+        x = x * rng.lognormal(0, 0.4, (n, 1))
+    pivots = P.unit(x[rng.permutation(n)[:P.PIVOTS]])
+    block, asked = P.build_block(np.arange(n), x, pivots), rng.permutation(n)[:100]
+    q, found, _ = P.search_block(asked, x[asked], block, pivots)
+    scores = x[asked] @ x.T
+    scores[np.arange(100), asked] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.reshape(100, 20), want)]) >= 0.9
+    assert P.RERANKED <= 0.35 and P.LEAST <= 100

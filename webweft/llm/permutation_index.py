@@ -43,9 +43,9 @@ K, QUERY_EVERY = 20, 20
 # Pivots, and how many of a row's nearest make its order.
 PIVOTS, PREFIX = 256, 48
 # Rows of an index block and of a query block.
-BLOCK_ROWS, QUERY_ROWS = 8192, 512
+BLOCK_ROWS, QUERY_ROWS = 8192, 2048
 # Share of a block that is ranked again for each query, and at least so many rows.
-RERANKED, LEAST = 0.125, 1024
+RERANKED, LEAST = 0.35, 5 * K
 LONGEST = 32
 
 BLOCK = "n int, dim int, ids binary, vectors binary, files array<struct<pivot:int,rows:binary,places:binary>>, long binary"
@@ -135,25 +135,37 @@ def _one_row(block: dict) -> pa.RecordBatch:
 
 
 def query_blocks(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
-    """(q_ids, q_vectors): blocks of queries, filled by each task from its own rows."""
+    """(q_ids, q_vectors): full blocks of queries; every index block is copied once for each of them."""
+    def block(ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()),
+                                           pa.array([vectors.astype("<f8").tobytes()], pa.binary())], ["q_ids", "q_vectors"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = np.zeros(0, np.int64), None
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                part = b.slice(at, rows)
-                ids, vectors = part.column("vec_id").to_numpy(), _matrix(part.column("embedding"))
-                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-                                                  pa.array([vectors.astype("<f8").tobytes()], pa.binary())],
-                                                 ["q_ids", "q_vectors"])
+            if not b.num_rows:
+                continue
+            own = _matrix(b.column("embedding"))
+            ids = np.concatenate([ids, b.column("vec_id").to_numpy()])
+            vectors = own if vectors is None else np.concatenate([vectors, own])
+            while len(ids) >= rows:
+                yield block(ids[:rows], vectors[:rows])
+                ids, vectors = ids[rows:], vectors[rows:]
+        if len(ids):
+            yield block(ids, vectors)
 
-    return materialise(queries.mapInArrow(run, "q_ids binary, q_vectors binary"), "query_blocks")
+    dealt = queries.repartition(max(1, -(-queries.count() // rows)), "vec_id")
+    return materialise(dealt.mapInArrow(run, "q_ids binary, q_vectors binary"), "query_blocks")
 
 
 def nearest_orders(order: np.ndarray, files: dict[int, tuple[np.ndarray, np.ndarray]], n: int, keep: int,
-                   prefix: int) -> np.ndarray:
+                   prefix: int, lengths: np.ndarray | None = None) -> np.ndarray:
     """Rows of a block by footrule distance from a query's order; ties to the smaller vec_id.
 
     Two orders without a common pivot are ``prefix * (prefix + 1)`` apart; a pivot at
-    places a and b shortens that by twice ``prefix - max(a, b)``."""
+    places a and b shortens that by twice ``prefix - max(a, b)``.  Orders tell directions only:
+    with ``lengths``, how much nearer than the mean a row lies counts by its length, as an
+    inner product does."""
     if keep >= n:
         return np.arange(n)
     nearer = np.zeros(n, dtype=np.int64)
@@ -161,7 +173,7 @@ def nearest_orders(order: np.ndarray, files: dict[int, tuple[np.ndarray, np.ndar
         if pivot in files:
             rows, places = files[pivot]
             nearer[rows] += prefix - np.maximum(places, a)
-    key = np.arange(n) - nearer * n
+    key = np.arange(n) - nearer * n if lengths is None else (nearer.mean() - nearer) * lengths
     return np.argpartition(key, keep)[:keep]
 
 
@@ -174,11 +186,12 @@ def search_block(q_ids: np.ndarray, q_vectors: np.ndarray, block: dict, pivots:
     files = {f["pivot"]: (np.frombuffer(f["rows"], "<u2"), np.frombuffer(f["places"], "<u2").astype(np.int64))
              for f in block["files"]}
     longest = np.frombuffer(block["long"], "<u2")
+    lengths = np.linalg.norm(vectors, axis=1)
     keep = min(n, max(LEAST, int(np.ceil(n * RERANKED))))
     found = []
     for q, v, order in zip(q_ids, q_vectors, orders(q_vectors, pivots)):
         chosen = np.zeros(n, dtype=bool)
-        chosen[nearest_orders(order, files, n, keep, len(order))] = True
+        chosen[nearest_orders(order, files, n, keep, len(order), lengths)] = True
         chosen[longest] = True
         near = np.nonzero(chosen & (ids != q))[0]
         scores = vectors[near] @ v
