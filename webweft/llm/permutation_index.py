@@ -159,12 +159,12 @@ def query_blocks(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
 
 
 def nearest_orders(order: np.ndarray, files: dict[int, tuple[np.ndarray, np.ndarray]], n: int, keep: int,
-                   prefix: int, lengths: np.ndarray | None = None) -> np.ndarray:
+                   prefix: int, lengths: np.ndarray | None = None, pivots: int = PIVOTS) -> np.ndarray:
     """Rows of a block by footrule distance from a query's order; ties to the smaller vec_id.
 
     Two orders without a common pivot are ``prefix * (prefix + 1)`` apart; a pivot at
     places a and b shortens that by twice ``prefix - max(a, b)``.  Orders tell directions only:
-    with ``lengths``, how much nearer than the mean a row lies counts by its length, as an
+    with ``lengths``, how much nearer than by chance a row lies counts by its length, as an
     inner product does."""
     if keep >= n:
         return np.arange(n)
@@ -173,8 +173,15 @@ def nearest_orders(order: np.ndarray, files: dict[int, tuple[np.ndarray, np.ndar
         if pivot in files:
             rows, places = files[pivot]
             nearer[rows] += prefix - np.maximum(places, a)
-    key = np.arange(n) - nearer * n if lengths is None else (nearer.mean() - nearer) * lengths
-    return np.argpartition(key, keep)[:keep]
+    if lengths is not None:
+        # what orders drawn at random have in common counts as no nearness; copies of a vector count once
+        key = (prefix ** 3 / (3 * pivots) - nearer) * lengths
+        distinct = np.unique(key)
+        return np.nonzero(key <= distinct[min(keep, len(distinct)) - 1])[0]
+    key = -nearer
+    last = np.partition(key, keep - 1)[keep - 1]
+    sure = np.nonzero(key < last)[0]
+    return np.concatenate([sure, np.nonzero(key == last)[0][:keep - len(sure)]])
 
 
 def search_block(q_ids: np.ndarray, q_vectors: np.ndarray, block: dict, pivots: np.ndarray,
@@ -191,7 +198,7 @@ def search_block(q_ids: np.ndarray, q_vectors: np.ndarray, block: dict, pivots:
     found = []
     for q, v, order in zip(q_ids, q_vectors, orders(q_vectors, pivots)):
         chosen = np.zeros(n, dtype=bool)
-        chosen[nearest_orders(order, files, n, keep, len(order), lengths)] = True
+        chosen[nearest_orders(order, files, n, keep, len(order), lengths, len(pivots))] = True
         chosen[longest] = True
         near = np.nonzero(chosen & (ids != q))[0]
         scores = vectors[near] @ v
