@@ -293,14 +293,28 @@ def blocklist_verdict(df: DataFrame, rules: DataFrame, url_col: str = "url",
     """Adds ``bl_host``, ``bl_path``, ``bl_allowed`` and ``bl_rule``
     (which class blocked the URL, or null).  Allow rules of any class win;
     then wildcard, exact, path, regex in that order.  A disabled list blocks
-    and allows nothing."""
+    and allows nothing.
+
+    The rules are matched with the distinct URLs, and what they match is written
+    once; the rows themselves are joined once, to the URLs that some rule names."""
     out = df.withColumn("bl_host", extract_domain(F.col(url_col))) \
             .withColumn("bl_path", lower_path(F.col(url_col)))
     if not enabled:
         return out.withColumn("bl_allowed", F.lit(False)).withColumn("bl_rule", F.lit(None).cast("string"))
-    folded = sized_broadcast(fold_hosts(rules))
+    urls = cut_lineage(df.select(F.col(url_col).alias("url")).filter("url is not null").distinct(), "rule_urls")
+    named = cut_lineage(_verdicts(urls, rules, include_subdomains), "verdicts").withColumnsRenamed(
+        {"url": "_bl_url", "bl_allowed": "_bl_allowed"})
+    out = out.join(named, F.col(url_col) == F.col("_bl_url"), "left")
+    return out.withColumn("bl_allowed", F.coalesce("_bl_allowed", F.lit(False))).select(
+        *[F.col(f"`{c}`") for c in df.columns], "bl_host", "bl_path", "bl_allowed", "bl_rule")
+
+
+def _verdicts(urls: DataFrame, rules: DataFrame, include_subdomains: bool) -> DataFrame:
+    """(url, bl_allowed, bl_rule) of the distinct URLs that some rule allows or blocks."""
+    out = urls.withColumn("bl_host", extract_domain("url")).withColumn("bl_path", lower_path("url"))
+    folded = sized_broadcast(cut_lineage(fold_hosts(rules), "folded_rules"))
     # URLs without a host match no rule: spread keys keep them apart in a shuffled join
-    key = F.coalesce("bl_host", F.concat(F.lit(" "), F.pmod(F.xxhash64(url_col), F.lit(1024)).cast("string")))
+    key = F.coalesce("bl_host", F.concat(F.lit(" "), F.pmod(F.xxhash64("url"), F.lit(1024)).cast("string")))
     out = out.withColumn("_key", key).join(folded, F.col("_key") == F.col("r_host"), "left")
     flag = {c: F.coalesce(f"r_{c}", F.lit(False)) for c in ("wild_allow", "exact_allow", "wild", "exact")}
     if include_subdomains:
@@ -308,26 +322,21 @@ def blocklist_verdict(df: DataFrame, rules: DataFrame, url_col: str = "url",
         for name, kind in (("wild_allow", F.col("is_allow")), ("wild", ~F.col("is_allow"))):
             out = _suffix_flag(out, wild.filter(kind), "_sub_" + name)
             flag[name] = flag[name] | F.col("_sub_" + name)
-    more = []
+    told = {name: F.lit(False) for name in ("path_allow", "path_block", "rx_allow", "rx_block")}
     if not rules.filter(F.col("rule_class") == "path").isEmpty():
         paths = path_flags(out.filter("r_has_paths").select("bl_host", "bl_path", "r_lengths"), rules)
-        paths = paths.select(F.col("bl_host").alias("_ph"), F.col("bl_path").alias("_pp"), "path_allow", "path_block")
+        paths = paths.withColumnsRenamed({"bl_host": "_ph", "bl_path": "_pp"})
         out = out.join(paths, (F.col("_key") == F.col("_ph")) & (F.col("bl_path") == F.col("_pp")), "left")
-        more += ["_ph", "_pp", "path_allow", "path_block"]
+        told |= {c: F.coalesce(F.col(c), F.lit(False)) for c in ("path_allow", "path_block")}
     if not rules.filter(F.col("rule_class") == "regex").isEmpty():
-        matched = regex_flags(df.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url")), rules)
-        out = out.join(matched.withColumnRenamed("url", "_rx_url"), F.col(url_col) == F.col("_rx_url"), "left")
-        more += ["_rx_url", "rx_allow", "rx_block"]
-
-    def told(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(False)) if name in more else F.lit(False)
-
-    allowed = flag["wild_allow"] | flag["exact_allow"] | told("path_allow") | told("rx_allow")
+        out = out.join(regex_flags(urls, rules).withColumnRenamed("url", "_rx_url"), F.col("url") == F.col("_rx_url"), "left")
+        told |= {c: F.coalesce(F.col(c), F.lit(False)) for c in ("rx_allow", "rx_block")}
+    allowed = flag["wild_allow"] | flag["exact_allow"] | told["path_allow"] | told["rx_allow"]
     out = out.withColumn("bl_allowed", F.col("bl_host").isNotNull() & allowed)
     rule = (F.when(F.col("bl_allowed") | F.col("bl_host").isNull(), F.lit(None))
             .when(flag["wild"], F.lit("wildcard")).when(flag["exact"], F.lit("exact"))
-            .when(told("path_block"), F.lit("path")).when(told("rx_block"), F.lit("regex")))
-    return out.withColumn("bl_rule", rule).drop("_key", *folded.columns, *more, "_sub_wild_allow", "_sub_wild")
+            .when(told["path_block"], F.lit("path")).when(told["rx_block"], F.lit("regex")))
+    return out.withColumn("bl_rule", rule).filter(F.col("bl_allowed") | F.col("bl_rule").isNotNull()).select("url", "bl_allowed", "bl_rule")
 
 
 def as_url_filter(rules: DataFrame, **kw):
