@@ -311,6 +311,7 @@ def blocklist_verdict(df: DataFrame, rules: DataFrame, url_col: str = "url",
 
 def _verdicts(urls: DataFrame, rules: DataFrame, include_subdomains: bool) -> DataFrame:
     """(url, bl_allowed, bl_rule) of the distinct URLs that some rule allows or blocks."""
+    rules = cut_lineage(rules, "rules")  # read by every class below: parsed once
     out = urls.withColumn("bl_host", extract_domain("url")).withColumn("bl_path", lower_path("url"))
     folded = sized_broadcast(cut_lineage(fold_hosts(rules), "folded_rules"))
     # URLs without a host match no rule: spread keys keep them apart in a shuffled join
