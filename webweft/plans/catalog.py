@@ -457,6 +457,12 @@ def page_text_length(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("page_id", "text_len")
 
 
+def page_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """H4's lists: every document as a page of nested and numbered lists."""
+    out = html_ops.markdown(derived.fx_list_pages(spark, sf))
+    return out.select("doc_id", F.length("html").alias("markdown_len"), F.sha2("html", 256).alias("markdown_hash"))
+
+
 def page_clean(spark: SparkSession, sf: str) -> DataFrame:
     """H7 over every page: H1 → H2 → H3 → H4 → H5, with H6 and F3.
 

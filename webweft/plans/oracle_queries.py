@@ -490,6 +490,16 @@ SELECT page_id, CAST(CASE WHEN starts_with(every, 'You need to enable JavaScript
         OR NOT regexp_matches(body, '(?i)<(?:p|h[1-6]|article|main|section|li|td|th)\\b'))) THEN 0 ELSE length(shown) END AS INTEGER) AS text_len
 FROM x"""
 
+# items at depths 1, 2, 3, 2, 1, 2: two of the outer list in each cycle of six; the inner list holds two, then one
+SQL["page_lists"] = """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS words FROM documents),
+i AS (SELECT doc_id, words[j + 1] AS word, j, [1, 2, 3, 2, 1, 2][j % 6 + 1] AS depth,
+        CASE j % 6 WHEN 0 THEN j // 6 * 2 + 1 WHEN 4 THEN j // 6 * 2 + 2 WHEN 2 THEN 5 WHEN 3 THEN 2 ELSE 1 END AS number
+      FROM w, unnest(range(len(words))) AS u(j)),
+l AS (SELECT doc_id, string_agg(repeat('    ', depth - 1) || CASE WHEN depth = 3 OR depth % 2 <> doc_id % 2 THEN number || '. ' ELSE '- ' END || word,
+        chr(10) ORDER BY j) AS lines FROM i GROUP BY doc_id),
+m AS (SELECT doc_id, '## Words' || chr(10) || chr(10) || coalesce(lines || chr(10) || chr(10), '') || 'End' AS md FROM w LEFT JOIN l USING (doc_id))
+SELECT doc_id, length(md) AS markdown_len, sha256(md) AS markdown_hash FROM m"""
+
 SQL["stream_dedup"] = """WITH RECURSIVE work AS (
   SELECT user_id, min({'ts': ts, 'id': event_id}) AS f FROM events WHERE ts IS NOT NULL GROUP BY user_id
   UNION ALL

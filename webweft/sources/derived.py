@@ -232,6 +232,32 @@ def fx_block_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pg.select("page_id", F.replace(F.col("html"), F.lit("<body>"), F.concat(F.lit("<body>"), extra)).alias("html"))
 
 
+# What stands before a list item of a nested list, by its place in a cycle of six: items at the
+# depths 1, 2, 3, 2, 1, 2.  Fixed values.
+LIST_STEPS = ["</li>{inner_end}</li>", "{inner}", '<OL class="x" start="5">', "</li></OL></li>", "</li>{inner_end}</li>", "{inner}"]
+
+
+def fx_list_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's words of letters as items of nested lists: numbered ones with bullets in
+    them on even ids, bullets with numbered ones in them on odd ids, and numbers from 5 in both."""
+    docs = read_table(spark, sf, "documents")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+
+    def page(outer: str, inner: str):
+        before = F.array(*[F.lit(x.format(inner=f"<{inner}>", inner_end=f"</{inner}>")) for x in LIST_STEPS])
+        items = F.transform(F.col("words"), lambda w, j: F.concat(
+            F.when(j == 0, F.lit("")).otherwise(F.element_at(before, (j % len(LIST_STEPS) + 1).cast("int"))), F.lit("<li>\n <p>"), w, F.lit("</p> ")))
+        close = {1: "</li>", 2: f"</li></{inner}></li>", 3: f"</li></OL></li></{inner}></li>"}
+        last = (F.size("words") - 1) % len(LIST_STEPS)
+        end = F.when(last.isin(0, 4), close[1]).when(last == 2, close[3]).otherwise(close[2])
+        body = F.concat(F.lit(f"<{outer}>"), F.array_join(items, ""), end, F.lit(f"</{outer}>"))
+        return F.when(F.size("words") > 0, body).otherwise(F.lit(""))
+
+    made = F.when(F.col("doc_id") % 2 == 0, page("ol", "ul")).otherwise(page("ul", "ol"))
+    return (docs.select("doc_id", words.alias("words"))
+            .select("doc_id", F.concat(F.lit("<h2>Words</h2>"), made, F.lit("<p>End</p>")).alias("html")))
+
+
 def fx_dns(spark: SparkSession, sf: str) -> DataFrame:
     """Host → address table (several addresses per host, some private)."""
     pg = read_table(spark, sf, "pages")
