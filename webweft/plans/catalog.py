@@ -521,21 +521,26 @@ def _scrape_state(spark, sf):
     return req, fetched, cut_lineage(_page_records(spark, sf), "page_records"), reps
 
 
-def _scrape(spark, sf, state, cache):
+def _scrape(spark, sf, state, cache, statistics=None):
     req, fetched, records, reps = state
     return scrape_plan.batch_scrape(req, fetched, records, cache, reps, derived.fx_robots(spark, sf), AS_OF,
-                                    ai_configured=True, ai_cleaner=_markdown_cleaner)
+                                    ai_configured=True, ai_cleaner=_markdown_cleaner, statistics=statistics)
 
 
-def scrape_run(spark: SparkSession, sf: str):
-    state = _scrape_state(spark, sf)
+def _page_statistics(records: DataFrame) -> DataFrame:
+    """Stored statistics of the earlier crawl: one per record, with ids of its own."""
+    return records.select((F.col("id") * 10).alias("id"), F.col("id").alias("crawl_record_id"), F.lit(0).alias("cache_hit_count"))
+
+
+def scrape_run(spark: SparkSession, sf: str, state=None):
+    state = state or _scrape_state(spark, sf)
     ctx = scrape_context(spark, sf)
     held = F.col("url").contains("/en/") & F.col("url").endswith(".html")
     value = F.to_json(F.struct(F.lit(True).alias("success"), F.concat(F.lit("held "), F.col("request_id")).alias("markdown")))
     cache = (ctx.join(state[0].select("request_id", "url"), "request_id").filter(held)
              .select(F.lit("Crawl").alias("prefix"), F.col("context_hash").alias("key"), value.alias("value"),
                      F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("expires_at")))
-    return _scrape(spark, sf, state, cache)
+    return _scrape(spark, sf, state, cache, _page_statistics(state[2]))
 
 
 def scrape_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -575,6 +580,12 @@ def scrape_records(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("cleaned_markdown").isNotNull().alias("has_ai"))
 
 
+def scrape_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: the statistics that Q1 appends; their ids go on from the stored ones."""
+    return scrape_run(spark, sf).statistics.select("id", "crawl_record_id", "cache_hit_count", "model", "created_at",
+                                                   F.col("content_hash").isNotNull().alias("hashed"))
+
+
 # --- streams (each checked against its batch form) ------------------------------------------
 from webweft.streaming import jobs as stream_jobs  # noqa: E402
 
@@ -627,3 +638,75 @@ def reputation_merge(spark: SparkSession, sf: str) -> DataFrame:
     merged = rep_ops.reputation_merge(before, log.filter(F.col("ts") > cut))
     untouched = before.join(merged.select("domain"), "domain", "left_anti")
     return merged.unionByName(untouched)
+
+
+def scrape_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1's outcomes, handed to R2, which keeps the reputations; a batch handed over twice counts once."""
+    result, root = scrape_run(spark, sf), work_path(spark, "streams", "q1_outcomes")
+    for _ in range(2):
+        stream_jobs.publish_events(result.outcomes, result.hit_events, f"{root}/events", 0)
+        stream_jobs.reputation_stream(stream_jobs.published_events(spark, f"{root}/events", "outcomes"),
+                                      f"{root}/reputation", f"{root}/checkpoint")
+    return stream_jobs.reputation_state(f"{root}/reputation").current(spark).select(
+        "domain", "consecutive_failures", "total_failures", "blocked_until", "last_failure_at")
+
+
+def scrape_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1's hit events, handed to R1, which adds them to the statistics."""
+    state, root = _scrape_state(spark, sf), work_path(spark, "streams", "q1_hits")
+    result, stats = scrape_run(spark, sf, state), _page_statistics(state[2])
+    stream_jobs.publish_events(result.outcomes, result.hit_events, f"{root}/events", 0)
+    stream_jobs.hit_flush_stream(stream_jobs.published_events(spark, f"{root}/events", "hits"), result.records, stats,
+                                 f"{root}/deltas", f"{root}/checkpoint")
+    return rec_ops.apply_hit_deltas(stats.select("id", "cache_hit_count"), spark.read.parquet(f"{root}/deltas"))
+
+
+def _host_counts(path: str):
+    """A synchronous after-search action: results per host, a folder per batch."""
+    def store(raw: DataFrame, batch_id: int) -> None:
+        (raw.groupBy(urls.extract_domain(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("deepest"))
+         .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+    return store
+
+
+def _fails(raw: DataFrame, batch_id: int) -> None:
+    """A best-effort action whose service is down."""
+    raise ConnectionError("action failed")
+
+
+def _totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("host").agg(F.sum("n").alias("n_results"), F.max("deepest").alias("deepest_rank"))
+
+
+def search_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """Actions on Q2's raw results, before any filter: a best-effort one that fails is passed over."""
+    path = f"{work_path(spark, 'actions')}/hosts"
+
+    search_ops.batch_search(derived.fx_search_req(spark, sf), fixture_provider(spark, sf), [],
+                            actions=[(20, True, _host_counts(path)), (10, False, _fails)])
+    return _totals(spark.read.parquet(path))
+
+
+def stream_search_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same actions on the results as they arrive; equals the batch form."""
+    req = search_ops.provider_requests(derived.fx_search_req(spark, sf)).filter("valid")
+    calls = req.select("query_id", "cache_key", "query", "count")
+    found, _ = search_ops.parse_provider(fixture_provider(spark, sf)(calls.select("cache_key", "query", "count")))
+    # a batch per range of queries
+    results = search_ops.top_n(found, calls.select("cache_key", "count")).join(calls.select("query_id", "cache_key"), "cache_key")
+    root = work_path(spark, "streams", "results")
+
+    stream_jobs.run_in_slices(results.select("query_id", "url", "rank"), root, "query_id",
+                              lambda stream: stream_jobs.after_search_stream(
+                                  stream, [(20, True, _host_counts(f"{root}/hosts")), (10, False, _fails)], f"{root}/checkpoint"))
+    return _totals(spark.read.parquet(f"{root}/hosts"))
+
+
+def stream_rule_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Three refreshes: the even lines; a list without a block rule, which changes nothing; every twelfth line."""
+    root = f"{work_path(spark, 'rules')}/snapshots"
+    lines = cut_lineage(derived.fx_rule_lines(spark, sf), "rule_lines")
+    n = F.col("line_no")
+    for part in (n % 2 == 0, n % 12 == 7, n % 12 == 1):
+        stream_jobs.refresh_rules(spark, lines.filter(part), root, blocklist.load_rules)
+    return blocklist.rule_counts(stream_jobs.current_rules(spark, root))

@@ -397,6 +397,26 @@ SQL["scrape_records"] = with_ctes([], """SELECT pid AS id, url,
 SQL["scrape_cached"] = with_ctes([], """SELECT pid AS request_id, source IN ('hash_hit', 'cleaned') AS from_cache,
     CASE WHEN source IN ('hash_hit', 'cleaned') THEN true END AS same_answer FROM fx_scraped""", [SCRAPED.replace("__HELD__", "false")])
 
+AS_OF = "2024-01-30 23:00:00"
+SQL["scrape_statistics"] = with_ctes([], """SELECT row_number() OVER (ORDER BY rid) + (SELECT max(page_id) * 10 FROM pages WHERE page_id % 5 <> 4) AS id,
+    rid AS crawl_record_id, 0 AS cache_hit_count, 'local-rule' AS model, TIMESTAMP '__AS_OF__' AS created_at, true AS hashed
+    FROM (SELECT CASE WHEN known THEN pid ELSE new_id END AS rid FROM fx_scraped LEFT JOIN fx_new USING (url)
+          WHERE source = 'cleaned' AND use_ai)""".replace("__AS_OF__", AS_OF), [_held])
+
+# what a batch without a stored reputation leaves: all its outcomes have one time
+SQL["scrape_outcomes"] = with_ctes([], f"""SELECT domain, n AS consecutive_failures, n AS total_failures,
+    {add_minutes("TIMESTAMP '" + AS_OF + "'", curve('n', 5.0, 3, 10080.0))} AS blocked_until, TIMESTAMP '{AS_OF}' AS last_failure_at
+    FROM (SELECT {domain('url')} AS domain, CAST(count(DISTINCT url) AS INTEGER) AS n FROM fx_scraped WHERE source = 'fetch_failed' GROUP BY 1)
+    WHERE domain IS NOT NULL""", [_held])
+
+SQL["scrape_hits"] = with_ctes([], """SELECT pid * 10 AS id, CAST(source = 'cache' AND use_ai AND pid % 2 = 0 AS INTEGER) AS cache_hit_count
+    FROM fx_scraped WHERE known""", [_held])
+
+SQL["search_actions"] = with_ctes(["fx_results", "fx_search_req"], f"""SELECT {domain('url')} AS host, count(*) AS n_results,
+    max(rank) AS deepest_rank FROM fx_parsed_res WHERE valid AND provider_pos <= count GROUP BY 1""", [PARAMS, PARSED])
+SQL["stream_search_actions"] = SQL["search_actions"]
+SQL["stream_rule_refresh"] = SQL["rule_swap"]
+
 # --- streams: the batch forms -------------------------------------------------------------------
 SQL["stream_reputation"] = SQL["reputation"]
 SQL["reputation_merge"] = SQL["reputation"]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webweft.operators import records as rec_ops
+from webweft.operators.reputation import outcomes as outcome_events
 from webweft.operators.reputation import reputation_merge
 from webweft.session import cut_lineage
 
@@ -69,6 +70,28 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+OUTCOME_EVENTS = "domain string, ok boolean, ts timestamp_ntz, event_id long"
+HIT_EVENTS = "url string"
+
+
+def publish_events(outcomes: DataFrame, hits: DataFrame, root: str, batch: int) -> None:
+    """Hand a scrape batch's domain outcomes (X6) and hits (S8) to the streams that read
+    ``root/outcomes`` (R2) and ``root/hits`` (R1): a folder per batch.
+
+    A folder that is committed stays as it is, so a batch that is run again is not counted twice."""
+    for name, events, schema in (("outcomes", outcome_events(outcomes), OUTCOME_EVENTS), ("hits", hits, HIT_EVENTS)):
+        if batch not in committed(events.sparkSession, f"{root}/{name}", "batch-"):
+            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)]
+            events.select(*columns).write.mode("overwrite").parquet(f"{root}/{name}/batch-{batch:08d}")
+
+
+def published_events(spark: SparkSession, root: str, name: str, max_files: int = 1000) -> DataFrame:
+    """The stream of one kind of published events; ``max_files`` bounds a micro-batch."""
+    schema = {"outcomes": OUTCOME_EVENTS, "hits": HIT_EVENTS}[name]
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .option("recursiveFileLookup", "true").parquet(f"{root}/{name}"))
+
+
 def _run(writer, available_now: bool, processing_time: str | None):
     if available_now:
         q = writer.trigger(availableNow=True).start()
