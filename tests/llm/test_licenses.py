@@ -1,6 +1,8 @@
+import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF_CHECK
@@ -121,3 +123,51 @@ def test_matches_equal_the_list_of_all_passages():
         words = [w for t in rng.choice(short, 4) for w in t.split() if rng.random() > 0.05]
         text = " ".join(words)
         assert [(m.name, m.score) for m in SCANNER.scan(text)] == greedy(text)
+
+
+def heaviest_first(scanner, text):
+    """Every passage of every template, the heaviest first, unless it meets one that stays."""
+    words = L.words_of(text)
+    pairs = L.bigrams(words)
+    found = []
+    for name, bag in scanner.bags.items():
+        hits = [(i, p) for i, p in enumerate(pairs) if p in bag]
+        for first, last, score in scanner.passages(name, hits) if hits else ():
+            both = last - first + 1 + bag.total()
+            found.append((-(round(score * both / 2) * 3 - both), first, name, last, score))
+    kept = []
+    for _, first, name, last, score in sorted(found):
+        if all(last < a or first > b for a, b, _, _ in kept):
+            kept.append((first, last, name, score))
+    places = L.places_of(text)
+    return [(name, places[a][0], places[b + 1][1], round(score, 9)) for a, b, name, score in sorted(kept)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_neighbouring_starts_lose_no_match(seed):
+    """Few words, many repeats: passages left to a neighbouring start are found from it."""
+    rng = random.Random(seed)
+    for _ in range(150):
+        vocabulary = [f"w{i}" for i in range(rng.choice([2, 3, 5]))]
+        templates = {f"t{k}": " ".join(rng.choices(vocabulary, k=rng.randint(2, 12))) for k in range(rng.randint(1, 3))}
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            parts += rng.choice(list(templates.values())).split() if rng.random() < 0.7 else rng.choices([*vocabulary, "x"], k=4)
+            if rng.random() < 0.5:
+                parts[rng.randrange(len(parts))] = "x"
+        scanner, text = L.Scanner(templates, rng.choice([0.6, 0.8, 0.9])), " ".join(parts)
+        assert [(m.name, m.start, m.end, round(m.score, 9)) for m in scanner.scan(text)] == heaviest_first(scanner, text)
+
+
+def test_work_grows_with_the_text_alone(monkeypatch):
+    """Counted bigrams of copies of a whole licence: in proportion to the copies."""
+    counted = []
+    ends = L.Starts._ends
+    monkeypatch.setattr(L.Starts, "_ends", lambda self, i, low, stop, common: (
+        counted.append(stop - low), ends(self, i, low, stop, common))[1])
+    work = []
+    for copies in (2, 8):
+        counted.clear()
+        assert len(L.Scanner(L.TEMPLATES).scan((L.TEXTS["MPL-2.0-text"] + " and so on ") * copies)) == copies
+        work.append(sum(counted) + 1)
+    assert work[1] <= 6 * work[0]

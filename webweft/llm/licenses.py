@@ -27,7 +27,7 @@ from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import islice
 from pkgutil import get_data
 
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from webweft.llm.common import short_batches, table
 
 THRESHOLD = 0.8
+# Starts at most so many bigrams apart are neighbours (see ``Starts.best``); a count is walked to in so many steps.
+NEAR, STEPS = 2, 64
 
 # Whole licences, in ``license_texts``.
 WHOLE = ("0BSD", "AGPL-3.0-text", "Apache-2.0-text", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "CC0-1.0-text",
@@ -184,7 +186,8 @@ class Scanner:
     def scan(self, text: str | None) -> list[Match]:
         """Matches of a whole text, by place.
 
-        Of every start only its best passage waits; one that runs into a match is cut there."""
+        Of every start only its best passage waits; one that runs into a match is cut there.  A start
+        right behind a match loses the neighbour that its passages were left to, and is looked at again."""
         hits: dict[str, list[tuple[int, tuple[str, str]]]] = {}
         words, holders = words_of(text or ""), self.holders
         size = len(words) - 1
@@ -194,28 +197,34 @@ class Scanner:
                     break
                 hits.setdefault(name, []).append((i, pair))
         starts, waiting = {}, []
+
+        def wait(name: str, i: int, limit: int | None = None, alone: bool = False) -> None:
+            if best := starts[name].best(i, limit, alone):
+                heappush(waiting, (-best[1], int(starts[name].at[i]), name, best[0], i, alone, best[2]))
+
         for name, own in hits.items():
             if len(own) >= self.bounds(name)[0]:
                 starts[name] = self.starts(name, own)
-                for i in starts[name].hopeful():
-                    if best := starts[name].best(i):
-                        waiting.append((-best[1], int(starts[name].at[i]), name, best[0], int(i), best[2]))
-        if not waiting:
-            return []
-        heapify(waiting)
+                for i in starts[name].hopeful().tolist():
+                    wait(name, i)
         taken: list[tuple[int, int]] = []  # disjoint and in order
         kept = []
         while waiting:
-            _, first, name, last, i, score = heappop(waiting)
+            _, first, name, last, i, alone, score = heappop(waiting)
             at = bisect(taken, (first, size))
             if at and taken[at - 1][1] >= first:
                 continue
             if at < len(taken) and taken[at][0] <= last:
-                if best := starts[name].best(i, taken[at][0] - 1):
-                    heappush(waiting, (-best[1], first, name, best[0], i, best[2]))
+                wait(name, i, taken[at][0] - 1, alone)
                 continue
             taken.insert(at, (first, last))
             kept.append((first, last, name, score))
+            for other, own in starts.items():
+                i = own.behind(last)
+                if i is not None:
+                    wait(other, i, alone=True)
+        if not kept:
+            return []
         places = places_of(text)
         return [Match(name, places[first][0], places[last + 1][1], score) for first, last, name, score in sorted(kept)]
 
@@ -235,27 +244,102 @@ class Starts:
                 self.back[k] = own[-bag[pair]]
             own.append(k)
         self.stop = np.searchsorted(self.at, self.at + int(most), "left")
+        # the hit whose presence makes a start's own hit one too many, if it has one
+        self.ahead = np.full(len(hits), len(hits), dtype=np.int64)
+        later = self.back >= 0
+        self.ahead[self.back[later]] = np.nonzero(later)[0]
+        # a start this near behind another leaves it the passages to which that one's hit is common
+        self.near = np.diff(self.at, prepend=-NEAR - 1) <= NEAR
+        self._seen = (0, -1, 0)
+        self._lists = (self.at.tolist(), self.back.tolist(), self.ahead.tolist(), self.stop.tolist())
 
     def hopeful(self) -> np.ndarray:
-        """Starts with enough hits behind them."""
-        return np.nonzero(self.stop - np.arange(len(self.at)) >= self.least)[0]
+        """Starts with enough common bigrams ahead, and passages of their own (see ``best``)."""
+        n, starts = len(self.at), np.arange(len(self.at))
+        # one window slides over the hits: common bigrams of the longest passage from each start
+        common, to, most = 0, 0, np.empty(n, dtype=np.int64)
+        _, back, ahead, stops = self._lists
+        for i, stop in enumerate(stops):
+            while to < stop:
+                common += back[to] < i
+                to += 1
+            most[i] = common
+            common -= ahead[i] >= to
+        low = np.where(self.near, np.maximum(starts, np.roll(self.ahead, 1)), starts)
+        return np.nonzero((most >= self.least) & (low < np.minimum(self.stop, self.ahead)))[0]
 
     def ends(self, i: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Last bigram, weight and Dice of the passages from a start that reach the threshold and end by ``limit``."""
         stop = self.stop[i] if limit is None else min(self.stop[i], np.searchsorted(self.at, limit, "right"))
-        last = self.at[i:stop]
-        common = np.cumsum(self.back[i:stop] < i)
-        both = last - self.at[i] + 1 + self.total
-        good = (both - self.total >= self.least) & (2 * common >= self.threshold * both - 1e-9)
-        last, common, both = last[good], common[good], both[good]
-        return last, 3 * common - both, 2 * common / both
+        return self._ends(i, i, stop, 1)
 
-    def best(self, i: int, limit: int | None = None) -> tuple[int, int, float] | None:
-        last, weight, score = self.ends(i, limit)
-        if not len(last):
+    def _ends(self, i: int, low: int, stop: int, common: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``ends`` among the hits from ``low`` to before ``stop``; ``common`` bigrams to the first of them."""
+        last = self.at[low:stop]
+        counts = common + np.cumsum(self.back[low:stop] < i) - (self.back[low] < i)
+        both = last - self.at[i] + 1 + self.total
+        good = (both - self.total >= self.least) & (2 * counts >= self.threshold * both - 1e-9)
+        last, counts, both = last[good], counts[good], both[good]
+        return last, 3 * counts - both, 2 * counts / both
+
+    def behind(self, last: int) -> int | None:
+        """The first start behind a bigram, if it leaves passages to one that is not."""
+        i = int(np.searchsorted(self.at, last, "right"))
+        return i if 0 < i < len(self.at) and self.near[i] else None
+
+    def common(self, i: int, end: int) -> int:
+        """Common bigrams of the passage from hit ``i`` to hit ``end``.
+
+        Walks from the passage asked for before, if that is near, else counts."""
+        at, to, n = self._seen
+        if i < at or i - at + abs(end - to) > STEPS or to < i - 1:
+            n = int(np.count_nonzero(self.back[i:end + 1] < i))
+        else:
+            _, back, ahead, _ = self._lists
+            while to < end:
+                to += 1
+                n += back[to] < at
+            while to > end:
+                n -= back[to] < at
+                to -= 1
+            while at < i:
+                n -= ahead[at] > to
+                at += 1
+        self._seen = (i, end, n)
+        return n
+
+    def best(self, i: int, limit: int | None = None, alone: bool = False) -> tuple[int, int, float] | None:
+        """The heaviest passage from a start (last bigram, weight, Dice) that is not lighter than the same one
+        from a neighbouring start, of which every heaviest passage is one.
+
+        To the ends from ``ahead[i]`` on, hit i is one too many: without it the passage is heavier.  To the
+        ends before ``ahead[i - 1]`` the hit before is common: with it the passage is heavier, if at most
+        ``NEAR`` bigrams are added, and still reaches the threshold (one common bigram outweighs t / 2 times
+        the bigrams added) and keeps the size bound (a passage at the bound holds the whole template, so
+        no hit before it is common).  ``alone``: the hit before is not to be had."""
+        at, back, ahead, stops = self._lists
+        stop = stops[i] if limit is None else min(stops[i], int(np.searchsorted(self.at, limit, "right")))
+        stop = min(stop, ahead[i])
+        low = max(i, ahead[i - 1]) if not alone and self.near[i] else i
+        if low >= stop:
+            return None
+        common, base = self.common(i, low), self.total + 1 - at[i]
+        if 2 * (common + stop - 1 - low) < self.threshold * (at[low] + base) - 1e-9:
             return None
-        k = int(weight.argmax())
-        return int(last[k]), int(weight[k]), float(score[k])
+        if stop - low > STEPS:
+            last, weight, score = self._ends(i, low, stop, common)
+            if not len(last):
+                return None
+            k = int(weight.argmax())
+            return int(last[k]), int(weight[k]), float(score[k])
+        best = None
+        for k in range(low, stop):
+            common += k > low and back[k] < i
+            both = at[k] + base
+            if both - self.total >= self.least and 2 * common >= self.threshold * both - 1e-9 and (
+                    best is None or 3 * common - both > best[1]):
+                best = at[k], 3 * common - both, 2 * common / both
+        return best
 
 
 SPANS = "array<struct<license:string,start:bigint,end:bigint,score:double>>"
