@@ -205,7 +205,7 @@ class Scanner:
         for name, own in hits.items():
             if len(own) >= self.bounds(name)[0]:
                 starts[name] = self.starts(name, own)
-                for i in starts[name].hopeful().tolist():
+                for i in starts[name].hopeful(own=True).tolist():
                     wait(name, i)
         taken: list[tuple[int, int]] = []  # disjoint and in order
         kept = []
@@ -253,8 +253,8 @@ class Starts:
         self._seen = (0, -1, 0)
         self._lists = (self.at.tolist(), self.back.tolist(), self.ahead.tolist(), self.stop.tolist())
 
-    def hopeful(self) -> np.ndarray:
-        """Starts with enough common bigrams ahead, and passages of their own (see ``best``)."""
+    def hopeful(self, own: bool = False) -> np.ndarray:
+        """Starts with enough common bigrams ahead; ``own``: and passages of their own (see ``best``)."""
         n, starts = len(self.at), np.arange(len(self.at))
         # one window slides over the hits: common bigrams of the longest passage from each start
         common, to, most = 0, 0, np.empty(n, dtype=np.int64)
@@ -266,7 +266,7 @@ class Starts:
             most[i] = common
             common -= ahead[i] >= to
         low = np.where(self.near, np.maximum(starts, np.roll(self.ahead, 1)), starts)
-        return np.nonzero((most >= self.least) & (low < np.minimum(self.stop, self.ahead)))[0]
+        return np.nonzero((most >= self.least) & ((low < np.minimum(self.stop, self.ahead)) | (not own)))[0]
 
     def ends(self, i: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Last bigram, weight and Dice of the passages from a start that reach the threshold and end by ``limit``."""
