@@ -216,9 +216,11 @@ def vote_rows(docs: DataFrame) -> DataFrame:
 
 def training_sample(docs: DataFrame, cast: DataFrame, good: list[int], rows: int) -> DataFrame:
     """(h, pattern, text): of each side of the posterior the training rows with the smallest hash."""
+    # at most 3 ** labellers numbers, 4 MB
+    side = docs.sparkSession.createDataFrame([(p, True) for p in good], "pattern long, good boolean")
     known = (cast.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.min("pattern").alias("pattern"))
-             .withColumn("good", F.col("pattern").isin(good)).withColumn("h", F.xxhash64("doc_id")))
+             .groupBy("doc_id").agg(F.min("pattern").alias("pattern")).join(F.broadcast(side), "pattern", "left")
+             .withColumn("good", F.coalesce("good", F.lit(False))).withColumn("h", F.xxhash64("doc_id")))
     # at most SAMPLE rows of three numbers
     chosen = F.broadcast(smallest_hashes(known, "good", F.lit(rows // 2)).drop("good"))
     return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "h", "pattern").agg(F.min("text").alias("text"))
