@@ -4,12 +4,13 @@ A lexicon of patterns (whole words, and words with a given beginning) is mined f
 labelled training rows: patterns that toxic texts hold far more often than others.
 Each pattern is a voter: it votes toxic where its rate in a text passes ``VOTE_RATE``
 and abstains elsewhere.  Further voters look at the lexicon as a whole: its rate may
-vote toxic or clean, no hit at all votes clean, and the label itself is one voter more.
+vote toxic or clean, and no hit at all votes clean.  Labels serve to mine the lexicon only;
+they have no vote.
 
 A generative label model, fitted by expectation-maximisation, estimates for every voter
 how often it votes each way in toxic and in clean texts.  Voters are not independent: the
 correlation that is left given the class is estimated for every pair, and a voter
-counts the less the more it repeats others.  The posterior labels then train a linear
+counts the less the more it repeats others.  It starts from the lexicon's rate alone.  The posterior labels then train a linear
 classifier on the patterns' rates, which scores whole texts of all rows.
 
 Bounds of the fit: ``POSITIVES`` and ``NEGATIVES`` labelled training rows, those with
@@ -44,6 +45,7 @@ VOTE_RATE = 0.004
 # Correlations below this are taken for chance.
 CORRELATED = 0.3
 LEXICON_RATES = (0.002, 0.01, 0.02)
+START_RATE = 0.01
 THRESHOLD = 0.3
 TOXIC, CLEAN, ABSTAIN = 1, -1, 0
 WORD = re.compile(r"[^\W\d_]+")
@@ -108,12 +110,12 @@ def mine(sample: DataFrame, n_toxic: int, n_clean: int, top: int = PATTERNS) ->
 
 # --- label model ---------------------------------------------------------------------------------
 
-def votes_of(rates: np.ndarray, any_rate: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Votes (texts, voters): the patterns, the lexicon's rate at each limit, no hit, the label."""
+def votes_of(rates: np.ndarray, any_rate: np.ndarray) -> np.ndarray:
+    """Votes (texts, voters): the patterns, the lexicon's rate at each limit, no hit."""
     patterns = np.where(rates >= VOTE_RATE, TOXIC, ABSTAIN)
     limits = [np.where(any_rate >= x, TOXIC, CLEAN) for x in LEXICON_RATES]
     none = np.where(any_rate == 0, CLEAN, ABSTAIN)
-    return np.column_stack([patterns, *limits, none, np.where(labels == 1, TOXIC, CLEAN)]).astype(np.int8)
+    return np.column_stack([patterns, *limits, none]).astype(np.int8)
 
 
 @dataclass
@@ -250,10 +252,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sample.select("h", "toxic", "text").mapInArrow(
         run, "h long, toxic int, k array<int>, n array<int>, found long, words long").collect()
     rows.sort(key=lambda r: (r.h, r.toxic, r.words, r.found))
-    labels_seen = np.array([r.toxic for r in rows])
     rates, any_rate = rates_of([(Counter(dict(zip(r.k, r.n))), r.found, r.words) for r in rows], len(patterns))
-    votes = votes_of(rates, any_rate, labels_seen)
-    voters = fit_label_model(votes, np.where(labels_seen == 1, 0.95, 0.05))
+    votes = votes_of(rates, any_rate)
+    voters = fit_label_model(votes, np.where(any_rate >= START_RATE, 0.95, 0.05))
     return Model(patterns, fit_linear(features(rates, any_rate), voters.posterior(votes)), voters)
 
 
