@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 from webweft.operators import blocklist, records, reputation
 from webweft.plans import catalog
-from webweft.session import work_path
+from webweft.session import cut_lineage, work_path
 from webweft.sources import derived
 from webweft.streaming import jobs
 
@@ -30,6 +30,17 @@ def _minute(m):
     return dt.datetime(2024, 5, 1) + dt.timedelta(minutes=m)
 
 
+def test_dedup_rounds_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut_lineage(df, name))
+    requests = spark.createDataFrame([(i, "h", _minute(10 * i)) for i in range(5)], REQUEST)
+    held = spark.createDataFrame([("h", _minute(5))], "context_hash string, until timestamp_ntz")
+    worked = jobs.first_requests(requests, held, 15)
+    assert sorted(r["request_id"] for r in worked.collect()) == [1, 3]
+    assert not any("Broadcast" in p for p in plans)
+    assert all(p.count("SortMergeJoin") <= 1 for p in plans)
+
+
 def test_actions(spark):
     req = spark.createDataFrame([(1, "h1"), (2, "h1"), (3, "h2")], "request_id long, context_hash string")
     src = work_path(spark, "t", "after_src")

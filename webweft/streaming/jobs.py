@@ -276,12 +276,15 @@ def first_requests(requests: DataFrame, held: DataFrame, ttl_minutes: float) ->
 
     ``held`` has (context_hash, until) of earlier work.  The chain of a hash is followed in
     rounds of partial aggregates: each round takes every hash's first request behind its time,
-    so a batch takes as many rounds as the longest chain has links (its span over the TTL)."""
+    so a batch takes as many rounds as the longest chain has links (its span over the TTL).
+    Each round reads ``requests`` and the round before it, both dealt out by hash: a row per
+    hash is too much to go through the driver in every round."""
     if ttl_minutes <= 0:  # no answer would ever hold: a chain would take one request a round
         raise ValueError("the time to live must be positive")
     ttl = F.make_interval(secs=F.lit(ttl_minutes * 60).cast("decimal(18,6)"))
     until = held.groupBy("context_hash").agg(F.max("until").alias("until"))
-    rest = requests.filter("ts is not null").join(until, "context_hash", "left").filter(F.col("until").isNull() | (F.col("ts") >= F.col("until")))
+    requests = requests.filter("ts is not null")
+    rest = requests.join(until.hint("merge"), "context_hash", "left").filter(F.col("until").isNull() | (F.col("ts") >= F.col("until")))
     worked = None
     while True:
         first = rest.groupBy("context_hash").agg(F.min(F.struct("ts", "request_id")).alias("f"))
@@ -289,8 +292,8 @@ def first_requests(requests: DataFrame, held: DataFrame, ttl_minutes: float) ->
         worked = found if worked is None else worked.unionByName(found)
         if found.isEmpty():
             return worked
-        rest = (rest.drop("until").join(found.select("context_hash", "until"), "context_hash")
-                .filter(F.col("ts") >= F.col("until")))
+        # times of a chain only grow, so the round before alone tells what is left of all requests
+        rest = requests.join(found.select("context_hash", "until").hint("merge"), "context_hash").filter(F.col("ts") >= F.col("until"))
 
 
 def dedup_stream(requests: DataFrame, ttl_minutes: float, sink: str, checkpoint: str,
@@ -321,8 +324,9 @@ def dedup_stream(requests: DataFrame, ttl_minutes: float, sink: str, checkpoint:
             held = spark.read.schema(schema).option("basePath", f"{sink}/held").parquet(*live)
         if now is not None:
             held = held.filter(F.col("hour") >= now)
-        working = cut_lineage(first_requests(batch.select("request_id", "context_hash", "ts"), held, ttl_minutes), "dedup_work")
-        out = batch.select("request_id", "context_hash", "ts").join(working, ["context_hash", "request_id"], "left")
+        requests = batch.select("request_id", "context_hash", "ts")
+        working = cut_lineage(first_requests(requests, held, ttl_minutes), "dedup_work")
+        out = requests.join(working.hint("merge"), ["context_hash", "request_id"], "left")
         (out.select("request_id", "context_hash", (F.col("until").isNotNull() | F.col("ts").isNull()).alias("does_work"), "until")
          .write.mode("overwrite").parquet(f"{sink}/rows/batch_id={batch_id}"))
         (working.select("context_hash", "until", _hour(F.col("until")).alias("hour"))
