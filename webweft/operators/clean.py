@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webweft.functions.hashing import sha256_hex
-from webweft.functions.text import _c, is_blank
+from webweft.functions.text import _c, is_blank, where
 from webweft.session import cut_lineage
 
 # --- fixed values (data-URI patterns, applied in this order, case-insensitive) ---
@@ -30,18 +30,23 @@ HTML_STAGE, MARKDOWN_STAGE = 1, 2
 
 def strip_data_uris(col) -> Column:
     """H3."""
-    c = _c(col)
-    for p in DATA_URI_PATTERNS:
-        c = F.regexp_replace(c, "(?i)" + p, "")
-    return c
+    def stripped(c: Column) -> Column:
+        for p in DATA_URI_PATTERNS:
+            c = F.regexp_replace(c, "(?i)" + p, "")
+        return c
+
+    return where(lambda c: c.rlike("(?i)data:"), stripped)(_c(col))
 
 
 def normalise_whitespace(col) -> Column:
     """H5: runs of 2+ spaces → one; trailing spaces/tabs per line removed
     (``\\n`` is the only line end); 2+ newlines → exactly 2."""
-    c = F.regexp_replace(_c(col), " {2,}", " ")
-    c = F.regexp_replace(c, r"(?md)[ \t]+$", "")
-    return F.regexp_replace(c, r"\n{2,}", "\n\n")
+    def trails(c: Column) -> Column:
+        return c.contains(" \n") | c.contains("\t\n") | c.endswith(" ") | c.endswith("\t")
+
+    c = where(lambda c: c.contains("  "), lambda c: F.regexp_replace(c, " {2,}", " "))(_c(col))
+    c = where(trails, lambda c: F.regexp_replace(c, r"(?md)[ \t]+$", ""))(c)
+    return where(lambda c: c.contains("\n\n\n"), lambda c: F.regexp_replace(c, r"\n{2,}", "\n\n"))(c)
 
 
 def content_hash(col) -> Column:
